@@ -75,7 +75,7 @@ def _remove_dot_segments(path: Column) -> Column:
             .otherwise(F.concat(acc, F.array(seg)))
 
     kept = F.aggregate(segs, F.array().cast("array<string>"), step)
-    trailing = F.element_at(segs, -1).isin(*SINGLE_DOTS, *DOUBLE_DOTS)
+    trailing = F.try_element_at(segs, F.lit(-1)).isin(*SINGLE_DOTS, *DOUBLE_DOTS)
     out = F.concat(F.lit("/"), F.array_join(kept, "/"))
     out = F.when(trailing & (F.size(kept) > 0), F.concat(out, F.lit("/"))).otherwise(out)
     return F.when(path.rlike(DOT_SEGMENT), out).otherwise(path)
@@ -179,14 +179,14 @@ def project(arr: Column, *names: str) -> Column:
 def base_parts(url) -> Column:
     """Struct ``(norm, n_scheme, n_root, n_path, n_query)`` of a page URL."""
     a = normalise_stages(_one(_s(url), "src"), "src")
-    return F.element_at(project(a, "norm", "n_scheme", "n_root", "n_path", "n_query"), 1)
+    return F.try_element_at(project(a, "norm", "n_scheme", "n_root", "n_path", "n_query"), F.lit(1))
 
 
 def absolute_url(href, base) -> Column:
     """Scalar: resolve ``href`` against ``base`` (a :func:`base_parts`
     struct column) and clean; '' when unusable."""
     a = resolve_stages(_one(_s(href), "href"), _s(base))
-    return F.element_at(a, 1)["url"]
+    return F.try_element_at(a, F.lit(1))["url"]
 
 
 def normalise_url(col) -> Column:
@@ -232,11 +232,11 @@ def domain_slug(col) -> Column:
 def url_slug(col) -> Column:
     """Last non-empty path segment, else ``category``."""
     segs = F.filter(F.split(url_path(col), "/"), lambda s: s != "")
-    return F.coalesce(F.element_at(segs, -1), F.lit("category"))
+    return F.coalesce(F.try_element_at(segs, F.lit(-1)), F.lit("category"))
 
 
 def query_param(col, name: str) -> Column:
     """First value of query parameter ``name`` (form-decoded), NULL if absent."""
     q = F.regexp_extract(F.coalesce(_s(col), F.lit("")), r"^[^?#]*\?([^#]*)", 1)
     hits = F.filter(F.split(q, "&"), lambda p: _form_decode(F.split_part(p, F.lit("="), F.lit(1))) == F.lit(name))
-    return _form_decode(F.regexp_extract(F.element_at(hits, 1), "^[^=]*=(.*)$", 1))
+    return _form_decode(F.regexp_extract(F.try_element_at(hits, F.lit(1)), "^[^=]*=(.*)$", 1))

@@ -34,15 +34,16 @@ def _href(match: Column) -> Column:
     return F.replace(F.regexp_extract(match, ANCHOR_RE, 2), F.lit("&amp;"), F.lit("&"))
 
 
-def page_links(pages: DataFrame) -> DataFrame:
-    """``(page_id, site, url, base, links ARRAY<STRUCT<pos,url,text>>)``.
+def page_links(pages: DataFrame, extra: tuple = ()) -> DataFrame:
+    """``(page_id, site, url, base, links ARRAY<STRUCT<pos,url,text>>)``
+    plus the named ``extra`` columns computed in the same pass.
 
     ``links`` holds every anchor of the page in document order, resolved
     against the page URL and cleaned; anchors that do not resolve are
     dropped.  Runs inside the scan stage (narrow)."""
     matches = F.regexp_extract_all(visible_html("html"), F.lit(ANCHOR_RE), 0)
     raw = pages.select(
-        "page_id", "site", "url",
+        "page_id", "site", "url", *extra,
         base_parts("url").alias("base"),
         F.transform(matches, lambda m, i: F.struct(
             (i + 1).cast("int").alias("pos"),
@@ -50,7 +51,8 @@ def page_links(pages: DataFrame) -> DataFrame:
             strip_html(F.regexp_extract(m, ANCHOR_RE, 3)).alias("text"))).alias("raw"),
     )
     resolved = project(resolve_stages(F.col("raw"), F.col("base")), "pos", "url", "text")
-    return raw.select("page_id", "site", "url", "base",
+    names = [c for c in raw.columns if c not in ("page_id", "site", "url", "base", "raw")]
+    return raw.select("page_id", "site", "url", *names, "base",
                       F.filter(resolved, lambda x: x["url"] != "").alias("links"))
 
 
@@ -97,7 +99,7 @@ def _best_ordered(by_url: str, k: int | None) -> Column:
     then position, cut to ``k``.  ``by_url`` must be a materialised column so
     the lambda reads it instead of recomputing it per element."""
     arr = F.col(by_url)
-    best = F.filter(arr, lambda x, i: (i == 0) | (F.element_at(arr, i)["url"] != x["url"]))
+    best = F.filter(arr, lambda x, i: (i == 0) | (F.get(arr, i - 1)["url"] != x["url"]))
     ordered = F.array_sort(F.transform(best, lambda x: F.struct(
         x["neg"].alias("neg"), x["pos"].alias("pos"), x["url"].alias("url"), x["text"].alias("text"))))
     if k is not None:
@@ -111,18 +113,18 @@ def same_site_links(per_page: DataFrame, entry_col: str = "url") -> Column:
     return F.filter("links", lambda x: same_domain(x["url"], F.col(entry_col)))
 
 
-def page_top_links(pages: DataFrame, k: int | None = 8) -> DataFrame:
+def page_top_links(pages: DataFrame, k: int | None = 8, extra: tuple = ()) -> DataFrame:
     """Per page: best ``k`` category links and best ``k`` product links among
-    same-host links (row-local, no shuffle)."""
-    per_page = page_links(pages)
-    local = per_page.select("page_id", "site", "url",
-                            score_stages(same_site_links(per_page)).alias("links"))
+    same-host links (row-local, no shuffle); ``extra`` columns ride along."""
+    per_page = page_links(pages, extra)
+    keep = [c for c in per_page.columns if c not in ("base", "links")]
+    local = per_page.select(*keep, score_stages(same_site_links(per_page)).alias("links"))
     sorted_ = local.select(
-        "page_id", "site", "url",
+        *keep,
         _scored_by_url(F.col("links"), "category_score").alias("cat_by_url"),
         _scored_by_url(F.col("links"), "product_score").alias("prod_by_url"))
     return sorted_.select(
-        "page_id", "site", "url",
+        *keep,
         _best_ordered("cat_by_url", k).alias("top_category_links"),
         _best_ordered("prod_by_url", k).alias("top_product_links"),
     )

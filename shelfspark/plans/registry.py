@@ -11,8 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfspark.functions import scoring as S
 from shelfspark.oracle import links_sql as LQ
+from shelfspark.oracle import profile_sql as PQ
 from shelfspark.operators import links as L
+from shelfspark.operators import profile as P
 from shelfspark.sources.tables import read_pages
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -75,4 +78,101 @@ def q_page_title(spark, sf):
     return read_pages(spark, sf).select("page_id", L.page_title("html").alias("title"))
 
 
+# ---------------------------------------------------------------- profiles
+def _profiles(spark, sf):
+    return P.page_profiles(read_pages(spark, sf)).persist()
+
+
+def _site_profiles(spark, sf):
+    return P.site_profile(P.sample_slots(_profiles(spark, sf)))
+
+
+@register("page_signals", PQ.page_signals_sql)
+def q_page_signals(spark, sf):
+    s = read_pages(spark, sf).select("page_id", S.page_signals("html").alias("s"))
+    return s.select("page_id", "s.has_search_input", "s.has_jsonld_product", "s.has_add_to_cart",
+                    "s.has_price_nodes", "s.has_pagination",
+                    F.array_join("s.platform_tokens", ",").alias("platform_tokens"))
+
+
+@register("page_profile", PQ.page_profile_sql)
+def q_page_profile(spark, sf):
+    pp = P.page_profiles(read_pages(spark, sf))
+    return pp.select("page_id", "site", "title", "clean_url", "n_cat", "n_prod",
+                     F.array_join("top_category_urls", " ").alias("top_category_urls"),
+                     F.array_join("top_product_urls", " ").alias("top_product_urls"),
+                     P.detected_type(F.lit(None).cast("string")).alias("detected_type"))
+
+
+@register("sample_slots", PQ.sample_slots_sql)
+def q_sample_slots(spark, sf):
+    return P.sample_slots(_profiles(spark, sf)).select(
+        "site", "page_id", "type_requested", "source", "detected_type")
+
+
+@register("site_profile", PQ.site_profile_sql)
+def q_site_profile(spark, sf):
+    sp = _site_profiles(spark, sf)
+    return sp.select("site", "domain", "entry_url", "platform_hint", "platform_confidence",
+                     F.array_join("category_patterns", " ").alias("category_patterns"),
+                     F.array_join("product_patterns", " ").alias("product_patterns"),
+                     F.array_join("include_patterns", " ").alias("include_patterns"),
+                     F.array_join("preferred_sources", " ").alias("preferred_sources"),
+                     "confidence", "has_plp", "has_pdp", "n_samples")
+
+
+@register("platform_detect", lambda: PQ.with_profiles() +
+          "SELECT site, platform_hint, platform_confidence FROM sp")
+def q_platform_detect(spark, sf):
+    return _site_profiles(spark, sf).select("site", "platform_hint", "platform_confidence")
+
+
+@register("url_patterns", lambda: PQ.with_profiles() +
+          "SELECT site, array_to_string(category_patterns, ' ') AS category_patterns, "
+          "array_to_string(product_patterns, ' ') AS product_patterns FROM sp")
+def q_url_patterns(spark, sf):
+    return _site_profiles(spark, sf).select(
+        "site", F.array_join("category_patterns", " ").alias("category_patterns"),
+        F.array_join("product_patterns", " ").alias("product_patterns"))
+
+
+@register("profile_confidence", lambda: PQ.with_profiles() + "SELECT site, confidence FROM sp")
+def q_profile_confidence(spark, sf):
+    return _site_profiles(spark, sf).select("site", "confidence")
+
+
+@register("preferred_sources", lambda: PQ.with_profiles() +
+          "SELECT site, CASE WHEN jsonld THEN 'jsonld dom' ELSE 'dom' END AS preferred_sources FROM sp")
+def q_preferred_sources(spark, sf):
+    return _site_profiles(spark, sf).select(
+        "site", F.array_join("preferred_sources", " ").alias("preferred_sources"))
+
+
+@register("learning_candidates", PQ.learning_candidates_sql)
+def q_learning_candidates(spark, sf):
+    lc = _site_profiles(spark, sf).select("site", F.inline_outer("learning_candidates"))
+    return lc.where(F.col("type").isNotNull()).select("site", "type", "confidence", "pattern")
+
+
+@register("sample_urls", lambda: PQ.with_profiles() +
+          "SELECT site, type_requested AS type, last(url ORDER BY slot) AS url FROM samples GROUP BY site, type_requested")
+def q_sample_urls(spark, sf):
+    su = _site_profiles(spark, sf).select("site", F.explode_outer("sample_urls").alias("type", "url"))
+    return su.where(F.col("type").isNotNull())
+
+
+@register("profile_actions", PQ.profile_actions_sql)
+def q_profile_actions(spark, sf):
+    pa = P.profile_actions(_site_profiles(spark, sf))
+    return pa.select("site", "status", "severity", F.array_join("reasons", " ").alias("reasons"),
+                     F.array_join(F.transform("requested_inputs", lambda x: x["id"]), " ").alias("requested_inputs"),
+                     "auto_ready")
+
+
+@register("profile_auto_ready", lambda: PQ.profile_actions_sql().replace(
+    "SELECT site, CASE WHEN len(r)", "SELECT site, auto_ready FROM (SELECT site, CASE WHEN len(r)") + ")")
+def q_profile_auto_ready(spark, sf):
+    return P.profile_actions(_site_profiles(spark, sf)).select("site", "auto_ready")
+
+
 __all__ = ["plans", "oracle", "register", "F"]
