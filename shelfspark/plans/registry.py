@@ -15,7 +15,13 @@ from shelfspark.functions import scoring as S
 from shelfspark.oracle import links_sql as LQ
 from shelfspark.oracle import profile_sql as PQ
 from shelfspark.operators import links as L
+from shelfspark.operators import products as PR
 from shelfspark.operators import profile as P
+from shelfspark.operators import quality as QY
+from shelfspark.operators import categories as C
+from shelfspark.operators import exports as X
+from shelfspark.oracle import products_sql as RQ
+from shelfspark.sources.fixtures import product_observations
 from shelfspark.sources.tables import read_pages
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -175,4 +181,140 @@ def q_profile_auto_ready(spark, sf):
     return P.profile_actions(_site_profiles(spark, sf)).select("site", "auto_ready")
 
 
+# ---------------------------------------------------------------- products
+def _flat_products(df, *extra):
+    """Products with arrays joined to strings (comparable in both engines)."""
+    return df.select(
+        *extra, "site", "product_id", "sku", "name", "description", "brand", "price", "currency",
+        "product_url", "category", "subcategory", "category_path",
+        F.array_join("category_trail", " > ").alias("category_trail"),
+        F.array_join("all_category_paths", " | ").alias("all_category_paths"),
+        F.array_join("image_urls", " | ").alias("image_urls"),
+        "source_site", "source_type", "source_confidence")
+
+
+def _products(spark, sf):
+    return PR.products_from_observations(product_observations(spark, sf))
+
+
+def _merged(spark, sf):
+    return PR.merge_products(PR.drop_unidentified(_products(spark, sf)))
+
+
+@register("parse_price", RQ.parse_price_sql)
+def q_parse_price(spark, sf):
+    return product_observations(spark, sf).select("seq", "price_text", PR.parse_price("price_text").alias("price"))
+
+
+@register("canonical_product", RQ.canonical_product_sql)
+def q_canonical_product(spark, sf):
+    return _flat_products(_products(spark, sf), "seq")
+
+
+@register("merge_products", RQ.merge_products_sql)
+def q_merge_products(spark, sf):
+    return _flat_products(_merged(spark, sf), "product_key", "first_seq", "last_seq", "sightings")
+
+
+def _catalog(spark, sf):
+    """Merged catalog, persisted once: every export reads it."""
+    return _merged(spark, sf).persist()
+
+
+@register("drop_unidentified", lambda: RQ.with_products() + "SELECT seq, site, sku, name FROM prod WHERE name <> '' OR sku <> ''")
+def q_drop_unidentified(spark, sf):
+    return PR.drop_unidentified(_products(spark, sf)).select("seq", "site", "sku", "name")
+
+
+@register("product_issues", RQ.product_issues_sql)
+def q_product_issues(spark, sf):
+    return QY.product_issues(_merged(spark, sf))
+
+
+@register("catalog_summary", RQ.catalog_summary_sql)
+def q_catalog_summary(spark, sf):
+    return QY.catalog_summary(_merged(spark, sf))
+
+
+@register("catalog_warnings", RQ.catalog_warnings_sql)
+def q_catalog_warnings(spark, sf):
+    return QY.catalog_warnings(QY.catalog_summary(_merged(spark, sf)))
+
+
+@register("distinct_category_count", RQ.distinct_category_count_sql)
+def q_distinct_category_count(spark, sf):
+    return QY.distinct_category_count(_merged(spark, sf))
+
+
+@register("quality_actions", RQ.quality_actions_sql)
+def q_quality_actions(spark, sf):
+    m = _catalog(spark, sf)
+    cats = QY.distinct_category_count(m).withColumn("categories_processed", F.col("distinct_categories"))
+    qa = QY.quality_actions(QY.catalog_summary(m), cats)
+    return qa.select("site", "status", "severity", F.array_join("reasons", " ").alias("reasons"),
+                     F.array_join(F.transform("requested_inputs", lambda x: x["id"]), " ").alias("requested_inputs"))
+
+
+@register("category_tree", RQ.category_tree_sql)
+def q_category_tree(spark, sf):
+    t = C.category_tree(_merged(spark, sf))
+    return t.select("site", "full_path", "id", "name", F.array_join("path", " > ").alias("path"), "depth", "parent_id")
+
+
+@register("category_assignments", RQ.category_assignments_sql)
+def q_category_assignments(spark, sf):
+    return C.category_assignments(_catalog(spark, sf)).withColumn("ord", F.col("ord").cast("int"))
+
+
+@register("catalog_brand", RQ.catalog_brand_sql)
+def q_catalog_brand(spark, sf):
+    return X.catalog_brand(_merged(spark, sf))
+
+
+@register("catalog_currencies", RQ.catalog_currencies_sql)
+def q_catalog_currencies(spark, sf):
+    return X.catalog_currencies(_catalog(spark, sf))
+
+
+@register("pricebook_entries", RQ.pricebook_entries_sql)
+def q_pricebook_entries(spark, sf):
+    return X.pricebook_entries(_catalog(spark, sf))
+
+
+@register("shared_image_dir", RQ.shared_image_dir_sql)
+def q_shared_image_dir(spark, sf):
+    return X.shared_image_dir(_catalog(spark, sf))
+
+
+@register("image_groups", RQ.image_groups_sql)
+def q_image_groups(spark, sf):
+    return X.image_groups(_merged(spark, sf))
+
+
+@register("generic_csv_rows", RQ.generic_csv_sql)
+def q_generic_csv_rows(spark, sf):
+    return X.generic_csv_rows(_merged(spark, sf))
+
+
+@register("b2b_csv_rows", RQ.b2b_csv_sql)
+def q_b2b_csv_rows(spark, sf):
+    return X.b2b_csv_rows(_merged(spark, sf))
+
+
+@register("catalog_cards", RQ.catalog_cards_sql)
+def q_catalog_cards(spark, sf):
+    return X.catalog_cards(_merged(spark, sf)).withColumn("thumbs", F.array_join("thumbs", " "))
+
+
+@register("search_cards", lambda: RQ.search_cards_sql("Blue", "Sale > SMALL"))
+def q_search_cards(spark, sf):
+    cards = X.catalog_cards(_merged(spark, sf)).withColumn("thumbs", F.array_join("thumbs", " "))
+    return X.search_cards(cards, "Blue", "Sale > SMALL")
+
+
+@register("catalog_stats", RQ.catalog_stats_sql)
+def q_catalog_stats(spark, sf):
+    return X.catalog_stats(_merged(spark, sf))
+
+
 __all__ = ["plans", "oracle", "register", "F"]

@@ -16,6 +16,7 @@ _DEFAULTS = {
     # Broadcast only what is proven small; everything else shuffles.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
@@ -59,3 +60,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written tables."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def spread(df, min_partitions: int | None = None):
+    """Spread a small, few-file input over the cluster's cores.
+
+    Big inputs are already split into many file partitions and are returned
+    unchanged (no extra shuffle); only inputs with fewer partitions than the
+    default parallelism (tiny files, one row group) are round-robin
+    repartitioned so per-row work is not serialised into one task."""
+    spark = df.sparkSession
+    target = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df

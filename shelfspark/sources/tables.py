@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from shelfspark.functions.urls import url_host
+from shelfspark.session import spread
 
 PAGE_SCHEMA = StructType([
     StructField("page_id", LongType()),
@@ -26,7 +27,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``page(page_id, site, url, html, seq)``; ``site`` is the lower-cased
     host of the URL, ``seq`` the observation order (page id)."""
-    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    pages = spread(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return pages.select(
         "page_id",
         url_host("url").alias("site"),
