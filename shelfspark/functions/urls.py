@@ -35,6 +35,12 @@ DOT_SEGMENT = r"(^|/)(\.|%2[eE]|\.\.|\.%2[eE]|%2[eE]\.|%2[eE]%2[eE])(/|$)"
 SINGLE_DOTS = (".", "%2e", "%2E")
 DOUBLE_DOTS = ("..", ".%2e", ".%2E", "%2e.", "%2E.", "%2e%2e", "%2E%2E", "%2e%2E", "%2E%2e")
 HOST_RE = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^:/?#]*)"
+# Fast path: values already in serialised form (lower-case http(s) scheme and
+# host, no port/userinfo, only path characters that need no encoding, no
+# backslash, no query or fragment) pass through unchanged.
+FAST_PATH_CHARS = r"[\x{21}\x{24}-\x{3B}\x{3D}\x{40}-\x{5B}\x{5D}-\x{5F}\x{61}-\x{7A}\x{7C}\x{7E}]"
+FAST_ABSOLUTE = r"^https?://[a-z0-9.\-]+(/" + FAST_PATH_CHARS + r"*)?$"
+FAST_ROOT_RELATIVE = r"^/(" + FAST_PATH_CHARS + r"*)$"
 ORIGIN_RE = r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)"
 
 
@@ -176,27 +182,59 @@ def project(arr: Column, *names: str) -> Column:
     return F.transform(arr, lambda x: F.struct(*[x[n].alias(n) for n in names]))
 
 
+def _fast_absolute(c: Column) -> Column:
+    return c.rlike(FAST_ABSOLUTE) & ~c.rlike(DOT_SEGMENT)
+
+
+def _fast_relative(h: Column) -> Column:
+    return h.rlike(FAST_ROOT_RELATIVE) & ~h.startswith("//") & ~h.rlike(DOT_SEGMENT)
+
+
 def base_parts(url) -> Column:
     """Struct ``(norm, n_scheme, n_root, n_path, n_query)`` of a page URL."""
     a = normalise_stages(_one(_s(url), "src"), "src")
     return F.try_element_at(project(a, "norm", "n_scheme", "n_root", "n_path", "n_query"), F.lit(1))
 
 
+def resolve_links(arr: Column, base: Column, href: str = "href", keep=("pos", "text")) -> Column:
+    """Resolve field ``href`` of every struct against ``base`` into ``url``.
+
+    Root-relative hrefs that need no encoding take the fast path (origin +
+    href); only the rest run the staged resolver.  Output structs hold
+    ``keep`` fields plus ``url``; order follows the first ``keep`` field."""
+    fast_ok = lambda x: _fast_relative(F.coalesce(x[href], F.lit("")))
+    fast = F.transform(F.filter(arr, fast_ok), lambda x: F.struct(
+        *[x[k].alias(k) for k in keep],
+        F.when(base["norm"] == "", F.lit("")).otherwise(F.concat(base["n_root"], x[href])).alias("url")))
+    slow = project(resolve_stages(F.filter(arr, lambda x: ~fast_ok(x)), base, href), *keep, "url")
+    return F.array_sort(F.concat(fast, slow))
+
+
 def absolute_url(href, base) -> Column:
     """Scalar: resolve ``href`` against ``base`` (a :func:`base_parts`
     struct column) and clean; '' when unusable."""
-    a = resolve_stages(_one(_s(href), "href"), _s(base))
-    return F.try_element_at(a, F.lit(1))["url"]
+    b, h = _s(base), F.coalesce(_s(href), F.lit(""))
+    slow = F.try_element_at(resolve_stages(_one(h, "href"), b), F.lit(1))["url"]
+    fast = F.when(b["norm"] == "", F.lit("")).otherwise(F.concat(b["n_root"], h))
+    return F.when(_fast_relative(h), fast).otherwise(slow)
 
 
 def normalise_url(col) -> Column:
     """Scalar: serialised absolute URL ('' when unusable), not cleaned."""
-    return F.element_at(normalise_stages(_one(_s(col), "src"), "src"), 1)["norm"]
+    c = F.coalesce(_s(col), F.lit(""))
+    slow = F.element_at(normalise_stages(_one(c, "src"), "src"), 1)["norm"]
+    fast = F.when(c.rlike(r"^https?://[^/]*$"), F.concat(c, F.lit("/"))).otherwise(c)
+    return F.when(_fast_absolute(c), fast).otherwise(slow)
 
 
 def clean_url(col) -> Column:
     """Scalar: drop fragment and tracking parameters (see :func:`clean_stages`)."""
-    return F.element_at(clean_stages(_one(_s(col), "src"), "src", "out"), 1)["out"]
+    c = F.coalesce(_s(col), F.lit(""))
+    slow = F.element_at(clean_stages(_one(c, "src"), "src", "out"), 1)["out"]
+    no_tracking = ~c.rlike(r"(?i)[?&](utm_|gclid|fbclid|[^&#=]*%)")
+    return F.when(~c.contains("?") & ~c.contains("#"), c) \
+        .when(no_tracking & ~c.contains("+"), F.regexp_extract(c, r"^([^#]*)", 1)) \
+        .otherwise(slow)
 
 
 def is_http_url(col) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions import scoring
 from shelfspark.functions.text import fold_text, normalize_whitespace, strip_html
-from shelfspark.functions.urls import base_parts, project, resolve_stages, same_domain, stage
+from shelfspark.functions.urls import base_parts, project, resolve_links, same_domain, stage
 
 # Anchor pattern (quote style matched by back-reference) and the
 # markup whose content a DOM never exposes as links.
@@ -50,7 +50,7 @@ def page_links(pages: DataFrame, extra: tuple = ()) -> DataFrame:
             _href(m).alias("href"),
             strip_html(F.regexp_extract(m, ANCHOR_RE, 3)).alias("text"))).alias("raw"),
     )
-    resolved = project(resolve_stages(F.col("raw"), F.col("base")), "pos", "url", "text")
+    resolved = resolve_links(F.col("raw"), F.col("base"))
     names = [c for c in raw.columns if c not in ("page_id", "site", "url", "base", "raw")]
     return raw.select("page_id", "site", "url", *names, "base",
                       F.filter(resolved, lambda x: x["url"] != "").alias("links"))

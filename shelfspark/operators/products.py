@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions.text import normalize_whitespace, slugify
 from shelfspark.functions.urls import (clean_url, domain_slug, is_http_url, normalise_url, url_origin)
+from shelfspark.operators.common import fence
 
 DEFAULT_CURRENCY = "USD"
 JSONLD_CONFIDENCE = 0.8
@@ -100,13 +101,15 @@ def _split_trail(path: Column) -> Column:
     return F.filter(F.transform(F.split(path, ">"), lambda x: normalize_whitespace(x)), lambda x: x != "")
 
 
-def canonical_product(df: DataFrame) -> DataFrame:
+def canonical_product(df: DataFrame, urls_normalised: bool = False) -> DataFrame:
     """Raw product fields -> canonical product.
 
     Expects ``product_id, sku, name, description, brand, price, currency,
     product_url, category_path, category_trail ARRAY, all_category_paths
     ARRAY, image_urls ARRAY, source_site, source_type, source_confidence``
-    (missing arrays may be NULL) and passes every other column through."""
+    (missing arrays may be NULL) and passes every other column through.
+    With ``urls_normalised`` the URL columns are taken as already serialised
+    and cleaned (``normalize_http_url``), so they are not normalised again."""
     known = F.array_distinct(F.filter(F.transform(F.coalesce("all_category_paths", F.array().cast("array<string>")),
                                                   lambda x: normalize_whitespace(x)), lambda x: x != ""))
     trail_in = F.filter(F.transform(F.coalesce("category_trail", F.array().cast("array<string>")),
@@ -119,13 +122,19 @@ def canonical_product(df: DataFrame) -> DataFrame:
     staged = staged.withColumn("_trail", trail)
     path = normalize_whitespace(F.when(F.col("_seed") != "", F.col("_seed")).otherwise(F.array_join("_trail", " > ")))
     staged = staged.withColumn("_path", path)
-    url = normalize_http_url("product_url")
-    images = F.slice(F.array_distinct(F.filter(F.transform(
-        F.coalesce("image_urls", F.array().cast("array<string>")), lambda x: normalize_http_url(x)),
-        lambda x: x != "")), 1, MAX_IMAGES)
+    if urls_normalised:
+        url = F.coalesce(F.col("product_url"), F.lit(""))
+        images = F.slice(F.array_distinct(F.filter(F.coalesce("image_urls", F.array().cast("array<string>")),
+                                                   lambda x: x != "")), 1, MAX_IMAGES)
+    else:
+        url = normalize_http_url("product_url")
+        images = F.slice(F.array_distinct(F.filter(F.transform(
+            F.coalesce("image_urls", F.array().cast("array<string>")), lambda x: normalize_http_url(x)),
+            lambda x: x != "")), 1, MAX_IMAGES)
     site_in = F.coalesce(F.col("source_site"), F.lit(""))
-    out = staged.withColumn("_url", url)
-    source_site = F.when(is_http_url(site_in), url_origin(normalise_url(site_in))) \
+    out = fence(staged, _url=url, _images=images)
+    site_origin = url_origin(site_in) if urls_normalised else url_origin(normalise_url(site_in))
+    source_site = F.when(is_http_url(site_in), site_origin) \
         .otherwise(F.when(F.col("_url") != "", url_origin("_url")).otherwise(F.lit("")))
     passthrough = [c for c in df.columns if c not in (
         "product_id", "sku", "name", "description", "brand", "price", "currency", "product_url",
@@ -147,7 +156,7 @@ def canonical_product(df: DataFrame) -> DataFrame:
         F.col("_trail").alias("category_trail"),
         F.array_distinct(F.filter(F.concat("_known", F.array("_path")), lambda x: x != ""))
         .alias("all_category_paths"),
-        images.alias("image_urls"),
+        F.col("_images").alias("image_urls"),
         source_site.alias("source_site"),
         normalize_whitespace("source_type").alias("source_type"),
         clamp_confidence("source_confidence").alias("source_confidence"),
@@ -163,22 +172,25 @@ def products_from_observations(obs: DataFrame, default_currency: str = DEFAULT_C
     name = normalize_whitespace("name")
     currency = normalize_currency(F.coalesce(
         F.nullif(F.regexp_extract("price_text", "[A-Z]{3}", 0), F.lit("")), infer_currency("price_text")))
+    # every URL is normalised exactly once, behind a fence
+    obs = fence(obs, _purl=normalize_http_url("product_url"), _img=normalize_http_url("image"),
+                _site=F.when(is_http_url("site"), normalise_url("site")).otherwise(F.col("site")))
     raw = obs.select(
         "seq", "site",
-        product_key_id(sku, name, normalize_http_url("product_url")).alias("product_id"),
+        product_key_id(sku, name, F.col("_purl")).alias("product_id"),
         sku.alias("sku"), name.alias("name"), F.col("description"), F.col("brand"),
         parse_price("price_text").alias("price"),
         F.when(currency != "", currency).otherwise(F.lit(default_currency)).alias("currency"),
-        F.col("product_url"),
+        F.col("_purl").alias("product_url"),
         F.col("category_path"),
         F.lit(None).cast("array<string>").alias("category_trail"),
         F.lit(None).cast("array<string>").alias("all_category_paths"),
-        F.array("image").alias("image_urls"),
-        F.col("site").alias("source_site"),
+        F.array("_img").alias("image_urls"),
+        F.col("_site").alias("source_site"),
         F.lit("dom").alias("source_type"),
         F.lit(DOM_CONFIDENCE).alias("source_confidence"),
     )
-    return canonical_product(raw)
+    return canonical_product(raw, urls_normalised=True)
 
 
 def merge_key(df: DataFrame | None = None) -> Column:
@@ -188,35 +200,59 @@ def merge_key(df: DataFrame | None = None) -> Column:
 
 
 def merge_products(products: DataFrame) -> DataFrame:
-    """Fold sightings into one product per ``(site, product_key)``."""
-    keyed = products.withColumn("product_key", merge_key())
+    """Fold sightings into one product per ``(site, product_key)``.
+
+    One scan, two aggregations: every sighting emits a ``base`` row plus one
+    row per category path and per image; the first aggregation (partial,
+    map-side) runs per ``(site, key, kind, value)`` -- last non-empty scalars
+    for ``base``, first ``(seq, position)`` for paths and images -- and the
+    second per ``(site, key)`` only sees one base row and the distinct values,
+    so no group ever holds all sightings of a hot product."""
     keys = ["site", "product_key"]
-    scalar_aggs = [F.expr(f"max_by({c}, seq) FILTER (WHERE {c} <> '')").alias(c) for c in SCALARS]
-    base = keyed.groupBy(*keys).agg(
-        *scalar_aggs,
-        F.max_by("category_trail", "seq").alias("category_trail"),
-        F.max_by("source_confidence", "seq").alias("source_confidence"),
-        F.min("seq").alias("first_seq"),
+    keyed = products.withColumn("product_key", merge_key())
+    scalar_struct = F.struct(*[F.col(c) for c in SCALARS], "category_trail", "source_confidence")
+    rows = F.concat(
+        F.array(F.struct(F.lit("base").alias("kind"), F.lit("").alias("v"), F.lit(0).alias("i"),
+                         scalar_struct.alias("p"))),
+        F.transform("all_category_paths", lambda v, i: F.struct(
+            F.lit("path").alias("kind"), v.alias("v"), i.alias("i"), F.lit(None).cast(scalar_struct_type(products)).alias("p"))),
+        F.transform("image_urls", lambda v, i: F.struct(
+            F.lit("img").alias("kind"), v.alias("v"), i.alias("i"), F.lit(None).cast(scalar_struct_type(products)).alias("p"))))
+    ex = keyed.select(*keys, "seq", F.inline(rows))
+    lvl1 = ex.groupBy(*keys, "kind", "v").agg(
+        *[F.expr(f"max_by(p.{c}, seq) FILTER (WHERE p.{c} <> '')").alias(c) for c in SCALARS],
+        F.max_by("p.category_trail", "seq").alias("category_trail"),
+        F.max_by("p.source_confidence", "seq").alias("source_confidence"),
+        F.min(F.struct("seq", "i")).alias("first"),
         F.max("seq").alias("last_seq"),
-        F.count("*").alias("sightings"),
+        F.count("*").alias("n"),
+    )
+    is_base = F.col("kind") == "base"
+    lvl2 = lvl1.groupBy(*keys).agg(
+        *[F.max(F.when(is_base, F.col(c))).alias(c) for c in SCALARS],
+        F.first(F.when(is_base, F.col("category_trail")), ignorenulls=True).alias("category_trail"),
+        F.max(F.when(is_base, F.col("source_confidence"))).alias("source_confidence"),
+        F.max(F.when(is_base, F.col("first.seq"))).alias("first_seq"),
+        F.max(F.when(is_base, F.col("last_seq"))).alias("last_seq"),
+        F.max(F.when(is_base, F.col("n"))).alias("sightings"),
+        F.array_sort(F.collect_list(F.when(F.col("kind") == "path", F.struct("first", "v")))).alias("_p"),
+        F.array_sort(F.collect_list(F.when(F.col("kind") == "img", F.struct("first", "v")))).alias("_i"),
     )
-    # ordered distinct unions: one row per (key, value) first, then collect
-    paths = keyed.select(*keys, "seq", F.posexplode("all_category_paths").alias("i", "v")) \
-        .groupBy(*keys, "v").agg(F.min(F.struct("seq", "i")).alias("s")) \
-        .groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("s", "v"))).alias("_p"))
-    images = keyed.select(*keys, "seq", F.posexplode("image_urls").alias("i", "v")) \
-        .groupBy(*keys, "v").agg(F.min(F.struct("seq", "i")).alias("s"))
-    first3 = Window.partitionBy(*keys).orderBy("s")
-    images = images.withColumn("_r", F.row_number().over(first3)).where(F.col("_r") <= MAX_IMAGES) \
-        .groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("s", "v"))).alias("_i"))
-    merged = base.join(paths, keys, "left").join(images, keys, "left")
-    return merged.select(
+    return lvl2.select(
         *keys, *SCALARS, "category_trail",
-        F.coalesce(F.transform("_p", lambda x: x["v"]), F.array().cast("array<string>")).alias("all_category_paths"),
-        F.coalesce(F.transform("_i", lambda x: x["v"]), F.array().cast("array<string>")).alias("image_urls"),
+        F.transform("_p", lambda x: x["v"]).alias("all_category_paths"),
+        F.transform(F.slice("_i", 1, MAX_IMAGES), lambda x: x["v"]).alias("image_urls"),
         "source_confidence", "first_seq", "last_seq", "sightings",
     ).na.fill("", list(SCALARS))
 
 
+def scalar_struct_type(products: DataFrame) -> str:
+    """DDL type of the per-sighting scalar struct (for typed NULLs)."""
+    fields = {f.name: f.dataType.simpleString() for f in products.schema.fields}
+    parts = [f"{c}:{fields[c]}" for c in SCALARS] + [f"category_trail:{fields['category_trail']}",
+                                                   f"source_confidence:{fields['source_confidence']}"]
+    return "struct<" + ",".join(parts) + ">"
+
+
 def drop_unidentified(products: DataFrame) -> DataFrame:
     return products.where((F.col("name") != "") | (F.col("sku") != ""))

@@ -20,6 +20,9 @@ from shelfspark.operators import profile as P
 from shelfspark.operators import quality as QY
 from shelfspark.operators import categories as C
 from shelfspark.operators import exports as X
+from shelfspark.operators import listing as LI
+from shelfspark.oracle import listing_sql as LS
+from shelfspark.sources.fixtures import listing_links
 from shelfspark.oracle import products_sql as RQ
 from shelfspark.sources.fixtures import product_observations
 from shelfspark.sources.tables import read_pages
@@ -317,4 +320,46 @@ def q_catalog_stats(spark, sf):
     return X.catalog_stats(_merged(spark, sf))
 
 
+# ---------------------------------------------------------------- listings
+def _listing(spark, sf):
+    links = listing_links(spark, sf)
+    cats = LI.dedupe_category_targets(LI.categories_from_listing(links))
+    return cats, links
+
+
+@register("pagination_chain", LS.pagination_chain_sql)
+def q_pagination_chain(spark, sf):
+    cats, links = _listing(spark, sf)
+    return LI.pagination_chain(cats, LI.listing_pages(links))
+
+
+@register("link_filter_product", LS.link_filter_product_sql)
+def q_link_filter_product(spark, sf):
+    return LI.page_product_links(listing_links(spark, sf))
+
+
+@register("products_per_category", LS.products_per_category_sql)
+def q_products_per_category(spark, sf):
+    cats, links = _listing(spark, sf)
+    return LI.category_product_links(cats, links)[0]
+
+
+@register("links_per_category", LS.links_per_category_sql)
+def q_links_per_category(spark, sf):
+    cats, links = _listing(spark, sf)
+    return LI.category_product_links(cats, links)[1]
+
+
+@register("unprocessed_categories", LS.unprocessed_categories_sql)
+def q_unprocessed_categories(spark, sf):
+    cats, links = _listing(spark, sf)
+    chain = LI.pagination_chain(cats, LI.listing_pages(links)).where(F.col("depth") > 1)
+    return LI.unprocessed(cats.select("name", "url"), chain.select(F.col("page_url").alias("url")))
+
+
+@register("dedupe_category_targets", lambda: LS.with_listing() + "SELECT name, url FROM cats")
+def q_dedupe_category_targets(spark, sf):
+    return _listing(spark, sf)[0].select("name", "url")
+
+
 __all__ = ["plans", "oracle", "register", "F"]
