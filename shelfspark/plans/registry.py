@@ -22,7 +22,9 @@ from shelfspark.operators import categories as C
 from shelfspark.operators import exports as X
 from shelfspark.operators import listing as LI
 from shelfspark.oracle import listing_sql as LS
-from shelfspark.sources.fixtures import listing_links
+from shelfspark.sources.fixtures import listing_links, product_pages
+from shelfspark.operators import extract as EX
+from shelfspark.oracle import extract_sql as EQ
 from shelfspark.oracle import products_sql as RQ
 from shelfspark.sources.fixtures import product_observations
 from shelfspark.sources.tables import read_pages
@@ -362,4 +364,23 @@ def q_dedupe_category_targets(spark, sf):
     return _listing(spark, sf)[0].select("name", "url")
 
 
+# ---------------------------------------------------------------- product pages
+@register("jsonld_product", EQ.extraction_sql)
+def q_extraction(spark, sf):
+    ex = EX.extraction(product_pages(spark, sf))
+    return ex.select("page_id", "name", "description", "sku", "brand", PR.parse_price("price").alias("price"),
+                     "currency", F.array_join("images", " | ").alias("images"),
+                     F.array_join("breadcrumb", " | ").alias("breadcrumb"), "title", "has_jsonld")
+
+
+@register("extract_products", EQ.extract_products_sql)
+def q_extract_products(spark, sf):
+    p = EX.extract_products(product_pages(spark, sf))
+    return p.select("page_id", "product_id", "name", "description", "sku", "price", "currency", "brand",
+                    "product_url", "category", "subcategory", "category_path",
+                    F.array_join("category_trail", " > ").alias("category_trail"),
+                    F.array_join("image_urls", " | ").alias("image_urls"), "source_site", "source_type",
+                    "source_confidence")
+
+
 __all__ = ["plans", "oracle", "register", "F"]

@@ -135,3 +135,91 @@ f4 AS (
       WHEN 4 THEN '/x-' || CAST(100000 + p_partkey AS VARCHAR) || '.html' ELSE '/cart' END AS href,
     p_name AS text
   FROM part)"""
+
+
+def _price_text(col):
+    cents = F.round(col * 100).cast("bigint")
+    return F.concat(F.floor(cents / 100).cast("bigint").cast("string"), F.lit("."), _lpad(cents % 100, 2))
+
+
+def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(page_id, url, category, html)`` -- one product page per part.
+
+    Variant by ``p_partkey % 6``: 0 Product with offers array, brand object,
+    image array; 1 Product with an offer object carrying ``lowPrice`` (a
+    number), brand string, image string; 2 ``@graph`` holding a
+    BreadcrumbList and a Product with an image object; 3 ``@type`` array and a
+    zero price falling through to ``lowPrice``; 4 broken JSON-LD with DOM
+    fallback (``itemprop``, ``og:image``, SKU in the body text); 5 no JSON-LD,
+    ``class="price"`` text with a euro sign, canonical link and breadcrumb."""
+    part = spread(read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type",
+                                                          "p_retailprice"))
+    pk = F.col("p_partkey")
+    k = pk.cast("string")
+    name, brand, typ = F.col("p_name"), F.col("p_brand"), F.col("p_type")
+    price = _price_text(F.col("p_retailprice"))
+    ld_open = F.lit('<script type="application/ld+json">')
+    ld_close = F.lit("</script>")
+
+    def cat(*parts):
+        return F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+
+    v0 = cat(ld_open, '{"@context":"https://schema.org","@type":"Product","name":"', name, '","sku":"SKU-', k,
+             '","brand":{"@type":"Brand","name":"', brand, '"},"image":["/img/', k,
+             '-1.jpg","https://cdn.example.com/img/', k, '-2.jpg"],"offers":[{"@type":"Offer","price":"', price,
+             '","priceCurrency":"EUR"}],"description":"<p>A <b>fine</b> ', name, '</p>"}', ld_close,
+             "<h1>", name, "</h1>")
+    v1 = cat(ld_open, '{"@type":"Product","name":"', name, '","mpn":"MPN-', k, '","brand":"', brand,
+             '","image":"https://cdn.example.com/img/', k, '.jpg","offers":{"@type":"AggregateOffer","lowPrice":',
+             price, ',"priceCurrency":"usd"}}', ld_close)
+    v2 = cat(ld_open, '{"@context":"https://schema.org","@graph":[{"@type":"BreadcrumbList","itemListElement":['
+             '{"@type":"ListItem","position":1,"name":"Home"},{"@type":"ListItem","position":2,"item":{"name":"', typ,
+             '"}},{"@type":"ListItem","position":3,"name":"', brand, '"}]},{"@type":"Product","name":"', name,
+             '","sku":"SKU-', k, '","image":{"@type":"ImageObject","url":"https://cdn.example.com/img/', k,
+             '.jpg"},"offers":{"price":"', price, '","priceCurrency":"GBP"}}]}', ld_close)
+    v3 = cat(ld_open, '{"@type":["Product","Thing"],"name":"', name, '","sku":"SKU-', k,
+             '","offers":[{"price":"0","lowPrice":"', price, '"}]}', ld_close,
+             '<img class="productImage" src="/assets/layout/logo.png">')
+    v4 = cat(ld_open, '{"@type":"Product","name": }', ld_close, '<h1 itemprop="name">', name,
+             '</h1><span itemprop="price">€', price, '</span><meta property="og:image" content="/img/', k,
+             '.jpg"><p>SKU: SKU-', k, "</p>")
+    v5 = cat("<h1>", name, '</h1><div class="price">', price, ' €</div><link rel="canonical" href="/p/', k,
+             '?utm_source=canon"><div class="breadcrumb"><a href="/">Home</a> <a href="/c/x">', typ,
+             "</a></div><p>Ref ", k, "</p>")
+    body = (F.when(pk % 6 == 0, v0).when(pk % 6 == 1, v1).when(pk % 6 == 2, v2).when(pk % 6 == 3, v3)
+            .when(pk % 6 == 4, v4).otherwise(v5))
+    html = cat("<html><head><title>", name, " | Shop</title></head><body>", body, "</body></html>")
+    return part.select(pk.alias("page_id"), cat("https://shop.example.com/p/", k).alias("url"),
+                       typ.alias("category"), html.alias("html"))
+
+
+PRODUCT_PAGES_SQL = """
+f3 AS (
+  SELECT p_partkey AS page_id, 'https://shop.example.com/p/' || CAST(p_partkey AS VARCHAR) AS url, p_type AS category,
+    '<html><head><title>' || p_name || ' | Shop</title></head><body>' || CASE p_partkey % 6
+    WHEN 0 THEN '<script type="application/ld+json">{"@context":"https://schema.org","@type":"Product","name":"' || p_name ||
+      '","sku":"SKU-' || CAST(p_partkey AS VARCHAR) || '","brand":{"@type":"Brand","name":"' || p_brand ||
+      '"},"image":["/img/' || CAST(p_partkey AS VARCHAR) || '-1.jpg","https://cdn.example.com/img/' || CAST(p_partkey AS VARCHAR) ||
+      '-2.jpg"],"offers":[{"@type":"Offer","price":"' || pr || '","priceCurrency":"EUR"}],"description":"<p>A <b>fine</b> ' ||
+      p_name || '</p>"}</script><h1>' || p_name || '</h1>'
+    WHEN 1 THEN '<script type="application/ld+json">{"@type":"Product","name":"' || p_name || '","mpn":"MPN-' ||
+      CAST(p_partkey AS VARCHAR) || '","brand":"' || p_brand || '","image":"https://cdn.example.com/img/' ||
+      CAST(p_partkey AS VARCHAR) || '.jpg","offers":{"@type":"AggregateOffer","lowPrice":' || pr ||
+      ',"priceCurrency":"usd"}}</script>'
+    WHEN 2 THEN '<script type="application/ld+json">{"@context":"https://schema.org","@graph":[{"@type":"BreadcrumbList","itemListElement":[' ||
+      '{"@type":"ListItem","position":1,"name":"Home"},{"@type":"ListItem","position":2,"item":{"name":"' || p_type ||
+      '"}},{"@type":"ListItem","position":3,"name":"' || p_brand || '"}]},{"@type":"Product","name":"' || p_name ||
+      '","sku":"SKU-' || CAST(p_partkey AS VARCHAR) || '","image":{"@type":"ImageObject","url":"https://cdn.example.com/img/' ||
+      CAST(p_partkey AS VARCHAR) || '.jpg"},"offers":{"price":"' || pr || '","priceCurrency":"GBP"}}]}</script>'
+    WHEN 3 THEN '<script type="application/ld+json">{"@type":["Product","Thing"],"name":"' || p_name || '","sku":"SKU-' ||
+      CAST(p_partkey AS VARCHAR) || '","offers":[{"price":"0","lowPrice":"' || pr || '"}]}</script>' ||
+      '<img class="productImage" src="/assets/layout/logo.png">'
+    WHEN 4 THEN '<script type="application/ld+json">{"@type":"Product","name": }</script><h1 itemprop="name">' || p_name ||
+      '</h1><span itemprop="price">€' || pr || '</span><meta property="og:image" content="/img/' ||
+      CAST(p_partkey AS VARCHAR) || '.jpg"><p>SKU: SKU-' || CAST(p_partkey AS VARCHAR) || '</p>'
+    ELSE '<h1>' || p_name || '</h1><div class="price">' || pr || ' €</div><link rel="canonical" href="/p/' ||
+      CAST(p_partkey AS VARCHAR) || '?utm_source=canon"><div class="breadcrumb"><a href="/">Home</a> <a href="/c/x">' ||
+      p_type || '</a></div><p>Ref ' || CAST(p_partkey AS VARCHAR) || '</p>'
+    END || '</body></html>' AS html
+  FROM (SELECT *, CAST(floor(CAST(round(p_retailprice * 100) AS BIGINT) / 100) AS BIGINT)::VARCHAR || '.' ||
+               lpad(CAST(CAST(round(p_retailprice * 100) AS BIGINT) % 100 AS VARCHAR), 2, '0') AS pr FROM part))"""
