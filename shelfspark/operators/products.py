@@ -199,53 +199,85 @@ def merge_key(df: DataFrame | None = None) -> Column:
                       F.col("product_url"))
 
 
-def merge_products(products: DataFrame) -> DataFrame:
-    """Fold sightings into one product per ``(site, product_key)``.
-
-    One scan, two aggregations: every sighting emits a ``base`` row plus one
-    row per category path and per image; the first aggregation (partial,
-    map-side) runs per ``(site, key, kind, value)`` -- last non-empty scalars
-    for ``base``, first ``(seq, position)`` for paths and images -- and the
-    second per ``(site, key)`` only sees one base row and the distinct values,
-    so no group ever holds all sightings of a hot product."""
+def partial_merge(products: DataFrame) -> DataFrame:
+    """Mergeable partial state of the product merge.
+
+    Rows per ``(site, product_key, kind, v)``: ``kind='base'`` carries, per
+    scalar, ``max(struct(seq, value))`` over non-empty values (the last
+    non-empty one), the last trail / confidence, first/last ``seq`` and the
+    sighting count; ``kind='path'``/``'img'`` rows carry the first
+    ``(seq, position)`` of each distinct value.  Every aggregate is a
+    max / min / sum, so partial states combine in any order
+    (:func:`combine_partial`) -- late or replayed batches cannot change the
+    result."""
     keys = ["site", "product_key"]
     keyed = products.withColumn("product_key", merge_key())
     scalar_struct = F.struct(*[F.col(c) for c in SCALARS], "category_trail", "source_confidence")
+    null_p = F.lit(None).cast(scalar_struct_type(products))
     rows = F.concat(
         F.array(F.struct(F.lit("base").alias("kind"), F.lit("").alias("v"), F.lit(0).alias("i"),
                          scalar_struct.alias("p"))),
         F.transform("all_category_paths", lambda v, i: F.struct(
-            F.lit("path").alias("kind"), v.alias("v"), i.alias("i"), F.lit(None).cast(scalar_struct_type(products)).alias("p"))),
+            F.lit("path").alias("kind"), v.alias("v"), i.alias("i"), null_p.alias("p"))),
         F.transform("image_urls", lambda v, i: F.struct(
-            F.lit("img").alias("kind"), v.alias("v"), i.alias("i"), F.lit(None).cast(scalar_struct_type(products)).alias("p"))))
+            F.lit("img").alias("kind"), v.alias("v"), i.alias("i"), null_p.alias("p"))))
     ex = keyed.select(*keys, "seq", F.inline(rows))
-    lvl1 = ex.groupBy(*keys, "kind", "v").agg(
-        *[F.expr(f"max_by(p.{c}, seq) FILTER (WHERE p.{c} <> '')").alias(c) for c in SCALARS],
-        F.max_by("p.category_trail", "seq").alias("category_trail"),
-        F.max_by("p.source_confidence", "seq").alias("source_confidence"),
+    return ex.groupBy(*keys, "kind", "v").agg(
+        *[F.max(F.when(F.col(f"p.{c}") != "", F.struct(F.col("seq").alias("s"), F.col(f"p.{c}").alias("x"))))
+          .alias(c) for c in SCALARS],
+        F.max(F.when(F.col("kind") == "base", F.struct(F.col("seq").alias("s"), F.col("p.category_trail").alias("x"))))
+        .alias("category_trail"),
+        F.max(F.when(F.col("kind") == "base", F.struct(F.col("seq").alias("s"),
+                                                       F.col("p.source_confidence").alias("x"))))
+        .alias("source_confidence"),
         F.min(F.struct("seq", "i")).alias("first"),
         F.max("seq").alias("last_seq"),
         F.count("*").alias("n"),
     )
+
+
+def combine_partial(state: DataFrame) -> DataFrame:
+    """Combine partial-merge rows (e.g. stored state + a new batch)."""
+    return state.groupBy("site", "product_key", "kind", "v").agg(
+        *[F.max(c).alias(c) for c in SCALARS],
+        F.max("category_trail").alias("category_trail"),
+        F.max("source_confidence").alias("source_confidence"),
+        F.min("first").alias("first"), F.max("last_seq").alias("last_seq"),
+        F.sum("n").alias("n"))
+
+
+def finish_merge(state: DataFrame) -> DataFrame:
+    """Partial state -> one merged product per ``(site, product_key)``; only
+    one base row and the distinct values per key reach this aggregation."""
+    keys = ["site", "product_key"]
     is_base = F.col("kind") == "base"
-    lvl2 = lvl1.groupBy(*keys).agg(
-        *[F.max(F.when(is_base, F.col(c))).alias(c) for c in SCALARS],
-        F.first(F.when(is_base, F.col("category_trail")), ignorenulls=True).alias("category_trail"),
-        F.max(F.when(is_base, F.col("source_confidence"))).alias("source_confidence"),
+    out = state.groupBy(*keys).agg(
+        *[F.max(F.when(is_base, F.col(f"{c}.x"))).alias(c) for c in SCALARS],
+        F.max(F.when(is_base, F.col("category_trail"))).alias("_trail"),
+        F.max(F.when(is_base, F.col("source_confidence.x"))).alias("source_confidence"),
         F.max(F.when(is_base, F.col("first.seq"))).alias("first_seq"),
         F.max(F.when(is_base, F.col("last_seq"))).alias("last_seq"),
         F.max(F.when(is_base, F.col("n"))).alias("sightings"),
         F.array_sort(F.collect_list(F.when(F.col("kind") == "path", F.struct("first", "v")))).alias("_p"),
         F.array_sort(F.collect_list(F.when(F.col("kind") == "img", F.struct("first", "v")))).alias("_i"),
     )
-    return lvl2.select(
-        *keys, *SCALARS, "category_trail",
+    return out.select(
+        *keys, *SCALARS, F.col("_trail.x").alias("category_trail"),
         F.transform("_p", lambda x: x["v"]).alias("all_category_paths"),
         F.transform(F.slice("_i", 1, MAX_IMAGES), lambda x: x["v"]).alias("image_urls"),
         "source_confidence", "first_seq", "last_seq", "sightings",
     ).na.fill("", list(SCALARS))
 
 
+def merge_products(products: DataFrame) -> DataFrame:
+    """Fold sightings into one product per ``(site, product_key)``.
+
+    One scan, two aggregations (:func:`partial_merge` then
+    :func:`finish_merge`): no group ever holds all sightings of a hot
+    product; the partial state is also what the streaming merge stores."""
+    return finish_merge(partial_merge(products))
+
+
 def scalar_struct_type(products: DataFrame) -> str:
     """DDL type of the per-sighting scalar struct (for typed NULLs)."""
     fields = {f.name: f.dataType.simpleString() for f in products.schema.fields}

@@ -383,4 +383,28 @@ def q_extract_products(spark, sf):
                     "source_confidence")
 
 
+# ---------------------------------------------------------------- streaming
+@register("stream_merge_products", RQ.merge_products_sql)
+def q_stream_merge_products(spark, sf):
+    """Sightings arrive as 4 files in shuffled order; the final streamed state
+    must equal the batch merge (same oracle)."""
+    from shelfspark.streaming import merge as SM
+    root = SM.fresh_root(spark, "stream-merge")
+    obs = product_observations(spark, sf).drop("ts")
+    # arrival order deliberately not seq order: later sightings come first
+    SM.write_arrivals(obs.withColumn("_arrival", -F.col("seq")), f"{root}/input", 4, "_arrival")
+    state = SM.stream_merge_products(spark, f"{root}/input", root)
+    return _flat_products(state.products(), "product_key", "first_seq", "last_seq", "sightings")
+
+
+@register("stream_new_links", lambda: LS.with_listing() +
+          "SELECT DISTINCT page_url AS url FROM f4")
+def q_stream_new_links(spark, sf):
+    from shelfspark.streaming import merge as SM
+    root = SM.fresh_root(spark, "stream-links")
+    links = listing_links(spark, sf).select(F.col("page_url").alias("url"), "pos")
+    SM.write_arrivals(links, f"{root}/input", 4, "pos")
+    return SM.stream_new_links(spark, f"{root}/input", f"{root}/out").select("url")
+
+
 __all__ = ["plans", "oracle", "register", "F"]
