@@ -147,3 +147,15 @@ def quality_actions(summary: DataFrame, categories: DataFrame, category_urls_giv
     severity = F.when(F.size(reason_arr) == 0, "none").when(no_cat | no_prod, "blocking").otherwise("advisory")
     return s.select("site", status.alias("status"), severity.alias("severity"),
                     reason_arr.alias("reasons"), inputs.alias("requested_inputs"))
+
+
+def run_summary(summary: DataFrame, categories: DataFrame, warnings: DataFrame) -> DataFrame:
+    """Per site: categories processed, products, valid products, products
+    with errors / warnings and the number of catalog warnings."""
+    w = warnings.groupBy("site").agg(F.count("*").alias("warnings"))
+    out = summary.join(categories, "site", "left").join(w, "site", "left")
+    return out.select("site", F.coalesce("categories_processed", F.lit(0)).cast("bigint").alias("categories"),
+                      F.col("product_count").alias("products"), F.col("valid_products").alias("valid"),
+                      F.col("products_with_errors").alias("with_errors"),
+                      F.col("products_with_warnings").alias("with_warnings"),
+                      F.coalesce("warnings", F.lit(0)).cast("bigint").alias("warnings"))

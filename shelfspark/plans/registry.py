@@ -407,4 +407,89 @@ def q_stream_new_links(spark, sf):
     return SM.stream_new_links(spark, f"{root}/input", f"{root}/out").select("url")
 
 
+# ---------------------------------------------------------------- sinks
+def _sink_root(spark, name):
+    from shelfspark.streaming.merge import fresh_root
+    return fresh_root(spark, name)
+
+
+@register("sink_generic_csv", RQ.generic_csv_sql)
+def q_sink_generic_csv(spark, sf):
+    from shelfspark.sources import sinks as K
+    path = _sink_root(spark, "generic-csv")
+    K.write_generic_csv(_catalog(spark, sf), path)
+    cols = [c for c in X.GENERIC_CSV_COLUMNS]
+    return K.read_csv(spark, path, cols)
+
+
+@register("sink_b2b_csv", RQ.b2b_csv_sql)
+def q_sink_b2b_csv(spark, sf):
+    from shelfspark.sources import sinks as K
+    path = _sink_root(spark, "b2b-csv")
+    K.write_b2b_csv(_catalog(spark, sf), path)
+    return K.read_csv(spark, path, list(X.B2B_CSV_COLUMNS))
+
+
+def _xml_lines(spark, sf, kind):
+    from shelfspark.sources import sinks as K
+    path = _sink_root(spark, f"b2c-{kind}")
+    frags = {"catalog": K.catalog_fragments, "pricebooks": K.pricebook_fragments,
+             "inventory": K.inventory_fragments}[kind](_catalog(spark, sf))
+    K._write_document(frags, path)
+    return spark.read.text(path).select("site", F.col("value").alias("line"))
+
+
+@register("sink_b2c_catalog")
+def q_sink_b2c_catalog(spark, sf):
+    return _xml_lines(spark, sf, "catalog")
+
+
+@register("sink_b2c_pricebooks")
+def q_sink_b2c_pricebooks(spark, sf):
+    return _xml_lines(spark, sf, "pricebooks")
+
+
+@register("sink_b2c_inventory")
+def q_sink_b2c_inventory(spark, sf):
+    return _xml_lines(spark, sf, "inventory")
+
+
+@register("run_summary", lambda: RQ.with_merged(RQ._validated(), RQ.summary_cte(), RQ.distinct_cats_cte()) + (
+    "SELECT s.site, CAST(coalesce(d.distinct_categories, 0) AS BIGINT) AS categories, product_count AS products, "
+    "valid_products AS valid, products_with_errors AS with_errors, products_with_warnings AS with_warnings, "
+    "CAST((CASE WHEN product_count > 0 AND price_coverage < 0.5 THEN 1 ELSE 0 END) + "
+    "(CASE WHEN product_count > 0 AND image_coverage < 0.5 THEN 1 ELSE 0 END) + "
+    "(CASE WHEN product_count > 0 AND category_coverage < 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS warnings "
+    "FROM summ s LEFT JOIN dcat d USING (site)"))
+def q_run_summary(spark, sf):
+    m = _catalog(spark, sf)
+    summ = QY.catalog_summary(m)
+    cats = QY.distinct_category_count(m).withColumnRenamed("distinct_categories", "categories_processed")
+    return QY.run_summary(summ, cats, QY.catalog_warnings(summ))
+
+
+@register("sink_run_summary")
+def q_sink_run_summary(spark, sf):
+    from shelfspark.sources import sinks as K
+    path = _sink_root(spark, "run-summary")
+    K.write_run_summary(q_run_summary(spark, sf), path)
+    return spark.read.json(path)
+
+
+@register("sink_site_profile")
+def q_sink_site_profile(spark, sf):
+    from shelfspark.sources import sinks as K
+    path = _sink_root(spark, "site-profiles")
+    K.write_site_profiles(_site_profiles(spark, sf), path)
+    return spark.read.json(path).select("domain", "platform_hint", "confidence")
+
+
+@register("sink_export_all")
+def q_sink_export_all(spark, sf):
+    from shelfspark.sources import sinks as K
+    path = _sink_root(spark, "export-all")
+    out = K.export_all(_merged(spark, sf), path)
+    return spark.read.parquet(out["cards"]).select("site", "product_id", "price_label")
+
+
 __all__ = ["plans", "oracle", "register", "F"]
