@@ -113,15 +113,21 @@ def same_site_links(per_page: DataFrame, entry_col: str = "url") -> Column:
     return F.filter("links", lambda x: same_domain(x["url"], F.col(entry_col)))
 
 
-def page_top_links(pages: DataFrame, k: int | None = 8, extra: tuple = ()) -> DataFrame:
+def page_top_links(pages: DataFrame, k: int | None = 8, extra: tuple = (),
+                   category_filter=None) -> DataFrame:
     """Per page: best ``k`` category links and best ``k`` product links among
-    same-host links (row-local, no shuffle); ``extra`` columns ride along."""
+    same-host links (row-local, no shuffle); ``extra`` columns ride along.
+    ``category_filter(link)`` further restricts category candidates."""
     per_page = page_links(pages, extra)
     keep = [c for c in per_page.columns if c not in ("base", "links")]
     local = per_page.select(*keep, score_stages(same_site_links(per_page)).alias("links"))
+    if category_filter is not None:
+        local = local.withColumn("cat_links", F.filter("links", category_filter))
+    else:
+        local = local.withColumn("cat_links", F.col("links"))
     sorted_ = local.select(
         *keep,
-        _scored_by_url(F.col("links"), "category_score").alias("cat_by_url"),
+        _scored_by_url(F.col("cat_links"), "category_score").alias("cat_by_url"),
         _scored_by_url(F.col("links"), "product_score").alias("prod_by_url"))
     return sorted_.select(
         *keep,

@@ -492,4 +492,63 @@ def q_sink_export_all(spark, sf):
     return spark.read.parquet(out["cards"]).select("site", "product_id", "price_label")
 
 
+# ---------------------------------------------------------------- discovery
+def _discovered(spark, sf):
+    from shelfspark.operators import discovery as D
+    return D.discover_categories(read_pages(spark, sf))
+
+
+def _requests(cats):
+    """Requested names derived from the data: the first three folded letters
+    of each site's top category (matches) and one name that matches nothing."""
+    from shelfspark.functions.text import fold_text
+    first = cats.where(F.col("rank") == 1).select(
+        "site", F.lit(1).alias("req_no"), F.upper(F.substring(fold_text("name"), 1, 3)).alias("name"))
+    none = cats.select("site").distinct().select("site", F.lit(2).alias("req_no"), F.lit("Zz-unmatched").alias("name"))
+    return first.unionByName(none)
+
+
+@register("top_categories", lambda: __import__("shelfspark.oracle.discovery_sql", fromlist=["x"]).top_categories_sql())
+def q_top_categories(spark, sf):
+    from shelfspark.operators import discovery as D
+    t = D.top_categories(D.entry_pages(read_pages(spark, sf)))
+    return t.withColumn("path", F.array_join("path", " > "))
+
+
+@register("discover_categories", lambda: __import__("shelfspark.oracle.discovery_sql", fromlist=["x"]).discover_categories_sql())
+def q_discover_categories(spark, sf):
+    cats, _ = _discovered(spark, sf)
+    return cats.withColumn("path", F.array_join("path", " > "))
+
+
+@register("fallback_catalog_category", lambda: __import__("shelfspark.oracle.discovery_sql", fromlist=["x"]).fallback_catalog_category_sql())
+def q_fallback_catalog_category(spark, sf):
+    return _discovered(spark, sf)[1]
+
+
+@register("category_name_match", lambda: __import__("shelfspark.oracle.discovery_sql", fromlist=["x"]).category_name_match_sql())
+def q_category_name_match(spark, sf):
+    from shelfspark.operators import discovery as D
+    cats, _ = _discovered(spark, sf)
+    cats = cats.persist()
+    return D.category_name_match(cats, _requests(cats)).withColumn("path", F.array_join("path", " > "))
+
+
+@register("category_name_fallback", lambda: __import__("shelfspark.oracle.discovery_sql", fromlist=["x"]).category_name_fallback_sql())
+def q_category_name_fallback(spark, sf):
+    from shelfspark.operators import discovery as D
+    cats, _ = _discovered(spark, sf)
+    cats = cats.persist()
+    req = _requests(cats)
+    return D.unmatched_requests(req, D.category_name_match(cats, req)).select("site", "req_no", "name")
+
+
+@register("discover_subcategories")
+def q_discover_subcategories(spark, sf):
+    from shelfspark.operators import discovery as D
+    pages = read_pages(spark, sf)
+    cats, _ = _discovered(spark, sf)
+    return D.discover_subcategories(cats, pages).withColumn("path", F.array_join("path", " > "))
+
+
 __all__ = ["plans", "oracle", "register", "F"]
