@@ -83,3 +83,26 @@ def category_name_match(categories: DataFrame, requests: DataFrame) -> DataFrame
 
 def unmatched_requests(requests: DataFrame, matches: DataFrame) -> DataFrame:
     return requests.join(matches.select("site", "req_no"), ["site", "req_no"], "left_anti")
+
+
+# Discovery label aliases (folded label -> display label).
+LABEL_ALIASES = {
+    "bags accessories": "Accesorios", "bolsos accesorios": "Accesorios", "men": "Hombre", "women": "Mujer",
+    "hombre": "Hombre", "mujer": "Mujer", "ropa": "Ropa", "zapatos": "Zapatos", "unisex": "Unisex",
+    "accessories": "Accesorios",
+}
+
+
+def category_label(col) -> F.Column:
+    """Discovery label: drop ``-c123``/``-p123`` before an extension, dashes
+    and underscores -> space, drop the extension; alias table on the folded
+    label, else Title Case words."""
+    c = F.regexp_replace(F.coalesce(col, F.lit("")), r"(?i)-([cp])[0-9]+(\.[a-z0-9]+)$", "$2")
+    c = F.regexp_replace(c, "[-_]+", " ")
+    c = F.trim(F.regexp_replace(c, r"(?i)\.[a-z0-9]+$", ""))
+    alias = F.element_at(F.create_map(*[x for k, v in LABEL_ALIASES.items() for x in (F.lit(k), F.lit(v))]),
+                         fold_text(c))
+    words = F.filter(F.split(c, " "), lambda w: w != "")
+    title = F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)),
+                                                               F.lower(F.substring(w, 2, 1 << 20)))), " ")
+    return F.coalesce(alias, title)

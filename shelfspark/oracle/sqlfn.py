@@ -210,3 +210,25 @@ def score_category(url: str, text: str, folded: str, product_score: str) -> str:
              f"(CASE WHEN {rx_match(f'{u} || {lit(chr(32))} || {t}', S.CATEGORY_KEYWORD_RE)} THEN 3 ELSE 0 END) - "
              f"(CASE WHEN {product_score} >= {S.PRODUCT_LIKE_MIN} THEN 5 ELSE 0 END)")
     return f"(CASE WHEN NOT {rejected} THEN CAST({score} AS INTEGER) END)"
+
+
+def xml_escape(x: str) -> str:
+    c = f"coalesce({x}, '')"
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
+        c = f"replace({c}, {lit(a)}, {lit(b)})"
+    return c
+
+
+def category_label(x: str) -> str:
+    from shelfspark.operators.discovery import LABEL_ALIASES
+    c = f"regexp_replace(coalesce({x}, ''), {lit(r'(?i)-([cp])[0-9]+(\.[a-z0-9]+)$')}, {lit(chr(92) + '2')})"
+    c = rx_replace(c, "[-_]+", " ")
+    c = f"trim(regexp_replace({c}, {lit(r'(?i)\.[a-z0-9]+$')}, ''))"
+    alias = "CASE " + " ".join(f"WHEN {fold(c)} = {lit(k)} THEN {lit(v)}" for k, v in LABEL_ALIASES.items()) + " END"
+    title = (f"array_to_string(list_transform(list_filter(string_split({c}, ' '), lambda w: w <> ''), "
+             f"lambda w: upper(w[1]) || lower(w[2:])), ' ')")
+    return f"coalesce({alias}, {title})"
+
+
+def url_slug(x: str) -> str:
+    return f"coalesce(list_filter(string_split({url_path(x)}, '/'), lambda s: s <> '')[-1], 'category')"

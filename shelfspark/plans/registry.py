@@ -551,4 +551,84 @@ def q_discover_subcategories(spark, sf):
     return D.discover_subcategories(cats, pages).withColumn("path", F.array_join("path", " > "))
 
 
+# ---------------------------------------------------------------- scalar functions over real columns
+from shelfspark.functions import text as TX  # noqa: E402
+from shelfspark.functions import urls as UR  # noqa: E402
+from shelfspark.oracle import sqlfn as SQ  # noqa: E402
+
+_TITLE_SQL = SQ.rx_extract("coalesce(html, '')", LQ.TITLE_RE, 1)
+_BODY_RE = r"(?is)<body[^>]*>(.*)</body>"
+
+
+@register("normalize_whitespace", lambda: f"SELECT page_id, {SQ.ws(SQ.strip_tags(_TITLE_SQL))} AS v FROM pages")
+def q_normalize_whitespace(spark, sf):
+    t = F.regexp_extract(F.coalesce("html", F.lit("")), L.TITLE_RE, 1)
+    return read_pages(spark, sf).select("page_id", TX.normalize_whitespace(TX.strip_html_tags(t)).alias("v"))
+
+
+@register("strip_html_tags", lambda: (
+    f"SELECT page_id, {SQ.strip_tags(SQ.rx_extract('coalesce(html, ' + SQ.EMPTY + ')', _BODY_RE, 1))} AS v FROM pages"))
+def q_strip_html_tags(spark, sf):
+    b = F.regexp_extract(F.coalesce("html", F.lit("")), _BODY_RE, 1)
+    return read_pages(spark, sf).select("page_id", TX.strip_html_tags(b).alias("v"))
+
+
+@register("fold_text", lambda: LQ.with_links() + f"SELECT page_id, pos, text, {SQ.fold('text')} AS v FROM lk")
+def q_fold_text(spark, sf):
+    return L.normalize_links(read_pages(spark, sf)).select("page_id", "pos", "text", TX.fold_text("text").alias("v"))
+
+
+@register("slugify", lambda: LQ.with_links() + f"SELECT page_id, pos, {SQ.slug('text')} AS v FROM lk")
+def q_slugify(spark, sf):
+    return L.normalize_links(read_pages(spark, sf)).select("page_id", "pos", TX.slugify("text").alias("v"))
+
+
+@register("clean_url", lambda: "SELECT page_id, url, v FROM " + SQ.stages(
+    "(SELECT page_id, url FROM pages)", *SQ.normalise_steps("url", "u"), *SQ.clean_steps("unorm", "v", "c")))
+def q_clean_url(spark, sf):
+    return read_pages(spark, sf).select("page_id", "url", UR.clean_url(UR.normalise_url("url")).alias("v"))
+
+
+@register("url_origin", lambda: (
+    f"SELECT page_id, {SQ.rx_extract('coalesce(url, ' + SQ.EMPTY + ')', UR.ORIGIN_RE, 1)} AS origin, "
+    f"replace({SQ.rx_replace(SQ.host('url'), '^www[.]', '')}, '.', '-') AS domain_slug FROM pages"))
+def q_url_origin(spark, sf):
+    return read_pages(spark, sf).select("page_id", UR.url_origin("url").alias("origin"),
+                                        UR.domain_slug("url").alias("domain_slug"))
+
+
+@register("url_slug", lambda: LQ.with_links() + f"SELECT page_id, pos, {SQ.url_slug('url')} AS v FROM lk")
+def q_url_slug(spark, sf):
+    return L.normalize_links(read_pages(spark, sf)).select("page_id", "pos", UR.url_slug("url").alias("v"))
+
+
+@register("category_label", lambda: LQ.with_links() +
+          f"SELECT page_id, pos, {SQ.category_label(SQ.url_slug('url'))} AS v FROM lk")
+def q_category_label(spark, sf):
+    from shelfspark.operators import discovery as D
+    return L.normalize_links(read_pages(spark, sf)).select(
+        "page_id", "pos", D.category_label(UR.url_slug("url")).alias("v"))
+
+
+@register("normalize_currency", lambda: RQ.with_products() + (
+    f"SELECT seq, {RQ.normalize_currency('price_text')} AS normalized, "
+    f"{RQ.infer_currency('price_text')} AS inferred FROM obs"))
+def q_normalize_currency(spark, sf):
+    return product_observations(spark, sf).select(
+        "seq", PR.normalize_currency("price_text").alias("normalized"),
+        PR.infer_currency("price_text").alias("inferred"))
+
+
+@register("xml_escape", lambda: f"SELECT page_id, {SQ.xml_escape(SQ.strip_html(_TITLE_SQL))} AS v FROM pages")
+def q_xml_escape(spark, sf):
+    return read_pages(spark, sf).select("page_id", TX.xml_escape(L.page_title("html")).alias("v"))
+
+
+@register("same_domain", lambda: LQ.with_links() +
+          f"SELECT page_id, pos, url, {SQ.same_domain('url', 'page_url')} AS same FROM lk")
+def q_same_domain(spark, sf):
+    return L.normalize_links(read_pages(spark, sf)).select(
+        "page_id", "pos", "url", UR.same_domain("url", "page_url").alias("same"))
+
+
 __all__ = ["plans", "oracle", "register", "F"]
