@@ -278,6 +278,8 @@ def normalize_sku(value, body, url) -> Column:
 
 def normalize_extraction(ex: DataFrame, default_currency: str = "USD") -> DataFrame:
     """Extraction + page URL + category context -> canonical product."""
+    if "_base" not in ex.columns:
+        ex = fence(ex, _base=base_parts("url"))
     crumbs = F.filter(F.filter(F.transform("breadcrumb", lambda b: normalize_whitespace(b)), lambda b: b != ""),
                       lambda b: ~fold_text(b).isin(*HOME_LABELS))
     ctx = F.array("category")
