@@ -43,6 +43,16 @@ def _s(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def let(col, body) -> Column:
+    """Evaluate ``col`` once and apply ``body`` to the value.
+
+    Conditional branches (``CASE`` chains, ``coalesce``) are not covered by
+    common-subexpression elimination, so a helper that reads its input in
+    many branches would re-run the input's whole expression each time; the
+    value is bound as a lambda variable instead."""
+    return F.element_at(F.transform(F.array(_s(col)), body), 1)
+
+
 def normalize_whitespace(col) -> Column:
     """Collapse every whitespace run to one space and trim; NULL -> ''."""
     return F.trim(F.regexp_replace(F.coalesce(_s(col), F.lit("")), WHITESPACE_CLASS + "+", " "))
@@ -86,9 +96,8 @@ def blank_to_empty(col) -> Column:
 
 def shorten(col, max_length: int = 220) -> Column:
     """Whitespace-normalised text cut to ``max_length - 1`` chars plus an ellipsis."""
-    t = normalize_whitespace(col)
-    return F.when(F.length(t) <= max_length, t).otherwise(
-        F.concat(F.rtrim(F.substring(t, 1, max_length - 1)), F.lit("…")))
+    return let(normalize_whitespace(col), lambda t: F.when(F.length(t) <= max_length, t).otherwise(
+        F.concat(F.rtrim(F.substring(t, 1, max_length - 1)), F.lit("…"))))
 
 
 def xml_escape(col) -> Column:

@@ -41,6 +41,11 @@ HOST_RE = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^:/?#]*)"
 FAST_PATH_CHARS = r"[\x{21}\x{24}-\x{3B}\x{3D}\x{40}-\x{5B}\x{5D}-\x{5F}\x{61}-\x{7A}\x{7C}\x{7E}]"
 FAST_ABSOLUTE = r"^https?://[a-z0-9.\-]+(/" + FAST_PATH_CHARS + r"*)?$"
 FAST_ROOT_RELATIVE = r"^/(" + FAST_PATH_CHARS + r"*)$"
+FAST_QUERY_CHARS = r"[\x{21}\x{24}-\x{26}\x{28}-\x{3B}\x{3D}\x{3F}-\x{7E}]"
+FAST_ABSOLUTE_Q = (r"^https?://[a-z0-9.\-]+(/" + FAST_PATH_CHARS + r"*)?(\?" + FAST_QUERY_CHARS
+                   + r"*)?(#.*)?$")
+# a query whose pairs are all ``key=value`` of characters form-encoding keeps as is
+PLAIN_QUERY = r"^[A-Za-z0-9._*\-]+=[A-Za-z0-9._*\-]*(&[A-Za-z0-9._*\-]+=[A-Za-z0-9._*\-]*)*$"
 ORIGIN_RE = r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)"
 
 
@@ -59,6 +64,13 @@ def stage(arr: Column, **fields) -> Column:
     return F.transform(arr, update)
 
 
+def _let(col: Column, body) -> Column:
+    """Evaluate ``col`` once and apply ``body`` to it: the value is bound as a
+    lambda variable, so a body that reads it many times does not re-evaluate
+    the (possibly large) expression that produced it."""
+    return F.element_at(F.transform(F.array(col), body), 1)
+
+
 def _one(col: Column, name: str) -> Column:
     return F.array(F.struct(col.alias(name)))
 
@@ -213,27 +225,44 @@ def resolve_links(arr: Column, base: Column, href: str = "href", keep=("pos", "t
 def absolute_url(href, base) -> Column:
     """Scalar: resolve ``href`` against ``base`` (a :func:`base_parts`
     struct column) and clean; '' when unusable."""
-    b, h = _s(base), F.coalesce(_s(href), F.lit(""))
-    slow = F.try_element_at(resolve_stages(_one(h, "href"), b), F.lit(1))["url"]
-    fast = F.when(b["norm"] == "", F.lit("")).otherwise(F.concat(b["n_root"], h))
-    return F.when(_fast_relative(h), fast).otherwise(slow)
+    b = _s(base)
+
+    def body(h):
+        slow = F.try_element_at(resolve_stages(_one(h, "href"), b), F.lit(1))["url"]
+        fast = F.when(b["norm"] == "", F.lit("")).otherwise(F.concat(b["n_root"], h))
+        return F.when(_fast_relative(h), fast).otherwise(slow)
+    return _let(F.coalesce(_s(href), F.lit("")), body)
 
 
 def normalise_url(col) -> Column:
     """Scalar: serialised absolute URL ('' when unusable), not cleaned."""
-    c = F.coalesce(_s(col), F.lit(""))
+    return _let(F.coalesce(_s(col), F.lit("")), _normalise_url)
+
+
+def _normalise_url(c: Column) -> Column:
     slow = F.element_at(normalise_stages(_one(c, "src"), "src"), 1)["norm"]
-    fast = F.when(c.rlike(r"^https?://[^/]*$"), F.concat(c, F.lit("/"))).otherwise(c)
-    return F.when(_fast_absolute(c), fast).otherwise(slow)
+    no_frag = F.regexp_extract(c, r"^([^#]*)", 1)
+    fast = F.when(no_frag.rlike(r"^https?://[^/?]*$"), F.concat(no_frag, F.lit("/"))) \
+        .when(no_frag.rlike(r"^https?://[^/?]*\?"), F.regexp_replace(no_frag, r"^(https?://[^/?]*)\?", "$1/?")) \
+        .otherwise(no_frag)
+    return F.when(c.rlike(FAST_ABSOLUTE_Q) & ~c.rlike(DOT_SEGMENT), fast).otherwise(slow)
 
 
 def clean_url(col) -> Column:
     """Scalar: drop fragment and tracking parameters (see :func:`clean_stages`)."""
-    c = F.coalesce(_s(col), F.lit(""))
+    return _let(F.coalesce(_s(col), F.lit("")), _clean_url)
+
+
+def _clean_url(c: Column) -> Column:
     slow = F.element_at(clean_stages(_one(c, "src"), "src", "out"), 1)["out"]
     no_tracking = ~c.rlike(r"(?i)[?&](utm_|gclid|fbclid|[^&#=]*%)")
+    head = F.regexp_extract(c, r"^([^?#]*)", 1)
+    query = F.regexp_extract(c, r"^[^?#]*\?([^#]*)", 1)
+    kept = F.array_join(F.filter(F.split(query, "&"), lambda p: ~p.rlike(r"(?i)^(utm_[^=]*|gclid|fbclid)=")), "&")
+    plain = F.concat(head, F.when(kept == "", F.lit("")).otherwise(F.concat(F.lit("?"), kept)))
     return F.when(~c.contains("?") & ~c.contains("#"), c) \
         .when(no_tracking & ~c.contains("+"), F.regexp_extract(c, r"^([^#]*)", 1)) \
+        .when(c.rlike(r"^[^?#]*\?") & query.rlike(PLAIN_QUERY), plain) \
         .otherwise(slow)
 
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfspark.functions.text import normalize_whitespace, slugify
+from shelfspark.functions.text import let, normalize_whitespace, slugify
 from shelfspark.functions.urls import (clean_url, domain_slug, is_http_url, normalise_url, url_origin)
 from shelfspark.operators.common import fence
 
@@ -46,28 +46,34 @@ def parse_price(col) -> Column:
     Keep digits , . - ; with both separators the later one is the decimal
     mark; a lone comma (the first) becomes the decimal mark; then the
     leading number is rounded half-up to two decimals."""
+    def number(cand):
+        both = cand.contains(",") & cand.contains(".")
+        comma_last = cand.rlike(r",[^.]*$")
+        normalized = (F.when(both & comma_last,
+                             F.regexp_replace(F.replace(cand, F.lit("."), F.lit("")), r"^([^,]*),", "$1."))
+                      .when(both, F.replace(cand, F.lit(","), F.lit("")))
+                      .otherwise(F.regexp_replace(cand, r"^([^,]*),", "$1.")))
+        return F.regexp_extract(normalized, PRICE_PREFIX, 0)
+
+    def fmt(num):
+        value = num.try_cast("decimal(38,10)")
+        rounded = F.round(value, 2).cast("decimal(38,2)").cast("string")
+        return F.when((num == "") | (num == "-") | value.isNull(), F.lit("")).otherwise(rounded)
+
     cand = F.regexp_replace(F.coalesce(_s(col), F.lit("")), r"[^0-9,.\-]", "")
-    both = cand.contains(",") & cand.contains(".")
-    comma_last = cand.rlike(r",[^.]*$")
-    normalized = (F.when(both & comma_last,
-                         F.regexp_replace(F.replace(cand, F.lit("."), F.lit("")), r"^([^,]*),", "$1."))
-                  .when(both, F.replace(cand, F.lit(","), F.lit("")))
-                  .otherwise(F.regexp_replace(cand, r"^([^,]*),", "$1.")))
-    num = F.regexp_extract(normalized, PRICE_PREFIX, 0)
-    value = num.try_cast("decimal(38,10)")
-    rounded = F.round(value, 2).cast("decimal(38,2)").cast("string")
-    return F.when((num == "") | (num == "-") | value.isNull(), F.lit("")).otherwise(rounded)
+    return let(let(cand, number), fmt)
 
 
 def normalize_currency(col) -> Column:
     """Symbols and names -> ISO code; unknown text upper-cased as is."""
-    n = F.upper(normalize_whitespace(col))
-    out = n
-    for needle, code in reversed(CURRENCY_CONTAINS):
-        out = F.when(n.contains(needle), F.lit(code)).otherwise(out)
-    for key, code in reversed(CURRENCY_MAP):
-        out = F.when(n == key, F.lit(code)).otherwise(out)
-    return out
+    def mapped(n):
+        out = n
+        for needle, code in reversed(CURRENCY_CONTAINS):
+            out = F.when(n.contains(needle), F.lit(code)).otherwise(out)
+        for key, code in reversed(CURRENCY_MAP):
+            out = F.when(n == key, F.lit(code)).otherwise(out)
+        return out
+    return let(F.upper(normalize_whitespace(col)), mapped)
 
 
 def infer_currency(col) -> Column:
@@ -87,14 +93,13 @@ def clamp_confidence(col) -> Column:
 def normalize_http_url(col) -> Column:
     """'' unless http(s); otherwise serialised and cleaned."""
     c = _s(col)
-    return F.when(is_http_url(c), clean_url(normalise_url(c))).otherwise(F.lit(""))
+    return F.when(is_http_url(c), clean_url(normalise_url(c))).otherwise(F.lit(""))  # each stage binds its input once
 
 
 def product_key_id(sku, name, url) -> Column:
     """Slug of the first non-empty of sku / name / url, else the domain slug."""
     src = F.coalesce(F.nullif(_s(sku), F.lit("")), F.nullif(_s(name), F.lit("")), _s(url))
-    s = slugify(src)
-    return F.when(s != "", s).otherwise(domain_slug(url))
+    return let(slugify(src), lambda s: F.when(s != "", s).otherwise(domain_slug(url)))
 
 
 def _split_trail(path: Column) -> Column:
@@ -170,8 +175,9 @@ def products_from_observations(obs: DataFrame, default_currency: str = DEFAULT_C
     the sign in the price text the fallback, then the default currency."""
     sku = normalize_whitespace("sku")
     name = normalize_whitespace("name")
-    currency = normalize_currency(F.coalesce(
-        F.nullif(F.regexp_extract("price_text", "[A-Z]{3}", 0), F.lit("")), infer_currency("price_text")))
+    currency = let(normalize_currency(F.coalesce(
+        F.nullif(F.regexp_extract("price_text", "[A-Z]{3}", 0), F.lit("")), infer_currency("price_text"))),
+        lambda c: F.when(c != "", c).otherwise(F.lit(default_currency)))
     # every URL is normalised exactly once, behind a fence
     obs = fence(obs, _purl=normalize_http_url("product_url"), _img=normalize_http_url("image"),
                 _site=F.when(is_http_url("site"), normalise_url("site")).otherwise(F.col("site")))
@@ -180,7 +186,7 @@ def products_from_observations(obs: DataFrame, default_currency: str = DEFAULT_C
         product_key_id(sku, name, F.col("_purl")).alias("product_id"),
         sku.alias("sku"), name.alias("name"), F.col("description"), F.col("brand"),
         parse_price("price_text").alias("price"),
-        F.when(currency != "", currency).otherwise(F.lit(default_currency)).alias("currency"),
+        currency.alias("currency"),
         F.col("_purl").alias("product_url"),
         F.col("category_path"),
         F.lit(None).cast("array<string>").alias("category_trail"),
