@@ -97,3 +97,25 @@ def category_name_match(categories: DataFrame, requests: DataFrame) -> DataFrame
 
 __all__ = ["category_tree", "category_assignments", "catalog_categories", "category_name_match",
            "normalize_whitespace"]
+
+
+def merge_categories(categories: DataFrame) -> DataFrame:
+    """Fold category sightings ``(seq, name, url, path, links_discovered)``:
+    key = url || path || name; last non-empty name / url / path by ``seq``,
+    the largest link count (partial aggregates)."""
+    key = F.coalesce(F.nullif(F.col("url"), F.lit("")),
+                     F.nullif(F.array_join(F.coalesce("path", F.array().cast("array<string>")), " > "), F.lit("")),
+                     F.nullif(F.col("name"), F.lit("")))
+    keyed = categories.withColumn("category_key", key).where(F.col("category_key").isNotNull())
+    return keyed.groupBy("category_key").agg(
+        F.expr("max_by(name, seq) FILTER (WHERE name <> '')").alias("name"),
+        F.expr("max_by(url, seq) FILTER (WHERE url <> '')").alias("url"),
+        F.expr("max_by(path, seq) FILTER (WHERE size(path) > 0)").alias("path"),
+        F.max(F.coalesce("links_discovered", F.lit(0))).alias("links_discovered"))
+
+
+def order_category_nodes(nodes: DataFrame) -> DataFrame:
+    """Export order of category nodes per site: depth, then id."""
+    from pyspark.sql import Window
+    w = Window.partitionBy("site").orderBy("depth", "id")
+    return nodes.withColumn("position", F.row_number().over(w))

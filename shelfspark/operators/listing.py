@@ -91,8 +91,11 @@ def category_product_links(categories: DataFrame, links: DataFrame,
     product URLs in crawl order; ``counts(name, links_discovered,
     pages_visited)``: all distinct links on the pages visited before the stop.
     """
-    chain = pagination_chain(categories, listing_pages(links), max_pages)
-    plinks = page_product_links(links)
+    # both narrow tables are read several times (every chain level, the stop
+    # rule and the final pick): compute the URL work once
+    pages = listing_pages(links).persist()
+    plinks = page_product_links(links).persist()
+    chain = pagination_chain(categories, pages, max_pages)
     on_pages = chain.join(plinks, "page_url")
     first = on_pages.groupBy("name", "url").agg(
         F.min(F.struct("depth", (-F.col("score")).alias("neg"), "pos")).alias("f"))

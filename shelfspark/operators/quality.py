@@ -159,3 +159,8 @@ def run_summary(summary: DataFrame, categories: DataFrame, warnings: DataFrame)
                       F.col("products_with_errors").alias("with_errors"),
                       F.col("products_with_warnings").alias("with_warnings"),
                       F.coalesce("warnings", F.lit(0)).cast("bigint").alias("warnings"))
+
+
+def distinct_warnings(warnings: DataFrame, message_col: str = "message") -> DataFrame:
+    """Ordered de-duplication of warning messages: first ``seq`` per message."""
+    return warnings.groupBy("site", message_col).agg(F.min("seq").alias("first_seq"))

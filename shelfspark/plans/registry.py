@@ -631,4 +631,82 @@ def q_same_domain(spark, sf):
         "page_id", "pos", "url", UR.same_domain("url", "page_url").alias("same"))
 
 
+# ---------------------------------------------------------------- more inventory rows
+@register("src_pages", lambda: (
+    f"SELECT page_id, {SQ.host('url')} AS site, url, CAST(length(html) AS INTEGER) AS n_chars FROM pages"))
+def q_src_pages(spark, sf):
+    return read_pages(spark, sf).select("page_id", "site", "url", F.length("html").alias("n_chars"))
+
+
+@register("warn_missing_price", lambda: "SELECT page_id, product_url FROM (" + EQ.extract_products_sql() +
+          ") WHERE price = ''")
+def q_warn_missing_price(spark, sf):
+    return EX.extract_products(product_pages(spark, sf)).where(F.col("price") == "").select("page_id", "product_url")
+
+
+@register("crawl_category_pages", lambda: LS.with_listing() + "SELECT name, page_url FROM chain WHERE depth = 1")
+def q_crawl_category_pages(spark, sf):
+    cats, links = _listing(spark, sf)
+    return LI.pagination_chain(cats, LI.listing_pages(links), 1).select("name", "page_url")
+
+
+@register("plp_to_pdp", lambda: (
+    "WITH " + ",\n".join(LS.ctes() + [__import__("shelfspark.sources.fixtures", fromlist=["x"]).PRODUCT_PAGES_SQL.strip()])
+    + "\nSELECT c.name, c.url, f.page_id FROM collected c JOIN f3 f ON f.url = c.url"))
+def q_plp_to_pdp(spark, sf):
+    cats, links = _listing(spark, sf)
+    collected = LI.category_product_links(cats, links)[0]
+    pages = product_pages(spark, sf).select("url", "page_id")
+    return collected.join(pages, "url").select("name", "url", "page_id")
+
+
+@register("order_category_nodes", lambda: RQ.with_merged(RQ.tree_cte()) + (
+    "SELECT site, id, depth, row_number() OVER (PARTITION BY site ORDER BY depth, id) AS position FROM ("
+    "SELECT site, id, depth FROM tree UNION ALL SELECT DISTINCT site, 'root', 0 FROM merged "
+    "UNION ALL SELECT DISTINCT site, 'all', 1 FROM merged)"))
+def q_order_category_nodes(spark, sf):
+    nodes = C.catalog_categories(_merged(spark, sf)).select("site", "id", "depth")
+    return C.order_category_nodes(nodes).withColumn("position", F.col("position").cast("bigint"))
+
+
+@register("merge_categories", lambda: LS.with_listing() + (
+    "SELECT url AS category_key, arg_max(name, seq) AS name, url, array_to_string(arg_max(path, seq), ' > ') AS path, "
+    "max(links) AS links_discovered FROM ("
+    "SELECT 1 AS seq, c.name, c.url, [c.name] AS path, coalesce(n.links_discovered, 0) AS links FROM cats c "
+    "LEFT JOIN counts n USING (name) UNION ALL "
+    "SELECT 2, lower(name), url, [lower(name)], 0 FROM cats) GROUP BY url"))
+def q_merge_categories(spark, sf):
+    cats, links = _listing(spark, sf)
+    counts = LI.category_product_links(cats, links)[1]
+    first = cats.join(counts, "name", "left").select(
+        F.lit(1).alias("seq"), "name", "url", "path",
+        F.coalesce("links_discovered", F.lit(0)).alias("links_discovered"))
+    second = cats.select(F.lit(2).alias("seq"), F.lower("name").alias("name"), "url",
+                         F.array(F.lower("name")).alias("path"), F.lit(0).cast("bigint").alias("links_discovered"))
+    m = C.merge_categories(first.unionByName(second))
+    return m.withColumn("path", F.array_join("path", " > "))
+
+
+@register("distinct_warnings", lambda: RQ.with_products() + (
+    "SELECT site, sku AS message, min(seq) AS first_seq FROM prod WHERE price = '' GROUP BY site, sku"))
+def q_distinct_warnings(spark, sf):
+    w = _products(spark, sf).where(F.col("price") == "").select("site", "seq", F.col("sku").alias("message"))
+    return QY.distinct_warnings(w)
+
+
+@register("site_profile_join")
+def q_site_profile_join(spark, sf):
+    """Profiles are written (sink), read back by domain (source) and joined to
+    every site; stored include patterns override the defaults (precedence)."""
+    from shelfspark.sources import sinks as K
+    from shelfspark.sources import tables as TB
+    path = _sink_root(spark, "profiles")
+    K.write_site_profiles(_site_profiles(spark, sf), path)
+    sites = read_pages(spark, sf).select("site").distinct()
+    joined = TB.site_profile_join(sites, TB.read_site_profiles(spark, path))
+    joined = joined.withColumn("profile_include_patterns", F.col("include_patterns"))
+    resolved = TB.config_precedence(joined, {"include_patterns": list(S.DEFAULT_INCLUDE)})
+    return resolved.select("site", "domain", "platform_hint", F.array_join("include_patterns", " ").alias("include"))
+
+
 __all__ = ["plans", "oracle", "register", "F"]

@@ -101,7 +101,7 @@ obs AS (
 
 def listing_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(category, page_no, pos, page_url, next_href, href, text)``."""
-    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
+    part = spread(read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type"))
     pk = F.col("p_partkey")
     page_no = (pk % 4 + 1)
     href = (F.when(pk % 6 == 0, F.concat(F.lit("/p/"), pk.cast("string"), F.lit("?utm_source=x")))

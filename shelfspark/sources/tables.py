@@ -42,3 +42,27 @@ def stream_pages(spark: SparkSession, directory: str) -> DataFrame:
     raw = spark.readStream.schema(PAGE_SCHEMA).parquet(directory)
     return raw.select("page_id", url_host("url").alias("site"), "url", "html",
                       F.col("page_id").alias("seq"))
+
+
+def read_site_profiles(spark: SparkSession, path: str) -> DataFrame:
+    """Stored site profiles (JSON, one folder per domain) with an explicit schema."""
+    schema = ("domain string, site string, entry_url string, platform_hint string, platform_confidence double, "
+              "include_patterns array<string>, preferred_sources array<string>, confidence double")
+    return spark.read.schema(schema).json(path)
+
+
+def site_profile_join(sites: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Profile of each site by domain (``www.`` stripped); absent -> NULLs."""
+    keyed = sites.withColumn("domain", F.regexp_replace("site", r"^www\.", ""))
+    return keyed.join(profiles.drop("site"), "domain", "left")
+
+
+def config_precedence(rows: DataFrame, keys: dict[str, object], sources=("explicit", "config", "profile")) -> DataFrame:
+    """Per key: explicit value, else site config, else stored profile, else the
+    default -- ``coalesce`` over ``<source>_<key>`` columns (missing sources
+    are NULL)."""
+    out = rows
+    for key, default in keys.items():
+        cols = [F.col(f"{src}_{key}") for src in sources if f"{src}_{key}" in rows.columns]
+        out = out.withColumn(key, F.coalesce(*cols, F.lit(default)))
+    return out
