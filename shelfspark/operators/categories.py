@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.functions.text import fold_text, normalize_whitespace, slugify
+from shelfspark.functions.text import normalize_whitespace, slugify
 
 ALL_PRODUCTS = "All Products"
 
@@ -81,22 +81,7 @@ def category_assignments(products: DataFrame, tree: DataFrame | None = None) ->
         "site", "product_id", "category_id", "path", "primary", "ord")
 
 
-def category_name_match(categories: DataFrame, requests: DataFrame) -> DataFrame:
-    """First category (by ``seq``) whose folded name contains each folded
-    request, per site.  ``requests(site, req_seq, name)`` is small
-    (user input), so the theta join broadcasts it."""
-    cats = categories.select("site", "seq", "name", "url", "path", fold_text("name").alias("_f"))
-    req = requests.select("site", "req_seq", F.col("name").alias("request"),
-                          fold_text("name").alias("_r"))
-    hits = cats.join(F.broadcast(req), (cats.site == req.site) & F.col("_f").contains(F.col("_r")) &
-                     (F.col("_r") != "")).drop(req.site)
-    best = hits.groupBy("site", "req_seq", "request").agg(
-        F.min_by(F.struct("seq", "name", "url", "path"), "seq").alias("m"))
-    return best.select("site", "req_seq", "request", "m.seq", "m.name", "m.url", "m.path")
-
-
-__all__ = ["category_tree", "category_assignments", "catalog_categories", "category_name_match",
-           "normalize_whitespace"]
+__all__ = ["category_tree", "category_assignments", "catalog_categories", "normalize_whitespace"]
 
 
 def merge_categories(categories: DataFrame) -> DataFrame:

@@ -114,10 +114,12 @@ def shared_image_dir(products: DataFrame) -> DataFrame:
     first = imgs.groupBy("site").agg(F.min_by("img", F.struct("first_seq", "pos")).alias("first_img"))
     first = first.select("site", "first_img", url_origin("first_img").alias("origin"),
                          url_host("first_img").alias("host_port"))
-    same = imgs.join(first.select("site", "origin"), "site") \
-        .where(url_origin("img") == F.col("origin")) \
-        .groupBy("site").agg(F.min(url_path("img")).alias("lo"), F.max(url_path("img")).alias("hi"))
-    j = first.join(same, "site", "left")
+    # min / max path per (site, origin) first -- a partial aggregate, so a
+    # hot site never sends all its image rows to one task -- then keep the
+    # first image's origin with a join of two per-site-sized tables
+    spans = imgs.groupBy("site", url_origin("img").alias("origin")).agg(
+        F.min(url_path("img")).alias("lo"), F.max(url_path("img")).alias("hi"))
+    j = first.join(spans, ["site", "origin"], "left")
     lcp_len = F.aggregate(
         F.sequence(F.lit(1), F.greatest(F.least(F.length("lo"), F.length("hi")), F.lit(1))),
         F.struct(F.lit(0).alias("n"), F.lit(True).alias("go")),

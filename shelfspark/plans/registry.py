@@ -22,7 +22,8 @@ from shelfspark.operators import categories as C
 from shelfspark.operators import exports as X
 from shelfspark.operators import listing as LI
 from shelfspark.oracle import listing_sql as LS
-from shelfspark.sources.fixtures import listing_links, product_pages
+from shelfspark.sources.fixtures import PRODUCT_PAGES_SQL, listing_links, product_pages
+from shelfspark.oracle import discovery_sql as DQ
 from shelfspark.operators import extract as EX
 from shelfspark.oracle import extract_sql as EQ
 from shelfspark.oracle import products_sql as RQ
@@ -508,25 +509,25 @@ def _requests(cats):
     return first.unionByName(none)
 
 
-@register("top_categories", lambda: __import__("shelfspark.oracle.discovery_sql", fromlist=["x"]).top_categories_sql())
+@register("top_categories", lambda: DQ.top_categories_sql())
 def q_top_categories(spark, sf):
     from shelfspark.operators import discovery as D
     t = D.top_categories(D.entry_pages(read_pages(spark, sf)))
     return t.withColumn("path", F.array_join("path", " > "))
 
 
-@register("discover_categories", lambda: __import__("shelfspark.oracle.discovery_sql", fromlist=["x"]).discover_categories_sql())
+@register("discover_categories", lambda: DQ.discover_categories_sql())
 def q_discover_categories(spark, sf):
     cats, _ = _discovered(spark, sf)
     return cats.withColumn("path", F.array_join("path", " > "))
 
 
-@register("fallback_catalog_category", lambda: __import__("shelfspark.oracle.discovery_sql", fromlist=["x"]).fallback_catalog_category_sql())
+@register("fallback_catalog_category", lambda: DQ.fallback_catalog_category_sql())
 def q_fallback_catalog_category(spark, sf):
     return _discovered(spark, sf)[1]
 
 
-@register("category_name_match", lambda: __import__("shelfspark.oracle.discovery_sql", fromlist=["x"]).category_name_match_sql())
+@register("category_name_match", lambda: DQ.category_name_match_sql())
 def q_category_name_match(spark, sf):
     from shelfspark.operators import discovery as D
     cats, _ = _discovered(spark, sf)
@@ -534,7 +535,7 @@ def q_category_name_match(spark, sf):
     return D.category_name_match(cats, _requests(cats)).withColumn("path", F.array_join("path", " > "))
 
 
-@register("category_name_fallback", lambda: __import__("shelfspark.oracle.discovery_sql", fromlist=["x"]).category_name_fallback_sql())
+@register("category_name_fallback", lambda: DQ.category_name_fallback_sql())
 def q_category_name_fallback(spark, sf):
     from shelfspark.operators import discovery as D
     cats, _ = _discovered(spark, sf)
@@ -651,7 +652,7 @@ def q_crawl_category_pages(spark, sf):
 
 
 @register("plp_to_pdp", lambda: (
-    "WITH " + ",\n".join(LS.ctes() + [__import__("shelfspark.sources.fixtures", fromlist=["x"]).PRODUCT_PAGES_SQL.strip()])
+    "WITH " + ",\n".join(LS.ctes() + [PRODUCT_PAGES_SQL.strip()])
     + "\nSELECT c.name, c.url, f.page_id FROM collected c JOIN f3 f ON f.url = c.url"))
 def q_plp_to_pdp(spark, sf):
     cats, links = _listing(spark, sf)
