@@ -394,7 +394,7 @@ def q_stream_merge_products(spark, sf):
     obs = product_observations(spark, sf).drop("ts")
     # arrival order deliberately not seq order: later sightings come first
     SM.write_arrivals(obs.withColumn("_arrival", -F.col("seq")), f"{root}/input", 4, "_arrival")
-    state = SM.stream_merge_products(spark, f"{root}/input", root)
+    state = SM.stream_merge_products(spark, f"{root}/input", root, compact_every=2)
     return _flat_products(state.products(), "product_key", "first_seq", "last_seq", "sightings")
 
 

@@ -3,11 +3,11 @@
 ``stream_merge_products``: sightings arrive as parquet files; every
 micro-batch is reduced to partial-merge rows and combined with the stored
 state (``max(struct(seq, value))`` / ``min(struct(seq, pos))`` per field, so
-batch order, late files and replays cannot change the result).  The state
-is a versioned parquet table under ``spark.checkpoint.dir``; a version is
-committed with a marker file named after the batch id, which makes a
-re-delivered batch a no-op (exactly-once together with the stream
-checkpoint).
+batch order, late files and replays cannot change the result).  The state is
+log-structured under ``spark.checkpoint.dir``: each batch appends only its own
+partial rows (O(batch) per micro-batch) and commits a marker named after the
+batch id, which makes a re-delivered batch a no-op (exactly-once together
+with the stream checkpoint); periodic compaction folds the deltas.
 
 ``stream_new_links``: discovered URLs are de-duplicated by the streaming
 state store (``dropDuplicates``) so each URL is emitted once.
@@ -41,37 +41,59 @@ def _touch(spark: SparkSession, path: str) -> None:
 
 
 class CatalogState:
-    """Versioned partial-merge state in a shared folder."""
+    """Log-structured partial-merge state in a shared folder.
 
-    def __init__(self, spark: SparkSession, root: str):
+    Every micro-batch writes only its own partial rows to
+    ``deltas/batch=<id>`` (O(batch), overwritten if the batch is replayed
+    before its commit marker exists) and commits a marker; every
+    ``compact_every`` batches the compacted base and the newer deltas are
+    combined into ``compacted/v=<id>``.  Reads combine the latest compacted
+    base with the committed deltas after it; max/min state makes the
+    combination order-free."""
+
+    def __init__(self, spark: SparkSession, root: str, compact_every: int = 8):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.compact_every = compact_every
 
-    def version_path(self, batch_id: int) -> str:
-        return f"{self.root}/state/v={batch_id}"
+    def _ids(self, folder: str) -> list[int]:
+        fs, p, _ = _hadoop_fs(self.spark, f"{self.root}/{folder}")
+        if not fs.exists(p):
+            return []
+        return sorted(int(st.getPath().getName()) for st in fs.listStatus(p))
 
     def committed(self, batch_id: int) -> bool:
         return _exists(self.spark, f"{self.root}/_commits/{batch_id}")
 
-    def latest(self) -> int | None:
-        fs, p, jvm = _hadoop_fs(self.spark, f"{self.root}/_commits")
-        if not fs.exists(p):
-            return None
-        ids = [int(st.getPath().getName()) for st in fs.listStatus(p)]
-        return max(ids) if ids else None
-
     def read(self) -> DataFrame | None:
-        v = self.latest()
-        return None if v is None else self.spark.read.parquet(self.version_path(v))
+        compacted = self._ids("_compactions")
+        upto = compacted[-1] if compacted else -1
+        paths = [f"{self.root}/deltas/batch={i}" for i in self._ids("_commits") if i > upto]
+        parts = []
+        if compacted:
+            parts.append(self.spark.read.parquet(f"{self.root}/compacted/v={upto}"))
+        if paths:
+            parts.append(self.spark.read.parquet(*paths))
+        if not parts:
+            return None
+        state = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        return PR.combine_partial(state)
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
         if self.committed(batch_id):
             return  # replayed batch: already folded in
         part = PR.partial_merge(PR.drop_unidentified(PR.products_from_observations(batch)))
-        prev = self.read()
-        state = part if prev is None else PR.combine_partial(prev.unionByName(part))
-        state.write.mode("overwrite").parquet(self.version_path(batch_id))
+        part.write.mode("overwrite").parquet(f"{self.root}/deltas/batch={batch_id}")
         _touch(self.spark, f"{self.root}/_commits/{batch_id}")
+        if (batch_id + 1) % self.compact_every == 0:
+            self.compact(batch_id)
+
+    def compact(self, batch_id: int) -> None:
+        state = self.read()
+        if state is None:
+            return
+        state.write.mode("overwrite").parquet(f"{self.root}/compacted/v={batch_id}")
+        _touch(self.spark, f"{self.root}/_compactions/{batch_id}")
 
     def products(self) -> DataFrame:
         state = self.read()
@@ -80,16 +102,12 @@ class CatalogState:
         return PR.finish_merge(state)
 
 
-def observation_schema(spark: SparkSession, sample: DataFrame):
-    return sample.schema
-
-
 def stream_merge_products(spark: SparkSession, source_dir: str, root: str,
-                          files_per_trigger: int = 1) -> CatalogState:
+                          files_per_trigger: int = 1, compact_every: int = 8) -> CatalogState:
     """Run the incremental merge over every file in ``source_dir`` (until no
     more data) and return the state handle."""
     schema = spark.read.parquet(source_dir).schema
-    state = CatalogState(spark, root)
+    state = CatalogState(spark, root, compact_every)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source_dir)
     q = (stream.writeStream
          .foreachBatch(lambda df, bid: state.apply(df, bid))
