@@ -204,4 +204,4 @@ def extract_products_sql() -> str:
         f"{Q.ws(path)} AS category_path, array_to_string(trail, ' > ') AS category_trail, "
         f"array_to_string(imgs[1:3], ' | ') AS image_urls, {RQ.origin('url')} AS source_site, "
         f"CASE WHEN has_jsonld THEN 'jsonld+dom' ELSE 'dom' END AS source_type, "
-        f"CASE WHEN has_jsonld THEN 0.8 ELSE 0.55 END AS source_confidence FROM {clean}")
+        f"CAST(CASE WHEN has_jsonld THEN 0.8 ELSE 0.55 END AS DOUBLE) AS source_confidence FROM {clean}")

@@ -66,7 +66,7 @@ def products_cte() -> list[str]:
          f"(CASE WHEN img <> '' THEN [img] ELSE []::VARCHAR[] END) AS image_urls, "
          f"(CASE WHEN {Q.rx_match('coalesce(site, ' + Q.EMPTY + ')', '(?i)^https?://')} THEN {origin('stnorm')} "
          f"WHEN purl <> '' THEN {origin('purl')} ELSE '' END) AS source_site, "
-         f"'dom' AS source_type, {PR.DOM_CONFIDENCE} AS source_confidence FROM {staged})"),
+         f"'dom' AS source_type, CAST({PR.DOM_CONFIDENCE} AS DOUBLE) AS source_confidence FROM {staged})"),
     ]
 
 

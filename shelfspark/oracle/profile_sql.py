@@ -138,7 +138,7 @@ def site_profile_sql() -> str:
 def learning_candidates_sql() -> str:
     return with_profiles() + (
         "SELECT site, type, confidence, pattern FROM ("
-        "SELECT site, 'platform-logic-candidate' AS type, 0.65 AS confidence, CAST(NULL AS VARCHAR) AS pattern "
+        "SELECT site, 'platform-logic-candidate' AS type, CAST(0.65 AS DOUBLE) AS confidence, CAST(NULL AS VARCHAR) AS pattern "
         "FROM sp WHERE platform_hint = 'generic' AND has_candidates "
         "UNION ALL SELECT site, 'product-pattern-candidate', 0.7, product_patterns[1] FROM sp "
         "WHERE platform_hint = 'generic' AND len(product_patterns) > 0 "

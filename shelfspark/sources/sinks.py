@@ -150,21 +150,24 @@ FORMATS = ("generic", "b2c", "b2b")
 
 
 def export_all(products: DataFrame, path: str, formats=FORMATS) -> dict[str, str]:
-    """Persist the merged catalog once, then one write per requested format;
-    the preview cards are always written."""
-    products = products.persist()
+    """Materialise the merged catalog once, then one write per requested
+    format; the preview cards are always written.
+
+    The catalog is checkpointed (reliable, into ``spark.checkpoint.dir``):
+    every export reads the written table, so losing an executor during the
+    exports never re-runs the extraction and merge lineage."""
+    from shelfspark.session import checkpoint_dir
+    checkpoint_dir(products.sparkSession)
+    products = products.checkpoint(eager=True)
     out: dict[str, str] = {}
-    try:
-        if "generic" in formats:
-            out["generic"] = f"{path}/generic-csv"
-            write_generic_csv(products, out["generic"])
-        if "b2b" in formats:
-            out["b2b"] = f"{path}/commerce-csv"
-            write_b2b_csv(products, out["b2b"])
-        if "b2c" in formats:
-            out.update(write_b2c(products, f"{path}/b2c"))
-        out["cards"] = f"{path}/cards"
-        X.catalog_cards(products).write.mode("overwrite").partitionBy("site").parquet(out["cards"])
-    finally:
-        products.unpersist()
+    if "generic" in formats:
+        out["generic"] = f"{path}/generic-csv"
+        write_generic_csv(products, out["generic"])
+    if "b2b" in formats:
+        out["b2b"] = f"{path}/commerce-csv"
+        write_b2b_csv(products, out["b2b"])
+    if "b2c" in formats:
+        out.update(write_b2c(products, f"{path}/b2c"))
+    out["cards"] = f"{path}/cards"
+    X.catalog_cards(products).write.mode("overwrite").partitionBy("site").parquet(out["cards"])
     return out
