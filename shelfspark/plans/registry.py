@@ -710,4 +710,86 @@ def q_site_profile_join(spark, sf):
     return resolved.select("site", "domain", "platform_hint", F.array_join("include_patterns", " ").alias("include"))
 
 
+# ---------------------------------------------------------------- per-function rows of the inventory
+@register("dedupe_links", lambda: LQ.with_links(LQ.top_links("category_score", None)) +
+          "SELECT page_id, rank, url, text, score FROM top")
+def q_dedupe_links(spark, sf):
+    """Best-scoring category link per URL and page, all of them (no cut)."""
+    return L.top_links_per_page(read_pages(spark, sf), "category", None)
+
+
+@register("page_type", lambda: PQ.with_profiles() + (
+    f"SELECT page_id, {PQ.page_type('NULL', 'url', 'n_cat', 'n_prod', 'has_jsonld_product', 'has_add_to_cart', 'has_price_nodes')} "
+    "AS detected_type FROM pp"))
+def q_page_type(spark, sf):
+    pp = P.page_profiles(read_pages(spark, sf))
+    return pp.select("page_id", P.detected_type(F.lit(None).cast("string")).alias("detected_type"))
+
+
+@register("category_path_from_url", lambda: (
+    f"SELECT page_id, array_to_string({EQ.category_path_from_url('url')}, ' > ') AS path FROM pages"))
+def q_category_path_from_url(spark, sf):
+    return read_pages(spark, sf).select("page_id", F.array_join(EX.category_path_from_url(F.col("url")), " > ")
+                                        .alias("path"))
+
+
+@register("category_label_product", lambda: LQ.with_links() +
+          f"SELECT page_id, pos, {EQ.format_label(SQ.url_slug('url'))} AS v FROM lk")
+def q_category_label_product(spark, sf):
+    return L.normalize_links(read_pages(spark, sf)).select(
+        "page_id", "pos", EX.format_category_label(UR.url_slug("url")).alias("v"))
+
+
+@register("normalize_sku", lambda: EQ.with_extraction() +
+          f"SELECT page_id, {EQ.normalize_sku('sku', 'body_text', 'url')} AS sku FROM ex")
+def q_normalize_sku(spark, sf):
+    ex = EX.extraction(product_pages(spark, sf))
+    return ex.select("page_id", EX.normalize_sku(F.col("sku"), F.col("body_text"), F.col("url")).alias("sku"))
+
+
+@register("product_key_id", lambda: RQ.with_products() + "SELECT seq, product_id FROM prod")
+def q_product_key_id(spark, sf):
+    return _products(spark, sf).select("seq", "product_id")
+
+
+@register("jsonld_nodes", lambda: EQ.with_extraction() + (
+    "SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY si, i1, i2) AS INTEGER) AS pos, "
+    "json_extract_string(n, '$.\"@type\"') AS type FROM nodes"))
+def q_jsonld_nodes(spark, sf):
+    pages = product_pages(spark, sf)
+    nodes = pages.select("page_id", F.posexplode_outer(EX.jsonld_node_array(F.col("html"))).alias("p", "n")) \
+        .where(F.col("n").isNotNull())
+    return nodes.select("page_id", (F.col("p") + 1).cast("int").alias("pos"),
+                        F.try_variant_get("n", "$['@type']", "string").alias("type"))
+
+
+@register("merge_results", RQ.merge_products_sql)
+def q_merge_results(spark, sf):
+    """Two scrape passes (odd and even sightings) merged separately, then the
+    passes folded together: must equal one merge over everything."""
+    prods = PR.drop_unidentified(_products(spark, sf))
+    first = PR.partial_merge(prods.where(F.col("seq") % 2 == 0))
+    second = PR.partial_merge(prods.where(F.col("seq") % 2 == 1))
+    merged = PR.finish_merge(PR.combine_partial(first.unionByName(second)))
+    return _flat_products(merged, "product_key", "first_seq", "last_seq", "sightings")
+
+
+@register("order_category_paths", lambda: RQ.with_merged() + (
+    "SELECT site, category_path, row_number() OVER (PARTITION BY site ORDER BY category_path) AS position "
+    "FROM (SELECT DISTINCT site, category_path FROM merged WHERE category_path <> '')"))
+def q_order_category_paths(spark, sf):
+    from pyspark.sql import Window
+    paths = _merged(spark, sf).where(F.col("category_path") != "").select("site", "category_path").distinct()
+    return paths.withColumn("position", F.row_number().over(Window.partitionBy("site").orderBy("category_path"))
+                            .cast("bigint"))
+
+
+@register("is_http_url", lambda: RQ.with_products() + (
+    f"SELECT seq, {SQ.rx_match('coalesce(product_url, ' + SQ.EMPTY + ')', UR.HTTP_ABSOLUTE)} AS product_url_http, "
+    f"{SQ.rx_match('coalesce(image, ' + SQ.EMPTY + ')', UR.HTTP_ABSOLUTE)} AS image_http FROM obs"))
+def q_is_http_url(spark, sf):
+    return product_observations(spark, sf).select("seq", UR.is_http_url("product_url").alias("product_url_http"),
+                                                 UR.is_http_url("image").alias("image_http"))
+
+
 __all__ = ["plans", "oracle", "register", "F"]
