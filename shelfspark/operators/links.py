@@ -165,3 +165,36 @@ def dedupe_links(links: DataFrame, score_col: str, partition=("page_id",)) -> Da
 def page_title(html) -> Column:
     h = F.col(html) if isinstance(html, str) else html
     return strip_html(F.regexp_extract(F.coalesce(h, F.lit("")), TITLE_RE, 1))
+
+
+# Product-card containers whose links are product links by context.
+CARD_CONTAINER_RE = (r"""(?is)<(?:div|li|article|section)\b[^>]*(?:\sdata-product-id=|\sclass=["'][^"']*"""
+                     r"""(?:productCard|product-card|productItem|product-item)[^"']*["'])[^>]*>(.*?)"""
+                     r"""</(?:div|li|article|section)>""")
+CONTEXTUAL_MIN_SCORE = 4
+
+
+def contextual_links(pages: DataFrame) -> DataFrame:
+    """Links inside product-card containers (the first closing container tag
+    ends a card), resolved against the page, same host, scored
+    ``max(product score, 4)``: ``(page_id, card, pos, url, score)``."""
+    blocks = F.regexp_extract_all(visible_html("html"), F.lit(CARD_CONTAINER_RE), 1)
+    cards = pages.select("page_id", F.col("url").alias("page_url"), base_parts("url").alias("base"),
+                         F.posexplode_outer(blocks).alias("card", "block")).where(F.col("block").isNotNull())
+    raw = cards.select("page_id", "page_url", "base", "card", F.transform(
+        F.regexp_extract_all("block", F.lit(ANCHOR_RE), 0), lambda m, i: F.struct(
+            (i + 1).cast("int").alias("pos"), _href(m).alias("href"),
+            strip_html(F.regexp_extract(m, ANCHOR_RE, 3)).alias("text"))).alias("raw"))
+    links = raw.select("page_id", "page_url", "card", F.inline_outer(resolve_links(F.col("raw"), F.col("base"))))
+    links = links.where(F.col("pos").isNotNull() & (F.col("url") != "") & same_domain("url", "page_url"))
+    return links.select("page_id", "card", "pos", "url",
+                        F.greatest(scoring.score_product_url("url"), F.lit(CONTEXTUAL_MIN_SCORE)).alias("score"))
+
+
+def union_link_sources(selector_links: DataFrame, contextual: DataFrame) -> DataFrame:
+    """Selector-found product links plus contextual ones; best score per
+    ``(page_id, url)`` (a page's own links, so the group is bounded)."""
+    both = selector_links.select("page_id", "url", "score", F.lit(0).alias("src"), "pos") \
+        .unionByName(contextual.select("page_id", "url", "score", F.lit(1).alias("src"), "pos"))
+    best = both.groupBy("page_id", "url").agg(F.min(F.struct((-F.col("score")).alias("neg"), "src", "pos")).alias("b"))
+    return best.select("page_id", "url", (-F.col("b.neg")).cast("int").alias("score"))

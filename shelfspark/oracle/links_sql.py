@@ -87,3 +87,21 @@ def page_title_sql() -> str:
 
 __all__ = ["with_links", "top_links", "top_links_per_page_sql", "extract_links_sql",
            "normalize_links_sql", "scored_links_sql", "page_title_sql", "S", "U"]
+
+
+CARD_CONTAINER_RE2 = (r"""(?is)<(?:div|li|article|section)\b[^>]*(?:\sdata-product-id=|\sclass=["'][^"']*"""
+                      r"""(?:productCard|product-card|productItem|product-item)[^"']*["'])[^>]*>(.*?)"""
+                      r"""</(?:div|li|article|section)>""")
+
+
+def contextual_links_sql() -> str:
+    vis = Q.rx_replace("coalesce(html, '')", HIDDEN_MARKUP_RE, " ")
+    cards = (f"(SELECT page_id, url AS page_url, unnest(regexp_extract_all({vis}, {Q.lit(CARD_CONTAINER_RE2)}, 1)) AS block "
+             f"FROM pages)")
+    anchors = (f"(SELECT page_id, page_url, unnest(ms) AS m, generate_subscripts(ms, 1) AS pos FROM "
+               f"(SELECT page_id, page_url, regexp_extract_all(block, {Q.lit(ANCHOR_RE2)}, 0) AS ms FROM {cards}))")
+    href = (f"replace({Q.rx_extract('m', ANCHOR_RE2, 1)} || {Q.rx_extract('m', ANCHOR_RE2, 2)}, '&amp;', '&')")
+    staged = Q.stages(f"(SELECT page_id, page_url, pos, {href} AS href FROM {anchors})",
+                      *Q.normalise_steps("page_url", "b"), *Q.resolve_steps("href", "b", "link_url"))
+    return (f"SELECT page_id, link_url AS url, greatest({Q.score_product('link_url')}, 4) AS score FROM {staged} "
+            f"WHERE link_url <> '' AND {Q.same_domain('link_url', 'page_url')}")

@@ -792,4 +792,20 @@ def q_is_http_url(spark, sf):
                                                  UR.is_http_url("image").alias("image_http"))
 
 
+@register("link_contextual", LQ.contextual_links_sql)
+def q_link_contextual(spark, sf):
+    return L.contextual_links(read_pages(spark, sf)).select("page_id", "url", "score")
+
+
+@register("union_link_sources", lambda: LQ.with_links() + (
+    "SELECT page_id, url, CAST(max(score) AS INTEGER) AS score FROM (SELECT page_id, url, product_score AS score "
+    "FROM sc WHERE product_score >= 3 UNION ALL SELECT page_id, url, score FROM (" + LQ.contextual_links_sql() +
+    ")) GROUP BY page_id, url"))
+def q_union_link_sources(spark, sf):
+    pages = read_pages(spark, sf)
+    selector = L.scored_links(pages).where(F.col("product_score") >= 3) \
+        .select("page_id", "url", F.col("product_score").alias("score"), "pos")
+    return L.union_link_sources(selector, L.contextual_links(pages))
+
+
 __all__ = ["plans", "oracle", "register", "F"]

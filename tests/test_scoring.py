@@ -57,3 +57,14 @@ def test_page_type_rules(spark):
     df = spark.createDataFrame(rows, "req string, url string, ncat int, nprod int, ld boolean, cart boolean, price boolean")
     got = [r[0] for r in df.select(S.page_type("req", "url", "ncat", "nprod", "ld", "cart", "price")).collect()]
     assert got == ["plp", "pdp", "search", "home", "unknown"]
+
+
+def test_contextual_links_get_minimum_score(spark):
+    from shelfspark.operators import links as L
+    html = ('<html><body><div class="grid product-card"><a href="/shoes/red">Red</a></div>'
+            '<div class="other"><a href="/about">About</a></div>'
+            '<li data-product-id="9"><a href="/p/9">Nine</a></li></body></html>')
+    pages = spark.createDataFrame([(1, "shop.example.com", "https://shop.example.com/c/x", html, 1)],
+                                  "page_id long, site string, url string, html string, seq long")
+    got = sorted((r.url, r.score) for r in L.contextual_links(pages).collect())
+    assert got == [("https://shop.example.com/p/9", 5), ("https://shop.example.com/shoes/red", 4)]
