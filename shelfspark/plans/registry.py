@@ -808,4 +808,25 @@ def q_union_link_sources(spark, sf):
     return L.union_link_sources(selector, L.contextual_links(pages))
 
 
+def _run_summary_sql():
+    return RQ.with_merged(RQ._validated(), RQ.summary_cte(), RQ.distinct_cats_cte()) + (
+        "SELECT s.site, CAST(coalesce(d.distinct_categories, 0) AS BIGINT) AS categories, product_count AS products, "
+        "valid_products AS valid, products_with_errors AS with_errors, products_with_warnings AS with_warnings, "
+        "CAST((CASE WHEN product_count > 0 AND price_coverage < 0.5 THEN 1 ELSE 0 END) + "
+        "(CASE WHEN product_count > 0 AND image_coverage < 0.5 THEN 1 ELSE 0 END) + "
+        "(CASE WHEN product_count > 0 AND category_coverage < 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS warnings "
+        "FROM summ s LEFT JOIN dcat d USING (site)")
+
+
+_ORACLE["sink_run_summary"] = _run_summary_sql
+_ORACLE["sink_site_profile"] = lambda: PQ.with_profiles() + (
+    "SELECT regexp_replace(site, '^www[.]', '') AS domain, platform_hint, confidence FROM sp")
+_ORACLE["site_profile_join"] = lambda: PQ.with_profiles() + (
+    "SELECT site, regexp_replace(site, '^www[.]', '') AS domain, platform_hint, "
+    "array_to_string(list_concat(['/c/', 'cgid=', '/collections/', '/category/', '/departments/', '/shop/'], "
+    "list_filter(category_patterns, lambda x: NOT list_contains(['/c/', 'cgid=', '/collections/', '/category/', "
+    "'/departments/', '/shop/'], x))), ' ') AS include FROM sp")
+_ORACLE["sink_export_all"] = lambda: RQ.with_merged(RQ.cards_cte()) + "SELECT site, product_id, price_label FROM cards"
+
+
 __all__ = ["plans", "oracle", "register", "F"]
