@@ -357,3 +357,37 @@ def search_cards_sql(query: str, category: str) -> str:
 def catalog_stats_sql() -> str:
     return with_merged() + ("SELECT site, count(*) AS products, count(DISTINCT nullif(category_path, '')) AS category_paths "
                             "FROM merged GROUP BY site")
+
+
+def inventory_lines_sql() -> str:
+    from shelfspark.sources.sinks import INVENTORY_NS, XML_DECL
+    x = Q.xml_escape
+    opening = (f"'<inventory xmlns=\"{INVENTORY_NS}\"><inventory-list><header list-id=\"' || {x('inventory_list_id')} || "
+               "'\"><default-instock>true</default-instock><description>' || "
+               f"{x(Q.lit('Inventario perpetuo generado para ') + ' || brand_name')} || "
+               "'</description><use-bundle-inventory-only>false</use-bundle-inventory-only><on-order>false</on-order>"
+               "</header><records>'")
+    return with_merged(brand_cte()) + (
+        f"SELECT site, {Q.lit(XML_DECL)} AS line FROM brand UNION ALL SELECT site, {opening} FROM brand UNION ALL "
+        f"SELECT site, '<record product-id=\"' || {x('product_id')} || '\"><perpetual>true</perpetual></record>' "
+        "FROM merged UNION ALL SELECT site, '</records></inventory-list></inventory>' FROM brand")
+
+
+def pricebook_lines_sql() -> str:
+    from shelfspark.sources.sinks import PRICEBOOK_NS, XML_DECL
+    x = Q.xml_escape
+    book = ("'<pricebook><header pricebook-id=\"' || " + x("pricebook_id") + " || '\"><currency>' || " + x("currency")
+            + " || '</currency><display-name xml:lang=\"x-default\">' || " + x("pricebook_name || ' ' || currency")
+            + " || '</display-name><online-flag>true</online-flag><feed-based>false</feed-based></header><price-tables>'")
+    entries = ("SELECT e.site, b.pricebook_id || '-' || lower(e.currency) AS pricebook_id, e.currency, e.product_id, "
+               f"e.price, b.pricebook_name FROM (SELECT site, {_cur()} AS currency, product_id, price FROM merged "
+               f"WHERE price <> '' AND {_cur()} <> 'USD' UNION ALL SELECT site, 'USD', product_id, price FROM merged "
+               "WHERE price <> '') e JOIN brand b USING (site)")
+    return with_merged(brand_cte(), f"pbe AS ({entries})") + (
+        f"SELECT site, {Q.lit(XML_DECL)} AS line FROM brand UNION ALL "
+        f"SELECT site, '<pricebooks xmlns=\"{PRICEBOOK_NS}\">' FROM brand UNION ALL "
+        f"SELECT site, {book} FROM (SELECT DISTINCT site, pricebook_id, currency, pricebook_name FROM pbe) UNION ALL "
+        f"SELECT site, '<price-table product-id=\"' || {x('product_id')} || '\"><amount quantity=\"1\">' || "
+        f"{x('price')} || '</amount></price-table>' FROM pbe UNION ALL "
+        "SELECT site, '</price-tables></pricebook>' FROM (SELECT DISTINCT site, pricebook_id FROM pbe) UNION ALL "
+        "SELECT site, '</pricebooks>' FROM brand")

@@ -829,4 +829,8 @@ _ORACLE["site_profile_join"] = lambda: PQ.with_profiles() + (
 _ORACLE["sink_export_all"] = lambda: RQ.with_merged(RQ.cards_cte()) + "SELECT site, product_id, price_label FROM cards"
 
 
+_ORACLE["sink_b2c_inventory"] = RQ.inventory_lines_sql
+_ORACLE["sink_b2c_pricebooks"] = RQ.pricebook_lines_sql
+
+
 __all__ = ["plans", "oracle", "register", "F"]
