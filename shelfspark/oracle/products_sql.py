@@ -391,3 +391,70 @@ def pricebook_lines_sql() -> str:
         f"{x('price')} || '</amount></price-table>' FROM pbe UNION ALL "
         "SELECT site, '</price-tables></pricebook>' FROM (SELECT DISTINCT site, pricebook_id FROM pbe) UNION ALL "
         "SELECT site, '</pricebooks>' FROM brand")
+
+
+def image_dir_ctes() -> list[str]:
+    origin_re = r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)"
+    host_re = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#]*)"
+    return [
+        "imgs AS (SELECT site, first_seq, unnest(image_urls) AS img, generate_subscripts(image_urls, 1) AS pos FROM merged)",
+        "firsti AS (SELECT site, arg_min(img, first_seq * 1000 + pos) AS first_img FROM imgs GROUP BY site)",
+        (f"fo AS (SELECT site, first_img, {Q.rx_extract('first_img', origin_re, 1)} AS origin, "
+         f"lower({Q.rx_extract('first_img', host_re, 1)}) AS host FROM firsti)"),
+        (f"mm AS (SELECT i.site, min({Q.url_path('i.img')}) AS lo, max({Q.url_path('i.img')}) AS hi FROM imgs i JOIN fo "
+         f"ON i.site = fo.site AND {Q.rx_extract('i.img', origin_re, 1)} = fo.origin GROUP BY i.site)"),
+        ("imgdir AS (SELECT site, 'http://' || host || shared AS http_url, origin || shared AS https_url FROM ("
+         f"SELECT fo.*, CASE WHEN contains({Q.url_path('first_img')}, '/is/image/') THEN '/is/image/' "
+         "ELSE (CASE WHEN ends_with(cd, '/') THEN cd ELSE cd || '/' END) END AS shared FROM fo LEFT JOIN ("
+         "SELECT site, CASE WHEN lo IS NULL OR ls <= 1 THEN '/' ELSE prefix[1:ls] END AS cd FROM ("
+         "SELECT site, lo, prefix, CASE WHEN strpos(prefix, '/') = 0 THEN 0 ELSE length(prefix) - strpos(reverse(prefix), '/') + 1 END AS ls "
+         "FROM (SELECT site, lo, lo[1:coalesce(list_max(list_filter(range(0, least(length(lo), length(hi)) + 1), "
+         "lambda k: lo[1:k] = hi[1:k])), 0)] AS prefix FROM mm))) d USING (site)))"),
+    ]
+
+
+def catalog_lines_sql() -> str:
+    from shelfspark.sources.sinks import CATALOG_NS, XML_DECL
+    x = Q.xml_escape
+    header = ("CASE WHEN https_url IS NULL THEN '<header />' ELSE '<header><image-settings><external-location><http-url>' || "
+              f"{x('http_url')} || '</http-url><https-url>' || {x('https_url')} || '</https-url></external-location>"
+              "<view-types><view-type>hi-res</view-type><view-type>large</view-type><view-type>medium</view-type>"
+              "<view-type>small</view-type></view-types><alt-pattern>${productname}</alt-pattern>"
+              "<title-pattern>${productname}</title-pattern></image-settings></header>' END")
+    nodes = ("nodes AS (SELECT site, id, name, path, parent_id FROM tree UNION ALL "
+             "SELECT DISTINCT site, 'root', 'Root', ['Root'], '' FROM merged UNION ALL "
+             "SELECT DISTINCT site, 'all', 'All Products', ['All Products'], 'root' FROM merged)")
+    eff = "CASE WHEN parent_id <> '' THEN parent_id WHEN id <> 'root' THEN 'root' ELSE '' END"
+    cat_line = (f"'<category category-id=\"' || {x('id')} || '\"><display-name xml:lang=\"x-default\">' || {x('name')} || "
+                f"'</display-name><description xml:lang=\"x-default\">' || {x("array_to_string(path, ' > ')")} || "
+                "'</description><online-flag>true</online-flag>' || CASE WHEN (" + eff + ") <> '' THEN '<parent>' || "
+                + x(eff) + " || '</parent>' ELSE '' END || '<template /><page-attributes /><custom-attributes>"
+                "<custom-attribute attribute-id=\"showInMenu\">true</custom-attribute></custom-attributes></category>'")
+    name = x("name")
+    desc = x("CASE WHEN description <> '' THEN description ELSE name END")
+    img = (f"'<image path=\"' || {x(image_path('u'))} || '\"><alt xml:lang=\"x-default\">' || {name} || "
+           f"'</alt><title xml:lang=\"x-default\">' || {name} || '</title></image>'")
+    imgs = f"array_to_string(list_transform(image_urls, lambda u: {img}), '')"
+    groups = (f"'<image-group view-type=\"hi-res\">' || {imgs} || '</image-group>' || "
+              f"'<image-group view-type=\"large\">' || {imgs} || '</image-group>'")
+    prod_line = (f"'<product product-id=\"' || {x('product_id')} || '\"><display-name xml:lang=\"x-default\">' || {name} || "
+                 f"'</display-name><short-description xml:lang=\"x-default\">' || {desc} || '</short-description>"
+                 f"<long-description xml:lang=\"x-default\">' || {desc} || '</long-description><online-flag>true</online-flag>"
+                 "<available-flag>true</available-flag><searchable-flag>true</searchable-flag>' || "
+                 f"CASE WHEN len(image_urls) > 0 THEN '<images>' || {groups} || '</images>' ELSE '' END || "
+                 f"CASE WHEN brand <> '' THEN '<brand>' || {x('brand')} || '</brand>' ELSE '' END || "
+                 "'<page-attributes /><pinterest-enabled-flag>false</pinterest-enabled-flag><facebook-enabled-flag>false"
+                 "</facebook-enabled-flag><store-attributes><force-price-flag>false</force-price-flag><non-inventory-flag>"
+                 "false</non-inventory-flag><non-revenue-flag>false</non-revenue-flag><non-discountable-flag>false"
+                 "</non-discountable-flag></store-attributes></product>'")
+    asg_line = (f"'<category-assignment category-id=\"' || {x('a.category_id')} || '\" product-id=\"' || {x('a.product_id')} || "
+                "'\"><primary-flag>' || CASE WHEN a.\"primary\" THEN 'true' ELSE 'false' END || "
+                "'</primary-flag></category-assignment>'")
+    return with_merged(tree_cte(), assignments_cte(), brand_cte(), *image_dir_ctes(), nodes) + (
+        f"SELECT site, {Q.lit(XML_DECL)} AS line FROM brand UNION ALL "
+        f"SELECT site, '<catalog xmlns=\"{CATALOG_NS}\" catalog-id=\"' || {x('catalog_id')} || '\">' FROM brand UNION ALL "
+        f"SELECT b.site, {header} FROM brand b LEFT JOIN imgdir USING (site) UNION ALL "
+        f"SELECT site, {cat_line} FROM nodes UNION ALL "
+        f"SELECT site, {prod_line} FROM merged UNION ALL "
+        f"SELECT a.site, {asg_line} FROM asg a JOIN merged m ON a.site = m.site AND a.product_id = m.product_id UNION ALL "
+        "SELECT site, '</catalog>' FROM brand")
