@@ -54,3 +54,22 @@ def category_name_match_sql() -> str:
 def category_name_fallback_sql() -> str:
     return with_discovery() + ("SELECT r.site, r.req_no, r.name FROM reqs r WHERE NOT EXISTS "
                                "(SELECT 1 FROM nmatch m WHERE m.site = r.site AND m.req_no = r.req_no)")
+
+
+def discover_subcategories_sql(max_sub: int = 2) -> str:
+    k = max(max_sub * 2, max_sub)
+    clean = Q.stages("(SELECT page_id, site, url FROM pg)", *Q.normalise_steps("url", "u"),
+                     *Q.clean_steps("unorm", "clean_url", "cu"))
+    origin = Q.rx_extract("c.url", r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
+    return with_discovery(
+        f"pclean AS (SELECT page_id, site, clean_url FROM {clean})",
+        ("subc AS (SELECT c.site, c.url AS parent_url, c.path AS parent_path, s.page_id, s.url, s.text, "
+         "s.category_score, s.pos FROM cats c JOIN pclean p ON p.site = c.site AND p.clean_url = c.url "
+         "JOIN sc s ON s.page_id = p.page_id WHERE s.product_score < 3 AND s.category_score >= 3 "
+         f"AND s.url <> c.url AND starts_with(s.url, {origin}))"),
+        ("subbest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY parent_url, page_id, url "
+         "ORDER BY category_score DESC, pos) AS rn FROM subc) WHERE rn = 1)"),
+    ) + (
+        "SELECT site, parent_url, CAST(r AS INTEGER) AS rank, text AS name, url, "
+        "array_to_string(list_append(parent_path, text), ' > ') AS path FROM (SELECT *, row_number() OVER "
+        f"(PARTITION BY parent_url, page_id ORDER BY category_score DESC, pos) AS r FROM subbest) WHERE r <= {k}")

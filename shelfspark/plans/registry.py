@@ -832,6 +832,7 @@ _ORACLE["sink_export_all"] = lambda: RQ.with_merged(RQ.cards_cte()) + "SELECT si
 _ORACLE["sink_b2c_inventory"] = RQ.inventory_lines_sql
 _ORACLE["sink_b2c_pricebooks"] = RQ.pricebook_lines_sql
 _ORACLE["sink_b2c_catalog"] = RQ.catalog_lines_sql
+_ORACLE["discover_subcategories"] = DQ.discover_subcategories_sql
 
 
 __all__ = ["plans", "oracle", "register", "F"]
