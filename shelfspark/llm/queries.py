@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfspark.llm import decontaminate, exact_dedup, line_dedup, secrets
+from shelfspark.llm import bpe, chat, decontaminate, exact_dedup, line_dedup, pii, secrets, toxicity
 from shelfspark.llm.common import table
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,14 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.read_back(chat.format_turns(chat.with_conflict(table(spark, sf_dir, "conversations"))))
+
+
+def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents")))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -24,16 +32,28 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_pii_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.sanitise(table(spark, sf_dir, "documents")).drop("doc_key")
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def plans() -> dict[str, Plan]:
     return {
         "op2_line_dedup": op2_line_dedup,
+        "op4_chat_format": op4_chat_format,
+        "op5_bpe_round_trip": op5_bpe_round_trip,
         "op6_secret_scan": op6_secret_scan,
         "op7_exact_dedup": op7_exact_dedup,
+        "op8_pii_sanitise": op8_pii_sanitise,
         "op9_decontaminate": op9_decontaminate,
+        "op10_toxicity": op10_toxicity,
     }
 
 
