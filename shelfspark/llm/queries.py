@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfspark.llm import bpe, chat, decontaminate, exact_dedup, line_dedup, pii, secrets, toxicity
+from shelfspark.llm import bpe, chat, decontaminate, exact_dedup, line_dedup, near_dedup, pii, secrets, toxicity
 from shelfspark.llm.common import table
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_classes(table(spark, sf_dir, "documents"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def plans() -> dict[str, Plan]:
     return {
+        "op1_near_dedup": op1_near_dedup,
         "op2_line_dedup": op2_line_dedup,
         "op4_chat_format": op4_chat_format,
         "op5_bpe_round_trip": op5_bpe_round_trip,
