@@ -9,8 +9,8 @@ same k-mers in another order meet less often than under plain MinHash.
 Exact copies are folded first.  Within a bucket every text is compared with
 the two leaders of the bucket only - the smallest id and the smallest hashed
 id - so a bucket of n texts gives at most 2 n pairs, however large it is.  Two
-texts of similarity 0.8 share about half of the samples, and most of these
-buckets hold only their own near copies, so one chain of leaders nearly surely
+texts that share 0.8 of their k-mers share about 0.64 of the samples, and most of
+these buckets hold only their own near copies, so one chain of leaders nearly surely
 joins them; a bucket that a widely shared passage makes is one of many.
 Candidates are verified by an alignment of the word sequences along a band of
 diagonals that widens until the distance is known or exceeds 20 % of the longer
@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from shelfspark.llm.common import materialise, maybe_in, text_or_empty, words
 
 SHINGLE = 5
-SAMPLES = 16
-PICKED = 3
+SAMPLES = 20
+PICKED = 2
 SIMILARITY = 0.8
 
 _SEEDS = np.random.default_rng(20240229).integers(1, 2**63, SAMPLES, dtype=np.uint64)

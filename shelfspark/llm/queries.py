@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfspark.llm import bpe, chat, decontaminate, exact_dedup, line_dedup, near_dedup, pii, secrets, toxicity
+import corpus_pipeline
+from shelfspark.llm import bpe, chat, decontaminate, exact_dedup, language_model, line_dedup, near_dedup, pii, secrets, toxicity
 from shelfspark.llm.common import table
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +21,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
 
 
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(chat.with_conflict(table(spark, sf_dir, "conversations"))))
 
@@ -50,8 +55,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def plans() -> dict[str, Plan]:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_near_dedup": op1_near_dedup,
         "op2_line_dedup": op2_line_dedup,
+        "op3_language_model": op3_language_model,
         "op4_chat_format": op4_chat_format,
         "op5_bpe_round_trip": op5_bpe_round_trip,
         "op6_secret_scan": op6_secret_scan,
@@ -63,7 +70,9 @@ def plans() -> dict[str, Plan]:
 
 
 def oracle() -> dict[str, str]:
-    return {
+    sql = {
         "op2_line_dedup": line_dedup.ORACLE_SQL,
         "op7_exact_dedup": exact_dedup.ORACLE_SQL,
+        "pipeline": corpus_pipeline.ORACLE_SQL,
     }
+    return {name: q for name, q in sql.items() if q}

@@ -2,8 +2,8 @@
 
 The lexicon - words and word beginnings that mark toxic documents - is learned
 from labelled documents.  Each word of a text is matched against the lexicon
-trie by a Levenshtein automaton of distance one (states: position, edits left),
-so misspelled terms are caught.  A forward and a backward trie are used: one
+trie by a Levenshtein automaton of distance one, swapped neighbours included
+(states: position, edits left), so misspelled terms are caught.  A forward and a backward trie are used: one
 edit leaves one half of the word untouched, so the walk starts behind an
 untouched half.  Every hit is weighted by its context window: quoted hits count
 less, and words around hits carry learned weights for abuse or report.  A
@@ -43,7 +43,8 @@ MIN_LOG_ODDS = 2.0
 PREFIXES = (4, 5, 6)
 CONTEXT_WORDS = 3
 CONTEXT_TERMS = 2_000
-QUOTED = 0.25
+QUOTED = 0.25  # share of a hit's weight that counts in a quotation
+EDITED = 0.9  # share that counts where the word is misspelled
 MEMO_WORDS = 1_000_000
 #: Characters cut from both ends of a word.
 EDGES = ".,;:!?\"'()[]{}|<>*_~`«»“”„‘’"
@@ -83,6 +84,8 @@ def _walk(node: dict, word: str, i: int, edits: int, found: list) -> None:
                 _walk(child, word, i, 0, found)  # a letter missing
                 if i < len(word) and c != word[i]:
                     _walk(child, word, i + 1, 0, found)  # another letter
+        if i + 1 < len(word) and (node := _descend(node, word[i + 1] + word[i])) is not None:
+            _walk(node, word, i + 2, 0, found)  # two letters swapped
 
 
 @dataclass
@@ -120,6 +123,9 @@ class Lexicon:
             node = _descend(self.backward, back[:len(word) - half])
             if node:
                 _walk(node, back, len(word) - half, 1, found)
+            swapped = word[:half - 1] + word[half] + word[half - 1] + word[half + 1:]  # across the halves
+            if len(swapped) >= self.fuzzy_from and swapped in self.weights:
+                found.append((swapped, self.weights[swapped]))
             if found:
                 return max(w for _, w in found), 1
         return 0.0, 0
@@ -169,7 +175,7 @@ class Reader:
         own = abuse = quoted = fuzzy = around = 0.0
         for i in places:
             weight, edits = self.hits[words[i]]
-            weight *= 0.7 if edits else 1.0
+            weight *= EDITED if edits else 1.0
             score = sum(self.context.get(w, 0.0) for w in self.window(words, i))
             if self.quoted(words, i):
                 quoted += weight
