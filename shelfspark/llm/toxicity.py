@@ -7,7 +7,8 @@ trie by a Levenshtein automaton of distance one, swapped neighbours included
 edit leaves one half of the word untouched, so the walk starts behind an
 untouched half.  Every hit is weighted by its context window: quoted hits count
 less, and words around hits carry learned weights for abuse or report.  A
-logistic model over the summed hits gives the score.
+logistic model over the summed hits gives the score; it is fitted on documents
+read with a lexicon that other documents taught, near copies teaching once.
 
 Only the classifier is fitted on a bounded sample: at most `max_toxic` and
 `max_clean` labelled documents, taken in hash order, whose crc32(doc_id) mod 5
@@ -38,8 +39,9 @@ from shelfspark.llm.common import SPACES, materialise, text_or_empty
 
 MAX_TOXIC, MAX_CLEAN = 8_000, 16_000
 LEXICON_TERMS = 3_000
-MIN_DOCUMENTS = 4  # toxic documents of the sample that a term needs
-MIN_LOG_ODDS = 2.0
+MIN_DOCUMENTS = 3  # toxic documents of the sample that a term needs
+MIN_LOG_ODDS = 3.0
+FUZZY_LOG_ODDS = 4.0  # that a term needs to be matched with an edit
 PREFIXES = (4, 5, 6)
 CONTEXT_WORDS = 3
 CONTEXT_TERMS = 2_000
@@ -102,7 +104,7 @@ class Lexicon:
         for term, weight in self.weights.items():
             if term.endswith("*"):
                 self.prefixes[term[:-1]] = weight
-            elif len(term) >= self.fuzzy_from:
+            elif len(term) >= self.fuzzy_from and weight >= FUZZY_LOG_ODDS:
                 _add(self.forward, term, (term, weight))
                 _add(self.backward, term[::-1], (term, weight))
 
@@ -124,7 +126,7 @@ class Lexicon:
             if node:
                 _walk(node, back, len(word) - half, 1, found)
             swapped = word[:half - 1] + word[half] + word[half - 1] + word[half + 1:]  # across the halves
-            if len(swapped) >= self.fuzzy_from and swapped in self.weights:
+            if len(swapped) >= self.fuzzy_from and self.weights.get(swapped, 0.0) >= FUZZY_LOG_ODDS:
                 found.append((swapped, self.weights[swapped]))
             if found:
                 return max(w for _, w in found), 1
@@ -197,19 +199,41 @@ def labelled(labels: DataFrame) -> DataFrame:
             .groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic")))
 
 
-def mine_lexicon(sample: DataFrame, n_toxic: int, n_clean: int, top: int = LEXICON_TERMS) -> dict[str, float]:
-    """Terms (words, beginnings) with their log odds, the most telling first."""
+def count_terms(sample: DataFrame) -> DataFrame:
+    """(term, fold, toxic documents a, clean documents b) over words and beginnings."""
     distinct = F.array_distinct(F.transform(F.split(F.lower("t"), SPACES), lambda w: F.btrim(w, F.lit(EDGES))))
     words = F.filter(distinct, lambda w: F.length(w) >= 3)
     terms = F.array_distinct(F.concat(words, *[_beginnings(words, n) for n in PREFIXES]))
-    counted = sample.select("toxic", F.explode(terms).alias("term")).groupBy("term").agg(F.sum("toxic").alias("a"), F.count_if(F.col("toxic") == 0).alias("b"))
+    exploded = sample.select("toxic", "fold", F.explode(terms).alias("term"))
+    return exploded.groupBy("term", "fold").agg(F.sum("toxic").alias("a"), F.count_if(F.col("toxic") == 0).alias("b"))
+
+
+def mine_lexicon(counted: DataFrame, n_toxic: int, n_clean: int, top: int = LEXICON_TERMS) -> dict[str, float]:
+    """Terms with their log odds, the most telling first."""
     a, b = F.col("a") + 0.5, F.col("b") + 0.5
     odds = F.log(a / (n_toxic + 1) / (b / (n_clean + 1)))
-    ranked = (counted.filter(F.col("a") >= MIN_DOCUMENTS).withColumn("odds", odds).filter(F.col("odds") >= MIN_LOG_ODDS)
+    ranked = (counted.groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+              .filter(F.col("a") >= MIN_DOCUMENTS).withColumn("odds", odds).filter(F.col("odds") >= MIN_LOG_ODDS)
               .orderBy(F.desc(F.col("odds") * F.col("a")), "term").limit(top))
     return {r["term"]: float(r["odds"]) for r in ranked.select("term", "odds").collect()}
 
 
+def without_copies(sample: DataFrame) -> DataFrame:
+    """The sample with one document of most families of near copies: those that
+    share a smallest five-word hash under one of three seeds teach once."""
+    hashes = F.transform(F.filter(F.split(F.lower("t"), SPACES), lambda w: w != ""), lambda w: F.xxhash64(w))
+    last = F.greatest(F.size("w") - 5, F.lit(0))
+
+    def smallest(seed: int) -> Column:
+        return F.array_min(F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.lit(seed), F.slice("w", i + 1, 5))))
+
+    keyed = materialise(sample.select("doc_id", hashes.alias("w")).select("doc_id", *[smallest(k).alias(f"k{k}") for k in range(3)]), "toxic-keys")
+    for k in range(3):
+        first = keyed.groupBy(f"k{k}").agg(F.min("doc_id").alias("doc_id"))
+        keyed = keyed.join(first, ["doc_id", f"k{k}"], "left_semi")
+    return sample.join(F.broadcast(keyed.select("doc_id").distinct()), "doc_id", "left_semi")  # ids of the bounded sample
+
+
 def _beginnings(words: Column, n: int) -> Column:
     longer = F.filter(words, lambda w: F.length(w) > n)
     return F.transform(longer, lambda w: F.concat(F.left(w, F.lit(n)), F.lit("*")))
@@ -219,7 +243,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Weights by Newton steps with a small ridge."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
-    ridge = np.diag([1e-2] * (x.shape[1] - 1) + [1e-6])
+    ridge = np.diag([0.3] * (x.shape[1] - 1) + [1e-6])
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         gradient = x.T @ (weight * (p - y)) + ridge @ w
@@ -234,38 +258,51 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
     order = [F.xxhash64("doc_id"), "doc_id"]
     chosen = known.filter("toxic = 1").orderBy(*order).limit(max_toxic).unionByName(known.filter("toxic = 0").orderBy(*order).limit(max_clean))
     # at most max_toxic + max_clean rows of two numbers
-    sample = materialise(docs.select("doc_id", text_or_empty().alias("t")).join(F.broadcast(chosen), "doc_id").select("toxic", "t"), "toxic-sample")
-    sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    if not sizes.get(1) or not sizes.get(0):
+    sample = materialise(docs.select("doc_id", text_or_empty().alias("t")).join(F.broadcast(chosen), "doc_id"), "toxic-labelled")
+    sample = materialise(without_copies(sample).withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int")), "toxic-sample")
+    sizes = {(r["toxic"], r["fold"]): r["n"] for r in sample.groupBy("toxic", "fold").agg(F.count("*").alias("n")).collect()}
+    toxic, clean = [[sizes.get((kind, fold), 0) for fold in (0, 1)] for kind in (1, 0)]
+    if not sum(toxic) or not sum(clean):
         return Model({}, {}, [], counts.get(1, 0) / max(1, sum(counts.values())))
-    lexicon = mine_lexicon(sample, sizes[1], sizes[0])
+    counted = materialise(count_terms(sample), "toxic-terms")
+    lexicon = mine_lexicon(counted, sum(toxic), sum(clean))
+    # what a document teaches must not judge it: each half is read with the other half's lexicon
+    halves = [mine_lexicon(counted.filter(F.col("fold") == 1 - f), toxic[1 - f], clean[1 - f]) for f in (0, 1)]
 
     def around(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Reader(lexicon, {})
+        readers = [Reader(half, {}) for half in halves]
         for batch in batches:
             rows = []
-            for toxic, text in zip(batch["toxic"], batch["t"], strict=True):
-                words, places = reader.places(text)
-                rows += [(w, int(toxic)) for i in places for w in set(reader.window(words, i)) | ({'"'} if reader.quoted(words, i) else set())]
-            yield pd.DataFrame(rows, columns=["w", "toxic"])
+            for kind, fold, text in zip(batch["toxic"], batch["fold"], batch["t"], strict=True):
+                words, places = readers[fold].places(text)
+                rows += [(w, int(fold), int(kind)) for i in places for w in set(readers[fold].window(words, i)) | ({'"'} if readers[fold].quoted(words, i) else set())]
+            yield pd.DataFrame(rows, columns=["w", "fold", "toxic"])
 
-    near = sample.mapInPandas(around, "w string, toxic int").groupBy("w").agg(F.sum("toxic").alias("a"), F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(CONTEXT_TERMS).collect()
-    total = sum(r["n"] for r in near) or 1
-    share = (sum(r["a"] for r in near) + 1) / (total + 2)
-    context = {r["w"]: max(-2.0, min(2.0, math.log((r["a"] + 5 * share) / (r["n"] - r["a"] + 5 * (1 - share)) * (1 - share) / share))) for r in near}
+    near = sample.mapInPandas(around, "w string, fold int, toxic int").groupBy("w").agg(
+        *[F.count_if((F.col("fold") == f) & (F.col("toxic") == t)).alias(f"n{f}{t}") for f in (0, 1) for t in (0, 1)], F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(CONTEXT_TERMS).collect()
+    context = _context_weights({r["w"]: (r["n01"] + r["n11"], r["n00"] + r["n10"]) for r in near})
+    contexts = [_context_weights({r["w"]: (r[f"n{1 - f}1"], r[f"n{1 - f}0"]) for r in near}) for f in (0, 1)]
 
     def numbers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Reader(lexicon, context)
+        readers = [Reader(half, around) for half, around in zip(halves, contexts, strict=True)]
         for batch in batches:
-            yield pd.DataFrame({"toxic": batch["toxic"], "x": [reader.features(t) for t in batch["t"]]})
+            yield pd.DataFrame({"toxic": batch["toxic"], "x": [readers[f].features(t) for f, t in zip(batch["fold"], batch["t"], strict=True)]})
 
     rows = sample.mapInPandas(numbers, "toxic int, x array<double>").collect()  # the bounded sample's numbers
     x, y = np.array([r["x"] for r in rows]), np.array([r["toxic"] for r in rows], float)
     # each class weighs as much as it has of all labels
-    weight = np.where(y == 1, counts[1] / sizes[1], counts[0] / sizes[0])
+    weight = np.where(y == 1, counts[1] / sum(toxic), counts[0] / sum(clean))
     return Model(lexicon, context, list(_logistic(x, y, weight * len(y) / weight.sum())))
 
 
+def _context_weights(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
+    """Log odds of hits with a word beside them against all hits, within two."""
+    toxic, clean = (sum(n[k] for n in counts.values()) + 1 for k in (0, 1))
+    share = toxic / (toxic + clean)
+    odds = {w: math.log((a + 5 * share) / (b + 5 * (1 - share)) * (1 - share) / share) for w, (a, b) in counts.items()}
+    return {w: max(-2.0, min(2.0, x)) for w, x in odds.items()}
+
+
 def score(model: Model):
     """A column function: text column -> probability that it is toxic."""
     if model.constant is not None:
