@@ -51,3 +51,18 @@ def maybe_in(df: DataFrame, key: str, keys: DataFrame, bits: int = 20) -> DataFr
     buckets = keys.select(hash_bucket(F.col(key), bits).alias("__bucket")).distinct()
     return (df.withColumn("__bucket", hash_bucket(F.col(key), bits))
             .join(F.broadcast(buckets), "__bucket", "left_semi").drop("__bucket"))
+
+
+def most_frequent(counted: DataFrame, count: str, most: int) -> DataFrame:
+    """The rows of the highest counts, at most `most` of them: counts fall into
+    steps of an eighth power of two, and whole steps are taken from the top, so
+    that what is collected stays below `most` rows however large the table."""
+    step = F.floor(F.log2(F.col(count)) * 8)
+    sizes = counted.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()  # at most 504 rows
+    least, total = None, 0
+    for row in sorted(sizes, key=lambda r: -r["step"]):
+        total += row["n"]
+        if total > most:
+            break
+        least = row["step"]
+    return counted.filter(step >= least) if least is not None else counted.limit(0)

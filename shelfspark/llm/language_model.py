@@ -54,10 +54,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import materialise, text_or_empty
+from shelfspark.llm.common import materialise, most_frequent, text_or_empty
 
-BLOCK_TOKENS = 2_000_000
-PART_TOKENS = 2_500_000  # of a partition of histories
+BLOCK_TOKENS = 800_000
+PART_TOKENS = 1_200_000  # of a partition of histories
 HEAD_WORDS = 131_072
 COUNTER_WORDS = 500_000
 KATZ = 5  # counts above are not discounted
@@ -181,7 +181,7 @@ def unigrams(table: DataFrame, texts: int) -> Unigrams:
     n = stats["n"] + texts
     left = sum((1 - d[r - 1]) * r * n_r[r] for r in range(1, KATZ + 1))
     total = n if left > 0 else n + 1
-    head = table.orderBy(F.desc("c"), "word").limit(HEAD_WORDS).select("h", "c").toPandas()
+    head = most_frequent(table.select("h", "c"), "c", HEAD_WORDS).toPandas()
     order = np.argsort(head["h"].to_numpy().view(np.uint64))
     return Unigrams(n, stats["v"] + (texts > 0), texts, d, (left if left > 0 else 1) / total, total,
                     head["h"].to_numpy().view(np.uint64)[order], head["c"].to_numpy()[order].astype(np.int64), max(HOT_LEAST, n // HOT_SHARE))
