@@ -24,6 +24,8 @@ from __future__ import annotations
 import heapq
 import json
 import mmap
+import sys
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -35,7 +37,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import scratch, text_or_empty
+from shelfspark.llm.common import materialise, most_frequent, scratch, text_or_empty
 
 LEXICON_WORDS = 65_536
 COUNTER_WORDS = 500_000  # distinct words a task holds before it hands its counts on
@@ -60,10 +62,18 @@ class Merges:
     def __init__(self, spec: str) -> None:
         parsed = json.loads(spec)
         model = parsed["model"]
-        self.spec, self.vocab, self.end = spec, model["vocab"], model["end_of_word_suffix"] or ""
-        self.ranks = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(model["merges"])}
+        vocab, end = model["vocab"], model["end_of_word_suffix"] or ""
+        self.spec, self.size = spec, len(vocab)
+        # a pair of ids as one number -> its rank, and the id it merges to
+        self.ranks, self.merged = {}, {}
+        for rank, m in enumerate(model["merges"]):
+            left, right = m if isinstance(m, list) else m.split(" ")
+            pair = vocab[left] * self.size + vocab[right]
+            self.ranks[pair], self.merged[pair] = rank, vocab[left + right]
+        self.single = [vocab[c] for c in byte_chars()]
+        self.last = [vocab[c + end] for c in byte_chars()]
         self.special = {t["content"]: t["id"] for t in parsed["added_tokens"]}
-        self.names = {i: t for t, i in (self.vocab | self.special).items()}
+        self.names = {i: t for t, i in (vocab | self.special).items()}
         self.special_at = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self._library = None
 
@@ -80,41 +90,49 @@ class Merges:
         return [bytes(map(self._bytes.__getitem__, p)).decode() for p, _ in pieces]
 
     def merge(self, word: str) -> list[int]:
-        chars = byte_chars()
-        symbols = [chars[b] for b in word.encode()]
-        symbols[-1] += self.end
-        done = self._few(symbols) if len(symbols) <= 64 else self._many(symbols)
-        return [self.vocab[s] for s in done]
-
-    def _few(self, symbols: list[str]) -> list[str]:
-        ranks = self.ranks
-        while len(symbols) > 1:
-            rank, at = min((ranks.get(p, 1 << 30), i) for i, p in enumerate(zip(symbols, symbols[1:], strict=False)))
-            if rank == 1 << 30:
-                break
-            symbols[at:at + 2] = [symbols[at] + symbols[at + 1]]
-        return symbols
-
-    def _many(self, symbols: list[str]) -> list[str]:
+        data = word.encode()
+        ids = [*map(self.single.__getitem__, data[:-1]), self.last[data[-1]]]
+        return self._few(ids) if len(ids) <= 64 else self._many(ids)
+
+    def _few(self, ids: list[int]) -> list[int]:
+        size, none = self.size, 1 << 30
+        rank, merged = self.ranks.get, self.merged
+        ranks = [rank(a * size + b, none) for a, b in zip(ids, ids[1:], strict=False)]
+        while ranks and (best := min(ranks)) < none:
+            at = ranks.index(best)
+            ids[at:at + 2] = [merged[ids[at] * size + ids[at + 1]]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = rank(ids[at - 1] * size + ids[at], none)
+            if at < len(ranks):
+                ranks[at] = rank(ids[at] * size + ids[at + 1], none)
+        return ids
+
+    def _many(self, ids: list[int]) -> list[int]:
         """The same merges by a queue, for words of any length."""
-        n = len(symbols)
-        after, before, own = [*range(1, n), -1], [*range(-1, n - 1)], list(symbols)
-        queue = [(r, i, s) for i in range(n - 1) if (r := self.ranks.get(s := (own[i], own[i + 1]))) is not None]
+        n, size = len(ids), self.size
+        after, before, own = [*range(1, n), -1], [*range(-1, n - 1)], list(ids)
+
+        def entry(i: int, j: int) -> tuple[int, int, int] | None:
+            pair = own[i] * size + own[j]
+            return (self.ranks[pair], i, pair) if pair in self.ranks else None
+
+        queue = [e for i in range(n - 1) if (e := entry(i, i + 1))]
         heapq.heapify(queue)
         while queue:
             _, i, pair = heapq.heappop(queue)
             j = after[i]
-            if own[i] is None or j < 0 or (own[i], own[j]) != pair:
+            if own[i] < 0 or j < 0 or own[i] * size + own[j] != pair:
                 continue
-            own[i], own[j] = own[i] + own[j], None
+            own[i], own[j] = self.merged[pair], -1
             after[i] = k = after[j]
             if k >= 0:
                 before[k] = i
-                if (r := self.ranks.get(s := (own[i], own[k]))) is not None:
-                    heapq.heappush(queue, (r, i, s))
-            if (h := before[i]) >= 0 and (r := self.ranks.get(s := (own[h], own[i]))) is not None:
-                heapq.heappush(queue, (r, h, s))
-        return [s for s in own if s is not None]
+                if e := entry(i, k):
+                    heapq.heappush(queue, e)
+            if (h := before[i]) >= 0 and (e := entry(h, i)):
+                heapq.heappush(queue, e)
+        return [i for i in own if i >= 0]
 
     def decode(self, ids: Iterable[int]) -> str:
         return " ".join(map(self.names.__getitem__, ids))
@@ -164,39 +182,44 @@ def compile_lexicon(entries: dict[str, list[int]]) -> bytes:
         below[i] = count
         first.append(len(labels))
     offsets = np.cumsum([0, *(len(ids) for _, ids in words)])
-    arrays = [np.array([len(states) - 1]), np.array(first), np.array(labels), np.array(targets), np.array(skips), np.array([f for f, _ in states]), offsets, np.array([i for _, ids in words for i in ids])]
-    arrays = [a.astype("<u4") for a in arrays]
-    return np.array([len(a) for a in arrays], "<u4").tobytes() + b"".join(a.tobytes() for a in arrays)
+    numbers = [[len(states) - 1], first, targets, skips, [int(f) for f, _ in states], offsets, [i for _, ids in words for i in ids]]
+    numbers = [np.array(x, "<u4") for x in numbers]
+    return np.array([len(labels), *map(len, numbers)], "<u4").tobytes() + b"".join(x.tobytes() for x in numbers) + bytes(labels)
 
 
 class Lexicon:
     """A compiled lexicon over a buffer, for instance a memory-mapped file."""
 
-    def __init__(self, buffer) -> None:
-        sizes = np.frombuffer(buffer, "<u4", 8)
-        at, arrays = 32, []
-        for n in sizes:
-            arrays.append(np.frombuffer(buffer, "<u4", int(n), at))
-            at += 4 * int(n)
-        self.root, self.first, self.labels, self.targets, self.skips, self.final, self.offsets, self.ids = arrays
+    def __init__(self, buffer: bytes | mmap.mmap) -> None:
+        view = memoryview(buffer)
+        sizes = view[:32].cast("I")
+        at, numbers = 32, []
+        for n in sizes[1:]:
+            numbers.append(view[at:at + 4 * n].cast("I"))
+            at += 4 * n
+        root, self.first, self.targets, self.skips, self.final, self.offsets, self.ids = numbers
+        self.root, self.labels, self.find = root[0], at, buffer.find
 
     @classmethod
     def open(cls, path: str) -> Lexicon:
         with open(path, "rb") as f:
             return cls(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
-    def get(self, word: str) -> np.ndarray | None:
-        state, number = int(self.root[0]), 0
-        for b in word.encode():
-            low, high = int(self.first[state]), int(self.first[state + 1])
-            edge = low + int(self.labels[low:high].searchsorted(b))
-            if edge == high or self.labels[edge] != b:
+    def get(self, word: str) -> list[int] | None:
+        state, number, base = self.root, 0, self.labels
+        first, find = self.first, self.find
+        for label in map(_ONE.__getitem__, word.encode()):
+            edge = find(label, base + first[state], base + first[state + 1]) - base
+            if edge < 0:
                 return None
-            number += int(self.skips[edge])
-            state = int(self.targets[edge])
+            number += self.skips[edge]
+            state = self.targets[edge]
         if not self.final[state]:
             return None
-        return self.ids[self.offsets[number]:self.offsets[number + 1]]
+        return self.ids[self.offsets[number]:self.offsets[number + 1]].tolist()
+
+
+_ONE = [bytes([b]) for b in range(256)]
 
 
 def vocabulary(path: str | None = None) -> str:
@@ -210,7 +233,7 @@ def vocabulary(path: str | None = None) -> str:
 
 
 def frequent_words(docs: DataFrame, spec, top: int) -> list[str]:
-    """The `top` most frequent words of all texts."""
+    """The most frequent words of all texts, at most `top`."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges, counts = Merges(spec.value), Counter()
@@ -224,8 +247,8 @@ def frequent_words(docs: DataFrame, spec, top: int) -> list[str]:
             yield pa.RecordBatch.from_pydict({"word": list(counts), "n": list(counts.values())})
 
     counted = docs.select(text_or_empty().alias("t")).mapInArrow(count, "word string, n long")
-    best = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(top)
-    return [r["word"] for r in best.collect()]
+    totals = materialise(counted.groupBy("word").agg(F.sum("n").alias("n")), "bpe-words")
+    return [r["word"] for r in most_frequent(totals, "n", top).select("word").collect()]
 
 
 def share_file(spark: SparkSession, data: bytes, name: str) -> str:
@@ -241,6 +264,51 @@ def share_file(spark: SparkSession, data: bytes, name: str) -> str:
     return path.getName()
 
 
+def _little(ids: list[int]) -> bytes:
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
+class Encoder:
+    """Encodes with a lexicon; remembers words, between the tasks of a worker too."""
+
+    def __init__(self, merges: Merges, known: Lexicon) -> None:
+        self.merges, self.known = merges, known
+        self.memo: dict[str, tuple[bytes, str]] = {}
+
+    def _add(self, word: str) -> tuple[bytes, str]:
+        ids = self.known.get(word) or self.merges.merge(word)
+        if len(self.memo) >= MEMO_WORDS:
+            self.memo.clear()
+        self.memo[word] = found = (_little(ids), self.merges.decode(ids))
+        return found
+
+    def pieces(self, text: str) -> list[tuple[bytes, str]]:
+        """For each word its ids, little-endian, and what they decode to."""
+        merges, get, add = self.merges, self.memo.get, self._add
+        if not merges.special_at or not merges.special_at.search(text):
+            return [get(w) or add(w) for w in merges.words(text)]
+        out, at = [], 0
+        for m in merges.special_at.finditer(text):
+            out += [get(w) or add(w) for w in merges.words(text[at:m.start()])]
+            out.append((_little([merges.special[m[0]]]), m[0]))
+            at = m.end()
+        return out + [get(w) or add(w) for w in merges.words(text[at:])]
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def _encoder(lexicon: str, spec) -> Encoder:
+    """The worker's encoder for a lexicon file; the last one is kept."""
+    if lexicon not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[lexicon] = Encoder(Merges(spec.value), Lexicon.open(SparkFiles.get(lexicon)))
+    return _ENCODERS[lexicon]
+
+
 def encode(docs: DataFrame, path: str | None = None, lexicon_words: int = LEXICON_WORDS) -> DataFrame:
     """(doc_id, ids, decoded): `ids` are little-endian unsigned 32-bit integers."""
     spark = docs.sparkSession
@@ -249,34 +317,13 @@ def encode(docs: DataFrame, path: str | None = None, lexicon_words: int = LEXICO
     lexicon = share_file(spark, compile_lexicon({w: merges.merge(w) for w in frequent_words(docs, spec, lexicon_words)}), "bpe-lexicon")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges, known = Merges(spec.value), Lexicon.open(SparkFiles.get(lexicon))
-        memo: dict[str, tuple[bytes, str]] = {}
-
-        def both(word: str) -> tuple[bytes, str]:
-            ids = known.get(word)
-            if ids is None:
-                ids = merges.merge(word)
-            if len(memo) >= MEMO_WORDS:
-                memo.clear()
-            memo[word] = found = (np.array(ids, "<u4").tobytes(), merges.decode(map(int, ids)))
-            return found
-
-        def pieces(text: str) -> Iterator[tuple[bytes, str]]:
-            at = 0
-            for m in merges.special_at.finditer(text) if merges.special_at else ():
-                for w in merges.words(text[at:m.start()]):
-                    yield memo.get(w) or both(w)
-                yield np.array([merges.special[m[0]]], "<u4").tobytes(), m[0]
-                at = m.end()
-            for w in merges.words(text[at:]):
-                yield memo.get(w) or both(w)
-
+        encoder = _encoder(lexicon, spec)
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
-                done = [list(pieces(t)) for t in part["t"].to_pylist()]
+                done = [encoder.pieces(t) for t in part["t"].to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"], pa.array([b"".join(p[0] for p in d) for d in done], pa.binary()), pa.array([" ".join(p[1] for p in d) for d in done], pa.string())],
+                    [part["doc_id"], pa.array([b"".join([p[0] for p in d]) for d in done], pa.binary()), pa.array([" ".join([p[1] for p in d]) for d in done], pa.string())],
                     names=["doc_id", "ids", "decoded"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("t")).mapInArrow(run, "doc_id long, ids binary, decoded string")
