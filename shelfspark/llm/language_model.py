@@ -56,12 +56,13 @@ from pyspark.sql import functions as F
 
 from shelfspark.llm.common import materialise, most_frequent, text_or_empty
 
-BLOCK_TOKENS = 800_000
-PART_TOKENS = 1_200_000  # of a partition of histories
+BLOCK_TOKENS = 400_000
+PART_TOKENS = 900_000  # of a partition of histories
 HEAD_WORDS = 131_072
-COUNTER_WORDS = 500_000
+COUNTER_WORDS = 200_000
 KATZ = 5  # counts above are not discounted
 HOT_SHARE, HOT_LEAST = 2048, 1000
+FIXED = float(1 << 24)  # partial sums travel as whole multiples of 1 / FIXED
 START, END = 1, 2  # hashes of the text's start and end
 MOST_DOCS = 65_535  # documents of a block
 
@@ -295,7 +296,8 @@ def _score_part(rows: pd.DataFrame, known: Unigrams) -> Iterator[tuple]:
     followers = np.add.reduceat(np.where(seen, p_w, 0.0), h_at)
     exists = c_h > 0
     yield "histories", 0, _pack((own_h[exists], c_h[exists], m_h[exists], *[s[exists] for s in small], followers[exists]))
-    yield "bigrams", 0, _pack((own_h, fan, pair_w, c_pair, seen & ~here))
+    place = np.where(there, at + 1, np.where(pair_w == END, len(known.head) + 1, 0)).astype(np.uint32)
+    yield "bigrams", 0, _pack((own_h, _planes(fan), _planes(place), pair_w[place == 0], _planes(c_pair)))
     yield "counts", 0, _pack(np.bincount(np.minimum(c_pair, KATZ + 2), minlength=KATZ + 3))
 
     # per entry
@@ -307,8 +309,10 @@ def _score_part(rows: pd.DataFrame, known: Unigrams) -> Iterator[tuple]:
         gain = np.where(seen, np.where(r > KATZ, np.log10(np.maximum(r, 1)), 0.0) - np.log10(np.maximum(m_h[h_of_pair], 1)), np.where(here, np.log10(np.where(here, p_w, 1.0)), 0.0))
     total = lambda x: np.bincount(doc, per(x) * count, minlength=offset)
     sums = np.stack([total(np.where(real, np.log10(c_own + 1), 0.0)), total(real & exists[h_of_pair]), total(gain), *[total(r == k) for k in range(1, KATZ + 1)]])
+    sums[[0, 2]] *= FIXED
+    sums = np.round(sums).astype(np.int64)
     for block, low, n in blocks:
-        yield "sums", block, _pack(sums[:, low:low + n])
+        yield "sums", block, _pack(_planes(sums[:, low:low + n].reshape(-1).copy()))
 
     # unseen pairs: the history's weight, and the word's probability if it is rare
     unseen = per(~seen)
@@ -335,8 +339,11 @@ def _unpacked(table: DataFrame, kind: str, schema: str, names: list[str], take=l
 
 
 def _rare_followers(bigrams) -> list[np.ndarray]:
-    own_h, fan, w, _, rare = bigrams
-    return [np.repeat(own_h, fan)[rare], w[rare]]
+    """(h, w) of the seen pairs whose word is not in the head."""
+    own_h, fan, place, rare, counts = bigrams
+    is_rare, counts = _from_planes(place) == 0, _from_planes(counts)
+    seen = counts[is_rare] > 0
+    return [np.repeat(own_h, _from_planes(fan))[is_rare][seen], rare[seen]]
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -408,11 +415,13 @@ def score(docs: DataFrame) -> DataFrame:
 
     def gather(rows: pd.DataFrame) -> pd.DataFrame:
         ids, held, lens = _unpack(rows.loc[rows["kind"] == "docs", "blob"].iloc[0])
-        s = sum((_unpack(b) for b in rows.loc[rows["kind"] == "sums", "blob"]), np.zeros((3 + KATZ, len(ids))))
+        s = np.zeros((3 + KATZ, len(ids)), np.int64)
+        for blob in rows.loc[rows["kind"] == "sums", "blob"]:
+            s += _from_planes(_unpack(blob)).reshape(s.shape)
         return pd.DataFrame({
             "block": rows["block"].iloc[0], "doc": np.arange(len(ids)), "doc_id": pd.array(ids, "Int64"), "held_out": held, "n_tokens": lens + 1,
-            "n_known": s[1].round().astype(np.int64) + (texts > 0), "train_tokens": n,
-            "base_score": s[0] + math.log10(texts + 1) - (lens + 1) * base_total, "partial": s[2] + constants @ s[3:]})
+            "n_known": s[1] + (texts > 0), "train_tokens": n,
+            "base_score": s[0] / FIXED + math.log10(texts + 1) - (lens + 1) * base_total, "partial": s[2] / FIXED + constants @ s[3:]})
 
     gathered = tables.filter("kind in ('docs', 'sums')").groupBy("block").applyInPandas(
         gather, "block long, doc long, doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, partial double")
