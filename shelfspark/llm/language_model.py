@@ -62,7 +62,7 @@ HEAD_WORDS = 131_072
 COUNTER_WORDS = 200_000
 KATZ = 5  # counts above are not discounted
 HOT_SHARE, HOT_LEAST = 2048, 1000
-FIXED = float(1 << 24)  # partial sums travel as whole multiples of 1 / FIXED
+FIXED = float(1 << 34)  # partial sums travel as whole multiples of 1 / FIXED
 START, END = 1, 2  # hashes of the text's start and end
 MOST_DOCS = 65_535  # documents of a block
 
