@@ -4,7 +4,7 @@ import corpus_pipeline
 from shelfspark.llm import bpe, decontaminate, exact_dedup, near_dedup, toxicity
 from shelfspark.llm.common import table
 
-from tests.llm.test_dedup import exact_brute, overlap_brute
+from llm.test_dedup import exact_brute, overlap_brute
 
 SF = "/root/testdata/sf0.001"
 
