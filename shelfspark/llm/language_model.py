@@ -57,7 +57,7 @@ from pyspark.sql import functions as F
 from shelfspark.llm.common import materialise, most_frequent, text_or_empty
 
 BLOCK_TOKENS = 400_000
-PART_TOKENS = 900_000  # of a partition of histories
+PART_TOKENS = 1_300_000  # of a partition of histories
 HEAD_WORDS = 131_072
 COUNTER_WORDS = 200_000
 KATZ = 5  # counts above are not discounted
