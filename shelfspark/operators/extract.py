@@ -148,8 +148,13 @@ def _vstr(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "string")
 
 
-def _truthy(s: Column) -> Column:
-    return F.when(s.isNotNull() & ~s.isin("", "0", "false"), s)
+def _truthy(v: Column, path: str) -> Column:
+    """Text of a JSON value; NULL where it is missing, null, false, the number
+    zero or the empty text.  The texts "0" and "false" are values."""
+    text = _vstr(v, path)
+    is_text = F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING"
+    zero = F.coalesce(F.try_variant_get(v, path, "double") == 0, F.lit(False))
+    return F.when((text != "") & (is_text | ~(zero | (text == "false"))), text)
 
 
 def _is_type(n: Column, t: str) -> Column:
@@ -177,7 +182,7 @@ def _image_values(img: Column) -> Column:
     """JSON-LD image value -> list of strings (string / array / object)."""
     items = F.coalesce(F.try_variant_get(img, "$", "array<variant>"), F.array(img))
     vals = F.transform(items, lambda it: F.coalesce(
-        _truthy(_vstr(it, "$.url")), _truthy(_vstr(it, "$.contentUrl")), _truthy(_vstr(it, "$.src")),
+        _truthy(it, "$.url"), _truthy(it, "$.contentUrl"), _truthy(it, "$.src"),
         F.when(F.schema_of_variant(it) == "STRING", _vstr(it, "$"))))
     return F.filter(vals, lambda v: v.isNotNull() & (v != ""))
 
@@ -198,9 +203,9 @@ def extraction(pages: DataFrame) -> DataFrame:
               _base=base_parts("url"))
     p = fence(p,
               _prod=F.coalesce(F.try_element_at(F.filter("_nodes", lambda n: _is_type(n, "Product")), F.lit(1)),
-                               F.try_element_at(F.filter("_nodes", lambda n: _truthy(_vstr(n, "$.sku")).isNotNull()
-                                                         | _truthy(_vstr(n, "$.offers")).isNotNull()
-                                                         | _truthy(_vstr(n, "$.image")).isNotNull()), F.lit(1))),
+                               F.try_element_at(F.filter("_nodes", lambda n: _truthy(n, "$.sku").isNotNull()
+                                                         | _truthy(n, "$.offers").isNotNull()
+                                                         | _truthy(n, "$.image").isNotNull()), F.lit(1))),
               _bc=F.try_element_at(F.filter("_nodes", lambda n: _is_type(n, "BreadcrumbList")), F.lit(1)))
     prod = F.col("_prod")
     offer = F.coalesce(F.try_element_at(F.try_variant_get(prod, "$.offers", "array<variant>"), F.lit(1)),
@@ -212,24 +217,24 @@ def extraction(pages: DataFrame) -> DataFrame:
 
     items = F.try_variant_get(F.col("_bc"), "$.itemListElement", "array<variant>")
     crumbs = F.filter(F.transform(items, lambda it: F.coalesce(
-        _truthy(_vstr(it, "$.name")), _truthy(_vstr(it, "$.item.name")), _truthy(_vstr(it, "$.item")))),
+        _truthy(it, "$.name"), _truthy(it, "$.item.name"), _truthy(it, "$.item"))),
         lambda x: x.isNotNull())
-    brand_obj_name = _truthy(_vstr(prod, "$.brand.name"))
+    brand_obj_name = _truthy(prod, "$.brand.name")
     brand_str = F.when(F.schema_of_variant(F.try_variant_get(prod, "$.brand", "variant")) == "STRING",
                        _vstr(prod, "$.brand"))
     ld_images = _image_values(F.try_variant_get(prod, "$.image", "variant"))
-    images = F.when(_truthy(_vstr(prod, "$.image")).isNotNull(), ld_images).otherwise(sel["images"])
+    images = F.when(_truthy(prod, "$.image").isNotNull(), ld_images).otherwise(sel["images"])
     body = F.regexp_replace(F.regexp_extract("html", BODY_RE, 1), "<[^>]+>", "")
     canonical_href = F.regexp_extract("html", CANONICAL_RE, 1)
     out = p.select(
         "page_id", "url", "category", "_base",
-        F.coalesce(_truthy(_vstr(prod, "$.name")), first("name"), F.lit("")).alias("name"),
-        F.coalesce(_truthy(_vstr(prod, "$.description")), first("description"), F.lit("")).alias("description"),
-        F.coalesce(_truthy(_vstr(prod, "$.sku")), _truthy(_vstr(prod, "$.mpn")), first("sku"), F.lit("")).alias("sku"),
-        F.coalesce(brand_obj_name, _truthy(brand_str), F.lit("")).alias("brand"),
-        F.coalesce(_truthy(_vstr(offer, "$.price")), _truthy(_vstr(offer, "$.lowPrice")), first("price"),
+        F.coalesce(_truthy(prod, "$.name"), first("name"), F.lit("")).alias("name"),
+        F.coalesce(_truthy(prod, "$.description"), first("description"), F.lit("")).alias("description"),
+        F.coalesce(_truthy(prod, "$.sku"), _truthy(prod, "$.mpn"), first("sku"), F.lit("")).alias("sku"),
+        F.coalesce(brand_obj_name, F.nullif(brand_str, F.lit("")), F.lit("")).alias("brand"),
+        F.coalesce(_truthy(offer, "$.price"), _truthy(offer, "$.lowPrice"), first("price"),
                    F.lit("")).alias("price"),
-        normalize_currency(F.coalesce(_truthy(_vstr(offer, "$.priceCurrency")), first("currency"),
+        normalize_currency(F.coalesce(_truthy(offer, "$.priceCurrency"), first("currency"),
                                       infer_currency(F.coalesce(first("price"), F.lit(""))))).alias("currency"),
         F.filter(images, likely_product_image).alias("images"),
         F.when(F.col("_bc").isNotNull(), F.coalesce(crumbs, F.array().cast("array<string>")))
@@ -251,7 +256,7 @@ def format_category_label(col) -> Column:
     c = F.regexp_replace(c, r"(?i)\.[a-z0-9]+$", "")
     c = F.trim(F.regexp_replace(c, r"(?i)\b(cgid|pid)\b.*$", ""))
     words = F.filter(F.split(c, " "), lambda w: w != "")
-    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 20))), " ")
+    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))), " ")
 
 
 def category_path_from_url(url) -> Column:

@@ -45,10 +45,6 @@ def dom_breadcrumb(html: str) -> str:
     return f"coalesce({', '.join(outs)}, []::VARCHAR[])"
 
 
-def truthy(x: str) -> str:
-    return f"(CASE WHEN {x} IS NOT NULL AND {x} NOT IN ('', '0', 'false') THEN {x} END)"
-
-
 def js(n: str, key: str) -> str:
     """String of ``n.key`` (key may be a dotted path)."""
     path = "$." + ".".join(f'"{k}"' for k in key.split("."))
@@ -60,6 +56,13 @@ def jv(n: str, key: str) -> str:
     return f"json_extract({n}, {Q.lit(path)})"
 
 
+def truthy(n: str, key: str) -> str:
+    """Missing, null, false, zero and empty texts are skipped; other texts stay."""
+    text = js(n, key)
+    return (f"(CASE WHEN {text} <> '' AND (json_type({jv(n, key)}) = 'VARCHAR' OR "
+            f"({text} <> 'false' AND coalesce(try_cast({text} AS DOUBLE) <> 0, true))) THEN {text} END)")
+
+
 def is_type(n: str, t: str) -> str:
     ty = jv(n, "@type")
     return (f"(coalesce({js(n, '@type')} = {Q.lit(t)}, false) OR coalesce(json_type({ty}) = 'ARRAY' AND "
@@ -80,8 +83,8 @@ def extraction_ctes() -> list[str]:
          "THEN [json_extract(j, '$.\"@graph\"')] ELSE [j] END AS l FROM s2))"),
         ("nodes AS (SELECT * FROM s3 WHERE n IS NOT NULL AND json_type(n) <> 'NULL')"),
         (f"pnode AS (SELECT page_id, coalesce(arg_min(n, si * 1000000 + i1 * 1000 + i2) FILTER (WHERE {is_type('n', 'Product')}), "
-         f"arg_min(n, si * 1000000 + i1 * 1000 + i2) FILTER (WHERE {truthy(js('n', 'sku'))} IS NOT NULL OR "
-         f"{truthy(js('n', 'offers'))} IS NOT NULL OR {truthy(js('n', 'image'))} IS NOT NULL)) AS prod, "
+         f"arg_min(n, si * 1000000 + i1 * 1000 + i2) FILTER (WHERE {truthy('n', 'sku')} IS NOT NULL OR "
+         f"{truthy('n', 'offers')} IS NOT NULL OR {truthy('n', 'image')} IS NOT NULL)) AS prod, "
          f"arg_min(n, si * 1000000 + i1 * 1000 + i2) FILTER (WHERE {is_type('n', 'BreadcrumbList')}) AS bc "
          "FROM nodes GROUP BY page_id)"),
     ]
@@ -94,29 +97,29 @@ def extraction_ctes() -> list[str]:
              f"ELSE {jv('prod', 'offers')} END)")
     img = jv("prod", "image")
     items = f"(CASE WHEN json_type({img}) = 'ARRAY' THEN json_extract({img}, '$[*]') ELSE [{img}] END)"
-    ld_images = (f"list_filter(list_transform({items}, lambda it: coalesce({truthy(js('it', 'url'))}, "
-                 f"{truthy(js('it', 'contentUrl'))}, {truthy(js('it', 'src'))}, "
+    ld_images = (f"list_filter(list_transform({items}, lambda it: coalesce({truthy('it', 'url')}, "
+                 f"{truthy('it', 'contentUrl')}, {truthy('it', 'src')}, "
                  f"CASE WHEN json_type(it) = 'VARCHAR' THEN json_extract_string(it, '$') END)), "
                  "lambda v: v IS NOT NULL AND v <> '')")
     excl = " OR ".join(f"contains(lower(v), {Q.lit(t)})" for t in E.EXCLUDED_IMAGE_TOKENS)
     crumbs = (f"list_filter(list_transform(json_extract({jv('bc', 'itemListElement')}, '$[*]'), lambda it: coalesce("
-              f"{truthy(js('it', 'name'))}, {truthy(js('it', 'item.name'))}, {truthy(js('it', 'item'))})), "
+              f"{truthy('it', 'name')}, {truthy('it', 'item.name')}, {truthy('it', 'item')})), "
               "lambda x: x IS NOT NULL)")
     brand_str = f"(CASE WHEN json_type({jv('prod', 'brand')}) = 'VARCHAR' THEN {js('prod', 'brand')} END)"
     body = Q.rx_replace(Q.rx_extract("html", E.BODY_RE, 1), "<[^>]+>", "")
-    offer_currency = truthy(js(offer, "priceCurrency"))
+    offer_currency = truthy(offer, "priceCurrency")
     price_sign = RQ.infer_currency(f"coalesce({first('price')}, '')")
     currency = RQ.normalize_currency(f"coalesce({offer_currency}, {first('currency')}, {price_sign})")
     ex = (
         "ex0 AS (SELECT f.page_id, f.url, f.category, f.html, pn.prod, pn.bc FROM f3 f LEFT JOIN pnode pn USING (page_id))",
         (f"ex AS (SELECT page_id, url, category, "
-         f"coalesce({truthy(js('prod', 'name'))}, {first('name')}, '') AS name, "
-         f"coalesce({truthy(js('prod', 'description'))}, {first('description')}, '') AS description, "
-         f"coalesce({truthy(js('prod', 'sku'))}, {truthy(js('prod', 'mpn'))}, {first('sku')}, '') AS sku, "
-         f"coalesce({truthy(js('prod', 'brand.name'))}, {truthy(brand_str)}, '') AS brand, "
-         f"coalesce({truthy(js(offer, 'price'))}, {truthy(js(offer, 'lowPrice'))}, {first('price')}, '') AS price, "
+         f"coalesce({truthy('prod', 'name')}, {first('name')}, '') AS name, "
+         f"coalesce({truthy('prod', 'description')}, {first('description')}, '') AS description, "
+         f"coalesce({truthy('prod', 'sku')}, {truthy('prod', 'mpn')}, {first('sku')}, '') AS sku, "
+         f"coalesce({truthy('prod', 'brand.name')}, nullif({brand_str}, ''), '') AS brand, "
+         f"coalesce({truthy(offer, 'price')}, {truthy(offer, 'lowPrice')}, {first('price')}, '') AS price, "
          f"{currency} AS currency, "
-         f"list_filter(CASE WHEN {truthy(js('prod', 'image'))} IS NOT NULL THEN {ld_images} ELSE {sel['images']} END, "
+         f"list_filter(CASE WHEN {truthy('prod', 'image')} IS NOT NULL THEN {ld_images} ELSE {sel['images']} END, "
          f"lambda v: v <> '' AND NOT ({excl})) AS images, "
          f"CASE WHEN bc IS NOT NULL THEN coalesce({crumbs}, []::VARCHAR[]) ELSE {dom_breadcrumb('html')} END AS breadcrumb, "
          f"{decode(body)} AS body_text, trim({decode(Q.rx_extract('html', E.TITLE_RE, 1))}) AS title, "
