@@ -55,12 +55,14 @@ def primary_path() -> Column:
     return F.when((cp != "") & F.array_contains(allp, cp), cp).otherwise(F.try_element_at(allp, F.lit(1)))
 
 
-def category_assignments(products: DataFrame, tree: DataFrame | None = None) -> DataFrame:
-    """``(site, product_id, category_id, path, primary)``: ``all``, each leaf
-    path and each strict ancestor, resolved against the site's tree (paths
-    with no node are dropped)."""
-    tree = category_tree(products) if tree is None else tree
-    p = products.select("site", "product_id", "all_category_paths", primary_path().alias("primary_path"))
+def category_assignments(products: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(site, product_id, category_id, path, primary, ord)`` and the columns
+    of ``carry``: ``all``, each leaf path and each strict ancestor.
+
+    A site's tree holds every prefix of its products' trimmed paths, so a path
+    has a node exactly if it equals its own trimmed, re-joined segments; no
+    join is needed, and rows of one product stay its own."""
+    p = products.select("site", "product_id", *carry, "all_category_paths", primary_path().alias("primary_path"))
     leaves = F.filter(F.array_distinct(F.concat(F.array("primary_path"), "all_category_paths")),
                       lambda x: x.isNotNull() & (x != ""))
     p = p.withColumn("leaves", leaves)
@@ -70,15 +72,12 @@ def category_assignments(products: DataFrame, tree: DataFrame | None = None) ->
         F.transform(F.filter(F.sequence(F.lit(0), F.size(_segments(leaf)) - 1), lambda i: i > 0),
                     lambda i: F.array_join(F.slice(_segments(leaf), 1, i), " > ")))))
     paths = F.array_distinct(F.concat(F.array(F.lit(ALL_PRODUCTS)), expanded))
-    rows = p.select("site", "product_id", "primary_path", F.posexplode(paths).alias("ord", "path"))
-    flagged = rows.withColumn("primary", (F.col("path") == F.col("primary_path"))
-                              | ((F.col("path") == ALL_PRODUCTS) & F.col("primary_path").isNull()))
-    lookup = tree.select("site", F.col("full_path").alias("path"), F.col("id").alias("category_id"))
-    resolved = flagged.join(lookup, ["site", "path"], "left")
-    resolved = resolved.withColumn("category_id", F.when(F.col("path") == ALL_PRODUCTS, F.lit("all"))
-                                   .otherwise(F.col("category_id")))
-    return resolved.where(F.col("category_id").isNotNull()).select(
-        "site", "product_id", "category_id", "path", "primary", "ord")
+    rows = p.select("site", "product_id", *carry, "primary_path", F.posexplode(paths).alias("ord", "path"))
+    everything = F.col("path") == ALL_PRODUCTS
+    rows = rows.where(everything | (F.array_join(_segments(F.col("path")), " > ") == F.col("path")))
+    return rows.select(
+        "site", "product_id", *carry, F.when(everything, F.lit("all")).otherwise(slugify("path")).alias("category_id"), "path",
+        ((F.col("path") == F.col("primary_path")) | (everything & F.col("primary_path").isNull())).alias("primary"), "ord")
 
 
 __all__ = ["category_tree", "category_assignments", "catalog_categories", "normalize_whitespace"]

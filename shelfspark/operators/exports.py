@@ -283,7 +283,7 @@ def assignment_xml(assignments: DataFrame) -> DataFrame:
                    F.lit('" product-id="'), xml_escape("product_id"), F.lit('"><primary-flag>'),
                    F.when(F.col("primary"), F.lit("true")).otherwise(F.lit("false")),
                    F.lit("</primary-flag></category-assignment>"))
-    return assignments.select("site", "product_id", "ord", xml.alias("xml"))
+    return assignments.select("site", "first_seq", "product_id", "ord", xml.alias("xml"))
 
 
 __all__ = ["html_escape"]

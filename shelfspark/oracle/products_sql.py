@@ -456,5 +456,5 @@ def catalog_lines_sql() -> str:
         f"SELECT b.site, {header} FROM brand b LEFT JOIN imgdir USING (site) UNION ALL "
         f"SELECT site, {cat_line} FROM nodes UNION ALL "
         f"SELECT site, {prod_line} FROM merged UNION ALL "
-        f"SELECT a.site, {asg_line} FROM asg a JOIN merged m ON a.site = m.site AND a.product_id = m.product_id UNION ALL "
+        f"SELECT a.site, {asg_line} FROM asg a UNION ALL "
         "SELECT site, '</catalog>' FROM brand")

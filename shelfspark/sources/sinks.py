@@ -69,8 +69,7 @@ def catalog_fragments(products: DataFrame) -> DataFrame:
     nodes = C.catalog_categories(products)
     cats = X.category_xml(nodes)
     prods = X.product_xml(products)
-    asg = X.assignment_xml(C.category_assignments(products)).join(
-        products.select("site", "product_id", "first_seq"), ["site", "product_id"])
+    asg = X.assignment_xml(C.category_assignments(products, carry=("first_seq",)))
     return (_frag(head, 0, F.lit(""), F.lit(""), F.concat(opening, F.lit("\n"), header))
             .unionByName(_frag(cats, 1, F.lpad(F.col("depth").cast("string"), 4, "0"), F.col("id"), F.col("xml")))
             .unionByName(_frag(prods, 2, F.lpad(F.col("first_seq").cast("string"), 20, "0"), F.lit(""), F.col("xml")))
