@@ -41,6 +41,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = get_spark(f"local[{cpus}]", int(cpus) if cpus.isdigit() else 8, app_name="shelfspark-bench")
+    spark.conf.set("spark.shelfspark.spreadPartitions", cpus if cpus.isdigit() else "8")  # the tables here have one row group
     plans = registry.plans()
     warm_dir = os.environ.get("BENCH_WARMUP_DIR", os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.001"))
     if os.path.isdir(warm_dir):
