@@ -85,7 +85,7 @@ def _percent_encode(col: Column, unsafe: str) -> Column:
 
 def _remove_dot_segments(path: Column) -> Column:
     """RFC 3986 section 5.2.4 over ``split(path, '/')``."""
-    segs = F.slice(F.split(path, "/"), 2, 1 << 30)
+    segs = F.filter(F.split(path, "/"), lambda s, i: i > 0)
 
     def step(acc, seg):
         popped = F.when(F.size(acc) == 0, acc).otherwise(F.slice(acc, 1, F.size(acc) - 1))

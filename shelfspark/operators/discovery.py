@@ -16,9 +16,10 @@ FALLBACK_NAME = "catalog"
 
 
 def entry_pages(pages: DataFrame) -> DataFrame:
-    """The entry (first by ``seq``) page of every site, as a partial aggregate."""
-    best = pages.groupBy("site").agg(F.min_by(F.struct(*pages.columns), F.struct("seq", "page_id")).alias("p"))
-    return best.select("p.*")
+    """The entry (first by ``seq``) page of every site.  Only the ids are
+    aggregated; html is read for the chosen pages and never sorted."""
+    first = pages.groupBy("site").agg(F.min(F.struct("seq", "page_id")).alias("p")).select("site", "p.page_id")
+    return pages.join(first, ["site", "page_id"], "left_semi").select(*pages.columns)
 
 
 def top_categories(pages: DataFrame, max_categories: int = MAX_CATEGORIES) -> DataFrame:
@@ -104,5 +105,5 @@ def category_label(col) -> F.Column:
                          fold_text(c))
     words = F.filter(F.split(c, " "), lambda w: w != "")
     title = F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)),
-                                                               F.lower(F.substring(w, 2, 1 << 20)))), " ")
+                                                               F.lower(F.substr(w, F.lit(2))))), " ")
     return F.coalesce(alias, title)

@@ -30,7 +30,7 @@ PRODUCTS_PER_CATEGORY = 10
 def listing_pages(links: DataFrame) -> DataFrame:
     """Distinct listing pages ``(page_url, next_url)`` of an F4-shaped table;
     ``next_url`` is the resolved ``next_href`` ('' when none)."""
-    pages = links.select("page_url", "next_href").dropDuplicates(["page_url"])
+    pages = links.groupBy("page_url").agg(F.min_by("next_href", F.struct("pos", "next_href")).alias("next_href"))
     pages = fence(pages, _b=base_parts("page_url"))
     nxt = F.when(F.col("next_href") != "", absolute_url("next_href", "_b")).otherwise(F.lit(""))
     return fence(pages.select("page_url", "next_href", "_b"), next_url=nxt).select("page_url", "next_url")

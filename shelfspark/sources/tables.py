@@ -52,9 +52,12 @@ def read_site_profiles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def site_profile_join(sites: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Profile of each site by domain (``www.`` stripped); absent -> NULLs."""
+    """Profile of each site by domain (``www.`` stripped); absent -> NULLs.  Of
+    several profiles of one domain the one with the smallest ``site`` counts."""
+    own = [c for c in profiles.columns if c not in ("domain", "site")]
+    one = profiles.groupBy("domain").agg(F.min_by(F.struct(*own), F.struct("site", *own)).alias("p")).select("domain", "p.*")
     keyed = sites.withColumn("domain", F.regexp_replace("site", r"^www\.", ""))
-    return keyed.join(profiles.drop("site"), "domain", "left")
+    return keyed.join(one, "domain", "left")
 
 
 def config_precedence(rows: DataFrame, keys: dict[str, object], sources=("explicit", "config", "profile")) -> DataFrame:
