@@ -41,6 +41,7 @@ SHINGLE = 5
 SAMPLES = 20
 PICKED = 2
 SIMILARITY = 0.8
+RANKS = 2_000_000  # computed at once
 
 _SEEDS = np.random.default_rng(20240229).integers(1, 2**63, SAMPLES, dtype=np.uint64)
 
@@ -74,15 +75,15 @@ def order_min_hash(hashes: np.ndarray) -> list[int]:
     occurrence = np.empty(len(kmers), np.uint64)
     occurrence[order] = np.arange(len(kmers)) - np.repeat(new, np.diff(np.r_[new, len(kmers)]))
     labelled = _mix(kmers + occurrence * np.uint64(0xD6E8FEB86659FD93))
-    picked, keys = min(PICKED, len(kmers)), []
-    for sample, seed in enumerate(_SEEDS):
-        ranks = _mix(labelled ^ seed)
-        places = np.sort(np.argpartition(ranks, picked - 1)[:picked])
-        key = np.array([sample], np.uint64)
-        for place in places:
-            key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + kmers[place])
-        keys.append(int(key.view(np.int64)[0]))
-    return keys
+    picked = min(PICKED, len(kmers))
+    places = np.concatenate([  # of all samples at once, of a few where the text is long
+        np.argpartition(_mix(labelled ^ seeds[:, None]), picked - 1, axis=1)[:, :picked]
+        for seeds in np.array_split(_SEEDS, min(SAMPLES, 1 + len(kmers) * SAMPLES // RANKS))])
+    places.sort(axis=1)
+    keys = np.arange(SAMPLES, dtype=np.uint64)
+    for n in range(picked):
+        keys = _mix(keys * np.uint64(0x9E3779B97F4A7C15) + kmers[places[:, n]])
+    return keys.view(np.int64).tolist()
 
 
 def _lists(column: pa.ListArray) -> Iterator[np.ndarray]:
@@ -92,50 +93,86 @@ def _lists(column: pa.ListArray) -> Iterator[np.ndarray]:
         yield values[low:high]
 
 
+def _first_difference(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the common beginning, read in growing steps."""
+    at, step, end = 0, 32, min(len(a), len(b))
+    while at < end:
+        size = min(step, end - at)
+        differs = a[at:at + size] != b[at:at + size]
+        first = int(differs.argmax())
+        if differs[first]:
+            return at + first
+        at, step = at + size, step * 4
+    return end
+
+
+def _without_equal_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    start = _first_difference(a, b)
+    a, b = a[start:], b[start:]
+    end = _first_difference(a[::-1], b[::-1])
+    return a[:len(a) - end], b[:len(b) - end]
+
+
 def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     """Edits between two sequences if at most `most`, along a widening band.
 
-    reach[k] is how far in `a` one gets with d edits on the diagonal k = i - j."""
+    With d edits, reach[d + k] is how far in `a` one gets on the diagonal
+    k = i - j; all diagonals of the band move on together."""
     n, m = len(a), len(b)
     if abs(n - m) > most:
         return None
-
-    def slide(i: int, j: int) -> int:
-        step = 32
-        while i < n and j < m:
-            size = min(step, n - i, m - j)
-            differs = a[i:i + size] != b[j:j + size]
-            first = int(differs.argmax())
-            if differs[first]:
-                return i + first
-            i, j, step = i + size, j + size, step * 4
-        return i
-
-    reach = {0: slide(0, 0)}
-    goal = n - m
+    _, numbers = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = np.append(numbers[:n], -1), np.append(numbers[n:], -2)  # an end mark equals nothing
+    goal, nowhere = n - m, -2 - n - m
+    reach = np.array([_first_difference(a, b)])
     for d in range(most + 1):
-        if reach.get(goal, -1) >= n:
+        if abs(goal) <= d and reach[d + goal] >= n:
             return d
-        wider = {}
-        for k in range(-d - 1, d + 2):
-            i = max(reach.get(k, -2) + 1, reach.get(k - 1, -2) + 1, reach.get(k + 1, -2))
-            i = min(i, n, m + k)
-            if i >= max(0, k):
-                wider[k] = slide(i, i - k)
-        reach = wider
+        around = np.full(2 * d + 5, nowhere)
+        around[2:-2] = reach
+        k = np.arange(-d - 1, d + 2)
+        reach = np.minimum(np.maximum(np.maximum(around[1:-1], around[:-2]) + 1, around[2:]), np.minimum(n, m + k))
+        on = reach >= np.maximum(0, k)
+        reach[~on] = nowhere
+        live = on.nonzero()[0]
+        for _ in range(8):
+            i = reach[live]
+            live = live[a[i] == b[i - k[live]]]
+            if not len(live):
+                break
+            reach[live] += 1
+        for x in live:  # few diagonals run on for long
+            i = reach[x]
+            reach[x] = i + _first_difference(a[i:], b[i - k[x]:])
     return None
 
 
+def _shared(values: np.ndarray, n: int) -> int:
+    """Values that the first `n` and the others have in common, with their numbers."""
+    size = int(values.max(initial=-1)) + 1
+    return int(np.minimum(np.bincount(values[:n], minlength=size), np.bincount(values[n:], minlength=size)).sum())
+
+
 def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
-    longer = max(len(a), len(b))
-    most = int((1 - similarity) * longer + 1e-9)
-    # words in common, order aside, bound the aligned ones
-    x, n = np.unique(a, return_counts=True)
-    y, k = np.unique(b, return_counts=True)
-    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    if np.minimum(n[i], k[j]).sum() < longer - most:
+    """Whether 1 - edits / words of the longer text is at least `similarity`.
+
+    An edit changes one word and at most two pairs of neighbours, so common words
+    and common pairs bound the edits before the alignment is made."""
+    most = int((1 - similarity) * max(len(a), len(b)) + 1e-9)
+    a, b = _without_equal_ends(a, b)
+    n, longer = len(a), max(len(a), len(b))
+    if longer <= most:
+        return True
+    if abs(n - len(b)) > most:
+        return False
+    known, values = np.unique(np.concatenate([a, b]), return_inverse=True)
+    if _shared(values, n) < longer - most:
         return False
-    return edit_distance(a, b, most) is not None
+    if longer - 1 > 2 * most:
+        pairs = np.delete(values[:-1] * len(known) + values[1:], n - 1) if n else values[:0]  # not the one across
+        if _shared(np.unique(pairs, return_inverse=True)[1], n - 1) < longer - 1 - 2 * most:
+            return False
+    return edit_distance(values[:n], values[n:], most) is not None
 
 
 def _hashed(docs: DataFrame) -> DataFrame:
