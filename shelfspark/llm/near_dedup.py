@@ -18,6 +18,11 @@ text: similarity is 1 - edits / words of the longer text.  Verified links are
 contracted to classes by alternating large-star and small-star steps, each
 written to the shared folder; links never reach the driver.
 
+A leader of a large group has a pair with every text of it.  The tables with
+one row per key (leaders, texts, least neighbours) are written before they are
+joined, so that both sides of a join come straight from an exchange and adaptive
+execution can split the hot key over tasks.
+
 Defined results: null and empty texts are copies of one another; texts under
 five words have one k-mer, all their words; rows that share an id are one
 document; rows without an id are grouped by equal words only and have a null
@@ -198,6 +203,7 @@ def candidates(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b), a < b: each text with the leaders of its buckets, lengths allowing."""
     each = texts.select(F.struct("node", "n_words").alias("text"), F.explode("keys").alias("key"))
     leaders = each.groupBy("key").agg(F.min("text").alias("first"), F.min_by("text", F.xxhash64("text.node")).alias("second"), F.count("*").alias("n")).filter("n > 1")
+    leaders = materialise(leaders.drop("n"), "near-leaders")
     pair = each.join(leaders, "key").select("text", F.explode(F.array("first", "second")).alias("leader"))
     shorter, longer = F.least("text.n_words", "leader.n_words"), F.greatest("text.n_words", "leader.n_words")
     return (pair.filter((F.col("text.node") != F.col("leader.node")) & (shorter >= longer * similarity - 1e-9))
@@ -207,7 +213,7 @@ def candidates(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs whose alignment is similar enough, as links (u, v), u > v."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
-    known = maybe_in(_hashed(docs), "doc_id", nodes).groupBy("doc_id").agg(F.max("w").alias("w"))
+    known = materialise(maybe_in(_hashed(docs), "doc_id", nodes).groupBy("doc_id").agg(F.max("w").alias("w")), "near-texts")
     both = (pairs.join(known.withColumnsRenamed({"doc_id": "a", "w": "wa"}), "a")
             .join(known.withColumnsRenamed({"doc_id": "b", "w": "wb"}), "b"))
 
@@ -233,10 +239,10 @@ def classes(links: DataFrame) -> DataFrame:
             return links.select(F.col("u").alias("node"), F.col("v").alias("class"))
         state = total
         around = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = materialise(around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "near-least")
         large = around.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = materialise(large, "near-large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "near-least")
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
         links = materialise(small.select("x.u", "x.v").filter("u <> v").distinct(), "near-small")
 
