@@ -10,8 +10,7 @@ from shelfspark.functions.text import fold_text
 from shelfspark.functions.urls import clean_url, normalise_url, url_origin
 from shelfspark.operators.links import page_top_links
 
-MAX_CATEGORIES = 4
-MAX_SUBCATEGORIES = 2
+MAX_CATEGORIES = 4  # of the top-k report alone
 FALLBACK_NAME = "catalog"
 
 
@@ -22,11 +21,11 @@ def entry_pages(pages: DataFrame) -> DataFrame:
     return pages.join(first, ["site", "page_id"], "left_semi").select(*pages.columns)
 
 
-def top_categories(pages: DataFrame, max_categories: int = MAX_CATEGORIES) -> DataFrame:
+def top_categories(pages: DataFrame, max_categories: int | None = MAX_CATEGORIES) -> DataFrame:
     """``(site, page_id, rank, name, url, path, score)``: category candidates of
     each page (same host, not product-like, score >= 3), best per URL,
-    ordered by score then position, cut to ``max(3k, k)``."""
-    k = max(max_categories * 3, max_categories)
+    ordered by score then position, cut to ``3k`` unless k is None."""
+    k = None if max_categories is None else max_categories * 3
     top = page_top_links(pages, k, category_filter=lambda x: x["product_score"] < 3)
     ex = top.select("site", "page_id", F.posexplode_outer("top_category_links").alias("r", "l")) \
         .where(F.col("l").isNotNull())
@@ -34,7 +33,7 @@ def top_categories(pages: DataFrame, max_categories: int = MAX_CATEGORIES) -> Da
                      F.col("l.url").alias("url"), F.array("l.text").alias("path"), F.col("l.score").alias("score"))
 
 
-def discover_categories(pages: DataFrame, max_categories: int = MAX_CATEGORIES) -> tuple[DataFrame, DataFrame]:
+def discover_categories(pages: DataFrame, max_categories: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Per site, categories discovered on its entry page; a site with none
     gets one ``catalog`` category for its entry URL and a warning row.
 
@@ -51,19 +50,19 @@ def discover_categories(pages: DataFrame, max_categories: int = MAX_CATEGORIES)
 
 
 def discover_subcategories(categories: DataFrame, pages: DataFrame,
-                           max_sub: int = MAX_SUBCATEGORIES) -> DataFrame:
+                           max_sub: int | None = None) -> DataFrame:
     """Children of each category found on its own page (same host, not the
-    category itself, not product-like, same origin), ``max(2k, k)`` per parent;
+    category itself, not product-like, same origin), all or ``2k`` per parent;
     path = parent path + link text."""
-    k = max(max_sub * 2, max_sub)
     cat_pages = pages.withColumn("_u", clean_url(normalise_url("url"))) \
         .join(categories.select("site", F.col("url").alias("_u"), F.col("path").alias("parent_path"),
                                 F.col("url").alias("parent_url")), ["site", "_u"])
     top = page_top_links(cat_pages.drop("_u"), None, extra=("parent_path", "parent_url"),
                          category_filter=lambda x: (x["product_score"] < 3) & (x["url"] != F.col("parent_url"))
                          & x["url"].startswith(url_origin(F.col("parent_url"))))
+    found = F.col("top_category_links") if max_sub is None else F.slice("top_category_links", 1, max_sub * 2)
     ex = top.select("site", "parent_url", "parent_path",
-                    F.posexplode_outer(F.slice("top_category_links", 1, k)).alias("r", "l")).where(F.col("l").isNotNull())
+                    F.posexplode_outer(found).alias("r", "l")).where(F.col("l").isNotNull())
     return ex.select("site", "parent_url", (F.col("r") + 1).cast("int").alias("rank"), F.col("l.text").alias("name"),
                      F.col("l.url").alias("url"), F.concat("parent_path", F.array("l.text")).alias("path"))
 

@@ -2,29 +2,33 @@
 
 Set-at-a-time form of the per-category crawl loop:
 
-* ``pagination_chain``: from each category URL follow ``next`` links up to
-  ``max_pages`` pages, stopping on a revisit -- a bounded number of
-  equi-joins on the page URL (the depth bound is the loop bound).
+* ``pagination_chain``: from each category URL follow ``next`` links, stopping
+  on a revisit or a missing page -- one equi-join on the page URL a level.
+  Without ``max_pages`` the levels go on until no category has a next page.
 * ``category_product_links``: product links of the chained pages, first
-  occurrence per URL wins (partial ``min`` per ``(category, url)``), the
-  crawl stops after the page where ``products_per_category`` distinct links
-  were reached (running count over <= ``max_pages`` rows per category), and
-  the first ``products_per_category`` links in crawl order are kept with a
-  ``row_number() <= k`` filter that Spark pre-limits per partition.
+  occurrence per URL wins (partial ``min`` per category and URL).  With
+  ``per_category`` the crawl stops after the page where so many distinct links
+  were reached, and the first so many in crawl order are kept; without it all
+  links of all pages count.
+
+A category is ``(site, category_url, name)``: equal names on two sites are two
+categories.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.functions import scoring as S
 from shelfspark.functions.text import normalize_whitespace
-from shelfspark.functions.urls import absolute_url, base_parts, same_domain
+from shelfspark.functions.urls import absolute_url, base_parts, same_domain, url_host
 from shelfspark.operators.common import fence
+from shelfspark.session import checkpoint_dir
 
-MAX_PAGINATION_PAGES = 3
-PRODUCTS_PER_CATEGORY = 10
+CATEGORY = ["site", "category_url", "name"]
 
 
 def listing_pages(links: DataFrame) -> DataFrame:
@@ -39,7 +43,7 @@ def listing_pages(links: DataFrame) -> DataFrame:
 def categories_from_listing(links: DataFrame) -> DataFrame:
     """Category targets: first page of each category, ``seq`` by name."""
     first = links.where(F.col("page_no") == 1).select("category", F.col("page_url").alias("url")).distinct()
-    return first.select(F.col("category").alias("name"), "url", F.array("category").alias("path"))
+    return first.select(url_host("url").alias("site"), F.col("category").alias("name"), "url", F.array("category").alias("path"))
 
 
 def dedupe_category_targets(categories: DataFrame, order_col: str = "name") -> DataFrame:
@@ -48,25 +52,30 @@ def dedupe_category_targets(categories: DataFrame, order_col: str = "name") -> D
     return best.select("c.*")
 
 
-def pagination_chain(categories: DataFrame, pages: DataFrame,
-                     max_pages: int = MAX_PAGINATION_PAGES) -> DataFrame:
-    """``(name, depth, page_url)``: pages visited per category, depth 1..max."""
-    frontier = categories.select("name", F.lit(1).alias("depth"), F.col("url").alias("page_url"),
-                                 F.array("url").alias("seen"))
+def pagination_chain(categories: DataFrame, pages: DataFrame, max_pages: int | None = None) -> DataFrame:
+    """``(site, category_url, name, depth, page_url)``: pages visited per
+    category, from depth 1.  Unbounded, each level is checkpointed: the next one
+    starts from it, and the loop asks only whether any page is left."""
+    checkpoint_dir(categories.sparkSession)
+    frontier = categories.select("site", F.col("url").alias("category_url"), "name", F.lit(1).alias("depth"),
+                                 F.col("url").alias("page_url"), F.array("url").alias("seen"))
+    if max_pages is None:
+        pages = pages.checkpoint()
     levels = []
-    for d in range(1, max_pages + 1):
+    while True:
         # only pages that exist are visited (a missing page ends the chain)
         hit = frontier.join(pages, "page_url")
-        levels.append(hit.select("name", "depth", "page_url"))
-        if d == max_pages:
+        if max_pages is None:
+            hit = hit.checkpoint()
+        levels.append(hit.select(*CATEGORY, "depth", "page_url"))
+        if len(levels) == max_pages:
             break
         frontier = hit.where((F.col("next_url") != "") & ~F.array_contains("seen", F.col("next_url"))) \
-            .select("name", F.lit(d + 1).alias("depth"), F.col("next_url").alias("page_url"),
+            .select(*CATEGORY, (F.col("depth") + 1).alias("depth"), F.col("next_url").alias("page_url"),
                     F.concat("seen", F.array("next_url")).alias("seen"))
-    out = levels[0]
-    for lv in levels[1:]:
-        out = out.unionByName(lv)
-    return out
+        if max_pages is None and frontier.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, levels)
 
 
 def page_product_links(links: DataFrame) -> DataFrame:
@@ -82,40 +91,38 @@ def page_product_links(links: DataFrame) -> DataFrame:
                        F.col("b.pos").alias("pos"), F.col("b.text").alias("text"))
 
 
-def category_product_links(categories: DataFrame, links: DataFrame,
-                           max_pages: int = MAX_PAGINATION_PAGES,
-                           per_category: int = PRODUCTS_PER_CATEGORY) -> tuple[DataFrame, DataFrame]:
+def category_product_links(categories: DataFrame, links: DataFrame, max_pages: int | None = None,
+                           per_category: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Returns ``(collected, counts)``.
 
-    ``collected(name, rank, url, score, depth)``: the first ``per_category``
-    product URLs in crawl order; ``counts(name, links_discovered,
-    pages_visited)``: all distinct links on the pages visited before the stop.
+    ``collected(site, category_url, name, rank, url, score, depth)``: the product
+    URLs in crawl order, the first ``per_category`` where given;
+    ``counts(site, category_url, name, links_discovered, pages_visited)``: all
+    distinct links on the pages visited before the stop, 0 where there is none.
     """
-    # both narrow tables are read several times (every chain level, the stop
-    # rule and the final pick): compute the URL work once
-    pages = listing_pages(links).persist()
-    plinks = page_product_links(links).persist()
-    chain = pagination_chain(categories, pages, max_pages)
-    on_pages = chain.join(plinks, "page_url")
-    first = on_pages.groupBy("name", "url").agg(
+    chain = pagination_chain(categories, listing_pages(links), max_pages)
+    first = chain.join(page_product_links(links), "page_url").groupBy(*CATEGORY, "url").agg(
         F.min(F.struct("depth", (-F.col("score")).alias("neg"), "pos")).alias("f"))
-    first = first.select("name", "url", F.col("f.depth").alias("depth"), (-F.col("f.neg")).alias("score"),
+    first = first.select(*CATEGORY, "url", F.col("f.depth").alias("depth"), (-F.col("f.neg")).alias("score"),
                          F.col("f.pos").alias("pos"))
-    per_depth = first.groupBy("name", "depth").agg(F.count("*").alias("new_links"))
-    # one row per (category, depth <= max_pages): the window is tiny
-    w = Window.partitionBy("name").orderBy("depth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = per_depth.withColumn("cum", F.sum("new_links").over(w))
-    before = Window.partitionBy("name").orderBy("depth")
-    cum = cum.withColumn("prev_cum", F.coalesce(F.lag("cum").over(before), F.lit(0)))
-    visited = cum.where(F.col("prev_cum") < per_category)
-    # pages after a page with no product links are still visited: pages with
-    # no links have no row here, so the stop is decided on the rows that exist
-    counts = visited.groupBy("name").agg(F.max("cum").alias("links_discovered"),
-                                         F.max("depth").alias("pages_visited"))
-    kept = first.join(visited.select("name", "depth"), ["name", "depth"])
-    rank = Window.partitionBy("name").orderBy("depth", F.desc("score"), "pos")
-    collected = kept.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= per_category)
-    return collected.select("name", F.col("rank").cast("int").alias("rank"), "url", "score", "depth"), counts
+    per_depth = first.groupBy(*CATEGORY, "depth").agg(F.count("*").alias("links"))
+    # one row per visited page of a category, also where it has no new link
+    steps = chain.join(per_depth, [*CATEGORY, "depth"], "left") \
+        .select(*CATEGORY, "depth", F.coalesce("links", F.lit(0)).alias("links"))
+    earlier = Window.partitionBy(*CATEGORY).orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)
+    visited = steps.withColumn("before", F.coalesce(F.sum("links").over(earlier), F.lit(0)))
+    if per_category is not None:
+        visited = visited.where(F.col("before") < per_category)
+    found = visited.groupBy(*CATEGORY).agg(F.sum("links").alias("links_discovered"), F.max("depth").alias("pages_visited"))
+    counts = categories.select("site", F.col("url").alias("category_url"), "name").join(found, CATEGORY, "left").select(
+        *CATEGORY, F.coalesce("links_discovered", F.lit(0)).alias("links_discovered"),
+        F.coalesce("pages_visited", F.lit(0)).alias("pages_visited"))
+    kept = first.join(visited.select(*CATEGORY, "depth"), [*CATEGORY, "depth"])
+    rank = Window.partitionBy(*CATEGORY).orderBy("depth", F.desc("score"), "pos", "url")
+    collected = kept.withColumn("rank", F.row_number().over(rank))
+    if per_category is not None:
+        collected = collected.where(F.col("rank") <= per_category)
+    return collected.select(*CATEGORY, F.col("rank").cast("int").alias("rank"), "url", "score", "depth"), counts
 
 
 def unprocessed(new: DataFrame, done: DataFrame, key: str = "url") -> DataFrame:

@@ -6,8 +6,7 @@ from shelfspark.oracle import links_sql as LQ
 from shelfspark.oracle import sqlfn as Q
 
 
-def ctes(max_categories: int = 4) -> list[str]:
-    k = max(max_categories * 3, max_categories)
+def ctes() -> list[str]:
     entry_clean = Q.stages("(SELECT site, url FROM pg WHERE page_id IN (SELECT page_id FROM entry))",
                            *Q.normalise_steps("url", "u"), *Q.clean_steps("unorm", "entry_url", "ec"))
     return [
@@ -16,7 +15,7 @@ def ctes(max_categories: int = 4) -> list[str]:
          "FROM sc WHERE page_id IN (SELECT page_id FROM entry) AND product_score < 3 AND category_score >= 3)"),
         ("topcat AS (SELECT site, page_id, CAST(r AS INTEGER) AS rank, text AS name, url, [text] AS path, "
          "CAST(category_score AS INTEGER) AS score FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY "
-         f"category_score DESC, pos) AS r FROM cand WHERE rn = 1) WHERE r <= {k})"),
+         "category_score DESC, pos) AS r FROM cand WHERE rn = 1))"),
         f"entryu AS (SELECT site, entry_url FROM {entry_clean})",
         ("cats AS (SELECT site, rank, name, url, path FROM topcat UNION ALL "
          "SELECT e.site, 1, 'catalog', e.entry_url, ['catalog'] FROM entryu e WHERE e.site NOT IN (SELECT site FROM topcat))"),
@@ -34,7 +33,7 @@ def with_discovery(*extra: str) -> str:
 
 
 def top_categories_sql() -> str:
-    return with_discovery() + "SELECT site, page_id, rank, name, url, array_to_string(path, ' > ') AS path, score FROM topcat"
+    return with_discovery() + "SELECT site, page_id, rank, name, url, array_to_string(path, ' > ') AS path, score FROM topcat WHERE rank <= 12"
 
 
 def discover_categories_sql() -> str:
@@ -56,8 +55,7 @@ def category_name_fallback_sql() -> str:
                                "(SELECT 1 FROM nmatch m WHERE m.site = r.site AND m.req_no = r.req_no)")
 
 
-def discover_subcategories_sql(max_sub: int = 2) -> str:
-    k = max(max_sub * 2, max_sub)
+def discover_subcategories_sql() -> str:
     clean = Q.stages("(SELECT page_id, site, url FROM pg)", *Q.normalise_steps("url", "u"),
                      *Q.clean_steps("unorm", "clean_url", "cu"))
     origin = Q.rx_extract("c.url", r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
@@ -72,4 +70,4 @@ def discover_subcategories_sql(max_sub: int = 2) -> str:
     ) + (
         "SELECT site, parent_url, CAST(r AS INTEGER) AS rank, text AS name, url, "
         "array_to_string(list_append(parent_path, text), ' > ') AS path FROM (SELECT *, row_number() OVER "
-        f"(PARTITION BY parent_url, page_id ORDER BY category_score DESC, pos) AS r FROM subbest) WHERE r <= {k}")
+        "(PARTITION BY parent_url, page_id ORDER BY category_score DESC, pos) AS r FROM subbest)")

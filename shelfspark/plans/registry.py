@@ -344,7 +344,7 @@ def q_link_filter_product(spark, sf):
 @register("products_per_category", LS.products_per_category_sql)
 def q_products_per_category(spark, sf):
     cats, links = _listing(spark, sf)
-    return LI.category_product_links(cats, links)[0]
+    return LI.category_product_links(cats, links, per_category=10)[0]
 
 
 @register("links_per_category", LS.links_per_category_sql)
@@ -652,13 +652,13 @@ def q_crawl_category_pages(spark, sf):
 
 
 @register("plp_to_pdp", lambda: (
-    "WITH " + ",\n".join(LS.ctes() + [PRODUCT_PAGES_SQL.strip()])
-    + "\nSELECT c.name, c.url, f.page_id FROM collected c JOIN f3 f ON f.url = c.url"))
+    LS.with_listing(PRODUCT_PAGES_SQL.strip())
+    + "SELECT c.site, c.name, c.url, f.page_id FROM collected c JOIN f3 f ON f.url = c.url"))
 def q_plp_to_pdp(spark, sf):
     cats, links = _listing(spark, sf)
     collected = LI.category_product_links(cats, links)[0]
     pages = product_pages(spark, sf).select("url", "page_id")
-    return collected.join(pages, "url").select("name", "url", "page_id")
+    return collected.join(pages, "url").select("site", "name", "url", "page_id")
 
 
 @register("order_category_nodes", lambda: RQ.with_merged(RQ.tree_cte()) + (
@@ -674,12 +674,12 @@ def q_order_category_nodes(spark, sf):
     "SELECT url AS category_key, arg_max(name, seq) AS name, url, array_to_string(arg_max(path, seq), ' > ') AS path, "
     "max(links) AS links_discovered FROM ("
     "SELECT 1 AS seq, c.name, c.url, [c.name] AS path, coalesce(n.links_discovered, 0) AS links FROM cats c "
-    "LEFT JOIN counts n USING (name) UNION ALL "
+    "LEFT JOIN counts n ON n.category_url = c.url UNION ALL "
     "SELECT 2, lower(name), url, [lower(name)], 0 FROM cats) GROUP BY url"))
 def q_merge_categories(spark, sf):
     cats, links = _listing(spark, sf)
     counts = LI.category_product_links(cats, links)[1]
-    first = cats.join(counts, "name", "left").select(
+    first = cats.join(counts.select(F.col("category_url").alias("url"), "links_discovered"), "url", "left").select(
         F.lit(1).alias("seq"), "name", "url", "path",
         F.coalesce("links_discovered", F.lit(0)).alias("links_discovered"))
     second = cats.select(F.lit(2).alias("seq"), F.lower("name").alias("name"), "url",
