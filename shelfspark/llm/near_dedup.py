@@ -254,7 +254,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     texts = sketched.groupBy("fp").agg(F.min("doc_id").alias("node"), F.first("n_words").alias("n_words"), F.first("keys").alias("keys"))
     pairs = materialise(candidates(texts.filter("node is not null"), similarity), "near-pairs")
     found = classes(verified(pairs, docs, similarity))
-    nodes = texts.select("fp", F.col("node").alias("copy_of"))
+    nodes = materialise(texts.select("fp", F.col("node").alias("copy_of")), "near-nodes")
     return (sketched.select("doc_id", "n_words", "fp").join(nodes, "fp")
             .join(found.withColumnRenamed("node", "copy_of"), "copy_of", "left")
             .select("doc_id", "copy_of", F.coalesce("class", "copy_of").alias("class_id"), F.col("n_words").cast("long").alias("n_words"))
