@@ -70,7 +70,7 @@ def discover_subcategories(categories: DataFrame, pages: DataFrame,
 def category_name_match(categories: DataFrame, requests: DataFrame) -> DataFrame:
     """Per site and request, the first category (by ``rank``) whose folded
     name contains the folded request.  Joined on ``site`` (both sides are
-    bounded per site: top-k categories, a few requests), theta condition as
+    bounded per site: links of one entry page, a few requests), theta condition as
     a filter; ``min_by`` picks the first."""
     cats = categories.select("site", "rank", "name", "url", "path", fold_text("name").alias("_f"))
     req = requests.select("site", "req_no", F.col("name").alias("request"), fold_text("name").alias("_r"))
