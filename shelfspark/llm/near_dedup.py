@@ -6,12 +6,14 @@ the `PICKED` smallest labelled k-mers, and the k-mers are kept in the order in
 which they stand in the text.  Equal samples make candidates, so texts with the
 same k-mers in another order meet less often than under plain MinHash.
 
-Exact copies are folded first.  Within a bucket every text is compared with
-the two leaders of the bucket only - the smallest id and the smallest hashed
-id - so a bucket of n texts gives at most 2 n pairs, however large it is.  Two
-texts that share 0.8 of their k-mers share about 0.64 of the samples, and most of
-these buckets hold only their own near copies, so one chain of leaders nearly surely
-joins them; a bucket that a widely shared passage makes is one of many.
+Exact copies are folded first.  Within a bucket every text is first compared
+with the two leaders of the bucket - the smallest id and the smallest hashed
+id.  What the leaders leave apart is compared pair by pair: two texts of a
+bucket that are not yet in one class meet unless their lengths or their counts
+of words prove that they are not similar.  These pairs are taken in rounds, the
+likeliest of each text first, and each round's links are contracted before the
+next, so that texts joined meanwhile are not compared again; the rounds end when
+no pair is left.  A large bucket is split into tiles over tasks.
 Candidates are verified by an alignment of the word sequences along a band of
 diagonals that widens until the distance is known or exceeds 20 % of the longer
 text: similarity is 1 - edits / words of the longer text.  Verified links are
@@ -47,6 +49,10 @@ SAMPLES = 20
 PICKED = 2
 SIMILARITY = 0.8
 RANKS = 2_000_000  # computed at once
+BINS = 128  # counts of words per text, by the highest bits of the hash
+TILE = 512  # texts of a bucket that the texts left apart meet in one task
+FIRST_ROUND = 8  # pairs of a text in a tile; eight times as many in each further round
+PAIRS = 1 << 16  # bounded at once
 
 _SEEDS = np.random.default_rng(20240229).integers(1, 2**63, SAMPLES, dtype=np.uint64)
 
@@ -91,6 +97,12 @@ def order_min_hash(hashes: np.ndarray) -> list[int]:
     return keys.view(np.int64).tolist()
 
 
+def word_bag(hashes: np.ndarray) -> bytes:
+    """How many words fall into each of BINS classes, at most 255 of each."""
+    counts = np.bincount((hashes >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64), minlength=BINS)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
 def _lists(column: pa.ListArray) -> Iterator[np.ndarray]:
     values = column.values.to_numpy(zero_copy_only=False).view(np.uint64)
     bounds = column.offsets.to_numpy()
@@ -185,7 +197,8 @@ def _hashed(docs: DataFrame) -> DataFrame:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, fp, keys): 128-bit fingerprint of the words and sample keys."""
+    """(doc_id, n_words, fp, keys, bag): 128-bit fingerprint of the words, sample
+    keys, and the numbers of words by the highest bits of their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,10 +206,11 @@ def sketches(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], pa.array([len(t) for t in texts], pa.int32()),
                  pa.array([hashlib.blake2b(t.tobytes(), digest_size=16).digest() for t in texts], pa.binary()),
-                 pa.array([order_min_hash(t) for t in texts], pa.list_(pa.int64()))],
-                names=["doc_id", "n_words", "fp", "keys"])
+                 pa.array([order_min_hash(t) for t in texts], pa.list_(pa.int64())),
+                 pa.array([word_bag(t) for t in texts], pa.binary())],
+                names=["doc_id", "n_words", "fp", "keys", "bag"])
 
-    return _hashed(docs).mapInArrow(run, "doc_id long, n_words int, fp binary, keys array<long>")
+    return _hashed(docs).mapInArrow(run, "doc_id long, n_words int, fp binary, keys array<long>, bag binary")
 
 
 def candidates(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -210,6 +224,96 @@ def candidates(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             .select(F.least("text.node", "leader.node").alias("a"), F.greatest("text.node", "leader.node").alias("b")).distinct())
 
 
+def _pairs_of_tile(node: np.ndarray, n_words: np.ndarray, group: np.ndarray, bags: np.ndarray, rest: np.ndarray, own: np.ndarray,
+                   most: int, similarity: float) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs of a text left apart and a text of the tile, of two classes, that may be
+    similar: the `most` likeliest of each text, and whether there were more.
+
+    An edit changes the numbers of words by one up and one down at most."""
+    left, right = rest.nonzero()[0], own.nonzero()[0]
+    found = []
+    step = max(1, PAIRS // max(1, len(right)))
+    for at in range(0, len(left), step):
+        x, y = (i.ravel() for i in np.meshgrid(left[at:at + step], right, indexing="ij"))
+        longer = np.maximum(n_words[x], n_words[y])
+        # the allowed edits are those of similar()
+        edits = ((1 - similarity) * longer + 1e-9).astype(np.int64)
+        differs = np.abs(n_words[x] - n_words[y])
+        may = (group[x] != group[y]) & (differs <= edits) & (~rest[y] | (node[x] < node[y]))
+        x, y, longer, edits, differs = x[may], y[may], longer[may], edits[may], differs[may]
+        least = (np.abs(bags[x] - bags[y]).sum(axis=1, dtype=np.int64) + differs + 1) // 2
+        may = least <= edits
+        x, y, share = x[may], y[may], least[may] / np.maximum(1, longer[may])
+        order = np.lexsort((share, x))
+        found.append((x[order], y[order]))
+    x, y = (np.concatenate([f[i] for f in found]) if found else left[:0] for i in (0, 1))
+    rank = np.arange(len(x)) - np.searchsorted(x, x)
+    a, b = node[x[rank < most]], node[y[rank < most]]
+    return np.minimum(a, b), np.maximum(a, b), bool((rank >= most).any())
+
+
+def left_apart(texts: DataFrame, found: DataFrame, most: int, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b, more), a < b: pairs of a bucket that are not in one class and may be
+    similar, of each text and tile the `most` likeliest; `more` where some are left.
+
+    Each bucket has a home class; its other texts meet all texts, which are dealt to
+    tiles.  Buckets of two texts were compared by their leaders."""
+    grouped = texts.join(found, "node", "left").select("node", "n_words", "bag", F.coalesce("class", "node").alias("class"), F.explode("keys").alias("key"))
+    narrow = texts.join(found, "node", "left").select("node", F.coalesce("class", "node").alias("class"), F.explode("keys").alias("key"))
+    mixed = materialise(
+        narrow.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi"), F.min_by("class", F.xxhash64("key", "node")).alias("home"))
+        .filter("n > 2 and lo <> hi").select("key", "home", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "near-mixed")
+    rest = F.col("class") != F.col("home")
+    at = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
+    rows = (maybe_in(grouped, "key", mixed).join(mixed, "key").withColumn("rest", rest).withColumn("at", at)
+            .select("key", "node", "n_words", "class", "bag", "rest", "at",
+                    F.explode(F.when(F.col("rest"), F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array("at"))).alias("tile"))
+            .select("key", "tile", "node", "n_words", "class", "bag", "rest", (F.col("at") == F.col("tile")).alias("own"))
+            .repartition("key", "tile").sortWithinPartitions("key", "tile", "node"))
+
+    def pairs(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(parts).combine_chunks()
+        column = lambda name: t[name].to_numpy()
+        bags = np.frombuffer(b"".join(t["bag"].to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
+        a, b, more = _pairs_of_tile(column("node"), column("n_words").astype(np.int64), column("class"), bags, column("rest").astype(bool), column("own").astype(bool), most, similarity)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.full(len(a), more), pa.bool_())], names=["a", "b", "more"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, tiles = batch["key"].to_numpy(), batch["tile"].to_numpy()
+            starts = np.flatnonzero((keys[1:] != keys[:-1]) | (tiles[1:] != tiles[:-1])) + 1
+            for low, high in zip([0, *starts.tolist()], [*starts.tolist(), len(keys)], strict=True):
+                if (keys[low], tiles[low]) != last and held:
+                    yield pairs(held)
+                    held = []
+                last = keys[low], tiles[low]
+                held.append(batch.slice(low, high - low))
+        if held:
+            yield pairs(held)
+
+    return rows.mapInArrow(run, "a long, b long, more boolean")
+
+
+def all_classes(texts: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, class) as if all pairs of each bucket had been compared."""
+    compared = materialise(candidates(texts, similarity), "near-pairs")
+    found = classes(verified(compared, docs, similarity))
+    most = FIRST_ROUND
+    while True:
+        listed = materialise(left_apart(texts, found, most, similarity).groupBy("a", "b").agg(F.max("more").alias("more")), "near-apart")
+        new = materialise(listed.drop("more").join(compared, ["a", "b"], "left_anti"), "near-pairs")
+        if not new.isEmpty():
+            links = found.select(F.col("node").alias("u"), F.col("class").alias("v"))
+            found = classes(links.unionByName(verified(new, docs, similarity)).distinct())
+            compared = compared.unionByName(new)
+        if listed.filter("more").isEmpty():
+            return found
+        most *= 8
+
+
 def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs whose alignment is similar enough, as links (u, v), u > v."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
@@ -251,10 +355,9 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, copy_of, class_id, n_words, kept), one row per document: the
     smallest id with the same words, and the smallest id of its class."""
     sketched = materialise(sketches(docs), "near-sketches")
-    texts = sketched.groupBy("fp").agg(F.min("doc_id").alias("node"), F.first("n_words").alias("n_words"), F.first("keys").alias("keys"))
-    pairs = materialise(candidates(texts.filter("node is not null"), similarity), "near-pairs")
-    found = classes(verified(pairs, docs, similarity))
-    nodes = materialise(texts.select("fp", F.col("node").alias("copy_of")), "near-nodes")
+    texts = materialise(sketched.groupBy("fp").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("n_words", "keys", "bag")]), "near-nodes")
+    found = all_classes(texts.filter("node is not null").drop("fp"), docs, similarity)
+    nodes = texts.select("fp", F.col("node").alias("copy_of"))
     return (sketched.select("doc_id", "n_words", "fp").join(nodes, "fp")
             .join(found.withColumnRenamed("node", "copy_of"), "copy_of", "left")
             .select("doc_id", "copy_of", F.coalesce("class", "copy_of").alias("class_id"), F.col("n_words").cast("long").alias("n_words"))

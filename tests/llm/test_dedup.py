@@ -123,6 +123,26 @@ def test_near_classes_find_all_pairs(frame):
     assert found[None] == 902
 
 
+def test_near_classes_of_a_star(frame, monkeypatch):
+    """Variants are similar to their base and not to one another; the base leads no bucket."""
+    monkeypatch.setattr(near_dedup, "TILE", 16, raising=False)
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(100)]
+    rows = []
+    for i in range(90):
+        at = rnd.randint(5, 95)
+        rows.append((i, " ".join(base[:at] + [word() for _ in range(13)] + base[at:])))
+    rows[40] = 40, " ".join(base)
+    passage = [word() for _ in range(60)]
+    rows += [(100 + i, " ".join(passage + [word() for _ in range(60)])) for i in range(40)]
+    split = {i: t.split() for i, t in rows}
+    assert all(levenshtein(split[40], split[i]) <= 0.2 * 113 for i in range(90))
+    assert levenshtein(split[0], split[1]) > 0.2 * 113
+    found = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(frame(rows)).collect()}
+    assert found == {i: 0 if i < 90 else i for i, _ in rows}
+
+
 def test_near_stage(frame):
     docs = frame([(1, "a b c d e f g h i j"), (2, "a b c d e f g h i j"), (3, None)])
     kept = near_dedup.drop_near_copies(docs)
