@@ -192,3 +192,22 @@ def test_decontamination(spark, frame, broadcast):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, _ in docs if i not in bad)
     assert decontaminate.overlaps(frame([]), bench).collect() == []
     assert decontaminate.overlaps(frame(docs), bench.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("broadcast", [decontaminate.BROADCAST_WINDOWS, 0], ids=["broadcast", "shuffle"])
+def test_decontamination_over_alignments(spark, frame, broadcast):
+    """A word inserted or dropped inside an item, and one other word in a short item."""
+    rnd = random.Random(13)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    items = [(n, [word() for _ in range(n)]) for n in [*range(3, 11), 39]]
+    around = lambda words: " ".join([word() for _ in range(9)] + words + [word() for _ in range(9)])
+    long = items[-1][1]
+    docs, want = [(0, around(long[:20] + ["new"] + long[20:])), (1, around(long[:19] + long[20:])), (2, around(long[:20])), (None, around(long[:20])), (None, around(long[20:]))], {(0, 39), (1, 39)}
+    for n, words in items[:-1]:
+        for at in range(n):
+            docs.append((len(docs), around(words[:at] + ["other"] + words[at + 1:])))
+            want.add((docs[-1][0], n))
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items], "item_id long, text string")
+    rows = decontaminate.overlaps(frame(docs), bench, broadcast_windows=broadcast).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in rows} == want
+    assert {r["doc_id"]: r["n_equal"] for r in rows if r["item_id"] == 39} == {0: 39, 1: 38}
