@@ -365,6 +365,14 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """`docs` with one document of each class; all columns stay."""
+    """`docs` with one document of each class; all columns stay.  Where ids repeat,
+    every row is a document of its own, so that only rows that are copies go."""
+    if not docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        keyed = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "near-rows")
+        rows = keyed.filter("doc_id is not null")
+        found = near_classes(rows.select(F.col("__row").alias("doc_id"), "text"), similarity).select(F.col("doc_id").alias("__row"), "class_id")
+        first = found.join(rows.select("__row", "doc_id"), "__row").groupBy("class_id").agg(F.min(F.struct("doc_id", "__row")).alias("first"))
+        stays = materialise(first.select("first.__row"), "near-kept")
+        return rows.join(stays, "__row", "left_semi").unionByName(keyed.filter("doc_id is null")).select(*docs.columns)
     dropped = materialise(near_classes(docs.select("doc_id", "text"), similarity).filter("not kept").select(F.col("doc_id").alias("__id")).distinct(), "near-dropped")
     return docs.join(dropped, F.col("doc_id") == F.col("__id"), "left_anti")

@@ -151,6 +151,17 @@ def test_near_stage(frame):
     assert near_dedup.near_classes(frame([])).collect() == []
 
 
+def test_near_stage_with_repeated_ids(frame):
+    """Two texts under one id: only the one that is a copy of another document goes."""
+    rnd = random.Random(14)
+    a, b = ([f"w{rnd.randrange(10**6)}" for _ in range(80)] for _ in range(2))
+    near = " ".join(a[:40] + ["other"] + a[41:])
+    docs = frame([(1, " ".join(a)), (1, " ".join(b)), (0, near), (2, "q r s"), (None, "q r s")])
+    kept = near_dedup.drop_near_copies(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(0, near), (1, " ".join(b)), (2, "q r s"), (None, "q r s")], key=str)
+
+
 def overlap_brute(docs, items, least=decontaminate.MIN_OVERLAP):
     split = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
     out = set()
