@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from shelfspark.llm import bpe, chat, decontaminate, exact_dedup, language_model, line_dedup, near_dedup, pii, secrets, toxicity
+from shelfspark.llm import bpe, chat, decontaminate, exact_dedup, language_model, line_dedup, mixing, near_dedup, pii, secrets, toxicity
 from shelfspark.llm.common import table
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixture = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return mixture.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def plans() -> dict[str, Plan]:
     return {
         "pipeline": corpus_pipeline.run,
@@ -66,6 +71,7 @@ def plans() -> dict[str, Plan]:
         "op8_pii_sanitise": op8_pii_sanitise,
         "op9_decontaminate": op9_decontaminate,
         "op10_toxicity": op10_toxicity,
+        "op11_mix_sources": op11_mix_sources,
     }
 
 
@@ -73,6 +79,7 @@ def oracle() -> dict[str, str]:
     sql = {
         "op2_line_dedup": line_dedup.ORACLE_SQL,
         "op7_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op11_mix_sources": mixing.ORACLE_SQL,
         "pipeline": corpus_pipeline.ORACLE_SQL,
     }
     return {name: q for name, q in sql.items() if q}
