@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from shelfspark.llm import bpe, chat, decontaminate, exact_dedup, language_model, line_dedup, mixing, near_dedup, pii, secrets, toxicity
+from shelfspark.llm import bpe, chat, decontaminate, exact_dedup, language_model, line_dedup, mixing, near_dedup, pii, prefix_trie, secrets, toxicity, whitening
 from shelfspark.llm.common import table
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,14 @@ def op11_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_whiten_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def plans() -> dict[str, Plan]:
     return {
         "pipeline": corpus_pipeline.run,
@@ -72,6 +80,8 @@ def plans() -> dict[str, Plan]:
         "op9_decontaminate": op9_decontaminate,
         "op10_toxicity": op10_toxicity,
         "op11_mix_sources": op11_mix_sources,
+        "op12_prefix_trie": op12_prefix_trie,
+        "op13_whiten_embeddings": op13_whiten_embeddings,
     }
 
 
@@ -80,6 +90,7 @@ def oracle() -> dict[str, str]:
         "op2_line_dedup": line_dedup.ORACLE_SQL,
         "op7_exact_dedup": exact_dedup.ORACLE_SQL,
         "op11_mix_sources": mixing.ORACLE_SQL,
+        "op12_prefix_trie": prefix_trie.ORACLE_SQL,
         "pipeline": corpus_pipeline.ORACLE_SQL,
     }
     return {name: q for name, q in sql.items() if q}
