@@ -15,6 +15,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfspark.functions import elements as E
 from shelfspark.functions.text import fold_text, normalize_whitespace, slugify, strip_html_tags
 from shelfspark.functions.urls import (absolute_url, base_parts, clean_url, is_http_url, query_param,
                                        url_origin, url_path)
@@ -195,12 +196,20 @@ def likely_product_image(v: Column) -> Column:
     return (v != "") & ~bad
 
 
-def extraction(pages: DataFrame) -> DataFrame:
+def extraction(pages: DataFrame, dom: str | None = None, fields: dict[str, Column] | None = None,
+               keep: tuple[str, ...] = ()) -> DataFrame:
     """``extraction(page_id, url, category, name, description, sku, brand,
     price, currency, images, breadcrumb, body_text, title, canonical_url,
-    has_jsonld)`` -- one row per page, row-local."""
-    p = fence(pages.select("page_id", "url", "category", "html"), _nodes=jsonld_node_array(F.col("html")),
-              _base=base_parts("url"))
+    has_jsonld)`` and the columns of ``keep`` -- one row per page, row-local.
+
+    With ``dom`` (a column of ``elements.with_elements``) fields come from the
+    page's elements, so text may be nested and any selector of that module
+    works; ``fields`` gives selector columns instead of the default ones."""
+    chosen = [(fields or {}).get(k, E.selectors(v)) for k, v in FIELD_SELECTORS.items()]
+    chosen += [E.selectors([f"{c} a" for c in BREADCRUMB_CONTAINERS]), E.selectors(["body"])]
+    from_dom = {"_values": F.transform(F.array(*chosen), lambda s: E.first_values(F.col(dom), s))} if dom else {}
+    p = fence(pages.select("page_id", "url", "category", "html", *([dom] if dom else []), *keep),
+              _nodes=jsonld_node_array(F.col("html")), _base=base_parts("url"), **from_dom)
     p = fence(p,
               _prod=F.coalesce(F.try_element_at(F.filter("_nodes", lambda n: _is_type(n, "Product")), F.lit(1)),
                                F.try_element_at(F.filter("_nodes", lambda n: _truthy(n, "$.sku").isNotNull()
@@ -210,7 +219,15 @@ def extraction(pages: DataFrame) -> DataFrame:
     prod = F.col("_prod")
     offer = F.coalesce(F.try_element_at(F.try_variant_get(prod, "$.offers", "array<variant>"), F.lit(1)),
                        F.try_variant_get(prod, "$.offers", "variant"))
-    sel = {k: select_values(F.col("html"), v, multiple=(k == "images")) for k, v in FIELD_SELECTORS.items()}
+    if dom:
+        sel = {k: F.col("_values")[i] for i, k in enumerate(FIELD_SELECTORS)}
+        sel["images"] = F.array_distinct(sel["images"])
+        crumb_texts = F.col("_values")[len(FIELD_SELECTORS)]
+        body_text = F.coalesce(F.try_element_at(F.col("_values")[len(FIELD_SELECTORS) + 1], F.lit(1)), normalize_whitespace(F.col(dom)["text"]))
+    else:
+        sel = {k: select_values(F.col("html"), v, multiple=(k == "images")) for k, v in FIELD_SELECTORS.items()}
+        crumb_texts = dom_breadcrumb(F.col("html"))
+        body_text = decode_entities(F.regexp_replace(F.regexp_extract("html", BODY_RE, 1), "<[^>]+>", ""))
 
     def first(k):
         return F.try_element_at(sel[k], F.lit(1))
@@ -224,10 +241,9 @@ def extraction(pages: DataFrame) -> DataFrame:
                        _vstr(prod, "$.brand"))
     ld_images = _image_values(F.try_variant_get(prod, "$.image", "variant"))
     images = F.when(_truthy(prod, "$.image").isNotNull(), ld_images).otherwise(sel["images"])
-    body = F.regexp_replace(F.regexp_extract("html", BODY_RE, 1), "<[^>]+>", "")
     canonical_href = F.regexp_extract("html", CANONICAL_RE, 1)
     out = p.select(
-        "page_id", "url", "category", "_base",
+        "page_id", "url", "category", "_base", *keep,
         F.coalesce(_truthy(prod, "$.name"), first("name"), F.lit("")).alias("name"),
         F.coalesce(_truthy(prod, "$.description"), first("description"), F.lit("")).alias("description"),
         F.coalesce(_truthy(prod, "$.sku"), _truthy(prod, "$.mpn"), first("sku"), F.lit("")).alias("sku"),
@@ -238,8 +254,8 @@ def extraction(pages: DataFrame) -> DataFrame:
                                       infer_currency(F.coalesce(first("price"), F.lit(""))))).alias("currency"),
         F.filter(images, likely_product_image).alias("images"),
         F.when(F.col("_bc").isNotNull(), F.coalesce(crumbs, F.array().cast("array<string>")))
-        .otherwise(dom_breadcrumb(F.col("html"))).alias("breadcrumb"),
-        decode_entities(body).alias("body_text"),
+        .otherwise(crumb_texts).alias("breadcrumb"),
+        body_text.alias("body_text"),
         F.trim(decode_entities(F.regexp_extract("html", TITLE_RE, 1))).alias("title"),
         canonical_href.alias("_canonical_href"),
         prod.isNotNull().alias("has_jsonld"),
@@ -259,13 +275,13 @@ def format_category_label(col) -> Column:
     return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))), " ")
 
 
-def category_path_from_url(url) -> Column:
+def category_path_from_url(url, label=format_category_label) -> Column:
     segs = F.transform(F.filter(F.split(url_path(url), "/"), lambda s: s != ""),
                        lambda s: F.coalesce(F.try_url_decode(F.replace(s, F.lit("+"), F.lit("%2B"))), s))
     offset = F.when(F.coalesce(F.try_element_at(segs, F.lit(1)), F.lit("")).contains("_"), 1).otherwise(0)
     cand = F.slice(segs, offset + 1, 2)
     both_ok = F.forall(cand, lambda s: s.rlike(CATEGORY_SEGMENT_RE))
-    labels = F.transform(cand, lambda s: format_category_label(s))
+    labels = F.transform(cand, lambda s: label(s))
     return F.when(F.size(cand) < 2, F.filter(labels, lambda s: s != "")) \
         .when(both_ok, labels).otherwise(F.array().cast("array<string>"))
 
@@ -281,13 +297,16 @@ def normalize_sku(value, body, url) -> Column:
         F.substring(slugify(url), 1, 50))
 
 
-def normalize_extraction(ex: DataFrame, default_currency: str = "USD") -> DataFrame:
-    """Extraction + page URL + category context -> canonical product."""
+def normalize_extraction(ex: DataFrame, default_currency: str = "USD", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Extraction + page URL + category context -> canonical product.
+
+    The context is the whole path ``context`` where there is such a column,
+    else the one name ``category``; the columns of ``keep`` are passed on."""
     if "_base" not in ex.columns:
         ex = fence(ex, _base=base_parts("url"))
     crumbs = F.filter(F.filter(F.transform("breadcrumb", lambda b: normalize_whitespace(b)), lambda b: b != ""),
                       lambda b: ~fold_text(b).isin(*HOME_LABELS))
-    ctx = F.array("category")
+    ctx = F.col("context") if "context" in ex.columns else F.array("category")
     e = fence(ex, _crumbs=F.when(F.size(crumbs) > 0, crumbs).otherwise(ctx),
               _url_trail=category_path_from_url(F.col("url")),
               _images=F.transform("images", lambda i: absolute_url(i, F.col("_base"))),
@@ -296,7 +315,7 @@ def normalize_extraction(ex: DataFrame, default_currency: str = "USD") -> DataFr
     path = F.when(F.size("_url_trail") >= 2, F.col("_url_trail")).otherwise(F.col("_crumbs"))
     path_value = F.array_join(path, " > ")
     raw = e.select(
-        "page_id", F.col("url").alias("page_url"),
+        "page_id", *keep, F.col("url").alias("page_url"),
         product_key_id(F.col("_sku"), F.col("name"), F.col("url")).alias("product_id"),
         normalize_whitespace(F.when(F.col("name") != "", F.col("name")).otherwise(F.col("title"))).alias("name"),
         normalize_whitespace(strip_html_tags("description")).alias("description"),

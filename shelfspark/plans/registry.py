@@ -835,4 +835,6 @@ _ORACLE["sink_b2c_catalog"] = RQ.catalog_lines_sql
 _ORACLE["discover_subcategories"] = DQ.discover_subcategories_sql
 
 
+from shelfspark.plans import storefront  # noqa: E402,F401  registers its queries
+
 __all__ = ["plans", "oracle", "register", "F"]
