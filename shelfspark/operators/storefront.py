@@ -109,7 +109,8 @@ def page_facts(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     by site (``parsed_rules``)."""
     given, rule = _with_rules(pages.select("page_id", "site", "seq", "url", "html"), rules)
     dom = F.col("dom")
-    ids = ["page_id", "site", "seq", "url", "html", "dom", *(["rules"] if rules is not None else [])]
+    own = ["rules"] if rules is not None else []
+    ids = ["page_id", "site", "seq", "url", "html", "dom", *own]
     groups = F.array(rule["category_selectors"], rule["product_selectors"], E.selectors(CARD_SELECTORS), E.selectors(["a"]))
     found = E.with_elements(given).select(*ids, base_parts("url").alias("base"), E.links(dom, groups).alias("found"),
                                           E.first_href(dom, rule["pagination_selectors"]).alias("next_href"))
@@ -131,4 +132,4 @@ def page_facts(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
                     lambda x: F.struct(x["url"].alias("url"), (-x["neg"]).cast("int").alias("score"), (x["kind"] == CARD).alias("by_card"))).alias("products"))
     fields = {k: rule[f"{k}_selectors"] for k in EX.FIELD_SELECTORS}
     return EX.extraction(best.withColumn("category", F.lit("")), dom="dom", fields=fields,
-                         keep=("site", "seq", "page_url", "next_url", "categories", "products")).drop("category")
+                         keep=("site", "seq", "page_url", "next_url", "categories", "products", *own)).drop("category", *own)
