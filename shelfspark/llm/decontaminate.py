@@ -67,11 +67,9 @@ def short_masks(n: int) -> list[str]:
     return ["1" * (n // 2) + "0" * (n - n // 2), "0" * (n // 2) + "1" * (n - n // 2)]
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, min_overlap: float = MIN_OVERLAP, seeds: tuple[str, ...] = SEEDS,
-             broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """(doc_id, item_id, doc_word, n_words, n_equal, overlap): the best alignment
-    of each contaminated document with each item it contains; `n_equal` counts the
-    item's words over all alignments where that is more."""
+def _contained(docs: DataFrame, benchmark: DataFrame, min_overlap: float, seeds: tuple[str, ...], broadcast_windows: int) -> DataFrame:
+    """(doc_id, doc_key, item_id, best): the items that each row contains; rows are
+    told apart by id and text, as `doc_key` hashes the text."""
     span = min(len(s) for s in seeds)
     items = materialise(benchmark.select("item_id", word_hashes(text_or_empty()).alias("item_words")).filter(F.size("item_words") > 0), "bench-items")
     # short lengths get masks of their own (at most SHORT values)
@@ -84,16 +82,17 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_overlap: float = MIN_OVE
         long_windows = long_windows.unionByName(more)
     bench = materialise(long_windows.select(F.col("w.key").alias("key"), F.col("w.pos").alias("item_pos"), F.col("w.size").alias("size"), "item_id", "item_words"), "bench-windows")
 
-    hashed = docs.select("doc_id", word_hashes(text_or_empty()).alias("words"))
-    doc_windows = hashed.select("doc_id", "words", F.explode(_windows(F.col("words"), masks)).alias("w")).select(
-        "doc_id", "words", F.col("w.pos").alias("doc_pos"), F.col("w.key").alias("key"))
+    hashed = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("doc_key"), word_hashes(text_or_empty()).alias("words"))
+    doc_windows = hashed.select("doc_id", "doc_key", "words", F.explode(_windows(F.col("words"), masks)).alias("w")).select(
+        "doc_id", "doc_key", "words", F.col("w.pos").alias("doc_pos"), F.col("w.key").alias("key"))
     if bench.count() <= broadcast_windows:
         hits = doc_windows.join(F.broadcast(bench), "key")
     else:
         # narrow windows first; documents with a hit then meet their words again
-        found = doc_windows.drop("words").join(bench.select("key", "item_pos", "size", "item_id"), "key").select("doc_id", "doc_pos", "item_pos", "size", "item_id").distinct()
+        found = doc_windows.drop("words").join(bench.select("key", "item_pos", "size", "item_id"), "key").select("doc_id", "doc_key", "doc_pos", "item_pos", "size", "item_id").distinct()
         # a null id is hashed as itself, so that null ids find their rows too
-        hits = (found.join(hashed.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
+        row = hashed.select(F.col("doc_id").alias("__id"), F.col("doc_key").alias("__key"), "words").dropDuplicates(["__id", "__key"])
+        hits = (found.join(row, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("doc_key") == F.col("__key"))).drop("__id", "__key")
                 .join(items.withColumnRenamed("item_id", "__item"), F.col("item_id").eqNullSafe(F.col("__item"))).drop("__item"))
 
     shift = F.col("doc_pos") - F.col("item_pos")
@@ -103,11 +102,19 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_overlap: float = MIN_OVE
                .withColumn("n_equal", F.size(F.filter(F.sequence(F.lit(0), n - 1), agree)))
                .withColumn("inside", F.filter(F.sequence(F.col("item_pos"), F.col("item_pos") + F.col("size") - 1), agree)))
     # rows that share an id may have other words, whose alignments are not united
-    united = (aligned.groupBy("doc_id", "item_id", F.xxhash64("words").alias("doc_key"), F.xxhash64("item_words").alias("item_key"))
+    united = (aligned.groupBy("doc_id", "item_id", "doc_key", F.xxhash64("item_words").alias("item_key"))
               .agg(F.max(F.struct("n_equal", (-F.col("shift")).alias("neg"), n.alias("n_words"))).alias("best"),
                    F.size(F.array_distinct(F.flatten(F.collect_set("inside")))).alias("n_united"))
-              .select("doc_id", "item_id", F.struct(F.greatest("best.n_equal", "n_united").alias("n_equal"), "best.neg", "best.n_words").alias("best")))
-    return (united.filter(F.col("best.n_equal") >= F.lit(min_overlap) * F.col("best.n_words"))
+              .select("doc_id", "doc_key", "item_id", F.struct(F.greatest("best.n_equal", "n_united").alias("n_equal"), "best.neg", "best.n_words").alias("best")))
+    return united.filter(F.col("best.n_equal") >= F.lit(min_overlap) * F.col("best.n_words"))
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, min_overlap: float = MIN_OVERLAP, seeds: tuple[str, ...] = SEEDS,
+             broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    """(doc_id, item_id, doc_word, n_words, n_equal, overlap): the best alignment
+    of each contaminated document with each item it contains; `n_equal` counts the
+    item's words over all alignments where that is more."""
+    return (_contained(docs, benchmark, min_overlap, seeds, broadcast_windows)
             .groupBy("doc_id", "item_id").agg(F.max("best").alias("best"))
             .select("doc_id", "item_id", (-F.col("best.neg")).cast("long").alias("doc_word"),
                     F.col("best.n_words").cast("long").alias("n_words"), F.col("best.n_equal").cast("long").alias("n_equal"),
@@ -115,7 +122,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_overlap: float = MIN_OVE
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """`docs` without the documents that contain a benchmark item."""
-    bad = overlaps(docs.select("doc_id", "text"), benchmark).select(F.col("doc_id").alias("__id")).distinct()
-    bad = materialise(bad, "bench-bad")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    """`docs` without the rows that contain a benchmark item; a clean row stays
+    even where another row of its id goes."""
+    bad = _contained(docs.select("doc_id", "text"), benchmark, MIN_OVERLAP, SEEDS, BROADCAST_WINDOWS)
+    bad = materialise(bad.select(F.col("doc_id").alias("__id"), F.col("doc_key").alias("__key")).distinct(), "bench-bad")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(text_or_empty()) == F.col("__key"))
+    return docs.join(bad, same, "left_anti")

@@ -222,3 +222,11 @@ def test_decontamination_over_alignments(spark, frame, broadcast):
     rows = decontaminate.overlaps(frame(docs), bench, broadcast_windows=broadcast).collect()
     assert {(r["doc_id"], r["item_id"]) for r in rows} == want
     assert {r["doc_id"]: r["n_equal"] for r in rows if r["item_id"] == 39} == {0: 39, 1: 38}
+
+
+def test_clean_rows_stay_where_their_id_is_contaminated(frame, spark):
+    item = " ".join(f"w{i}" for i in range(30))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(None, f"x {item} y"), (None, "clean text of a row"), (5, item), (5, "another clean text"), (5, item), (6, "also clean")]
+    kept = decontaminate.drop_contaminated(frame(rows), bench).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == [("5", "another clean text"), ("6", "also clean"), ("None", "clean text of a row")]
