@@ -72,22 +72,26 @@ def _descend(trie: dict, part: str) -> dict | None:
 
 
 def _walk(node: dict, word: str, i: int, edits: int, found: list) -> None:
-    """The automaton's states (i, edits) run along the trie below `node`."""
-    if i == len(word):
-        if _END in node:
-            found.append(node[_END])
-    elif (child := node.get(word[i])) is not None:
-        _walk(child, word, i + 1, edits, found)
-    if edits:
-        if i < len(word):
-            _walk(node, word, i + 1, 0, found)  # a letter too many
-        for c, child in node.items():
-            if c != _END:
-                _walk(child, word, i, 0, found)  # a letter missing
-                if i < len(word) and c != word[i]:
-                    _walk(child, word, i + 1, 0, found)  # another letter
-        if i + 1 < len(word) and (node := _descend(node, word[i + 1] + word[i])) is not None:
-            _walk(node, word, i + 2, 0, found)  # two letters swapped
+    """The automaton's states (i, edits) run along the trie below `node`; states
+    wait in a list, so that words and terms may have any length."""
+    waiting = [(node, i, edits)]
+    while waiting:
+        node, i, edits = waiting.pop()
+        if i == len(word):
+            if _END in node:
+                found.append(node[_END])
+        elif (child := node.get(word[i])) is not None:
+            waiting.append((child, i + 1, edits))
+        if edits:
+            if i < len(word):
+                waiting.append((node, i + 1, 0))  # a letter too many
+            for c, child in node.items():
+                if c != _END:
+                    waiting.append((child, i, 0))  # a letter missing
+                    if i < len(word) and c != word[i]:
+                        waiting.append((child, i + 1, 0))  # another letter
+            if i + 1 < len(word) and (below := _descend(node, word[i + 1] + word[i])) is not None:
+                waiting.append((below, i + 2, 0))  # two letters swapped
 
 
 @dataclass
