@@ -34,6 +34,8 @@ KINDS = {
 }
 BASE = ("assign", "access", "hex")
 MAX_OWNERS = 2
+#: Matches of a text whose places are added up together.
+BLOCK = 256
 
 _SPAN = "array<struct<start:int,rank:int,kind:string,end:int,value:string>>"
 
@@ -47,17 +49,30 @@ def find_spans(text: Column, kind: str) -> Column:
     rank = list(KINDS).index(kind)
     pieces = F.split(text, pattern)
     found = F.arrays_zip(F.regexp_extract_all(text, regex.alias("m"), F.lit(0)).alias("whole"), F.regexp_extract_all(text, regex, F.lit(group)).alias("value"), pieces.alias("before"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["before"])
-        end = begin + F.length(x["whole"])
-        one = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"), x["value"].alias("value"))
-        keep = F.length(x["value"]) >= least
-        return F.struct(end.alias("at"), F.when(keep, F.array_append(acc["spans"], one)).otherwise(acc["spans"]).alias("spans"))
-
     # the last piece follows the last match
-    spans = F.aggregate(F.slice(found, 1, F.size(pieces) - 1), start, step)["spans"]
+    matches = F.transform(F.slice(found, 1, F.size(pieces) - 1), lambda x: F.struct(
+        F.length(x["before"]).alias("gap"), F.length(x["whole"]).alias("length"), x["value"].alias("value")))
+
+    def places(block: Column, at: Column) -> Column:
+        """Spans of one block of matches, the first gap starting at `at`."""
+        def step(acc: Column, x: Column) -> Column:
+            begin = acc["at"] + x["gap"]
+            end = begin + x["length"]
+            one = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"), x["value"].alias("value"))
+            keep = F.length(x["value"]) >= least
+            return F.struct(end.alias("at"), F.when(keep, F.array_append(acc["spans"], one)).otherwise(acc["spans"]).alias("spans"))
+
+        return F.aggregate(block, F.struct(at.alias("at"), F.array().cast(_SPAN).alias("spans")), step)["spans"]
+
+    def of_text(all_: Column) -> Column:
+        # appending copies an array, so spans are gathered by blocks, and blocks joined at once
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / BLOCK).cast("int")), lambda k: F.slice(all_, k * BLOCK + 1, BLOCK))
+        sizes = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda n, x: n + x["gap"] + x["length"]))
+        starts = F.aggregate(sizes, F.array(F.lit(0)), lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n))
+        return F.flatten(F.zip_with(blocks, starts, lambda block, at: F.when(block.isNotNull(), places(block, at)).otherwise(F.array().cast(_SPAN))))
+
+    # bound once: each block reads it
+    spans = F.element_at(F.transform(F.array(matches), of_text), 1)
     return F.when(F.size(pieces) > 1, spans).otherwise(F.array().cast(_SPAN))
 
 
