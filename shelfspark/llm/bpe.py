@@ -41,10 +41,14 @@ from shelfspark.llm.common import materialise, most_frequent, scratch, text_or_e
 
 LEXICON_WORDS = 65_536
 COUNTER_WORDS = 500_000  # distinct words a task holds before it hands its counts on
-MEMO_WORDS = 400_000  # words whose ids a worker remembers
+MEMO_PIECES = 400_000  # runs between white space whose ids a worker remembers
+MEMO_WORDS = 200_000  # words whose ids a worker remembers besides
+LONGEST_KEPT = 64  # longer ones are encoded each time
 
 # The splitting rule of the vocabulary, for characters below U+0250.
 _SIMPLE = regex.compile(r"[\x00-\u024f]*")
+# Of these characters str.split() cuts at the white space of the rule and nowhere else.
+_SPLIT = regex.compile(r"[\x00-\x1b\x20-\u024f]*")
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r \x85\xa0\p{L}\p{N}]+")
 
 
@@ -236,15 +240,27 @@ def frequent_words(docs: DataFrame, spec, top: int) -> list[str]:
     """The most frequent words of all texts, at most `top`."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges, counts = Merges(spec.value), Counter()
+        merges, counts, pieces = Merges(spec.value), Counter(), Counter()
+
+        def handed_on() -> pa.RecordBatch:
+            for piece, n in pieces.items():  # no word crosses white space
+                for word in _WORDS.findall(piece):
+                    counts[word] += n
+            out = pa.RecordBatch.from_pydict({"word": list(counts), "n": list(counts.values())})
+            counts.clear()
+            pieces.clear()
+            return out
+
         for batch in batches:
             for text in batch["t"].to_pylist():
-                counts.update(merges.words(text))
-                if len(counts) >= COUNTER_WORDS:
-                    yield pa.RecordBatch.from_pydict({"word": list(counts), "n": list(counts.values())})
-                    counts = Counter()
-        if counts:
-            yield pa.RecordBatch.from_pydict({"word": list(counts), "n": list(counts.values())})
+                if _SPLIT.fullmatch(text):
+                    pieces.update(text.lower().split())
+                else:
+                    counts.update(merges.words(text))
+                if len(counts) + len(pieces) >= COUNTER_WORDS:
+                    yield handed_on()
+        if counts or pieces:
+            yield handed_on()
 
     counted = docs.select(text_or_empty().alias("t")).mapInArrow(count, "word string, n long")
     totals = materialise(counted.groupBy("word").agg(F.sum("n").alias("n")), "bpe-words")
@@ -272,30 +288,50 @@ def _little(ids: list[int]) -> bytes:
 
 
 class Encoder:
-    """Encodes with a lexicon; remembers words, between the tasks of a worker too."""
+    """Encodes with a lexicon; remembers what it has encoded, between the tasks of a
+    worker too: whole runs between white space, and the words of other texts."""
 
     def __init__(self, merges: Merges, known: Lexicon) -> None:
         self.merges, self.known = merges, known
-        self.memo: dict[str, tuple[bytes, str]] = {}
+        self.words: dict[str, tuple[bytes, str]] = {}
+        self.runs: dict[str, tuple[bytes, str]] = {}
+
+    def _word(self, word: str) -> tuple[bytes, str]:
+        if (found := self.words.get(word)) is None:
+            ids = self.known.get(word) or self.merges.merge(word)
+            found = (_little(ids), self.merges.decode(ids))
+            if len(word) <= LONGEST_KEPT:
+                if len(self.words) >= MEMO_WORDS:
+                    self.words.clear()
+                self.words[word] = found
+        return found
 
-    def _add(self, word: str) -> tuple[bytes, str]:
-        ids = self.known.get(word) or self.merges.merge(word)
-        if len(self.memo) >= MEMO_WORDS:
-            self.memo.clear()
-        self.memo[word] = found = (_little(ids), self.merges.decode(ids))
+    def _run(self, run: str) -> tuple[bytes, str]:
+        parts = [self._word(w) for w in _WORDS.findall(run)]
+        found = (b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts]))
+        if len(run) <= LONGEST_KEPT:
+            if len(self.runs) >= MEMO_PIECES:
+                self.runs.clear()
+            self.runs[run] = found
         return found
 
+    def _plain(self, text: str) -> list[tuple[bytes, str]]:
+        if _SPLIT.fullmatch(text):
+            get, add = self.runs.get, self._run
+            return [get(r) or add(r) for r in text.lower().split()]
+        return [self._word(w) for w in self.merges.words(text)]
+
     def pieces(self, text: str) -> list[tuple[bytes, str]]:
-        """For each word its ids, little-endian, and what they decode to."""
-        merges, get, add = self.merges, self.memo.get, self._add
+        """For each run or word its ids, little-endian, and what they decode to."""
+        merges = self.merges
         if not merges.special_at or not merges.special_at.search(text):
-            return [get(w) or add(w) for w in merges.words(text)]
+            return self._plain(text)
         out, at = [], 0
         for m in merges.special_at.finditer(text):
-            out += [get(w) or add(w) for w in merges.words(text[at:m.start()])]
+            out += self._plain(text[at:m.start()])
             out.append((_little([merges.special[m[0]]]), m[0]))
             at = m.end()
-        return out + [get(w) or add(w) for w in merges.words(text[at:])]
+        return out + self._plain(text[at:])
 
 
 _ENCODERS: dict[str, Encoder] = {}
