@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.functions.text import normalize_whitespace, slugify
+from shelfspark.functions.text import fold_text, normalize_whitespace, slugify
+from shelfspark.operators.ordering import positions, stored
 
 ALL_PRODUCTS = "All Products"
 
@@ -100,6 +101,20 @@ def merge_categories(categories: DataFrame) -> DataFrame:
 
 def order_category_nodes(nodes: DataFrame) -> DataFrame:
     """Export order of category nodes per site: depth, then id."""
-    from pyspark.sql import Window
-    w = Window.partitionBy("site").orderBy("depth", "id")
-    return nodes.withColumn("position", F.row_number().over(w))
+    return positions(stored(nodes, "category-nodes"), ["site"], ["depth", "id"])
+
+
+def locale_keys(col: str) -> dict[str, Column]:
+    """Sort keys of a text as readers expect: letters without accents and case, then
+    accents, then small letters before capitals."""
+    small, large = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return {"__letters": fold_text(col), "__accents": F.lower(col), "__case": F.translate(col, small + large, large + small)}
+
+
+def order_category_paths(products: DataFrame, locale: bool = False) -> DataFrame:
+    """``(site, category_path, position)``: distinct non-empty paths of each site in
+    order, by code point or by ``locale_keys``; a site's paths may span many tasks."""
+    paths = products.where(F.col("category_path") != "").select("site", "category_path").distinct()
+    keys = locale_keys("category_path") if locale else {}
+    order = [*keys, "category_path"]
+    return positions(stored(paths.withColumns(keys), "category-paths"), ["site"], order).select("site", "category_path", "position")

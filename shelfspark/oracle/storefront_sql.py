@@ -159,3 +159,42 @@ SELECT {HOST.format('site')} AS site, code, subject FROM (
   UNION ALL SELECT site, 'missing_price', site || path FROM products WHERE price = ''
   UNION ALL SELECT site, 'low_price_coverage', CAST(floor(round(count(*) FILTER (WHERE price <> '') / count(*)::DOUBLE, 4) * 100 + 0.5) AS BIGINT) || '%'
     FROM products GROUP BY site HAVING count(*) FILTER (WHERE price <> '') / count(*)::DOUBLE < 0.5)""")
+
+
+def site_config_sql() -> str:
+    return _query(SHOPS_SQL, f"""
+SELECT DISTINCT {HOST.format('site')} AS site, 'shop-' || b AS name, site || '/' AS entry_url, 'CHF' AS currency, site || '/c/outside' AS category_urls,
+  'a[href]' AS category_selectors, '/items/' AS include_patterns, '' AS exclude_patterns, 'title' AS name_selectors, NULL::VARCHAR AS price_selectors
+FROM shop_types WHERE b % 3 = 0""")
+
+
+def config_precedence_sql() -> str:
+    patterns = "/c/ cgid= /collections/ /category/ /departments/ /shop/"
+    return _query(SHOPS_SQL, f""",
+shops AS (SELECT DISTINCT site, b FROM shop_types),
+settings AS (
+  SELECT site, 'entry_url' AS key, site || '/' AS value, 'config' AS source FROM shops WHERE b % 3 = 0
+  UNION ALL SELECT site, 'currency', CASE WHEN b % 4 = 0 THEN 'JPY' WHEN b % 3 = 0 THEN 'CHF' ELSE 'USD' END,
+    CASE WHEN b % 4 = 0 THEN 'explicit' WHEN b % 3 = 0 THEN 'config' ELSE 'default' END FROM shops
+  UNION ALL SELECT site, 'category_names', CASE WHEN b % 4 = 0 THEN 'Large' ELSE '' END, CASE WHEN b % 4 = 0 THEN 'explicit' ELSE 'default' END FROM shops
+  UNION ALL SELECT site, 'category_urls', CASE WHEN b % 3 = 0 THEN site || '/c/outside' ELSE '' END, CASE WHEN b % 3 = 0 THEN 'config' ELSE 'default' END FROM shops
+  UNION ALL SELECT site, 'category_selectors', CASE WHEN b % 3 = 0 THEN 'a[href]' WHEN b % 2 = 0 THEN '.menu a[href]'
+    ELSE 'header nav a[href] nav a[href] [role=''navigation''] a[href] .menu a[href] .navigation a[href]' END,
+    CASE WHEN b % 3 = 0 THEN 'config' WHEN b % 2 = 0 THEN 'profile' ELSE 'default' END FROM shops
+  UNION ALL SELECT site, 'include_patterns', CASE WHEN b % 3 = 0 THEN '/items/' WHEN b % 2 = 0 THEN '/c/ -x' ELSE '{patterns}' END,
+    CASE WHEN b % 3 = 0 THEN 'config' WHEN b % 2 = 0 THEN 'profile' ELSE 'default' END FROM shops
+  UNION ALL SELECT site, 'exclude_patterns', CASE WHEN b % 3 = 0 THEN '' ELSE '/account /login /cart /checkout /wishlist /search /blog' END,
+    CASE WHEN b % 3 = 0 THEN 'config' ELSE 'default' END FROM shops
+  UNION ALL SELECT site, 'name_selectors', CASE WHEN b % 3 = 0 THEN 'title' ELSE
+    '[itemprop=''name''] .productName .product-name h1 meta[property=''og:title'']@content meta[name=''twitter:title'']@content' END,
+    CASE WHEN b % 3 = 0 THEN 'config' ELSE 'default' END FROM shops
+  UNION ALL SELECT site, 'max_pages', '3', 'default' FROM shops)
+SELECT {HOST.format('site')} AS site, key, value, source FROM settings""")
+
+
+def site_config_discovery_sql() -> str:
+    return _query(SHOPS_SQL, """
+SELECT b AS page_id, CAST(t AS INT) AS rank, site || '/c/' || lower(type) AS url, CASE WHEN b % 3 = 0 THEN 3 ELSE 8 END AS score FROM shop_types WHERE b % 5 <> 3
+UNION ALL SELECT DISTINCT b, CAST(n_types + 1 AS INT), site || '/c/outside', CASE WHEN b % 3 = 0 THEN 3 ELSE 8 END FROM shop_types
+  WHERE b % 5 <> 3 AND (b % 5 = 2 OR b % 3 = 0 OR b % 2 = 0)
+UNION ALL SELECT b, CAST(row_number() OVER (PARTITION BY site ORDER BY pk) AS INT), site || path, 5 FROM shop_links WHERE b % 5 = 3 AND b % 3 = 0 AND pk % 4 = 2""")

@@ -27,6 +27,7 @@ from shelfspark.oracle import discovery_sql as DQ
 from shelfspark.operators import extract as EX
 from shelfspark.oracle import extract_sql as EQ
 from shelfspark.oracle import products_sql as RQ
+from shelfspark.oracle import sqlfn as SQ
 from shelfspark.sources.fixtures import product_observations
 from shelfspark.sources.tables import read_pages
 
@@ -376,7 +377,10 @@ def q_extraction(spark, sf):
 
 @register("extract_products", EQ.extract_products_sql)
 def q_extract_products(spark, sf):
-    p = EX.extract_products(product_pages(spark, sf))
+    return _extracted(EX.extract_products(product_pages(spark, sf)))
+
+
+def _extracted(p):
     return p.select("page_id", "product_id", "name", "description", "sku", "price", "currency", "brand",
                     "product_url", "category", "subcategory", "category_path",
                     F.array_join("category_trail", " > ").alias("category_trail"),
@@ -408,6 +412,30 @@ def q_stream_new_links(spark, sf):
     return SM.stream_new_links(spark, f"{root}/input", f"{root}/out").select("url")
 
 
+@register("stream_page_links", lambda: LQ.with_links() + f"SELECT DISTINCT {SQ.host('page_url')} AS site, url FROM lk")
+def q_stream_page_links(spark, sf):
+    """Pages arrive as four files; every link of a site is emitted once."""
+    from shelfspark.streaming import merge as SM
+    from shelfspark.streaming import pages as SP
+    root = SM.fresh_root(spark, "stream-pages")
+    pages = read_pages(spark, sf).withColumn("seen_at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id")))
+    SM.write_arrivals(pages, f"{root}/input", 4, "page_id")
+    arriving = SP.read_arrivals(spark, f"{root}/input", "page_id long, site string, url string, html string, seq long, seen_at timestamp")
+    SP.new_links(arriving, f"{root}/out", "3650 days").awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("site", "url")
+
+
+@register("stream_extract_products", EQ.extract_products_sql)
+def q_stream_extract_products(spark, sf):
+    """Product pages arrive as four files and are extracted one batch at a time."""
+    from shelfspark.streaming import merge as SM
+    from shelfspark.streaming import pages as SP
+    root = SM.fresh_root(spark, "stream-products")
+    SM.write_arrivals(product_pages(spark, sf), f"{root}/input", 4, "page_id")
+    SP.arriving_products(SP.read_arrivals(spark, f"{root}/input", "page_id long, url string, category string, html string"), f"{root}/out").awaitTermination()
+    return _extracted(spark.read.parquet(f"{root}/out"))
+
+
 # ---------------------------------------------------------------- sinks
 def _sink_root(spark, name):
     from shelfspark.streaming.merge import fresh_root
@@ -555,7 +583,6 @@ def q_discover_subcategories(spark, sf):
 # ---------------------------------------------------------------- scalar functions over real columns
 from shelfspark.functions import text as TX  # noqa: E402
 from shelfspark.functions import urls as UR  # noqa: E402
-from shelfspark.oracle import sqlfn as SQ  # noqa: E402
 
 _TITLE_SQL = SQ.rx_extract("coalesce(html, '')", LQ.TITLE_RE, 1)
 _BODY_RE = r"(?is)<body[^>]*>(.*)</body>"
@@ -667,7 +694,7 @@ def q_plp_to_pdp(spark, sf):
     "UNION ALL SELECT DISTINCT site, 'all', 1 FROM merged)"))
 def q_order_category_nodes(spark, sf):
     nodes = C.catalog_categories(_merged(spark, sf)).select("site", "id", "depth")
-    return C.order_category_nodes(nodes).withColumn("position", F.col("position").cast("bigint"))
+    return C.order_category_nodes(nodes)
 
 
 @register("merge_categories", lambda: LS.with_listing() + (
@@ -778,10 +805,15 @@ def q_merge_results(spark, sf):
     "SELECT site, category_path, row_number() OVER (PARTITION BY site ORDER BY category_path) AS position "
     "FROM (SELECT DISTINCT site, category_path FROM merged WHERE category_path <> '')"))
 def q_order_category_paths(spark, sf):
-    from pyspark.sql import Window
-    paths = _merged(spark, sf).where(F.col("category_path") != "").select("site", "category_path").distinct()
-    return paths.withColumn("position", F.row_number().over(Window.partitionBy("site").orderBy("category_path"))
-                            .cast("bigint"))
+    return C.order_category_paths(_merged(spark, sf))
+
+
+@register("order_category_paths_locale", lambda: RQ.with_merged() + (
+    "SELECT site, category_path, row_number() OVER (PARTITION BY site ORDER BY " + SQ.fold("category_path") + ", lower(category_path), "
+    "translate(category_path, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz'), category_path) "
+    "AS position FROM (SELECT DISTINCT site, category_path FROM merged WHERE category_path <> '')"))
+def q_order_category_paths_locale(spark, sf):
+    return C.order_category_paths(_merged(spark, sf), locale=True)
 
 
 @register("is_http_url", lambda: RQ.with_products() + (

@@ -11,8 +11,9 @@ from shelfspark.operators import extract as EX
 from shelfspark.operators.ordering import stored
 from shelfspark.operators.storefront import page_facts
 from shelfspark.oracle import storefront_sql as Q
-from shelfspark.plans.registry import _flat_products, register
-from shelfspark.sources.storefronts import category_requests, storefront_pages
+from shelfspark.plans.registry import _flat_products, _sink_root, register
+from shelfspark.sources import site_config as SC
+from shelfspark.sources.storefronts import category_requests, site_settings, storefront_pages
 
 DETAILS_FROM = 100_000_000  # page ids of product pages
 
@@ -119,3 +120,36 @@ def q_build_catalog_summary(spark, sf):
 @register("validate_catalog", Q.issues_sql)
 def q_validate_catalog(spark, sf):
     return _catalog(spark, sf).issues
+
+
+def _settings(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Explicit settings, config files written and read back, profiles."""
+    explicit, config, profile = site_settings(spark, sf)
+    path = _sink_root(spark, "site-configs")
+    config.repartition("folder").write.partitionBy("folder").option("maxRecordsPerFile", 1).json(path)
+    return explicit, SC.read_site_configs(spark, path), profile
+
+
+@register("src_site_config", Q.site_config_sql)
+def q_src_site_config(spark, sf):
+    config = _settings(spark, sf)[1]
+    lists = ("category_urls", "category_selectors", "include_patterns", "exclude_patterns", "name_selectors", "price_selectors")
+    return config.select("site", "name", "entry_url", "currency", *[F.array_join(c, " ").alias(c) for c in lists])
+
+
+@register("config_precedence", Q.config_precedence_sql)
+def q_config_precedence(spark, sf):
+    explicit, config, profile = _settings(spark, sf)
+    sites = _pages(spark, sf).select("site")
+    resolved = SC.resolve(sites, explicit, config, profile)
+    shown = ("entry_url", "currency", "category_names", "category_urls", "category_selectors", "include_patterns", "exclude_patterns", "name_selectors", "max_pages")
+    return resolved.where(F.col("key").isin(*shown)).withColumn("value", F.array_join("value", " "))
+
+
+@register("site_config_discovery", Q.site_config_discovery_sql)
+def q_site_config_discovery(spark, sf):
+    """Categories of the entry pages where each site's settings apply."""
+    entries = _pages(spark, sf).where(F.col("page_id") < 1000)
+    rules = SC.site_rules(SC.resolve(entries.select("site"), *_settings(spark, sf)))
+    facts = page_facts(entries, rules).select("page_id", F.posexplode_outer("categories").alias("i", "c")).where("c is not null")
+    return facts.select("page_id", (F.col("i") + 1).alias("rank"), "c.url", "c.score")

@@ -114,6 +114,9 @@ SELECT site, CAST(req_no AS INT) AS req_no, kind, value FROM (
   UNION ALL SELECT site, 5, 'name', '  Zz unmatched ' FROM shop_types WHERE t = 1
   UNION ALL SELECT site, 6, 'name', label || '   Sale' FROM shop_types WHERE t = 2)"""
 
+CONFIGS_SQL = SHOPS_SQL + """
+SELECT DISTINCT site, b FROM shop_types"""
+
 _JOIN = re.compile(r"\$join\((.*), (\w+)\) AS")
 
 
@@ -139,3 +142,18 @@ def category_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     letter), a name that no category has, and a whole name."""
     rows = _spark_rows(spark, sf_dir, REQUESTS_SQL)
     return rows.withColumn("site", url_host("site"))
+
+
+def site_settings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What the caller gives (shops with b % 4 = 0), config files (b % 3 = 0, as rows of
+    their JSON) and stored profiles (b % 2 = 0)."""
+    shops = _spark_rows(spark, sf_dir, CONFIGS_SQL).withColumnRenamed("site", "url").withColumn("site", url_host("url"))
+    explicit = shops.where("b % 4 = 0").select("site", F.lit("").alias("entry_url"), F.lit("JPY").alias("currency"), F.array(F.lit("Large")).alias("category_names"))
+    texts = lambda *t: F.array(*map(F.lit, t))
+    config = shops.where("b % 3 = 0").select(
+        F.concat(F.lit("shop-"), "b").alias("name"), F.concat("url", F.lit("/")).alias("entryUrl"), F.lit("CHF").alias("currency"),
+        F.array().cast("array<string>").alias("categoryNames"), F.array(F.concat("url", F.lit("/c/outside"))).alias("categoryUrls"),
+        F.struct(texts("a[href]").alias("selectors"), texts("/items/").alias("includePatterns"), F.array().cast("array<string>").alias("excludePatterns")).alias("categoryDiscovery"),
+        F.struct(texts("title").alias("name")).alias("productExtraction"), F.col("site").alias("folder"))
+    profile = shops.where("b % 2 = 0").select("site", texts(".menu a[href]").alias("category_selectors"), texts("/c/", "-x").alias("include_patterns"))
+    return explicit, config, profile
