@@ -801,6 +801,36 @@ def q_merge_results(spark, sf):
     return _flat_products(merged, "product_key", "first_seq", "last_seq", "sightings")
 
 
+def _passes(spark, sf):
+    """Three passes: sightings by their number, categories as listed, in small letters,
+    and without name but with more links; a warning per category."""
+    from shelfspark.operators import results as RS
+    sightings = _products(spark, sf)
+    cats, links = _listing(spark, sf)
+    found = LI.category_product_links(cats, links)[1].select(F.col("category_url").alias("url"), "links_discovered")
+    listed = cats.join(found, "url", "left").select("site", "name", "url", "path", "links_discovered")
+    passes = [listed, listed.select("site", F.lower("name").alias("name"), "url", F.array(F.lower("name")).alias("path"), F.lit(0).alias("links_discovered")),
+              listed.select("site", F.lit("").alias("name"), "url", F.array().cast("array<string>").alias("path"), F.lit(40).alias("links_discovered"))]
+    so_far = None
+    for i, seen in enumerate(passes):
+        told = seen.select("site", F.lit("no_products_in_category").alias("code"), F.col("url").alias("subject"))
+        so_far = RS.merge_pass(so_far, sightings.where(F.col("seq") % 3 == i), seen.withColumn("seq", F.lit(i)), told)
+    return so_far
+
+
+@register("merge_results_summary", RQ.catalog_summary_sql)
+def q_merge_results_summary(spark, sf):
+    """Counts kept by difference over three passes equal one count over everything."""
+    return _passes(spark, sf).summary
+
+
+@register("merge_results_categories", lambda: LS.with_listing() + (
+    f"SELECT {SQ.host('c.url')} AS site, c.url AS category_key, lower(c.name) AS name, c.url, lower(c.name) AS path, "
+    "greatest(coalesce(n.links_discovered, 0), 40) AS links_discovered FROM cats c LEFT JOIN counts n ON n.category_url = c.url"))
+def q_merge_results_categories(spark, sf):
+    return _passes(spark, sf).categories.withColumn("path", F.array_join("path", " > "))
+
+
 @register("order_category_paths", lambda: RQ.with_merged() + (
     "SELECT site, category_path, row_number() OVER (PARTITION BY site ORDER BY category_path) AS position "
     "FROM (SELECT DISTINCT site, category_path FROM merged WHERE category_path <> '')"))
