@@ -359,7 +359,8 @@ def catalog_stats_sql() -> str:
                             "FROM merged GROUP BY site")
 
 
-def inventory_lines_sql() -> str:
+def _inventory_rows() -> str:
+    """CTEs up to ``rows(site, section, k, line)`` of the inventory document."""
     from shelfspark.sources.sinks import INVENTORY_NS, XML_DECL
     x = Q.xml_escape
     opening = (f"'<inventory xmlns=\"{INVENTORY_NS}\"><inventory-list><header list-id=\"' || {x('inventory_list_id')} || "
@@ -367,30 +368,54 @@ def inventory_lines_sql() -> str:
                f"{x(Q.lit('Inventario perpetuo generado para ') + ' || brand_name')} || "
                "'</description><use-bundle-inventory-only>false</use-bundle-inventory-only><on-order>false</on-order>"
                "</header><records>'")
-    return with_merged(brand_cte()) + (
-        f"SELECT site, {Q.lit(XML_DECL)} AS line FROM brand UNION ALL SELECT site, {opening} FROM brand UNION ALL "
-        f"SELECT site, '<record product-id=\"' || {x('product_id')} || '\"><perpetual>true</perpetual></record>' "
-        "FROM merged UNION ALL SELECT site, '</records></inventory-list></inventory>' FROM brand")
+    return with_merged(brand_cte(), (
+        f"rows AS (SELECT site, 0 AS section, 0::BIGINT AS k, {Q.lit(XML_DECL)} AS line FROM brand UNION ALL SELECT site, 1, 0, {opening} FROM brand UNION ALL "
+        f"SELECT site, 2, first_seq, '<record product-id=\"' || {x('product_id')} || '\"><perpetual>true</perpetual></record>' "
+        "FROM merged UNION ALL SELECT site, 9, 0, '</records></inventory-list></inventory>' FROM brand)"))
 
 
-def pricebook_lines_sql() -> str:
+def inventory_lines_sql() -> str:
+    return _inventory_rows() + "SELECT site, line FROM rows"
+
+
+def _digests(order: str) -> str:
+    return ("SELECT site, count(*) AS lines, CAST(sum(CAST('0x' || substr(md5(n || ':' || line), 1, 10) AS BIGINT)) AS BIGINT) AS digest FROM ("
+            f"SELECT site, line, row_number() OVER (PARTITION BY site ORDER BY {order}) AS n FROM rows) GROUP BY site")
+
+
+def inventory_digest_sql() -> str:
+    return _inventory_rows() + _digests("section, k")
+
+
+def _pricebook_rows() -> str:
+    """CTEs up to ``rows(site, section, k1, k2, line)`` of the pricebook document."""
     from shelfspark.sources.sinks import PRICEBOOK_NS, XML_DECL
     x = Q.xml_escape
-    book = ("'<pricebook><header pricebook-id=\"' || " + x("pricebook_id") + " || '\"><currency>' || " + x("currency")
+    book = ("'<pricebook><header pricebook-id=\"' || " + x("pricebook_id || '-' || lower(currency)") + " || '\"><currency>' || " + x("currency")
             + " || '</currency><display-name xml:lang=\"x-default\">' || " + x("pricebook_name || ' ' || currency")
-            + " || '</display-name><online-flag>true</online-flag><feed-based>false</feed-based></header><price-tables>'")
-    entries = ("SELECT e.site, b.pricebook_id || '-' || lower(e.currency) AS pricebook_id, e.currency, e.product_id, "
-               f"e.price, b.pricebook_name FROM (SELECT site, {_cur()} AS currency, product_id, price FROM merged "
-               f"WHERE price <> '' AND {_cur()} <> 'USD' UNION ALL SELECT site, 'USD', product_id, price FROM merged "
-               "WHERE price <> '') e JOIN brand b USING (site)")
-    return with_merged(brand_cte(), f"pbe AS ({entries})") + (
-        f"SELECT site, {Q.lit(XML_DECL)} AS line FROM brand UNION ALL "
-        f"SELECT site, '<pricebooks xmlns=\"{PRICEBOOK_NS}\">' FROM brand UNION ALL "
-        f"SELECT site, {book} FROM (SELECT DISTINCT site, pricebook_id, currency, pricebook_name FROM pbe) UNION ALL "
-        f"SELECT site, '<price-table product-id=\"' || {x('product_id')} || '\"><amount quantity=\"1\">' || "
-        f"{x('price')} || '</amount></price-table>' FROM pbe UNION ALL "
-        "SELECT site, '</price-tables></pricebook>' FROM (SELECT DISTINCT site, pricebook_id FROM pbe) UNION ALL "
-        "SELECT site, '</pricebooks>' FROM brand")
+            + " || '</display-name><description xml:lang=\"x-default\">' || " + x("'Pricebook generado desde ' || site")
+            + " || '</description><online-flag>true</online-flag><feed-based>false</feed-based></header><price-tables>'")
+    row = f"'<price-table product-id=\"' || {x('product_id')} || '\"><amount quantity=\"1\">' || {x('price')} || '</amount></price-table>'"
+    return with_merged(
+        brand_cte(), f"firsts AS (SELECT site, {_cur()} AS currency, min(first_seq) AS k1 FROM merged GROUP BY ALL)",
+        "bks AS (SELECT * FROM firsts UNION ALL SELECT site, 'USD', 1000000000000000 FROM firsts GROUP BY site HAVING NOT bool_or(currency = 'USD'))",
+        "bk AS (SELECT b.*, pricebook_id, pricebook_name FROM bks b JOIN brand USING (site))",
+        "rows AS ("
+        f"SELECT site, 0 AS section, 0::BIGINT AS k1, 0 AS part, 0::BIGINT AS k2, {Q.lit(XML_DECL)} AS line FROM brand UNION ALL "
+        f"SELECT site, 0, 0, 1, 0, '<pricebooks xmlns=\"{PRICEBOOK_NS}\">' FROM brand UNION ALL "
+        f"SELECT site, 1, k1, 0, 0, {book} FROM bk UNION ALL "
+        f"SELECT m.site, 1, k1, 1, first_seq, {row} FROM merged m JOIN bk ON bk.site = m.site AND (bk.currency = 'USD' OR bk.currency = {_cur().replace('currency', 'm.currency')}) "
+        "WHERE price <> '' UNION ALL "
+        "SELECT site, 1, k1, 2, 0, '</price-tables></pricebook>' FROM bk UNION ALL "
+        "SELECT site, 9, 0, 0, 0, '</pricebooks>' FROM brand)")
+
+
+def pricebook_lines_sql() -> str:
+    return _pricebook_rows() + "SELECT site, line FROM rows"
+
+
+def pricebook_digest_sql() -> str:
+    return _pricebook_rows() + _digests("section, k1, part, k2")
 
 
 def image_dir_ctes() -> list[str]:

@@ -483,6 +483,25 @@ def q_sink_b2c_inventory(spark, sf):
     return _xml_lines(spark, sf, "inventory")
 
 
+def _document_digests(spark, sf, kind):
+    from shelfspark.sources import sinks as K
+    path = _sink_root(spark, f"b2c-{kind}-order")
+    frags = {"pricebooks": K.pricebook_fragments, "inventory": K.inventory_fragments}[kind](_catalog(spark, sf))
+    K._write_document(frags, path)
+    return K.document_digests(K.document_lines(spark, path))
+
+
+@register("b2c_pricebooks_order", RQ.pricebook_digest_sql)
+def q_b2c_pricebooks_order(spark, sf):
+    """The written document read back: its lines in their order."""
+    return _document_digests(spark, sf, "pricebooks")
+
+
+@register("b2c_inventory_order", RQ.inventory_digest_sql)
+def q_b2c_inventory_order(spark, sf):
+    return _document_digests(spark, sf, "inventory")
+
+
 @register("run_summary", lambda: RQ.with_merged(RQ._validated(), RQ.summary_cte(), RQ.distinct_cats_cte()) + (
     "SELECT s.site, CAST(coalesce(d.distinct_categories, 0) AS BIGINT) AS categories, product_count AS products, "
     "valid_products AS valid, products_with_errors AS with_errors, products_with_warnings AS with_warnings, "

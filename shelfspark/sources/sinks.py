@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from shelfspark.functions.text import xml_escape
 from shelfspark.operators import categories as C
 from shelfspark.operators import exports as X
+from shelfspark.operators.ordering import positions, stored
 
 # CSV writer options matching the reference quoting (quote only
 # when needed, quotes doubled, empty strings unquoted).
@@ -40,14 +41,30 @@ def write_b2b_csv(products: DataFrame, path: str) -> None:
     _csv(X.b2b_csv_rows(products), path)
 
 
-def _write_document(fragments: DataFrame, path: str, partitions: int | None = None) -> None:
-    """``fragments(site, section, k1, k2, line)`` -> ordered text per site."""
-    n = partitions or fragments.sparkSession.sparkContext.defaultParallelism
-    ordered = fragments.repartitionByRange(n, "site", "section", "k1", "k2") \
-        .sortWithinPartitions("site", "section", "k1", "k2")
+def _write_document(fragments: DataFrame, path: str) -> None:
+    """``fragments(site, section, k1, k2, line)`` -> ordered text per site; how many
+    parts there are follows the amount of text."""
+    order = ["site", "section", "k1", "k2"]
+    ordered = fragments.repartitionByRange(*order).sortWithinPartitions(*order)
     ordered.select("site", "line").write.mode("overwrite").partitionBy("site").text(path)
 
 
+def document_lines(spark, path: str) -> DataFrame:
+    """``(site, position, line)`` of the documents below `path`, read back in order:
+    by file name, place of the split, and row."""
+    rows = spark.read.text(path).select(
+        "site", F.col("value").alias("line"), F.col("_metadata.file_name").alias("__file"),
+        F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__row"))
+    return positions(stored(rows, "document-lines"), ["site"], ["__file", "__block", "__row"]).select("site", "position", "line")
+
+
+def document_digests(lines: DataFrame) -> DataFrame:
+    """``(site, lines, digest)``: a sum over the lines of a hash of place and text, which
+    any number of tasks add up and which changes when two lines change places."""
+    hashed = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("position").cast("string"), "line")), 1, 10), 16, 10).cast("bigint")
+    return lines.groupBy("site").agg(F.count("*").alias("lines"), F.sum(hashed).alias("digest"))
+
+
 def _frag(df: DataFrame, section: int, k1, k2, line) -> DataFrame:
     return df.select("site", F.lit(section).alias("section"), k1.cast("string").alias("k1"),
                      k2.cast("string").alias("k2"), line.alias("line"))
@@ -79,26 +96,32 @@ def catalog_fragments(products: DataFrame) -> DataFrame:
 
 
 def pricebook_fragments(products: DataFrame, lang: str = "x-default") -> DataFrame:
+    """A book for each currency of a site's products, in order of first sight and also
+    where no product of it has a price, then the mirror book where USD is none of
+    them; entries in order of the products."""
     brand = X.catalog_brand(products)
-    entries = X.pricebook_entries(products, brand)
-    books = entries.select("site", "pricebook_id", "currency").distinct().join(
-        brand.select("site", "pricebook_name"), "site")
+    currency = X.effective_currency().alias("currency")
+    first = products.select("site", currency, "first_seq").groupBy("site", "currency").agg(F.min("first_seq").alias("first"))
+    mirror = X.catalog_currencies(products).where("mirrored").select("site", "currency", F.lit(None).cast("bigint").alias("first"))
+    place = F.coalesce(F.lpad(F.col("first").cast("string"), 20, "0"), F.lit("9" * 20))
+    books = first.unionByName(mirror).withColumn("k1", place).join(brand.select("site", "pricebook_id", "pricebook_name"), "site")
     book_open = F.concat(
-        F.lit('<pricebook><header pricebook-id="'), xml_escape("pricebook_id"), F.lit('"><currency>'),
+        F.lit('<pricebook><header pricebook-id="'), xml_escape(F.concat("pricebook_id", F.lit("-"), F.lower("currency"))), F.lit('"><currency>'),
         xml_escape("currency"), F.lit(f'</currency><display-name xml:lang="{lang}">'),
         xml_escape(F.concat(F.col("pricebook_name"), F.lit(" "), F.col("currency"))),
-        F.lit("</display-name><online-flag>true</online-flag><feed-based>false</feed-based></header>"
+        F.lit(f'</display-name><description xml:lang="{lang}">'), xml_escape(F.concat(F.lit("Pricebook generado desde "), F.col("site"))),
+        F.lit("</description><online-flag>true</online-flag><feed-based>false</feed-based></header>"
               "<price-tables>"))
+    priced = products.where("price <> ''").select("site", currency, "product_id", "price", "first_seq")
+    entries = priced.where(F.col("currency") != X.MIRROR_CURRENCY).unionByName(priced.withColumn("currency", F.lit(X.MIRROR_CURRENCY)))
+    listed = entries.join(books.select("site", "currency", "k1"), ["site", "currency"])
     rows = F.concat(F.lit('<price-table product-id="'), xml_escape("product_id"),
                     F.lit('"><amount quantity="1">'), xml_escape("price"), F.lit("</amount></price-table>"))
     sites = brand.select("site")
     return (_frag(sites, 0, F.lit(""), F.lit(""), F.lit(XML_DECL + f'\n<pricebooks xmlns="{PRICEBOOK_NS}">'))
-            .unionByName(books.select("site", F.lit(1).alias("section"), F.col("currency").alias("k1"),
-                                      F.lit("0").alias("k2"), book_open.alias("line")))
-            .unionByName(entries.select("site", F.lit(1).alias("section"), F.col("currency").alias("k1"),
-                                        F.concat(F.lit("1"), F.col("product_id")).alias("k2"), rows.alias("line")))
-            .unionByName(books.select("site", F.lit(1).alias("section"), F.col("currency").alias("k1"),
-                                      F.lit("2").alias("k2"), F.lit("</price-tables></pricebook>").alias("line")))
+            .unionByName(_frag(books, 1, F.col("k1"), F.lit("0"), book_open))
+            .unionByName(_frag(listed, 1, F.col("k1"), F.concat(F.lit("1"), F.lpad(F.col("first_seq").cast("string"), 20, "0")), rows))
+            .unionByName(_frag(books, 1, F.col("k1"), F.lit("2"), F.lit("</price-tables></pricebook>")))
             .unionByName(_frag(sites, 9, F.lit(""), F.lit(""), F.lit("</pricebooks>"))))
 
 
