@@ -41,8 +41,8 @@ from shelfspark.llm.common import materialise, most_frequent, scratch, text_or_e
 
 LEXICON_WORDS = 65_536
 COUNTER_WORDS = 500_000  # distinct words a task holds before it hands its counts on
-MEMO_PIECES = 400_000  # runs between white space whose ids a worker remembers
-MEMO_WORDS = 200_000  # words whose ids a worker remembers besides
+MEMO_RUNS = 500_000  # runs between white space whose ids a worker remembers, twice
+MEMO_WORDS = 150_000  # words besides, twice
 LONGEST_KEPT = 64  # longer ones are encoded each time
 
 # The splitting rule of the vocabulary, for characters below U+0250.
@@ -280,58 +280,68 @@ def share_file(spark: SparkSession, data: bytes, name: str) -> str:
     return path.getName()
 
 
-def _little(ids: list[int]) -> bytes:
-    packed = array("I", ids)
+def _little(ids: array) -> bytes:
     if sys.byteorder == "big":
-        packed.byteswap()
-    return packed.tobytes()
+        ids = array("I", ids)
+        ids.byteswap()
+    return ids.tobytes()
+
+
+class Memo:
+    """Values by text in two generations: what is still asked for moves to the young
+    one, and when that is full the old one goes."""
+
+    def __init__(self, size: int) -> None:
+        self.size = size
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def put(self, text: str, value: bytes) -> bytes:
+        if len(text) <= LONGEST_KEPT:
+            if len(self.young) >= self.size:
+                self.old, self.young = self.young, {}
+            self.young[text] = value
+        return value
 
 
 class Encoder:
-    """Encodes with a lexicon; remembers what it has encoded, between the tasks of a
-    worker too: whole runs between white space, and the words of other texts."""
+    """Encodes with a lexicon; remembers ids, between the tasks of a worker too: of
+    whole runs between white space, and of words."""
 
     def __init__(self, merges: Merges, known: Lexicon) -> None:
         self.merges, self.known = merges, known
-        self.words: dict[str, tuple[bytes, str]] = {}
-        self.runs: dict[str, tuple[bytes, str]] = {}
-
-    def _word(self, word: str) -> tuple[bytes, str]:
-        if (found := self.words.get(word)) is None:
-            ids = self.known.get(word) or self.merges.merge(word)
-            found = (_little(ids), self.merges.decode(ids))
-            if len(word) <= LONGEST_KEPT:
-                if len(self.words) >= MEMO_WORDS:
-                    self.words.clear()
-                self.words[word] = found
+        self.words, self.runs = Memo(MEMO_WORDS), Memo(MEMO_RUNS)
+
+    def _word(self, word: str) -> bytes:
+        memo = self.words
+        found = memo.young.get(word)
+        if found is None:
+            found = memo.old.get(word)
+            memo.put(word, found := found or array("I", self.known.get(word) or self.merges.merge(word)).tobytes())
         return found
 
-    def _run(self, run: str) -> tuple[bytes, str]:
-        parts = [self._word(w) for w in _WORDS.findall(run)]
-        found = (b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts]))
-        if len(run) <= LONGEST_KEPT:
-            if len(self.runs) >= MEMO_PIECES:
-                self.runs.clear()
-            self.runs[run] = found
-        return found
+    def _run(self, run: str) -> bytes:
+        found = self.runs.old.get(run)
+        return self.runs.put(run, found or b"".join(map(self._word, _WORDS.findall(run))))
 
-    def _plain(self, text: str) -> list[tuple[bytes, str]]:
+    def _plain(self, text: str) -> list[bytes]:
         if _SPLIT.fullmatch(text):
-            get, add = self.runs.get, self._run
+            get, add = self.runs.young.get, self._run
             return [get(r) or add(r) for r in text.lower().split()]
         return [self._word(w) for w in self.merges.words(text)]
 
-    def pieces(self, text: str) -> list[tuple[bytes, str]]:
-        """For each run or word its ids, little-endian, and what they decode to."""
-        merges = self.merges
+    def ids(self, text: str) -> array:
+        merges, out = self.merges, array("I")
         if not merges.special_at or not merges.special_at.search(text):
-            return self._plain(text)
-        out, at = [], 0
+            out.frombytes(b"".join(self._plain(text)))
+            return out
+        at = 0
         for m in merges.special_at.finditer(text):
-            out += self._plain(text[at:m.start()])
-            out.append((_little([merges.special[m[0]]]), m[0]))
+            out.frombytes(b"".join(self._plain(text[at:m.start()])))
+            out.append(merges.special[m[0]])
             at = m.end()
-        return out + self._plain(text[at:])
+        out.frombytes(b"".join(self._plain(text[at:])))
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -357,9 +367,9 @@ def encode(docs: DataFrame, path: str | None = None, lexicon_words: int = LEXICO
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
-                done = [encoder.pieces(t) for t in part["t"].to_pylist()]
+                done = [encoder.ids(t) for t in part["t"].to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"], pa.array([b"".join([p[0] for p in d]) for d in done], pa.binary()), pa.array([" ".join([p[1] for p in d]) for d in done], pa.string())],
+                    [part["doc_id"], pa.array(map(_little, done), pa.binary()), pa.array(map(encoder.merges.decode, done), pa.string())],
                     names=["doc_id", "ids", "decoded"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("t")).mapInArrow(run, "doc_id long, ids binary, decoded string")
