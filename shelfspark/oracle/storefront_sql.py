@@ -102,6 +102,14 @@ SELECT {HOST.format('site')} AS site, tier * 2147483648 + req_no AS place, name,
 WHERE tier IN ({', '.join(map(str, tiers))})""")
 
 
+def subcategories_sql() -> str:
+    return _query(SHOPS_SQL, f"""
+SELECT {HOST.format('s.site')} AS site, s.site || '/c/' || lower(s.type) AS url, k.sub, coalesce(k.name, n.label || ' sale') AS sub_name,
+  s.site || '/c/' || coalesce(lower(s.type) || k.tail, lower(n.type)) AS sub_url, s.label || ' sale > ' || coalesce(k.name, n.label || ' sale') AS sub_path
+FROM shop_types s CROSS JOIN (VALUES (1, 'Compact sale', '/compact'), (2, 'Bulky sale', '/bulky'), (3, NULL, NULL)) k(sub, name, tail)
+JOIN shop_types n ON n.site = s.site AND n.t = s.t % s.n_types + 1 WHERE s.b % 5 <> 3 AND (k.sub < 3 OR s.n_types > 1)""")
+
+
 def unmatched_sql() -> str:
     return "WITH q AS (WITH " + duck_sql(REQUESTS_SQL).strip() + f""")
 SELECT {HOST.format('site')} AS site, 'unmatched_category_name' AS code, value AS subject FROM q

@@ -60,12 +60,27 @@ def q_page_product_links(spark, sf):
     return facts.select("page_id", (F.col("i") + 1).alias("rank"), "p.url", "p.score", "p.by_card")
 
 
+@register("link_contextual_cards", lambda: f"SELECT page_id, url, score FROM ({Q.product_links_sql()}) WHERE by_card")
+def q_link_contextual_cards(spark, sf):
+    """Links that only their card makes product links, in cards of nested blocks."""
+    facts = page_facts(_pages(spark, sf)).select("page_id", F.explode_outer("products").alias("p")).where("p.by_card")
+    return facts.select("page_id", "p.url", "p.score")
+
+
 @register("next_listing_page", Q.next_page_sql)
 def q_next_listing_page(spark, sf):
     listings = _pages(spark, sf).where(F.col("page_id").between(1000, 999_999))
     return page_facts(listings).select("page_id", "next_url")
 
 
+@register("shop_subcategories", Q.subcategories_sql)
+def q_shop_subcategories(spark, sf):
+    """Menu links of each top-level category's own page."""
+    catalog = _catalog(spark, sf)
+    below = CR.subcategories(catalog.top.drop("name"), catalog.facts)
+    return below.select("site", "url", "sub", "sub_name", "sub_url", F.array_join("sub_path", " > ").alias("sub_path"))
+
+
 @register("requested_categories", Q.requested_sql)
 def q_requested_categories(spark, sf):
     catalog = _catalog(spark, sf)
