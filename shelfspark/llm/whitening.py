@@ -190,8 +190,10 @@ def whiten(embeddings: DataFrame, vector: str = "embedding", components: int = C
                 own, squares = centred(np.stack(frame["x"].to_numpy()).astype(np.int64), model)
                 deviation = pd.array([s if s < 1 << 63 else None for s in squares], "Int64")
                 yield pd.DataFrame({
-                    "vec_id": np.repeat(frame["vec_id"].astype("Int64").array, k), "component": np.tile(np.arange(1, k + 1, dtype=np.int32), len(frame)),
+                    "vec_id": np.repeat(frame["vec_id"].to_numpy(object), k), "component": np.tile(np.arange(1, k + 1, dtype=np.int32), len(frame)),
                     "n": model.n, "deviation": np.repeat(deviation, k), "whitened": (own / model.n @ model.project).ravel(),
                     "explained": np.tile(model.explained, len(frame)), "identity_error": error})
 
-    return usable.mapInPandas(apply, schema)
+    # ids travel as text: pandas has no exact column of integers with nulls
+    named = usable.select(F.col("vec_id").cast("string").alias("vec_id"), "x")
+    return named.mapInPandas(apply, schema.replace("vec_id long", "vec_id string")).withColumn("vec_id", F.col("vec_id").cast("long"))

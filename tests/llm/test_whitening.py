@@ -57,5 +57,7 @@ def test_few_and_no_vectors(spark):
     line = whitening.whiten(table(spark, [(1, [0.0, 0.0]), (2, [1.0, 1.0])])).collect()
     assert sorted((r.vec_id, r.component, r.n, r.deviation, round(abs(r.whitened), 9), round(r.explained, 9)) for r in line) == [
         (1, 1, 2, 2 * 256**2, 1.0, 1.0), (2, 1, 2, 2 * 256**2, 1.0, 1.0)]
+    ids = whitening.whiten(table(spark, [((1 << 62) + 1, [0.0, 0.0]), (None, [1.0, 1.0]), (-(1 << 61) - 1, [1.0, 0.0])]).coalesce(1)).collect()
+    assert Counter(r.vec_id for r in ids) == Counter({(1 << 62) + 1: 2, None: 2, -(1 << 61) - 1: 2})
     huge = whitening.whiten(table(spark, [(1, [3e38, 0.0]), (2, [1.0, 1.0])])).collect()
     assert [r.deviation for r in huge] == [None, None]
