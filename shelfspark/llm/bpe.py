@@ -41,8 +41,8 @@ from shelfspark.llm.common import materialise, most_frequent, scratch, text_or_e
 
 LEXICON_WORDS = 65_536
 COUNTER_WORDS = 500_000  # distinct words a task holds before it hands its counts on
-MEMO_RUNS = 500_000  # runs between white space whose ids a worker remembers, twice
-MEMO_WORDS = 150_000  # words besides, twice
+MEMO_RUNS = 200_000  # runs between white space whose ids a worker remembers, twice
+MEMO_WORDS = 100_000  # words besides, twice
 LONGEST_KEPT = 64  # longer ones are encoded each time
 
 # The splitting rule of the vocabulary, for characters below U+0250.

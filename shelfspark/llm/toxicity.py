@@ -47,7 +47,7 @@ CONTEXT_WORDS = 3
 CONTEXT_TERMS = 2_000
 QUOTED = 0.25  # share of a hit's weight that counts in a quotation
 EDITED = 0.9  # share that counts where the word is misspelled
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 400_000
 #: Characters cut from both ends of a word.
 EDGES = ".,;:!?\"'()[]{}|<>*_~`«»“”„‘’"
 #: Opening and closing quotation marks.
