@@ -9,11 +9,12 @@ same k-mers in another order meet less often than under plain MinHash.
 Exact copies are folded first.  Within a bucket every text is first compared
 with the two leaders of the bucket - the smallest id and the smallest hashed
 id.  What the leaders leave apart is compared pair by pair: two texts of a
-bucket that are not yet in one class meet unless their lengths or their counts
-of words prove that they are not similar.  These pairs are taken in rounds, the
-likeliest of each text first, and each round's links are contracted before the
-next, so that texts joined meanwhile are not compared again; the rounds end when
-no pair is left.  A large bucket is split into tiles over tasks.
+bucket that are not yet in one class meet, in the first bucket that they share,
+unless their lengths or their counts of words prove that they are not similar.
+These pairs are taken in rounds, the likeliest of each text first, and each
+round's links are contracted before the next, so that texts joined meanwhile are
+not compared again; the rounds end when no pair is left.  A large bucket is split
+in both directions into tiles over tasks.
 Candidates are verified by an alignment of the word sequences along a band of
 diagonals that widens until the distance is known or exceeds 20 % of the longer
 text: similarity is 1 - edits / words of the longer text.  Verified links are
@@ -49,10 +50,11 @@ SAMPLES = 20
 PICKED = 2
 SIMILARITY = 0.8
 RANKS = 2_000_000  # computed at once
-BINS = 128  # counts of words per text, by the highest bits of the hash
-TILE = 512  # texts of a bucket that the texts left apart meet in one task
+LEAST_BINS, MOST_BINS = 128, 4096  # counts of words per text, by the highest bits of the hash
+TILE = 512  # texts of each side of a tile
 FIRST_ROUND = 8  # pairs of a text in a tile; eight times as many in each further round
-PAIRS = 1 << 16  # bounded at once
+PAIRS = 1 << 16  # looked at together
+COUNTS = 1 << 23  # compared together
 
 _SEEDS = np.random.default_rng(20240229).integers(1, 2**63, SAMPLES, dtype=np.uint64)
 
@@ -98,11 +100,18 @@ def order_min_hash(hashes: np.ndarray) -> list[int]:
 
 
 def word_bag(hashes: np.ndarray) -> bytes:
-    """How many words fall into each of BINS classes, at most 255 of each."""
-    counts = np.bincount((hashes >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64), minlength=BINS)
+    """How many words fall into each class, at most 255 of each; there are two to
+    four classes a word, within the bounds."""
+    bins = min(MOST_BINS, max(LEAST_BINS, 2 << max(0, len(hashes) - 1).bit_length()))
+    counts = np.bincount((hashes >> np.uint64(64 - bins.bit_length() + 1)).astype(np.int64), minlength=bins)
     return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
+def folded(bag: np.ndarray, bins: int) -> np.ndarray:
+    """The counts of a bag by fewer classes."""
+    return bag.reshape(bins, -1).sum(axis=1, dtype=np.int16)
+
+
 def _lists(column: pa.ListArray) -> Iterator[np.ndarray]:
     values = column.values.to_numpy(zero_copy_only=False).view(np.uint64)
     bounds = column.offsets.to_numpy()
@@ -224,13 +233,30 @@ def candidates(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             .select(F.least("text.node", "leader.node").alias("a"), F.greatest("text.node", "leader.node").alias("b")).distinct())
 
 
-def _pairs_of_tile(node: np.ndarray, n_words: np.ndarray, group: np.ndarray, bags: np.ndarray, rest: np.ndarray, own: np.ndarray,
-                   most: int, similarity: float) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Pairs of a text left apart and a text of the tile, of two classes, that may be
-    similar: the `most` likeliest of each text, and whether there were more.
-
-    An edit changes the numbers of words by one up and one down at most."""
-    left, right = rest.nonzero()[0], own.nonzero()[0]
+def least_edits(bags: list[np.ndarray], x: np.ndarray, y: np.ndarray, differs: np.ndarray) -> np.ndarray:
+    """A lower bound of the edits between texts x and y, whose lengths differ by `differs`.
+
+    An edit changes the numbers of words by one up and one down at most.  Bags of
+    different sizes are compared by the classes of the smaller one."""
+    sizes = np.array([len(b) for b in bags])
+    bins, out = np.minimum(sizes[x], sizes[y]), np.zeros(len(x), np.int64)
+    for size in np.unique(bins).tolist():
+        here = (bins == size).nonzero()[0]
+        used, at = np.unique(np.concatenate([x[here], y[here]]), return_inverse=True)
+        counts = np.stack([folded(bags[t], size) for t in used.tolist()])
+        left, right = at[:len(here)], at[len(here):]
+        step = max(1, COUNTS // size)
+        for low in range(0, len(here), step):
+            apart = np.abs(counts[left[low:low + step]] - counts[right[low:low + step]]).sum(axis=1, dtype=np.int64)
+            out[here[low:low + step]] = apart
+    return (out + differs + 1) // 2
+
+
+def _pairs_of_tile(node: np.ndarray, n_words: np.ndarray, group: np.ndarray, bags: list[np.ndarray], keys: np.ndarray, key: int,
+                   is_rest: np.ndarray, rest: np.ndarray, other: np.ndarray, most: int, similarity: float) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs of a text left apart (`rest`) and a text of the other side, of two classes,
+    that may be similar: the `most` likeliest of each text, and whether there were more."""
+    left, right = rest.nonzero()[0], other.nonzero()[0]
     found = []
     step = max(1, PAIRS // max(1, len(right)))
     for at in range(0, len(left), step):
@@ -239,9 +265,12 @@ def _pairs_of_tile(node: np.ndarray, n_words: np.ndarray, group: np.ndarray, bag
         # the allowed edits are those of similar()
         edits = ((1 - similarity) * longer + 1e-9).astype(np.int64)
         differs = np.abs(n_words[x] - n_words[y])
-        may = (group[x] != group[y]) & (differs <= edits) & (~rest[y] | (node[x] < node[y]))
+        may = (group[x] != group[y]) & (differs <= edits) & (~is_rest[y] | (node[x] < node[y]))
         x, y, longer, edits, differs = x[may], y[may], longer[may], edits[may], differs[may]
-        least = (np.abs(bags[x] - bags[y]).sum(axis=1, dtype=np.int64) + differs + 1) // 2
+        first = (keys[x] == keys[y]).argmax(axis=1)  # of the samples that they share
+        may = keys[x, first] == key
+        x, y, longer, edits, differs = x[may], y[may], longer[may], edits[may], differs[may]
+        least = least_edits(bags, x, y, differs)
         may = least <= edits
         x, y, share = x[may], y[may], least[may] / np.maximum(1, longer[may])
         order = np.lexsort((share, x))
@@ -252,30 +281,45 @@ def _pairs_of_tile(node: np.ndarray, n_words: np.ndarray, group: np.ndarray, bag
     return np.minimum(a, b), np.maximum(a, b), bool((rank >= most).any())
 
 
+def _mixed_buckets(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, home, down, across): buckets of several classes, their most frequent class,
+    and the tiles that their other texts and all their texts fill."""
+    sized = (texts.join(found, "node", "left").select(F.coalesce("class", "node").alias("class"), F.explode("keys").alias("key"))
+             .groupBy("key", "class").agg(F.count("*").alias("n")))
+    return (sized.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("class", F.struct("n", "class")).alias("home"), F.count("*").alias("classes"))
+            .filter("n > 2 and classes > 1")
+            .select("key", "home", F.ceil((F.col("n") - F.col("most")) / TILE).cast("int").alias("down"), F.ceil(F.col("n") / TILE).cast("int").alias("across")))
+
+
 def left_apart(texts: DataFrame, found: DataFrame, most: int, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b, more), a < b: pairs of a bucket that are not in one class and may be
     similar, of each text and tile the `most` likeliest; `more` where some are left.
 
-    Each bucket has a home class; its other texts meet all texts, which are dealt to
-    tiles.  Buckets of two texts were compared by their leaders."""
-    grouped = texts.join(found, "node", "left").select("node", "n_words", "bag", F.coalesce("class", "node").alias("class"), F.explode("keys").alias("key"))
-    narrow = texts.join(found, "node", "left").select("node", F.coalesce("class", "node").alias("class"), F.explode("keys").alias("key"))
-    mixed = materialise(
-        narrow.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi"), F.min_by("class", F.xxhash64("key", "node")).alias("home"))
-        .filter("n > 2 and lo <> hi").select("key", "home", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "near-mixed")
-    rest = F.col("class") != F.col("home")
-    at = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
-    rows = (maybe_in(grouped, "key", mixed).join(mixed, "key").withColumn("rest", rest).withColumn("at", at)
-            .select("key", "node", "n_words", "class", "bag", "rest", "at",
-                    F.explode(F.when(F.col("rest"), F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array("at"))).alias("tile"))
-            .select("key", "tile", "node", "n_words", "class", "bag", "rest", (F.col("at") == F.col("tile")).alias("own"))
-            .repartition("key", "tile").sortWithinPartitions("key", "tile", "node"))
+    Each bucket has a home class; its other texts are dealt to rows of tiles, all its
+    texts to columns, so that a tile has a bounded number of either.  Buckets of two
+    texts were compared by their leaders."""
+    grouped = texts.join(found, "node", "left").select("node", "n_words", "bag", "keys", F.coalesce("class", "node").alias("class"), F.explode("keys").alias("key"))
+    mixed = materialise(_mixed_buckets(texts, found), "near-mixed")
+    row = F.pmod(F.xxhash64("node", F.lit(1)), F.col("down")).cast("int")
+    column = F.pmod(F.xxhash64("node", F.lit(2)), F.col("across")).cast("int")
+    is_rest = F.col("class") != F.col("home")
+    # a text left apart stands in all tiles of its row, any text in all tiles of its column
+    along = F.when(is_rest, F.transform(F.sequence(F.lit(0), F.col("across") - 1), lambda c: F.struct(row.alias("r"), c.alias("c")))).otherwise(F.array().cast("array<struct<r:int,c:int>>"))
+    down = F.transform(F.sequence(F.lit(0), F.col("down") - 1), lambda r: F.struct(r.alias("r"), column.alias("c")))
+    rows = (maybe_in(grouped, "key", mixed).join(mixed, "key")
+            .select("key", "node", "n_words", "class", "bag", "keys", is_rest.alias("is_rest"), row.alias("row"), column.alias("column"),
+                    F.explode(F.array_distinct(F.concat(along, down))).alias("tile"))
+            .select("key", F.col("tile.r").alias("r"), F.col("tile.c").alias("c"), "node", "n_words", "class", "bag", "keys", "is_rest",
+                    (F.col("is_rest") & (F.col("row") == F.col("tile.r"))).alias("rest"), (F.col("column") == F.col("tile.c")).alias("other"))
+            .repartition("key", "r", "c").sortWithinPartitions("key", "r", "c", "node"))
 
     def pairs(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(parts).combine_chunks()
         column = lambda name: t[name].to_numpy()
-        bags = np.frombuffer(b"".join(t["bag"].to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
-        a, b, more = _pairs_of_tile(column("node"), column("n_words").astype(np.int64), column("class"), bags, column("rest").astype(bool), column("own").astype(bool), most, similarity)
+        bags = [np.frombuffer(b, np.uint8) for b in t["bag"].to_pylist()]
+        keys = np.array(t["keys"].to_pylist(), np.int64)
+        a, b, more = _pairs_of_tile(column("node"), column("n_words").astype(np.int64), column("class"), bags, keys, column("key")[0],
+                                    column("is_rest").astype(bool), column("rest").astype(bool), column("other").astype(bool), most, similarity)
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.full(len(a), more), pa.bool_())], names=["a", "b", "more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,13 +327,13 @@ def left_apart(texts: DataFrame, found: DataFrame, most: int, similarity: float
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys, tiles = batch["key"].to_numpy(), batch["tile"].to_numpy()
-            starts = np.flatnonzero((keys[1:] != keys[:-1]) | (tiles[1:] != tiles[:-1])) + 1
-            for low, high in zip([0, *starts.tolist()], [*starts.tolist(), len(keys)], strict=True):
-                if (keys[low], tiles[low]) != last and held:
+            at = np.stack([batch[name].to_numpy().astype(np.int64) for name in ("key", "r", "c")])
+            starts = np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1
+            for low, high in zip([0, *starts.tolist()], [*starts.tolist(), batch.num_rows], strict=True):
+                if tuple(at[:, low]) != last and held:
                     yield pairs(held)
                     held = []
-                last = keys[low], tiles[low]
+                last = tuple(at[:, low])
                 held.append(batch.slice(low, high - low))
         if held:
             yield pairs(held)

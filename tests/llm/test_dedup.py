@@ -143,6 +143,28 @@ def test_near_classes_of_a_star(frame, monkeypatch):
     assert found == {i: 0 if i < 90 else i for i, _ in rows}
 
 
+def test_word_counts_bound_the_edits():
+    rnd = np.random.default_rng(9)
+    texts = [rnd.integers(0, 2**63, 400, dtype=np.uint64)[rnd.integers(0, 400, n)] for n in (1, 5, 60, 128, 129, 300, 3000)]
+    for t in list(texts):
+        copy = t.copy()
+        copy[rnd.integers(0, len(t), max(1, len(t) // 9))] = rnd.integers(0, 2**63)
+        texts += [copy, np.append(t, t[:1 + len(t) // 8]), np.delete(t, slice(0, len(t) // 8))]
+    texts.append(np.zeros(700, np.uint64))  # more of one word than a bag counts
+    texts.append(np.zeros(600, np.uint64))
+    bags = [np.frombuffer(near_dedup.word_bag(t), np.uint8) for t in texts]
+    assert len({len(b) for b in bags}) > 3
+    pairs = [(x, y) for x in range(len(texts)) for y in range(x) if min(len(texts[x]), len(texts[y])) >= 0.8 * max(len(texts[x]), len(texts[y]))]
+    x, y = (np.array([p[i] for p in pairs]) for i in (0, 1))
+    differs = np.array([abs(len(texts[a]) - len(texts[b])) for a, b in pairs])
+    known = 0
+    for a, b, least in zip(x, y, near_dedup.least_edits(bags, x, y, differs), strict=True):
+        true = near_dedup.edit_distance(texts[a], texts[b], int(least) - 1) if least else None
+        assert true is None
+        known += least > 0
+    assert known > 20
+
+
 def test_near_stage(frame):
     docs = frame([(1, "a b c d e f g h i j"), (2, "a b c d e f g h i j"), (3, None)])
     kept = near_dedup.drop_near_copies(docs)
