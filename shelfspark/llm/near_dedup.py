@@ -11,9 +11,8 @@ with the two leaders of the bucket - the smallest id and the smallest hashed
 id.  What the leaders leave apart is compared pair by pair: two texts of a
 bucket that are not yet in one class meet, in the first bucket that they share,
 unless their lengths or their counts of words prove that they are not similar.
-These pairs are taken in rounds, the likeliest of each text first, and each
-round's links are contracted before the next, so that texts joined meanwhile are
-not compared again; the rounds end when no pair is left.  A large bucket is split
+The likeliest pairs of each text are taken first and their links contracted, so
+that texts joined meanwhile are not compared again; then all pairs that are left.  A large bucket is split
 in both directions into tiles over tasks.
 Candidates are verified by an alignment of the word sequences along a band of
 diagonals that widens until the distance is known or exceeds 20 % of the longer
@@ -52,9 +51,10 @@ SIMILARITY = 0.8
 RANKS = 2_000_000  # computed at once
 LEAST_BINS, MOST_BINS = 128, 4096  # counts of words per text, by the highest bits of the hash
 TILE = 512  # texts of each side of a tile
-FIRST_ROUND = 8  # pairs of a text in a tile; eight times as many in each further round
+FIRST_ROUND = 32  # pairs of a text in a tile; the second round takes all that are left
 PAIRS = 1 << 16  # looked at together
 COUNTS = 1 << 23  # compared together
+ALIGNED = 500  # pairs worth a task
 
 _SEEDS = np.random.default_rng(20240229).integers(1, 2**63, SAMPLES, dtype=np.uint64)
 
@@ -355,11 +355,14 @@ def all_classes(texts: DataFrame, docs: DataFrame, similarity: float = SIMILARIT
             compared = compared.unionByName(new)
         if listed.filter("more").isEmpty():
             return found
-        most *= 8
+        most = TILE * TILE
 
 
 def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs whose alignment is similar enough, as links (u, v), u > v."""
+    """The pairs (a written table) whose alignment is similar enough, as links (u, v), u > v.
+
+    Pairs are dealt by their number, as their few bytes say little of the work."""
+    tasks = min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + pairs.count() // ALIGNED)
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
     known = materialise(maybe_in(_hashed(docs), "doc_id", nodes).groupBy("doc_id").agg(F.max("w").alias("w")), "near-texts")
     both = (pairs.join(known.withColumnsRenamed({"doc_id": "a", "w": "wa"}), "a")
@@ -371,7 +374,7 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY)
             links = pa.RecordBatch.from_arrays([batch["b"], batch["a"]], names=["u", "v"])
             yield links.filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "wa", "wb").mapInArrow(run, "u long, v long")
+    return both.select("a", "b", "wa", "wb").repartition(tasks, "a", "b").mapInArrow(run, "u long, v long")
 
 
 def classes(links: DataFrame) -> DataFrame:
