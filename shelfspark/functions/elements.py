@@ -2,12 +2,13 @@
 
 ``with_elements`` parses each page once, where it is read, into
 
-    dom STRUCT<text STRING,
+    dom STRUCT<text ARRAY<STRING>,
                elements ARRAY<STRUCT<pos, tag, until, start, end, classes, attrs>>>
 
 Elements stand in document order.  ``pos`` counts them, the descendants of an
 element are those with ``pos`` between its own and ``until``; its text is
-``text`` from ``start`` to ``end``.  Nested text, containers and descendants are
+the characters ``start`` to ``end`` of the page's text, which stands in ``text`` in
+pieces of equal length.  Nested text, containers and descendants are
 thus interval tests inside one row.
 
 Selectors are data, not code: ``parse_selector`` turns a text into steps (tag,
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.functions.text import normalize_whitespace
+from shelfspark.functions.text import let, normalize_whitespace
 
 # Elements without content, elements whose content is plain text,
 # and elements that end where the next of a kind begins.
@@ -42,14 +43,16 @@ _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _END = {t: re.compile(rf"</{t}\s*>", re.I) for t in PLAIN_TEXT}
 
+PIECE = 256  # characters of a page's text that are stored together
+
 ELEMENT = ("struct<pos:int,tag:string,until:int,start:int,end:int,classes:array<string>,attrs:map<string,string>>")
-DOM = f"struct<text:string,elements:array<{ELEMENT}>>"
+DOM = f"struct<text:array<string>,elements:array<{ELEMENT}>>"
 STEP = "struct<tag:string,id:string,classes:array<string>,attrs:array<struct<name:string,op:string,value:string>>>"
 SELECTORS = f"array<struct<attr:string,steps:array<{STEP}>>>"
 
 _ARROW_ELEMENT = pa.struct([("pos", pa.int32()), ("tag", pa.string()), ("until", pa.int32()), ("start", pa.int32()),
                             ("end", pa.int32()), ("classes", pa.list_(pa.string())), ("attrs", pa.map_(pa.string(), pa.string()))])
-_ARROW_DOM = pa.struct([("text", pa.string()), ("elements", pa.list_(_ARROW_ELEMENT))])
+_ARROW_DOM = pa.struct([("text", pa.list_(pa.string())), ("elements", pa.list_(_ARROW_ELEMENT))])
 
 
 def parse(html: str | None) -> dict:
@@ -105,11 +108,16 @@ def parse(html: str | None) -> dict:
     return {"text": "".join(pieces), "elements": elements}
 
 
+def in_pieces(page: dict) -> dict:
+    text = page["text"]
+    return {"text": [text[i:i + PIECE] for i in range(0, len(text), PIECE)], "elements": page["elements"]}
+
+
 def with_elements(pages: DataFrame, html: str = "html", name: str = "dom") -> DataFrame:
     """`pages` with the parsed page in the column `name`; rows stay where they are."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parsed = pa.array([parse(h) for h in batch[html].to_pylist()], _ARROW_DOM)
+            parsed = pa.array([in_pieces(parse(h)) for h in batch[html].to_pylist()], _ARROW_DOM)
             yield pa.RecordBatch.from_arrays([*batch.columns, parsed], names=[*batch.schema.names, name])
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in pages.dtypes)
@@ -162,24 +170,46 @@ def _matches(e: Column, s: Column) -> Column:
             & F.forall(s["classes"], lambda c: F.array_contains(e["classes"], c)) & F.forall(s["attrs"], test))
 
 
+_POWERS = [1 << i for i in range(30, -1, -1)]
+
+
+def _spans(found: Column) -> Column:
+    """Intervals of elements for `_inside`: their beginnings and their ends, each in order."""
+    powers = F.filter(F.lit(_POWERS), lambda p: p <= F.size(found))
+    return F.struct(F.transform(found, lambda e: e["pos"]).alias("starts"), F.sort_array(F.transform(found, lambda e: e["until"])).alias("ends"),
+                    powers.alias("powers")).cast("struct<starts:array<int>,ends:array<int>,powers:array<int>>")
+
+
+def _inside(e: Column, spans: Column) -> Column:
+    """More intervals begin before the element than have ended there: two searches by
+    halving, whatever the number of intervals."""
+    def before(ordered: Column, limit: Column) -> Column:
+        return F.aggregate(spans["powers"], F.lit(0), lambda n, p: F.when(F.get(ordered, n + p - 1) < limit, n + p).otherwise(n))
+
+    return before(spans["starts"], e["pos"]) > before(spans["ends"], e["pos"] + 1)
+
+
 def select(dom: Column, selector: Column) -> Column:
     """Elements of the page that match one selector, in document order."""
     elements, steps = dom["elements"], selector["steps"]
-    spans = "array<struct<pos:int,until:int>>"
-    page = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(2**31 - 1).alias("until"))).cast(spans)
+    page = _spans(F.array(F.struct(F.lit(-1).alias("pos"), F.lit(2**31 - 1).alias("until"))))
+    around = F.aggregate(F.slice(steps, 1, F.size(steps) - 1), page, lambda found, s: let(
+        F.filter(elements, lambda e: _matches(e, s) & _inside(e, found)), _spans))
+    bound = F.struct(around.alias("around"), F.try_element_at(steps, F.lit(-1)).alias("last"))
+    return let(bound, lambda b: F.filter(elements, lambda e: _matches(e, b["last"]) & _inside(e, b["around"])))
 
-    def inside(e: Column, around: Column) -> Column:
-        return F.exists(around, lambda a: (a["pos"] < e["pos"]) & (e["pos"] < a["until"]))
 
-    around = F.aggregate(F.slice(steps, 1, F.size(steps) - 1), page, lambda found, s: F.transform(
-        F.filter(elements, lambda e: _matches(e, s) & inside(e, found)),
-        lambda e: F.struct(e["pos"].alias("pos"), e["until"].alias("until"))).cast(spans))
-    last = F.try_element_at(steps, F.lit(-1))
-    return F.filter(elements, lambda e: _matches(e, last) & inside(e, around))
+def page_text(dom: Column) -> Column:
+    return F.array_join(dom["text"], "")
 
 
 def element_text(dom: Column, e: Column) -> Column:
-    return normalize_whitespace(F.substr(dom["text"], e["start"] + 1, e["end"] - e["start"]))
+    """Read from the pieces that the element touches, not from the beginning of the page."""
+    first = F.floor(e["start"] / PIECE).cast("int")
+    touched = F.floor((e["end"] - 1) / PIECE).cast("int") - first + 1
+    joined = F.array_join(F.transform(F.filter(F.sequence(F.lit(0), F.greatest(touched, F.lit(0))), lambda i: i < touched),
+                                      lambda i: F.get(dom["text"], first + i)), "")
+    return normalize_whitespace(F.substr(joined, e["start"] - first * PIECE + 1, e["end"] - e["start"]))
 
 
 def values(dom: Column, selector: Column) -> Column:
@@ -195,6 +225,20 @@ def first_values(dom: Column, chosen: Column) -> Column:
     return F.aggregate(chosen, none, lambda got, s: F.when(F.size(got) > 0, got).otherwise(values(dom, s)))
 
 
+def _distinct(pairs: Column) -> Column:
+    """Each ``STRUCT<href, text>`` once.  ``array_distinct`` compares structs two by two but
+    looks texts up in a table, so each pair goes through one text, and back."""
+    packed = F.transform(pairs, lambda x: F.concat(F.length(x["href"]).cast("string"), F.lit(":"), x["href"], F.coalesce(F.concat(F.lit("="), x["text"]), F.lit(""))))
+
+    def pair(key: Column) -> Column:
+        length = F.substring_index(key, ":", 1)
+        at, n = F.length(length) + 2, length.cast("int")
+        rest = F.substr(key, at + n)
+        return F.struct(F.substr(key, at, n).alias("href"), F.when(rest != "", F.substr(rest, F.lit(2))).alias("text"))
+
+    return F.transform(F.array_distinct(packed), pair)
+
+
 def links(dom: Column, groups: Column) -> Column:
     """For each of an array of selector lists, the links that it matches as
     ``ARRAY<STRUCT<href, text>>``: selector by selector, each pair once."""
@@ -205,7 +249,7 @@ def links(dom: Column, groups: Column) -> Column:
                        normalize_whitespace(F.try_element_at(e["attrs"], F.lit("aria-label")))).alias("text")))
         return F.filter(named, lambda x: F.coalesce(x["href"] != "", F.lit(False)))
 
-    return F.transform(groups, lambda chosen: F.array_distinct(F.flatten(F.transform(chosen, lambda s: linked(select(dom, s))))))
+    return F.transform(groups, lambda chosen: _distinct(F.flatten(F.transform(chosen, lambda s: linked(select(dom, s))))))
 
 
 def first_href(dom: Column, chosen: Column) -> Column:

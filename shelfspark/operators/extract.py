@@ -223,7 +223,7 @@ def extraction(pages: DataFrame, dom: str | None = None, fields: dict[str, Colum
         sel = {k: F.col("_values")[i] for i, k in enumerate(FIELD_SELECTORS)}
         sel["images"] = F.array_distinct(sel["images"])
         crumb_texts = F.col("_values")[len(FIELD_SELECTORS)]
-        body_text = F.coalesce(F.try_element_at(F.col("_values")[len(FIELD_SELECTORS) + 1], F.lit(1)), normalize_whitespace(F.col(dom)["text"]))
+        body_text = F.coalesce(F.try_element_at(F.col("_values")[len(FIELD_SELECTORS) + 1], F.lit(1)), normalize_whitespace(E.page_text(F.col(dom))))
     else:
         sel = {k: select_values(F.col("html"), v, multiple=(k == "images")) for k, v in FIELD_SELECTORS.items()}
         crumb_texts = dom_breadcrumb(F.col("html"))
