@@ -1,5 +1,7 @@
 """Elements, nested text and selectors of pages."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,3 +63,19 @@ def test_unbalanced_markup():
     spans = [(e["tag"], e["pos"], e["until"], dom["text"][e["start"]:e["end"]]) for e in dom["elements"]]
     assert spans == [("div", 0, 3, "abc"), ("p", 1, 2, "a"), ("div", 2, 3, "b"), ("p", 3, 4, "e"), ("p", 4, 5, "f")]
     assert E.parse_selector("a > b") is None and E.parse_selector("a:hover") is None and E.parse_selector("") is None
+
+
+def test_many_cards_take_time_in_proportion(spark):
+    """Containers are found once a selector, not once an element (a quarter of an hour before)."""
+    n = 4000
+    html = "<ul>" + "".join(f"<li class='card'><div class='card'>é{i}<a href='/i/{i}'>Item {i % 10}</a></div><a href='/i/{i}'>Item {i % 10}</a>" for i in range(n)) + "</ul><a href='/out'>x</a>"
+    page = E.with_elements(spark.createDataFrame([(1, html)], "page_id long, html string"))
+    start = time.monotonic()
+    got = first(page, E.links(F.col("dom"), F.array(E.selectors(["[class*='card'] .card a[href]", "li.card a"]))))[0]
+    assert [(x.href, x.text) for x in got] == [(f"/i/{i}", f"Item {i % 10}") for i in range(n)]
+    assert time.monotonic() - start < 60
+
+
+def test_links_keep_texts_that_are_absent(spark):
+    page = E.with_elements(spark.createDataFrame([(1, "<a href='1:2=é'></a><a href='1:2=é' aria-label='='></a><a href='1:2=é'></a><a href='1'>2:=</a>")], "page_id long, html string"))
+    assert [(x.href, x.text) for x in first(page, E.links(F.col("dom"), F.array(E.selectors(["a"]))))[0]] == [("1:2=é", ""), ("1:2=é", "="), ("1", "2:=")]
