@@ -71,6 +71,14 @@ def test_many_equal_conversations(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_equal_turns_follow_role_then_text(spark):
+    rnd = random.Random(5)
+    rows = [(c, rnd.choice([None, 0, 1]), rnd.choice(["user", None]), rnd.choice(["a", "b c", "", None, "d e f", "é"])) for c in range(60) for _ in range(rnd.randrange(2, 6))]
+    order = sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or 0, r[2] or "", r[3] or ""))
+    got = Counter(tuple(r[c] for c in COLUMNS) for r in prefix_trie.trie(make(spark, rows)).collect())
+    assert got == brute([(c, i, r, t) for i, (c, _, r, t) in enumerate(order)])
+
+
 def test_no_conversations(spark):
     assert prefix_trie.trie(make(spark, [])).collect() == []
 
