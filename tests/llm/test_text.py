@@ -150,6 +150,16 @@ def test_pii_terms(spark, frame):
     assert pii.sanitise(frame([])).collect() == []
 
 
+def test_pii_terms_far_from_the_entity(spark, frame):
+    far = " ".join(f"the now w{i}" for i in range(40))
+    rows = [(i, f"Zorblax, {far} {i} bob@x.org {far} Quuxen") for i in range(4)] + [(10 + i, far) for i in range(40)] + [(4, f"{far} Zorblax")]
+    got = {r["doc_id"]: r["spans"] for r in pii.sanitise(frame(rows)).collect()}
+    for i, t in rows[:4]:
+        at = t.index("Quuxen")
+        assert got[i] == f"email:{t.index('bob')}:{t.index('bob') + 9},remove:0:7,remove:{at}:{at + 6}"
+    assert all(got[i] == "" for i in [*range(10, 50), 4])
+
+
 def katz(rows, lm=language_model):
     seqs = [(i, (t or "").encode().lower().split()) for i, t in rows]
     held = [zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i, _ in rows]
