@@ -66,7 +66,7 @@ def test_unbalanced_markup():
 
 
 def test_many_cards_take_time_in_proportion(spark):
-    """Containers are found once a selector, not once an element (a quarter of an hour before)."""
+    """Containers are found once a selector, not once an element."""
     n = 4000
     html = "<ul>" + "".join(f"<li class='card'><div class='card'>é{i}<a href='/i/{i}'>Item {i % 10}</a></div><a href='/i/{i}'>Item {i % 10}</a>" for i in range(n)) + "</ul><a href='/out'>x</a>"
     page = E.with_elements(spark.createDataFrame([(1, html)], "page_id long, html string"))
