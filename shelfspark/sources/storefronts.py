@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.functions.urls import url_host
+from shelfspark.session import dealt
 from shelfspark.sources.tables import read_table
 
 SHOPS_SQL = """
@@ -126,7 +127,7 @@ def duck_sql(text: str) -> str:
 
 def _spark_rows(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     view = f"part_{uuid.uuid4().hex}"
-    read_table(spark, sf_dir, "part").createOrReplaceTempView(view)
+    dealt(read_table(spark, sf_dir, "part")).createOrReplaceTempView(view)
     return spark.sql("WITH " + _JOIN.sub(r"listagg(\1, '') WITHIN GROUP (ORDER BY \2) AS", text).replace("$part", view).strip())
 
 

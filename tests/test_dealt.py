@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.session import dealt
 from shelfspark.sources.fixtures import listing_links, product_observations, product_pages
+from shelfspark.sources.storefronts import storefront_pages
 
 
 def tasks(df):
@@ -21,3 +22,4 @@ def test_made_inputs_span_the_cores(spark):
     cores = spark.sparkContext.defaultParallelism
     for make in (product_observations, product_pages, listing_links):
         assert tasks(make(spark, SMOKE_DIR)) >= cores, make.__name__
+    assert tasks(storefront_pages(spark, SMOKE_DIR).where("page_id >= 100000000")) >= cores
