@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.operators import products as PR
-from shelfspark.session import scratch_path
+from shelfspark.session import dealt, scratch_path
 
 
 def _hadoop_fs(spark: SparkSession, path: str):
@@ -82,7 +82,7 @@ class CatalogState:
     def apply(self, batch: DataFrame, batch_id: int) -> None:
         if self.committed(batch_id):
             return  # replayed batch: already folded in
-        part = PR.partial_merge(PR.drop_unidentified(PR.products_from_observations(batch)))
+        part = PR.partial_merge(PR.drop_unidentified(PR.products_from_observations(dealt(batch))))
         part.write.mode("overwrite").parquet(f"{self.root}/deltas/batch={batch_id}")
         _touch(self.spark, f"{self.root}/_commits/{batch_id}")
         if (batch_id + 1) % self.compact_every == 0:

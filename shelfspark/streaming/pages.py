@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from shelfspark.operators.extract import extract_products
 from shelfspark.operators.links import page_links
+from shelfspark.session import dealt
 
 
 def read_arrivals(spark: SparkSession, folder: str, schema: str, files_per_trigger: int = 1) -> DataFrame:
@@ -33,10 +34,10 @@ def new_links(pages: DataFrame, out: str, horizon: str) -> StreamingQuery:
     """``page(page_id, site, url, html, seq, seen_at)`` -> ``(site, url, seen_at)`` below
     `out`, each link once within `horizon`."""
     timed = pages.withWatermark("seen_at", horizon)
-    links = page_links(timed, extra=("seen_at",)).select("site", "seen_at", F.explode("links").alias("l")).select("site", "l.url", "seen_at")
+    links = page_links(dealt(timed), extra=("seen_at",)).select("site", "seen_at", F.explode("links").alias("l")).select("site", "l.url", "seen_at")
     return _append(links.dropDuplicatesWithinWatermark(["site", "url"]), out)
 
 
 def arriving_products(pages: DataFrame, out: str) -> StreamingQuery:
     """``page(page_id, url, category, html)`` -> canonical products below `out`."""
-    return _append(extract_products(pages), out)
+    return _append(extract_products(dealt(pages)), out)

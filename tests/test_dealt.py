@@ -1,11 +1,16 @@
 """Inputs of one small file: the work that hangs on their rows is spread over all cores."""
 
+import glob
+
 from conftest import SMOKE_DIR
 from pyspark.sql import functions as F
 
 from shelfspark.session import dealt
 from shelfspark.sources.fixtures import listing_links, product_observations, product_pages
 from shelfspark.sources.storefronts import storefront_pages
+from shelfspark.streaming import pages as SP
+
+ARRIVING = "page_id long, url string, category string, html string"
 
 
 def tasks(df):
@@ -23,3 +28,11 @@ def test_made_inputs_span_the_cores(spark):
     for make in (product_observations, product_pages, listing_links):
         assert tasks(make(spark, SMOKE_DIR)) >= cores, make.__name__
     assert tasks(storefront_pages(spark, SMOKE_DIR).where("page_id >= 100000000")) >= cores
+
+
+def test_pages_of_one_file_are_extracted_by_many_tasks(spark, tmp_path):
+    pages = product_pages(spark, SMOKE_DIR).select("page_id", "url", "category", "html")
+    pages.coalesce(1).write.parquet(f"{tmp_path}/in")
+    SP.arriving_products(SP.read_arrivals(spark, f"{tmp_path}/in", ARRIVING), f"{tmp_path}/out").awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/out").count() == pages.count()
+    assert len(glob.glob(f"{tmp_path}/out/part-*.parquet")) >= spark.sparkContext.defaultParallelism
