@@ -5,6 +5,7 @@ import glob
 from conftest import SMOKE_DIR
 from pyspark.sql import functions as F
 
+from shelfspark.plans import storefront
 from shelfspark.session import dealt
 from shelfspark.sources.fixtures import listing_links, product_observations, product_pages
 from shelfspark.sources.storefronts import storefront_pages
@@ -36,3 +37,8 @@ def test_pages_of_one_file_are_extracted_by_many_tasks(spark, tmp_path):
     SP.arriving_products(SP.read_arrivals(spark, f"{tmp_path}/in", ARRIVING), f"{tmp_path}/out").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == pages.count()
     assert len(glob.glob(f"{tmp_path}/out/part-*.parquet")) >= spark.sparkContext.defaultParallelism
+
+
+def test_pages_that_list_whole_shops_are_not_in_one_file(spark):
+    entries = storefront._pages(spark, SMOKE_DIR).where("page_id < 1000")
+    assert entries.count() > 10 and entries.select(F.input_file_name()).distinct().count() > 3
