@@ -3,13 +3,16 @@
 ``with_elements`` parses each page once, where it is read, into
 
     dom STRUCT<text ARRAY<STRING>,
-               elements ARRAY<STRUCT<pos, tag, until, start, end, classes, attrs>>>
+               elements ARRAY<STRUCT<pos, tag, until, start, end, classes, attrs>>,
+               index MAP<STRING, ARRAY<INT>>>
 
 Elements stand in document order.  ``pos`` counts them, the descendants of an
 element are those with ``pos`` between its own and ``until``; its text is
 the characters ``start`` to ``end`` of the page's text, which stands in ``text`` in
 pieces of equal length.  Nested text, containers and descendants are
-thus interval tests inside one row.
+thus interval tests inside one row.  ``index`` has the elements of each tag, class
+(``.name``) and attribute (``[name``), so that a step of a selector looks at those
+that it may match and not at the whole page.
 
 Selectors are data, not code: ``parse_selector`` turns a text into steps (tag,
 id, classes, attribute tests, joined by descendant combinators, with an optional
@@ -46,13 +49,14 @@ _END = {t: re.compile(rf"</{t}\s*>", re.I) for t in PLAIN_TEXT}
 PIECE = 256  # characters of a page's text that are stored together
 
 ELEMENT = ("struct<pos:int,tag:string,until:int,start:int,end:int,classes:array<string>,attrs:map<string,string>>")
-DOM = f"struct<text:array<string>,elements:array<{ELEMENT}>>"
+DOM = f"struct<text:array<string>,elements:array<{ELEMENT}>,index:map<string,array<int>>>"
 STEP = "struct<tag:string,id:string,classes:array<string>,attrs:array<struct<name:string,op:string,value:string>>>"
 SELECTORS = f"array<struct<attr:string,steps:array<{STEP}>>>"
 
 _ARROW_ELEMENT = pa.struct([("pos", pa.int32()), ("tag", pa.string()), ("until", pa.int32()), ("start", pa.int32()),
                             ("end", pa.int32()), ("classes", pa.list_(pa.string())), ("attrs", pa.map_(pa.string(), pa.string()))])
-_ARROW_DOM = pa.struct([("text", pa.list_(pa.string())), ("elements", pa.list_(_ARROW_ELEMENT))])
+_ARROW_DOM = pa.struct([("text", pa.list_(pa.string())), ("elements", pa.list_(_ARROW_ELEMENT)),
+                        ("index", pa.map_(pa.string(), pa.list_(pa.int32())))])
 
 
 def parse(html: str | None) -> dict:
@@ -110,7 +114,11 @@ def parse(html: str | None) -> dict:
 
 def in_pieces(page: dict) -> dict:
     text = page["text"]
-    return {"text": [text[i:i + PIECE] for i in range(0, len(text), PIECE)], "elements": page["elements"]}
+    index: dict[str, list[int]] = {}
+    for e in page["elements"]:
+        for key in {e["tag"], *(f".{c}" for c in e["classes"]), *(f"[{name}" for name, _ in e["attrs"])}:
+            index.setdefault(key, []).append(e["pos"])
+    return {"text": [text[i:i + PIECE] for i in range(0, len(text), PIECE)], "elements": page["elements"], "index": list(index.items())}
 
 
 def with_elements(pages: DataFrame, html: str = "html", name: str = "dom") -> DataFrame:
@@ -189,14 +197,25 @@ def _inside(e: Column, spans: Column) -> Column:
     return before(spans["starts"], e["pos"]) > before(spans["ends"], e["pos"] + 1)
 
 
+def _candidates(dom: Column, s: Column, around: Column) -> Column:
+    """Elements that a step may match, by its first class or attribute or else its tag, in
+    document order; none where no container was found."""
+    key = F.coalesce(F.concat(F.lit("."), F.try_element_at(s["classes"], F.lit(1))), F.when(s["id"].isNotNull(), F.lit("[id")),
+                     F.concat(F.lit("["), F.try_element_at(s["attrs"], F.lit(1))["name"]), s["tag"])
+    none = F.array().cast("array<int>")
+    places = F.when(F.size(around["starts"]) == 0, none).otherwise(F.coalesce(
+        F.try_element_at(dom["index"], key), F.when(key.isNull(), F.transform(dom["elements"], lambda e: e["pos"])), none))
+    return F.transform(places, lambda p: F.get(dom["elements"], p))
+
+
 def select(dom: Column, selector: Column) -> Column:
     """Elements of the page that match one selector, in document order."""
-    elements, steps = dom["elements"], selector["steps"]
+    steps = selector["steps"]
     page = _spans(F.array(F.struct(F.lit(-1).alias("pos"), F.lit(2**31 - 1).alias("until"))))
-    around = F.aggregate(F.slice(steps, 1, F.size(steps) - 1), page, lambda found, s: let(
-        F.filter(elements, lambda e: _matches(e, s) & _inside(e, found)), _spans))
+    step = lambda found, s: F.filter(_candidates(dom, s, found), lambda e: _matches(e, s) & _inside(e, found))
+    around = F.aggregate(F.slice(steps, 1, F.size(steps) - 1), page, lambda found, s: let(step(found, s), _spans))
     bound = F.struct(around.alias("around"), F.try_element_at(steps, F.lit(-1)).alias("last"))
-    return let(bound, lambda b: F.filter(elements, lambda e: _matches(e, b["last"]) & _inside(e, b["around"])))
+    return let(bound, lambda b: step(b["around"], b["last"]))
 
 
 def page_text(dom: Column) -> Column:
@@ -249,7 +268,12 @@ def links(dom: Column, groups: Column) -> Column:
                        normalize_whitespace(F.try_element_at(e["attrs"], F.lit("aria-label")))).alias("text")))
         return F.filter(named, lambda x: F.coalesce(x["href"] != "", F.lit(False)))
 
-    return F.transform(groups, lambda chosen: _distinct(F.flatten(F.transform(chosen, lambda s: linked(select(dom, s))))))
+    def matched(chosen: Column) -> Column:
+        # each element once, so that its text is read once
+        places = F.array_distinct(F.flatten(F.transform(chosen, lambda s: F.transform(select(dom, s), lambda e: e["pos"]))))
+        return F.transform(places, lambda p: F.get(dom["elements"], p))
+
+    return F.transform(groups, lambda chosen: _distinct(linked(matched(chosen))))
 
 
 def first_href(dom: Column, chosen: Column) -> Column:

@@ -79,3 +79,19 @@ def test_many_cards_take_time_in_proportion(spark):
 def test_links_keep_texts_that_are_absent(spark):
     page = E.with_elements(spark.createDataFrame([(1, "<a href='1:2=é'></a><a href='1:2=é' aria-label='='></a><a href='1:2=é'></a><a href='1'>2:=</a>")], "page_id long, html string"))
     assert [(x.href, x.text) for x in first(page, E.links(F.col("dom"), F.array(E.selectors(["a"]))))[0]] == [("1:2=é", ""), ("1:2=é", "="), ("1", "2:=")]
+
+
+def test_steps_look_at_indexed_elements(spark):
+    """Tags, classes and attributes name their elements, each once and in order; any kind of
+    step finds what a pass over the whole page finds, a link matched by several selectors once."""
+    html = "<DIV class='b a b' id='x'><a href='/1' class='a'>1</a><p id='y'>p<a rel=next>2</a></p></DIV><a href='/3'>3</a>"
+    index = dict(E.in_pieces(E.parse(html))["index"])
+    assert index == {"div": [0], ".a": [0, 1], ".b": [0], "[class": [0, 1], "[id": [0, 2], "a": [1, 3, 4], "[href": [1, 4], "p": [2], "[rel": [3]}
+    page = E.with_elements(spark.createDataFrame([(1, html)], "page_id long, html string"))
+    texts = ["#y", "p#y a", "#z a", ".a", "a.a", "*", "#x *", "[rel]", ".b a[href]", ".none a", "div p a[rel='next']"]
+    whole = {"#y": [2], "p#y a": [3], "#z a": [], ".a": [0, 1], "a.a": [1], "*": [0, 1, 2, 3, 4], "#x *": [1, 2, 3], "[rel]": [3], ".b a[href]": [1],
+             ".none a": [], "div p a[rel='next']": [3]}
+    got = first(page, F.transform(E.selectors(texts), lambda s: F.transform(E.select(F.col("dom"), s), lambda e: e["pos"])))
+    assert dict(zip(texts, got)) == whole
+    links = first(page, E.links(F.col("dom"), F.array(E.selectors(["a[href='/3']", "a", ".a"]))))[0]
+    assert [(x.href, x.text) for x in links] == [("/3", "3"), ("/1", "1")]
