@@ -42,15 +42,16 @@ UNSEEN_TEXT = frozenset(("script", "style"))
 ENDED_BY = {"li": ("li",), "option": ("option",), "tr": ("tr",), "td": ("td", "th", "tr"), "th": ("td", "th", "tr"),
             "dt": ("dt", "dd"), "dd": ("dt", "dd"), "p": ("p", "div", "ul", "ol", "table", "section", "h1", "h2", "h3")}
 
-_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _END = {t: re.compile(rf"</{t}\s*>", re.I) for t in PLAIN_TEXT}
 
-PIECE = 256  # characters of a page's text that are stored together
+PIECE_BITS = 8
+PIECE = 1 << PIECE_BITS  # characters of a page's text that are stored together
 
 ELEMENT = ("struct<pos:int,tag:string,until:int,start:int,end:int,classes:array<string>,attrs:map<string,string>>")
 DOM = f"struct<text:array<string>,elements:array<{ELEMENT}>,index:map<string,array<int>>>"
-STEP = "struct<tag:string,id:string,classes:array<string>,attrs:array<struct<name:string,op:string,value:string>>>"
+STEP = "struct<key:string,tag:string,id:string,classes:array<string>,attrs:array<struct<name:string,op:string,value:string>>>"
 SELECTORS = f"array<struct<attr:string,steps:array<{STEP}>>>"
 
 _ARROW_ELEMENT = pa.struct([("pos", pa.int32()), ("tag", pa.string()), ("until", pa.int32()), ("start", pa.int32()),
@@ -70,7 +71,7 @@ def parse(html: str | None) -> dict:
     def text(piece: str) -> None:
         nonlocal length
         if piece:
-            plain = entities.unescape(piece)
+            plain = entities.unescape(piece) if "&" in piece else piece
             pieces.append(plain)
             length += len(plain)
 
@@ -94,10 +95,12 @@ def parse(html: str | None) -> dict:
         while open_ and tag in ENDED_BY.get(open_[-1]["tag"], ()):
             close(len(open_) - 1)
         attrs: dict[str, str] = {}
-        for name, *values in _ATTRIBUTE.findall(rest):
-            attrs.setdefault(name.lower(), entities.unescape("".join(values)))
+        if rest:
+            for name, double, single, bare in _ATTRIBUTE.findall(rest):
+                value = double or single or bare
+                attrs.setdefault(name.lower(), entities.unescape(value) if "&" in value else value)
         element = {"pos": len(elements), "tag": tag, "until": len(elements) + 1, "start": length, "end": length,
-                   "classes": attrs.get("class", "").split(), "attrs": list(attrs.items())}
+                   "classes": attrs["class"].split() if "class" in attrs else [], "attrs": list(attrs.items())}
         elements.append(element)
         if tag in PLAIN_TEXT:
             stop = _END[tag].search(html, at)
@@ -116,17 +119,36 @@ def in_pieces(page: dict) -> dict:
     text = page["text"]
     index: dict[str, list[int]] = {}
     for e in page["elements"]:
-        for key in {e["tag"], *(f".{c}" for c in e["classes"]), *(f"[{name}" for name, _ in e["attrs"])}:
+        keys = [e["tag"], *[f".{c}" for c in dict.fromkeys(e["classes"])], *[f"[{name}" for name, _ in e["attrs"]]]
+        for key in keys:
             index.setdefault(key, []).append(e["pos"])
     return {"text": [text[i:i + PIECE] for i in range(0, len(text), PIECE)], "elements": page["elements"], "index": list(index.items())}
 
 
+#: Characters of markup that are parsed into one batch.
+MOST_CHARS = 4 << 20
+
+
+def _by_size(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts of about `MOST_CHARS`, at least one text each."""
+    first = chars = 0
+    for n, text in enumerate(texts):
+        if n > first and chars + len(text or "") > MOST_CHARS:
+            yield first, n
+            first, chars = n, 0
+        chars += len(text or "")
+    if first < len(texts):
+        yield first, len(texts)
+
+
 def with_elements(pages: DataFrame, html: str = "html", name: str = "dom") -> DataFrame:
     """`pages` with the parsed page in the column `name`; rows stay where they are."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parsed = pa.array([in_pieces(parse(h)) for h in batch[html].to_pylist()], _ARROW_DOM)
-            yield pa.RecordBatch.from_arrays([*batch.columns, parsed], names=[*batch.schema.names, name])
+            texts = batch[html].to_pylist()
+            for first, end in _by_size(texts):
+                parsed = pa.array([in_pieces(parse(h)) for h in texts[first:end]], _ARROW_DOM)
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, end - first).columns, parsed], names=[*batch.schema.names, name])
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in pages.dtypes)
     return pages.mapInArrow(run, f"{kinds}, `{name}` {DOM}")
@@ -136,6 +158,13 @@ _STEP = re.compile(r"""(\*|[a-zA-Z][\w-]*)?((?:\.[\w-]+|\#[\w-]+|\[[\w-]+(?:\*?=
 _TEST = re.compile(r"""\.([\w-]+)|\#([\w-]+)|\[([\w-]+)(?:(\*?=)(?:'([^']*)'|"([^"]*)"|([\w-]+)))?\]""")
 
 
+def _key(step: dict) -> str | None:
+    """Entry of the index with all elements that a step may match; None for any element."""
+    if step["classes"]:
+        return f".{step['classes'][0]}"
+    return "[id" if step["id"] else f"[{step['attrs'][0]['name']}" if step["attrs"] else step["tag"]
+
+
 def parse_selector(selector: str) -> dict | None:
     """Steps of ``selector[@attribute]``; None where it is not understood."""
     path, _, attr = selector.strip().partition("@")
@@ -153,6 +182,7 @@ def parse_selector(selector: str) -> dict | None:
                 step["id"] = ident
             else:
                 step["attrs"].append({"name": name.lower(), "op": op or None, "value": "".join(values)})
+        step["key"] = _key(step)
         steps.append(step)
         space = re.compile(r"\s+").match(path, found.end())
         if found.end() < len(path) and not space:
@@ -183,39 +213,50 @@ _POWERS = [1 << i for i in range(30, -1, -1)]
 
 def _spans(found: Column) -> Column:
     """Intervals of elements for `_inside`: their beginnings and their ends, each in order."""
-    powers = F.filter(F.lit(_POWERS), lambda p: p <= F.size(found))
     return F.struct(F.transform(found, lambda e: e["pos"]).alias("starts"), F.sort_array(F.transform(found, lambda e: e["until"])).alias("ends"),
-                    powers.alias("powers")).cast("struct<starts:array<int>,ends:array<int>,powers:array<int>>")
+                    powers(found).alias("powers")).cast("struct<starts:array<int>,ends:array<int>,powers:array<int>>")
+
+
+def powers(ordered: Column) -> Column:
+    """Steps of `before` for an array of this length."""
+    return F.filter(F.lit(_POWERS), lambda p: p <= F.size(ordered))
+
+
+def before(ordered: Column, steps: Column, limit: Column) -> Column:
+    """How many of an ordered array are less, by halving."""
+    return F.aggregate(steps, F.lit(0), lambda n, p: F.when(F.get(ordered, n + p - 1) < limit, n + p).otherwise(n))
 
 
 def _inside(e: Column, spans: Column) -> Column:
     """More intervals begin before the element than have ended there: two searches by
     halving, whatever the number of intervals."""
-    def before(ordered: Column, limit: Column) -> Column:
-        return F.aggregate(spans["powers"], F.lit(0), lambda n, p: F.when(F.get(ordered, n + p - 1) < limit, n + p).otherwise(n))
-
-    return before(spans["starts"], e["pos"]) > before(spans["ends"], e["pos"] + 1)
+    return before(spans["starts"], spans["powers"], e["pos"]) > before(spans["ends"], spans["powers"], e["pos"] + 1)
 
 
-def _candidates(dom: Column, s: Column, around: Column) -> Column:
+def _candidates(dom: Column, s: Column) -> Column:
     """Elements that a step may match, by its first class or attribute or else its tag, in
-    document order; none where no container was found."""
-    key = F.coalesce(F.concat(F.lit("."), F.try_element_at(s["classes"], F.lit(1))), F.when(s["id"].isNotNull(), F.lit("[id")),
-                     F.concat(F.lit("["), F.try_element_at(s["attrs"], F.lit(1))["name"]), s["tag"])
-    none = F.array().cast("array<int>")
-    places = F.when(F.size(around["starts"]) == 0, none).otherwise(F.coalesce(
-        F.try_element_at(dom["index"], key), F.when(key.isNull(), F.transform(dom["elements"], lambda e: e["pos"])), none))
+    document order."""
+    places = F.coalesce(F.try_element_at(dom["index"], s["key"]), F.when(s["key"].isNull(), F.transform(dom["elements"], lambda e: e["pos"])),
+                        F.array().cast("array<int>"))
     return F.transform(places, lambda p: F.get(dom["elements"], p))
 
 
 def select(dom: Column, selector: Column) -> Column:
-    """Elements of the page that match one selector, in document order."""
+    """Elements of the page that match one selector, in document order.
+
+    Most selectors name something that a page does not have at all: the index tells so
+    before any step is looked at."""
     steps = selector["steps"]
-    page = _spans(F.array(F.struct(F.lit(-1).alias("pos"), F.lit(2**31 - 1).alias("until"))))
-    step = lambda found, s: F.filter(_candidates(dom, s, found), lambda e: _matches(e, s) & _inside(e, found))
-    around = F.aggregate(F.slice(steps, 1, F.size(steps) - 1), page, lambda found, s: let(step(found, s), _spans))
-    bound = F.struct(around.alias("around"), F.try_element_at(steps, F.lit(-1)).alias("last"))
-    return let(bound, lambda b: step(b["around"], b["last"]))
+    none = F.array().cast(f"array<{ELEMENT}>")
+    known = F.forall(steps, lambda s: s["key"].isNull() | F.map_contains_key(dom["index"], s["key"]))
+    matching = lambda s: F.filter(_candidates(dom, s), lambda e: _matches(e, s))
+    within = lambda found, s: F.when(F.size(found["starts"]) == 0, none).otherwise(
+        F.filter(_candidates(dom, s), lambda e: _matches(e, s) & _inside(e, found)))
+    around = F.aggregate(F.slice(steps, 2, F.greatest(F.size(steps) - 2, F.lit(0))), let(let(F.try_element_at(steps, F.lit(1)), matching), _spans),
+                         lambda found, s: let(within(found, s), _spans))
+    last = F.try_element_at(steps, F.lit(-1))
+    bound = F.struct(around.alias("around"), last.alias("last"))
+    return F.when(~known, none).when(F.size(steps) == 1, let(last, matching)).otherwise(let(bound, lambda b: within(b["around"], b["last"])))
 
 
 def page_text(dom: Column) -> Column:
@@ -224,10 +265,10 @@ def page_text(dom: Column) -> Column:
 
 def element_text(dom: Column, e: Column) -> Column:
     """Read from the pieces that the element touches, not from the beginning of the page."""
-    first = F.floor(e["start"] / PIECE).cast("int")
-    touched = F.floor((e["end"] - 1) / PIECE).cast("int") - first + 1
-    joined = F.array_join(F.transform(F.filter(F.sequence(F.lit(0), F.greatest(touched, F.lit(0))), lambda i: i < touched),
-                                      lambda i: F.get(dom["text"], first + i)), "")
+    first = F.shiftright(e["start"], PIECE_BITS)
+    touched = F.shiftright(e["end"] - 1, PIECE_BITS) - first + 1
+    joined = F.when(touched <= 1, F.get(dom["text"], first)).otherwise(
+        F.array_join(F.transform(F.sequence(first, first + touched - 1), lambda i: F.get(dom["text"], i)), ""))
     return normalize_whitespace(F.substr(joined, e["start"] - first * PIECE + 1, e["end"] - e["start"]))
 
 
@@ -258,22 +299,27 @@ def _distinct(pairs: Column) -> Column:
     return F.transform(F.array_distinct(packed), pair)
 
 
+def link_places(dom: Column, chosen: Column) -> Column:
+    """Positions of the elements with a ``href`` that a selector list matches: selector by
+    selector, each once."""
+    linking = lambda e: F.coalesce(F.try_element_at(e["attrs"], F.lit("href")) != "", F.lit(False))
+    return F.array_distinct(F.flatten(F.transform(chosen, lambda s: F.transform(F.filter(select(dom, s), linking), lambda e: e["pos"]))))
+
+
+def link_at(dom: Column, place: Column) -> Column:
+    """``STRUCT<place, href, text>`` of an element."""
+    def link(e: Column) -> Column:
+        return F.struct(e["pos"].alias("place"), F.try_element_at(e["attrs"], F.lit("href")).alias("href"), F.coalesce(
+            F.nullif(element_text(dom, e), F.lit("")), normalize_whitespace(F.try_element_at(e["attrs"], F.lit("aria-label")))).alias("text"))
+
+    return let(F.get(dom["elements"], place), link)
+
+
 def links(dom: Column, groups: Column) -> Column:
     """For each of an array of selector lists, the links that it matches as
     ``ARRAY<STRUCT<href, text>>``: selector by selector, each pair once."""
-    def linked(found: Column) -> Column:
-        named = F.transform(found, lambda e: F.struct(
-            F.try_element_at(e["attrs"], F.lit("href")).alias("href"),
-            F.coalesce(F.nullif(element_text(dom, e), F.lit("")),
-                       normalize_whitespace(F.try_element_at(e["attrs"], F.lit("aria-label")))).alias("text")))
-        return F.filter(named, lambda x: F.coalesce(x["href"] != "", F.lit(False)))
-
-    def matched(chosen: Column) -> Column:
-        # each element once, so that its text is read once
-        places = F.array_distinct(F.flatten(F.transform(chosen, lambda s: F.transform(select(dom, s), lambda e: e["pos"]))))
-        return F.transform(places, lambda p: F.get(dom["elements"], p))
-
-    return F.transform(groups, lambda chosen: _distinct(linked(matched(chosen))))
+    pair = lambda x: F.struct(x["href"].alias("href"), x["text"].alias("text"))
+    return F.transform(groups, lambda chosen: _distinct(F.transform(link_places(dom, chosen), lambda p: let(link_at(dom, p), pair))))
 
 
 def first_href(dom: Column, chosen: Column) -> Column:

@@ -44,6 +44,8 @@ FAST_ROOT_RELATIVE = r"^/(" + FAST_PATH_CHARS + r"*)$"
 FAST_QUERY_CHARS = r"[\x{21}\x{24}-\x{26}\x{28}-\x{3B}\x{3D}\x{3F}-\x{7E}]"
 FAST_ABSOLUTE_Q = (r"^https?://[a-z0-9.\-]+(/" + FAST_PATH_CHARS + r"*)?(\?" + FAST_QUERY_CHARS
                    + r"*)?(#.*)?$")
+# an absolute URL with a path, or a root-relative one, of such characters
+PLAIN_HREF = (r"^(https?://[a-z0-9.\-]+)?/" + FAST_PATH_CHARS + r"*(\?" + FAST_QUERY_CHARS + r"*)?(#.*)?\z")
 # a query whose pairs are all ``key=value`` of characters form-encoding keeps as is
 PLAIN_QUERY = r"^[A-Za-z0-9._*\-]+=[A-Za-z0-9._*\-]*(&[A-Za-z0-9._*\-]+=[A-Za-z0-9._*\-]*)*$"
 ORIGIN_RE = r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)"
@@ -208,18 +210,27 @@ def base_parts(url) -> Column:
     return F.try_element_at(project(a, "norm", "n_scheme", "n_root", "n_path", "n_query"), F.lit(1))
 
 
+def _plain_url(h: Column, base: Column) -> Column:
+    """What the staged resolver makes of an href that needs no encoding; NULL for others."""
+    return F.when(base["norm"] == "", F.lit("")).when(_fast_relative(h), F.concat(base["n_root"], h)) \
+        .when(h.rlike(PLAIN_HREF) & ~h.startswith("//") & ~h.rlike(DOT_SEGMENT), _let(F.concat(
+            F.when(h.startswith("/"), base["n_root"]).otherwise(F.lit("")), F.regexp_extract(h, r"^([^#]*)", 1)), _clean_plain))
+
+
 def resolve_links(arr: Column, base: Column, href: str = "href", keep=("pos", "text")) -> Column:
     """Resolve field ``href`` of every struct against ``base`` into ``url``.
 
-    Root-relative hrefs that need no encoding take the fast path (origin +
-    href); only the rest run the staged resolver.  Output structs hold
-    ``keep`` fields plus ``url``; order follows the first ``keep`` field."""
-    fast_ok = lambda x: _fast_relative(F.coalesce(x[href], F.lit("")))
-    fast = F.transform(F.filter(arr, fast_ok), lambda x: F.struct(
-        *[x[k].alias(k) for k in keep],
-        F.when(base["norm"] == "", F.lit("")).otherwise(F.concat(base["n_root"], x[href])).alias("url")))
-    slow = project(resolve_stages(F.filter(arr, lambda x: ~fast_ok(x)), base, href), *keep, "url")
-    return F.array_sort(F.concat(fast, slow))
+    Hrefs that need no encoding take the fast path (``_plain_url``); only the rest
+    run the staged resolver.  Output structs hold ``keep`` fields plus ``url``;
+    order follows the first ``keep`` field."""
+    tried = F.transform(arr, lambda x: F.struct(
+        *[x[k].alias(k) for k in keep], x[href].alias(href), _plain_url(F.coalesce(x[href], F.lit("")), base).alias("url")))
+
+    def both(a: Column) -> Column:
+        slow = resolve_stages(F.filter(a, lambda x: x["url"].isNull()), base, href)
+        return F.array_sort(F.concat(project(F.filter(a, lambda x: x["url"].isNotNull()), *keep, "url"), project(slow, *keep, "url")))
+
+    return _let(tried, both)
 
 
 def absolute_url(href, base) -> Column:
@@ -254,7 +265,11 @@ def clean_url(col) -> Column:
 
 
 def _clean_url(c: Column) -> Column:
-    slow = F.element_at(clean_stages(_one(c, "src"), "src", "out"), 1)["out"]
+    return F.coalesce(_clean_plain(c), F.element_at(clean_stages(_one(c, "src"), "src", "out"), 1)["out"])
+
+
+def _clean_plain(c: Column) -> Column:
+    """``clean_stages`` of a URL whose query needs no decoding; NULL for others."""
     no_tracking = ~c.rlike(r"(?i)[?&](utm_|gclid|fbclid|[^&#=]*%)")
     head = F.regexp_extract(c, r"^([^?#]*)", 1)
     query = F.regexp_extract(c, r"^[^?#]*\?([^#]*)", 1)
@@ -262,8 +277,7 @@ def _clean_url(c: Column) -> Column:
     plain = F.concat(head, F.when(kept == "", F.lit("")).otherwise(F.concat(F.lit("?"), kept)))
     return F.when(~c.contains("?") & ~c.contains("#"), c) \
         .when(no_tracking & ~c.contains("+"), F.regexp_extract(c, r"^([^#]*)", 1)) \
-        .when(c.rlike(r"^[^?#]*\?") & query.rlike(PLAIN_QUERY), plain) \
-        .otherwise(slow)
+        .when(c.rlike(r"^[^?#]*\?") & query.rlike(PLAIN_QUERY), plain)
 
 
 def is_http_url(col) -> Column:

@@ -208,14 +208,16 @@ def extraction(pages: DataFrame, dom: str | None = None, fields: dict[str, Colum
     chosen = [(fields or {}).get(k, E.selectors(v)) for k, v in FIELD_SELECTORS.items()]
     chosen += [E.selectors([f"{c} a" for c in BREADCRUMB_CONTAINERS]), E.selectors(["body"])]
     from_dom = {"_values": F.transform(F.array(*chosen), lambda s: E.first_values(F.col(dom), s))} if dom else {}
-    p = fence(pages.select("page_id", "url", "category", "html", *([dom] if dom else []), *keep),
-              _nodes=jsonld_node_array(F.col("html")), _base=base_parts("url"), **from_dom)
-    p = fence(p,
-              _prod=F.coalesce(F.try_element_at(F.filter("_nodes", lambda n: _is_type(n, "Product")), F.lit(1)),
+    # of facts on parsed pages only the columns that are asked for are made
+    add = (lambda df, **c: df.withColumns(c)) if dom else fence
+    p = add(pages.select("page_id", "url", "category", "html", *([dom] if dom else []), *keep),
+            _nodes=jsonld_node_array(F.col("html")), _base=base_parts("url"), **from_dom)
+    p = add(p,
+            _prod=F.coalesce(F.try_element_at(F.filter("_nodes", lambda n: _is_type(n, "Product")), F.lit(1)),
                                F.try_element_at(F.filter("_nodes", lambda n: _truthy(n, "$.sku").isNotNull()
                                                          | _truthy(n, "$.offers").isNotNull()
                                                          | _truthy(n, "$.image").isNotNull()), F.lit(1))),
-              _bc=F.try_element_at(F.filter("_nodes", lambda n: _is_type(n, "BreadcrumbList")), F.lit(1)))
+            _bc=F.try_element_at(F.filter("_nodes", lambda n: _is_type(n, "BreadcrumbList")), F.lit(1)))
     prod = F.col("_prod")
     offer = F.coalesce(F.try_element_at(F.try_variant_get(prod, "$.offers", "array<variant>"), F.lit(1)),
                        F.try_variant_get(prod, "$.offers", "variant"))
@@ -260,7 +262,7 @@ def extraction(pages: DataFrame, dom: str | None = None, fields: dict[str, Colum
         canonical_href.alias("_canonical_href"),
         prod.isNotNull().alias("has_jsonld"),
     )
-    return fence(out, canonical_url=absolute_url(F.col("_canonical_href"), F.col("_base"))).drop("_canonical_href")
+    return add(out, canonical_url=absolute_url(F.col("_canonical_href"), F.col("_base"))).drop("_canonical_href")
 
 
 def format_category_label(col) -> Column:

@@ -17,10 +17,9 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions import elements as E
 from shelfspark.functions import scoring
-from shelfspark.functions.text import fold_text
-from shelfspark.functions.urls import absolute_url, base_parts, clean_url, normalise_url, resolve_links, same_domain, stage
+from shelfspark.functions.text import let
+from shelfspark.functions.urls import absolute_url, base_parts, clean_url, normalise_url, resolve_links, stage, url_host
 from shelfspark.operators import extract as EX
-from shelfspark.operators.common import fence
 from shelfspark.operators.links import CONTEXTUAL_MIN_SCORE
 
 # Default selectors of menus, product links, product cards and
@@ -71,31 +70,46 @@ def _with_rules(pages: DataFrame, rules: DataFrame | None) -> tuple[DataFrame, d
     return joined, {n: F.coalesce(F.col(f"rules.{n}"), d) if n in own else d for n, d in default.items()}
 
 
-MENU, LISTED, CARD, NEXT = range(4)
+MENU, LISTED, CARD = range(3)
 
 
-def _raw_links(found: str, next_href: str) -> Column:
-    """All links of a page by kind; menus and listings without a match take all anchors."""
-    f = F.col(found)
+def _kinds(places: str) -> Column:
+    """Places of links by kind; menus and listings without a match take all anchors."""
+    f = F.col(places)
     any_of = lambda i: F.when(F.size(f[i]) > 0, f[i]).otherwise(f[3])
-    kinds = F.array(any_of(0), any_of(1), f[2], F.array(F.struct(F.col(next_href).alias("href"), F.lit("").alias("text"))))
-    return F.filter(F.flatten(F.transform(kinds, lambda links, kind: F.transform(links, lambda x, i: F.struct(
-        kind.alias("kind"), i.alias("pos"), x["href"].alias("href"), x["text"].alias("text"))))), lambda x: x["href"] != "")
-
-
-def _scored(links: Column, page: Column, include: Column, exclude: Column) -> Column:
-    """Links of the page's own host as ``(kind, url, neg, pos, text)``, sorted, where
-    ``neg`` is the negative score of the kind; those below its limit are left out."""
-    local = F.filter(links, lambda x: (x["url"] != "") & (x["kind"] != NEXT) & same_domain(x["url"], page))
-    staged = stage(local, folded=lambda x: fold_text(x["text"]), product=lambda x: scoring.score_product_url(x["url"]))
-    limits = lambda x: (F.when(x["kind"] == CARD, F.greatest(x["product"], F.lit(CONTEXTUAL_MIN_SCORE)))
-                        .when(x["kind"] == LISTED, F.when(x["product"] >= scoring.PRODUCT_LIKE_MIN, x["product"]))
-                        .when(x["product"] < scoring.PRODUCT_LIKE_MIN, scoring.score_category_link(
-                            x["url"], x["text"], include=include, exclude=exclude, folded=x["folded"], product_score=x["product"])))
-    points = F.filter(stage(staged, score=limits), lambda x: F.coalesce(x["score"] >= scoring.CATEGORY_MIN, F.lit(False)))
-    return F.array_sort(F.transform(points, lambda x: F.struct(
-        F.when(x["kind"] == MENU, 0).otherwise(1).alias("product"), x["url"].alias("url"), x["kind"].alias("kind"), (-x["score"]).alias("neg"),
-        x["pos"].alias("pos"), x["text"].alias("text"))))
+    return F.array(any_of(MENU), any_of(LISTED), f[CARD])
+
+
+def _scored(kinds: Column, links: Column, page: Column, include: Column, exclude: Column) -> Column:
+    """Links of the page's own host as ``(product, url, kind, neg, pos, text)``, sorted, where
+    ``neg`` is the negative score of the kind; those below its limit are left out.  `kinds`
+    has the places of each kind in order, `links` each place once, by place."""
+    own = let(url_host(page), lambda host: F.filter(links, lambda x: (x["url"] != "") & (host != "") & (url_host(x["url"]) == host)))
+
+    def score(kind: Column, x: Column) -> Column:
+        return (F.when(kind == CARD, F.greatest(x["product"], F.lit(CONTEXTUAL_MIN_SCORE)))
+                .when(kind == LISTED, F.when(x["product"] >= scoring.PRODUCT_LIKE_MIN, x["product"]))
+                .when(x["product"] < scoring.PRODUCT_LIKE_MIN, scoring.score_category_link(
+                    x["url"], x["text"], include=include, exclude=exclude, product_score=x["product"])))
+
+    def found(known: Column) -> Column:
+        def at(place: Column) -> Column:
+            return let(F.get(known["links"], E.before(known["places"], known["powers"], place)), lambda x: F.when(x["place"] == place, x))
+
+        def points(places: Column, kind: Column) -> Column:
+            linked = F.transform(places, lambda p, i: F.struct(i.alias("pos"), at(p).alias("x")))
+            scores = F.transform(F.filter(linked, lambda z: z["x"].isNotNull()), lambda z: F.struct(
+                F.when(kind == MENU, 0).otherwise(1).alias("product"), z["x"]["url"].alias("url"), kind.alias("kind"),
+                (-score(kind, z["x"])).alias("neg"), z["pos"].alias("pos"), z["x"]["text"].alias("text")))
+            return F.filter(scores, lambda z: F.coalesce(z["neg"] <= -scoring.CATEGORY_MIN, F.lit(False)))
+
+        return F.array_sort(F.flatten(F.transform(kinds, points)))
+
+    def searchable(x: Column) -> Column:
+        places = F.transform(x, lambda z: z["place"])
+        return F.struct(x.alias("links"), places.alias("places"), E.powers(x).alias("powers"))
+
+    return let(let(stage(own, product=lambda x: scoring.score_product_url(x["url"])), searchable), found)
 
 
 def page_facts(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
@@ -112,13 +126,16 @@ def page_facts(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     own = ["rules"] if rules is not None else []
     ids = ["page_id", "site", "seq", "url", "html", "dom", *own]
     groups = F.array(rule["category_selectors"], rule["product_selectors"], E.selectors(CARD_SELECTORS), E.selectors(["a"]))
-    found = E.with_elements(given).select(*ids, base_parts("url").alias("base"), E.links(dom, groups).alias("found"),
+    # an element is read, resolved and scored once, whatever the kinds that it is of; no
+    # fence from here on, so that columns nobody asks for are not made
+    found = E.with_elements(given).select(*ids, base_parts("url").alias("base"), F.transform(groups, lambda g: E.link_places(dom, g)).alias("places"),
                                           E.first_href(dom, rule["pagination_selectors"]).alias("next_href"))
-    resolved = fence(found.select(*ids, "base", _raw_links("found", "next_href").alias("raw")), page_url=clean_url(normalise_url("url")),
-                     links=resolve_links(F.col("raw"), F.col("base"), keep=("kind", "pos", "text")))
-    following = F.try_element_at(F.filter("links", lambda x: x["kind"] == NEXT), F.lit(1))["url"]
-    scored = resolved.select(*ids, "page_url", F.coalesce(following, F.lit("")).alias("next_url"),
-                             _scored(F.col("links"), F.col("url"), rule["include_patterns"], rule["exclude_patterns"]).alias("links"))
+    kinds = found.select(*ids, "base", "next_href", _kinds("places").alias("kinds"))
+    read = kinds.withColumn("raw", F.transform(F.sort_array(F.array_distinct(F.flatten("kinds"))), lambda p: E.link_at(dom, p)))
+    resolved = read.select(*ids, "kinds", clean_url(normalise_url("url")).alias("page_url"), resolve_links(F.col("raw"), F.col("base"), keep=("place", "text")).alias("links"),
+                           F.when(F.col("next_href") != "", absolute_url("next_href", "base")).otherwise("").alias("next_url"))
+    scored = resolved.select(*ids, "page_url", "next_url",
+                             _scored(F.col("kinds"), F.col("links"), F.col("url"), rule["include_patterns"], rule["exclude_patterns"]).alias("links"))
     # sorted by URL and kind: the first entry of a URL is the one that counts
     arr = F.col("links")
     first = F.filter(arr, lambda x, i: (i == 0) | (F.get(arr, i - 1)["url"] != x["url"]) | (F.get(arr, i - 1)["product"] != x["product"]))

@@ -148,3 +148,17 @@ def test_rules_of_one_site_change_that_site_only(spark):
     got = {r.site: ([c.url for c in r.categories], r.next_url, r["name"]) for r in page_facts(pages, rules).collect()}
     assert got == {"a.test": (["https://a.test/x/1"], "https://a.test/more", "Lamp one"),
                    "b.test": (["https://b.test/c/2", "https://b.test/c/hidden"], "", "Heading")}
+
+
+def test_facts_make_the_columns_that_are_asked_for(spark):
+    """Queries of links alone do not extract product fields; a link that is in several kinds
+    stands in each, in the order of its selectors."""
+    body = ('<div class="menu"><a href="/c/b?utm_x=1">Bags sale</a><a href="/c/a">Line sale</a><a href="/c/b">Bags sale</a></div><a href="/p/9">Nine</a>'
+            '<div class="product-card"><a href="/q/1#x">One</a><a href="https://s.test/p/2">Two</a></div><a href="https://else.test/p/3">x</a><a rel="next" href="?page=2">n</a>')
+    facts = page_facts(spark.createDataFrame([page_row(1, "s", "/c/x", body)], "page_id long, site string, seq long, url string, html string"))
+    plan = facts.select("categories", "products", "next_url")._jdf.queryExecution().optimizedPlan().toString()
+    assert "variant" not in plan.lower() and "canonical" not in plan
+    row = facts.first()
+    assert [(c.url, c.text, c.score) for c in row.categories] == [("https://s.test/c/b", "Bags sale", 8), ("https://s.test/c/a", "Line sale", 8)]
+    assert [(p.url, p.by_card) for p in row.products] == [("https://s.test/p/9", False), ("https://s.test/p/2", False), ("https://s.test/q/1", True)]
+    assert row.next_url == "https://s.test/c/x?page=2"

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfspark.functions import elements as E
+from shelfspark.functions import urls as U
 
 PAGE = """<!doctype html><html><head><title>Red &amp; blue</title><style>h1{}</style></head><body>
 <!-- <a href="/hidden">no</a> --><header><nav class="main"><a href="/c/a"><b>Shoes</b> sale</a>
@@ -95,3 +96,26 @@ def test_steps_look_at_indexed_elements(spark):
     assert dict(zip(texts, got)) == whole
     links = first(page, E.links(F.col("dom"), F.array(E.selectors(["a[href='/3']", "a", ".a"]))))[0]
     assert [(x.href, x.text) for x in links] == [("/3", "3"), ("/1", "1")]
+
+
+def test_pages_are_parsed_in_batches_of_bounded_size(monkeypatch):
+    """A batch from Spark may hold thousands of pages, some with a whole shop."""
+    monkeypatch.setattr(E, "MOST_CHARS", 10)
+    assert [*E._by_size(["x" * 4, "x" * 4, "x" * 4, None, "x" * 30, "", "x"])] == [(0, 2), (2, 4), (4, 5), (5, 7)]
+    assert [*E._by_size([])] == []
+
+
+def test_plain_hrefs_resolve_as_the_stages_do(spark):
+    """Queries, fragments and absolute URLs do without the staged resolver, with its results."""
+    ends = ["", "?", "?utm_campaign=x", "?a=1&utm_x=2&b=", "?a=1&gclid=2", "?page=2#top", "#top", "?a=1&utm_x=2&b", "?a=+1", "?a=%20&UTM_s=1", "?x=a b", "?q=1?utm_x=1", "#?utm_x=1"]
+    hrefs = [head + end for head in ("/p/1", "/", "https://a.test/p/1", "HTTP://a.test/p", "https://a.test", "//b.test/x", "x/../y", "/a/./b", "?page=2", "", "/é", "mailto:x",
+                                     "https://a.test:443/x", " /p", "/p\n") for end in ends]
+    for page in ("https://shop.test/c/x?y=1", "https://u@Shop.test:8080/", ""):
+        rows = spark.createDataFrame([(page, list(enumerate(hrefs)))], "page string, raw array<struct<pos:int,href:string>>").select("raw", U.base_parts("page").alias("base"))
+        staged = U.project(U.resolve_stages(F.col("raw"), F.col("base")), "pos", "href", "url")
+        got = rows.select(U.resolve_links(F.col("raw"), F.col("base"), keep=("pos",)).alias("links"), staged.alias("staged"),
+                          F.transform("raw", lambda x: U._plain_url(x["href"], F.col("base"))).alias("plain")).first()
+        want = {x.href: x.url for x in got.staged if not x.href.endswith("\n")}
+        assert {hrefs[x.pos]: x.url for x in got.links if hrefs[x.pos] in want} == want
+        plain = dict(zip(hrefs, got.plain))
+        assert page == "" or (None not in [plain["/p/1" + e] for e in ends[:7]] and plain["/p/1?a=+1"] is plain["x/../y"] is None)
