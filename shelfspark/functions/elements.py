@@ -19,6 +19,11 @@ id, classes, attribute tests, joined by descendant combinators, with an optional
 ``@attribute``), and the functions below take arrays of them as columns, so that
 they may differ from row to row.  Child and sibling combinators, groups and
 pseudo classes are not read: such selectors match nothing.
+
+A page that lists a whole shop has millions of elements; as a row of structs they
+are many times its markup.  ``scan`` keeps them in flat arrays, and ``places``,
+``linked``, ``first_link`` and ``texts`` apply the same selectors where the page is
+parsed, so that only what they find becomes a row.
 """
 
 from __future__ import annotations
@@ -26,13 +31,16 @@ from __future__ import annotations
 import html as entities
 import json
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator, Sequence
+from functools import lru_cache
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.functions.text import let, normalize_whitespace
+from shelfspark.functions.text import WHITESPACE_CLASS, let, normalize_whitespace
 
 # Elements without content, elements whose content is plain text,
 # and elements that end where the next of a kind begins.
@@ -60,12 +68,56 @@ _ARROW_DOM = pa.struct([("text", pa.list_(pa.string())), ("elements", pa.list_(_
                         ("index", pa.map_(pa.string(), pa.list_(pa.int32())))])
 
 
-def parse(html: str | None) -> dict:
+#: Attribute texts of up to so many characters are remembered, the last so many of them.
+SHORT_MARKUP, MOST_REMEMBERED = 256, 4096
+
+
+def _keys(classes: Iterable[str], names: Iterable[str]) -> list[str]:
+    """Entries of the index for an element's classes and attributes."""
+    return [*[f".{c}" for c in dict.fromkeys(classes)], *[f"[{name}" for name in names]]
+
+
+def _read_attributes(rest: str) -> tuple[dict[str, str], list[str], list[str]]:
+    attrs: dict[str, str] = {}
+    for name, double, single, bare in _ATTRIBUTE.findall(rest):
+        value = double or single or bare
+        attrs.setdefault(name.lower(), entities.unescape(value) if "&" in value else value)
+    classes = attrs["class"].split() if "class" in attrs else []
+    return attrs, classes, _keys(classes, attrs)
+
+
+_remembered = lru_cache(MOST_REMEMBERED)(_read_attributes)
+
+
+def _attributes(rest: str) -> tuple[dict[str, str], list[str], list[str]]:
+    """Attributes, classes and index entries in the markup of a tag; not to be changed."""
+    return _remembered(rest) if len(rest) <= SHORT_MARKUP else _read_attributes(rest)
+
+
+class Page:
+    """A parsed page: its text, and its elements in document order, one flat array for
+    each of their values.  Attributes stay in the markup, between ``first`` and ``last``."""
+
+    __slots__ = ("html", "text", "tags", "until", "start", "end", "first", "last", "index")
+
+    def __init__(self, html: str):
+        self.html, self.text = html, ""
+        self.tags: list[str] = []
+        self.until, self.start, self.end, self.first, self.last = (array("i") for _ in range(5))
+        self.index: dict[str, array] = {}
+
+    def attributes(self, pos: int) -> tuple[dict[str, str], list[str], list[str]]:
+        return _attributes(self.html[self.first[pos]:self.last[pos]])
+
+
+def scan(html: str | None) -> Page:
     """The text and the elements of a page in one pass over its markup."""
     html = html or ""
-    elements: list[dict] = []
+    page = Page(html)
+    tags, until, start, ends, index = page.tags, page.until, page.start, page.end, page.index
+    names: dict[str, str] = {}
     pieces: list[str] = []
-    open_: list[dict] = []
+    open_: list[int] = []
     length = at = 0
 
     def text(piece: str) -> None:
@@ -77,7 +129,8 @@ def parse(html: str | None) -> dict:
 
     def close(n: int) -> None:
         while len(open_) > n:
-            open_.pop().update(until=len(elements), end=length)
+            pos = open_.pop()
+            until[pos], ends[pos] = len(tags), length
 
     while found := _MARKUP.search(html, at):
         text(html[at:found.start()])
@@ -85,42 +138,58 @@ def parse(html: str | None) -> dict:
         end, tag, rest = found.groups()
         if tag is None:
             continue
-        tag = tag.lower()
+        tag = names.setdefault(tag := tag.lower(), tag)
         if end:
             for n in range(len(open_) - 1, -1, -1):
-                if open_[n]["tag"] == tag:
+                if tags[open_[n]] == tag:
                     close(n)
                     break
             continue
-        while open_ and tag in ENDED_BY.get(open_[-1]["tag"], ()):
+        while open_ and tag in ENDED_BY.get(tags[open_[-1]], ()):
             close(len(open_) - 1)
-        attrs: dict[str, str] = {}
-        if rest:
-            for name, double, single, bare in _ATTRIBUTE.findall(rest):
-                value = double or single or bare
-                attrs.setdefault(name.lower(), entities.unescape(value) if "&" in value else value)
-        element = {"pos": len(elements), "tag": tag, "until": len(elements) + 1, "start": length, "end": length,
-                   "classes": attrs["class"].split() if "class" in attrs else [], "attrs": list(attrs.items())}
-        elements.append(element)
+        pos = len(tags)
+        tags.append(tag)
+        until.append(pos + 1)
+        start.append(length)
+        ends.append(length)
+        page.first.append(found.start(3))
+        page.last.append(found.end(3))
+        for key in (tag, *_attributes(rest)[2]):
+            if key in index:
+                index[key].append(pos)
+            else:
+                index[key] = array("i", (pos,))
         if tag in PLAIN_TEXT:
             stop = _END[tag].search(html, at)
             content, at = (html[at:stop.start()], stop.end()) if stop else (html[at:], len(html))
             if tag not in UNSEEN_TEXT:
                 text(content)
-            element["end"] = length
+            ends[pos] = length
         elif tag not in VOID:
-            open_.append(element)
+            open_.append(pos)
     text(html[at:])
     close(0)
-    return {"text": "".join(pieces), "elements": elements}
+    page.text = "".join(pieces)
+    return page
+
+
+def parse(html: str | None) -> dict:
+    """The text and the elements of a page, an element as a dict."""
+    page = scan(html)
+
+    def element(pos: int) -> dict:
+        attrs, classes, _ = page.attributes(pos)
+        return {"pos": pos, "tag": page.tags[pos], "until": page.until[pos], "start": page.start[pos], "end": page.end[pos],
+                "classes": classes, "attrs": list(attrs.items())}
+
+    return {"text": page.text, "elements": [element(pos) for pos in range(len(page.tags))]}
 
 
 def in_pieces(page: dict) -> dict:
     text = page["text"]
     index: dict[str, list[int]] = {}
     for e in page["elements"]:
-        keys = [e["tag"], *[f".{c}" for c in dict.fromkeys(e["classes"])], *[f"[{name}" for name, _ in e["attrs"]]]
-        for key in keys:
+        for key in [e["tag"], *_keys(e["classes"], (name for name, _ in e["attrs"]))]:
             index.setdefault(key, []).append(e["pos"])
     return {"text": [text[i:i + PIECE] for i in range(0, len(text), PIECE)], "elements": page["elements"], "index": list(index.items())}
 
@@ -326,3 +395,116 @@ def first_href(dom: Column, chosen: Column) -> Column:
     """``href`` of the first element of the first selector whose first element has one."""
     firsts = F.transform(chosen, lambda s: F.try_element_at(F.try_element_at(select(dom, s), F.lit(1))["attrs"], F.lit("href")))
     return F.coalesce(F.try_element_at(F.filter(firsts, lambda h: F.coalesce(h != "", F.lit(False))), F.lit(1)), F.lit(""))
+
+
+# ---------------------------------------------------------------- where a page is parsed
+_SPACE = re.compile(WHITESPACE_CLASS.replace(r"\x{0B}", r"\x0b").replace(r"\x{A0}", r"\xa0").replace(r"\x{", r"\u").replace("}", "") + "+")
+
+
+class Step(NamedTuple):
+    key: str | None
+    tag: str | None
+    id: str | None
+    classes: list[str]
+    attrs: list[dict]
+    sure: bool  # the index entry has nothing that does not match
+
+
+class Selector(NamedTuple):
+    attr: str | None
+    steps: list[Step]
+
+
+@lru_cache(1 << 14)
+def compiled(parsed: str) -> list[Selector]:
+    """Selectors of a JSON text of what ``parse_selector`` gives."""
+    def step(s: dict) -> Step:
+        tests = len(s["classes"]) + len(s["attrs"]) + (s["tag"] is not None)
+        return Step(s["key"], s["tag"], s["id"], s["classes"], s["attrs"], s["id"] is None and tests <= 1 and all(a["op"] is None for a in s["attrs"]))
+
+    return [Selector(p["attr"], [step(s) for s in p["steps"]]) for p in json.loads(parsed)]
+
+
+def selector_texts(texts: list[str]) -> str:
+    """``compiled`` reads it; selectors not understood are left out."""
+    return json.dumps([p for t in texts if t and (p := parse_selector(t))])
+
+
+def _meets(page: Page, pos: int, s: Step) -> bool:
+    if s.tag is not None and page.tags[pos] != s.tag:
+        return False
+    attrs, classes, _ = page.attributes(pos)
+    if s.id is not None and attrs.get("id") != s.id or any(c not in classes for c in s.classes):
+        return False
+    for a in s.attrs:
+        value = attrs.get(a["name"])
+        if value is None or a["op"] == "=" and value != a["value"] or a["op"] == "*=" and a["value"] not in value:
+            return False
+    return True
+
+
+def _within(page: Page, positions: Iterable[int], around: Sequence[int]) -> list[int]:
+    """Those that lie inside an element of `around`; both in document order."""
+    found, n, reach = [], 0, 0
+    for pos in positions:
+        while n < len(around) and around[n] < pos:
+            reach = max(reach, page.until[around[n]])
+            n += 1
+        if reach > pos:
+            found.append(pos)
+    return found
+
+
+def places(page: Page, selector: Selector) -> Sequence[int]:
+    """Positions of the elements that a selector matches, in document order."""
+    if not all(s.key is None or s.key in page.index for s in selector.steps):
+        return ()
+    found: Sequence[int] | None = None
+    for s in selector.steps:
+        candidates = range(len(page.tags)) if s.key is None else page.index[s.key]
+        if found is not None:
+            candidates = _within(page, candidates, found)
+        found = candidates if s.sure else array("i", (pos for pos in candidates if _meets(page, pos, s)))
+        if not found:
+            return ()
+    return found or ()
+
+
+def linked(page: Page, chosen: list[Selector]) -> Sequence[int]:
+    """``link_places``: elements with a ``href``, selector by selector, each once."""
+    return array("i", dict.fromkeys(pos for s in chosen for pos in places(page, s) if page.attributes(pos)[0].get("href")))
+
+
+def text_at(page: Page, pos: int) -> str:
+    return plain_text(page.text[page.start[pos]:page.end[pos]])
+
+
+def plain_text(text: str | None) -> str:
+    """``normalize_whitespace``."""
+    return _SPACE.sub(" ", text or "").strip(" ")
+
+
+def link_of(page: Page, pos: int) -> tuple[str, str]:
+    """``(href, text)`` of an element with a href."""
+    attrs = page.attributes(pos)[0]
+    return attrs["href"], text_at(page, pos) or plain_text(attrs.get("aria-label"))
+
+
+def first_link(page: Page, chosen: list[Selector]) -> str:
+    """``first_href``."""
+    for s in chosen:
+        if (found := places(page, s)) and (href := page.attributes(found[0])[0].get("href")):
+            return href
+    return ""
+
+
+def texts(page: Page, chosen: list[Selector]) -> Iterator[str]:
+    """``first_values``, one by one."""
+    for s in chosen:
+        some = False
+        for pos in places(page, s):
+            if value := text_at(page, pos) if s.attr is None else plain_text(page.attributes(pos)[0].get(s.attr)):
+                some = True
+                yield value
+        if some:
+            return

@@ -10,6 +10,7 @@ are reported by :func:`unsupported_selectors` and skipped, never guessed.
 
 from __future__ import annotations
 
+import itertools
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -54,6 +55,12 @@ TITLE_RE = r"(?is)<title[^>]*>(.*?)</title>"
 BODY_RE = r"(?is)<body[^>]*>(.*)</body>"
 CANONICAL_RE = r"""(?i)<link\b[^>]*\srel=["']canonical["'][^>]*\shref=["']([^"']*)["']"""
 HOME_LABELS = ("home", "inicio")
+#: The same, read where a page is parsed: classes and cases of ASCII, word ends of any letter, as on the JVM.
+_LD_SCRIPT, _TITLE, _CANONICAL = (re.compile(r.replace(r"\b", r"(?u:\b)").replace("(?is)", "").replace("(?i)", ""), f) for r, f in (
+    (LD_SCRIPT_RE, re.A | re.I | re.S), (TITLE_RE, re.A | re.I | re.S), (CANONICAL_RE, re.A | re.I)))
+#: Fields that take every value of their selectors, not the first alone.
+SEVERAL = ("images",)
+PAGE_VALUES = "struct<fields:array<array<string>>,body:string,scripts:array<string>,title:string,link:string>"
 
 _ATTR_VALUE = r"""["']([^"']*)["']"""
 
@@ -166,7 +173,10 @@ def _is_type(n: Column, t: str) -> Column:
 def jsonld_node_array(html: Column) -> Column:
     """All JSON-LD nodes of a page in document order (arrays and ``@graph``
     flattened one level each; bad JSON and null entries skipped)."""
-    scripts = F.regexp_extract_all(html, F.lit(LD_SCRIPT_RE), 1)
+    return _jsonld_nodes(F.regexp_extract_all(html, F.lit(LD_SCRIPT_RE), 1))
+
+
+def _jsonld_nodes(scripts: Column) -> Column:
     parsed = F.filter(F.transform(scripts, lambda s: F.try_parse_json(s)),
                       lambda v: v.isNotNull() & ~F.is_variant_null(v))
     level1 = F.flatten(F.transform(parsed, lambda v: F.coalesce(
@@ -196,22 +206,28 @@ def likely_product_image(v: Column) -> Column:
     return (v != "") & ~bad
 
 
-def extraction(pages: DataFrame, dom: str | None = None, fields: dict[str, Column] | None = None,
-               keep: tuple[str, ...] = ()) -> DataFrame:
+def page_values(html: str | None, page: E.Page, fields: list[list[E.Selector]]) -> dict:
+    """``PAGE_VALUES`` of a parsed page: values of `fields` (those of ``FIELD_SELECTORS``, then
+    the breadcrumb and the body), the page's text without markup, JSON-LD texts, title and canonical link."""
+    *own, crumbs, body = fields
+    values = [list(dict.fromkeys(E.texts(page, s)) if name in SEVERAL else itertools.islice(E.texts(page, s), 1)) for name, s in zip(FIELD_SELECTORS, own, strict=True)]
+    text = next(E.texts(page, body), None) or E.plain_text(page.text)
+    first = lambda r: None if html is None else found[1] if (found := r.search(html)) else ""
+    return {"fields": [*values, list(E.texts(page, crumbs))], "body": text, "scripts": None if html is None else _LD_SCRIPT.findall(html),
+            "title": first(_TITLE), "link": first(_CANONICAL)}
+
+
+def extraction(pages: DataFrame, read: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """``extraction(page_id, url, category, name, description, sku, brand,
     price, currency, images, breadcrumb, body_text, title, canonical_url,
     has_jsonld)`` and the columns of ``keep`` -- one row per page, row-local.
 
-    With ``dom`` (a column of ``elements.with_elements``) fields come from the
-    page's elements, so text may be nested and any selector of that module
-    works; ``fields`` gives selector columns instead of the default ones."""
-    chosen = [(fields or {}).get(k, E.selectors(v)) for k, v in FIELD_SELECTORS.items()]
-    chosen += [E.selectors([f"{c} a" for c in BREADCRUMB_CONTAINERS]), E.selectors(["body"])]
-    from_dom = {"_values": F.transform(F.array(*chosen), lambda s: E.first_values(F.col(dom), s))} if dom else {}
+    With ``read`` (a column of ``page_values``) fields come from the page's elements,
+    so text may be nested and any selector of that module works."""
     # of facts on parsed pages only the columns that are asked for are made
-    add = (lambda df, **c: df.withColumns(c)) if dom else fence
-    p = add(pages.select("page_id", "url", "category", "html", *([dom] if dom else []), *keep),
-            _nodes=jsonld_node_array(F.col("html")), _base=base_parts("url"), **from_dom)
+    add = (lambda df, **c: df.withColumns(c)) if read else fence
+    p = add(pages.select("page_id", "url", "category", read or "html", *keep),
+            _nodes=_jsonld_nodes(F.col(read)["scripts"]) if read else jsonld_node_array(F.col("html")), _base=base_parts("url"))
     p = add(p,
             _prod=F.coalesce(F.try_element_at(F.filter("_nodes", lambda n: _is_type(n, "Product")), F.lit(1)),
                                F.try_element_at(F.filter("_nodes", lambda n: _truthy(n, "$.sku").isNotNull()
@@ -221,15 +237,15 @@ def extraction(pages: DataFrame, dom: str | None = None, fields: dict[str, Colum
     prod = F.col("_prod")
     offer = F.coalesce(F.try_element_at(F.try_variant_get(prod, "$.offers", "array<variant>"), F.lit(1)),
                        F.try_variant_get(prod, "$.offers", "variant"))
-    if dom:
-        sel = {k: F.col("_values")[i] for i, k in enumerate(FIELD_SELECTORS)}
-        sel["images"] = F.array_distinct(sel["images"])
-        crumb_texts = F.col("_values")[len(FIELD_SELECTORS)]
-        body_text = F.coalesce(F.try_element_at(F.col("_values")[len(FIELD_SELECTORS) + 1], F.lit(1)), normalize_whitespace(E.page_text(F.col(dom))))
+    if read:
+        got = F.col(read)
+        sel = {k: got["fields"][i] for i, k in enumerate(FIELD_SELECTORS)}
+        crumb_texts, body_text, title, canonical_href = got["fields"][len(FIELD_SELECTORS)], got["body"], got["title"], got["link"]
     else:
         sel = {k: select_values(F.col("html"), v, multiple=(k == "images")) for k, v in FIELD_SELECTORS.items()}
         crumb_texts = dom_breadcrumb(F.col("html"))
         body_text = decode_entities(F.regexp_replace(F.regexp_extract("html", BODY_RE, 1), "<[^>]+>", ""))
+        title, canonical_href = F.regexp_extract("html", TITLE_RE, 1), F.regexp_extract("html", CANONICAL_RE, 1)
 
     def first(k):
         return F.try_element_at(sel[k], F.lit(1))
@@ -243,7 +259,6 @@ def extraction(pages: DataFrame, dom: str | None = None, fields: dict[str, Colum
                        _vstr(prod, "$.brand"))
     ld_images = _image_values(F.try_variant_get(prod, "$.image", "variant"))
     images = F.when(_truthy(prod, "$.image").isNotNull(), ld_images).otherwise(sel["images"])
-    canonical_href = F.regexp_extract("html", CANONICAL_RE, 1)
     out = p.select(
         "page_id", "url", "category", "_base", *keep,
         F.coalesce(_truthy(prod, "$.name"), first("name"), F.lit("")).alias("name"),
@@ -258,7 +273,7 @@ def extraction(pages: DataFrame, dom: str | None = None, fields: dict[str, Colum
         F.when(F.col("_bc").isNotNull(), F.coalesce(crumbs, F.array().cast("array<string>")))
         .otherwise(crumb_texts).alias("breadcrumb"),
         body_text.alias("body_text"),
-        F.trim(decode_entities(F.regexp_extract("html", TITLE_RE, 1))).alias("title"),
+        F.trim(decode_entities(title)).alias("title"),
         canonical_href.alias("_canonical_href"),
         prod.isNotNull().alias("has_jsonld"),
     )

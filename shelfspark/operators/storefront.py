@@ -4,14 +4,19 @@
 menus, product links (by selector and by card), the next listing page and the
 extracted product fields.  Everything after it works on these rows; html is
 neither joined nor shuffled.
+
+A page may list a whole shop.  Its elements never become a row: the selectors are
+applied where it is parsed, one page at a time, and its links come in runs of
+``RUN``, which are resolved and scored one after the other.
 """
 
 from __future__ import annotations
 
-import json
+from array import array
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,26 +45,25 @@ MOST_RULE_CHARS = 16 << 20
 
 
 def parsed_rules(rules: DataFrame) -> DataFrame:
-    """``(site, rules STRUCT)`` from ``(site, <rule> ARRAY<STRING> ...)``; a rule
-    that is null or not a column keeps its default."""
+    """``(site, rules STRUCT)`` from ``(site, <rule> ARRAY<STRING> ...)``, selectors as texts for
+    ``elements.compiled``; a rule that is null or not a column keeps its default."""
     names = [n for n in SELECTOR_RULES if n in rules.columns]
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for name in names:
-                frame[name] = [None if texts is None else json.dumps([p for t in texts if t and (p := E.parse_selector(t))]) for texts in frame[name]]
+                frame[name] = [None if texts is None else E.selector_texts(texts) for texts in frame[name]]
             yield frame
 
     own = rules.select("site", *names, *[n for n in PATTERN_RULES if n in rules.columns])
     kinds = ", ".join(f"{c} {'string' if c in names else t}" for c, t in own.dtypes)
     texts = own.mapInPandas(parse, kinds)
-    chosen = [(F.from_json(n, E.SELECTORS) if n in names else F.col(n)).alias(n) for n in own.columns if n != "site"]
-    return texts.select("site", F.struct(*chosen, F.lit(1).alias("known")).alias("rules"))
+    return texts.select("site", F.struct(*[n for n in own.columns if n != "site"], F.lit(1).alias("known")).alias("rules"))
 
 
 def _with_rules(pages: DataFrame, rules: DataFrame | None) -> tuple[DataFrame, dict[str, Column]]:
-    """`pages` with the rules of their site, and a column for each rule."""
-    default = {**{n: E.selectors(t) for n, t in SELECTOR_RULES.items()}, **{n: F.array(*map(F.lit, t)) for n, t in PATTERN_RULES.items()}}
+    """`pages` with the rules of their site, and a column for each rule of patterns."""
+    default = {n: F.array(*map(F.lit, t)) for n, t in PATTERN_RULES.items()}
     if rules is None:
         return pages, default
     parsed = parsed_rules(rules).checkpoint()
@@ -71,45 +75,115 @@ def _with_rules(pages: DataFrame, rules: DataFrame | None) -> tuple[DataFrame, d
 
 
 MENU, LISTED, CARD = range(3)
-
-
-def _kinds(places: str) -> Column:
-    """Places of links by kind; menus and listings without a match take all anchors."""
-    f = F.col(places)
-    any_of = lambda i: F.when(F.size(f[i]) > 0, f[i]).otherwise(f[3])
-    return F.array(any_of(MENU), any_of(LISTED), f[CARD])
-
-
-def _scored(kinds: Column, links: Column, page: Column, include: Column, exclude: Column) -> Column:
-    """Links of the page's own host as ``(product, url, kind, neg, pos, text)``, sorted, where
-    ``neg`` is the negative score of the kind; those below its limit are left out.  `kinds`
-    has the places of each kind in order, `links` each place once, by place."""
+KINDS = ("menu", "listed", "card")
+
+#: Links that are resolved and scored together.
+RUN = 2048
+
+_RUNS = f"array<array<struct<place:int,href:string,text:string,{','.join(f'{k}:int' for k in KINDS)}>>>"
+READ = f"struct<next_href:string,runs:{_RUNS},values:{EX.PAGE_VALUES}>"
+_VALUES = pa.struct([("fields", pa.list_(pa.list_(pa.string()))), ("body", pa.string()), ("scripts", pa.list_(pa.string())), ("title", pa.string()), ("link", pa.string())])
+
+
+class _Links:
+    """Links of pages, a column for each of their values."""
+
+    def __init__(self) -> None:
+        self.href: list[str] = []
+        self.text: list[str] = []
+        self.place, *self.kinds = (array("i") for _ in range(1 + len(KINDS)))
+        self.runs, self.pages = array("i", (0,)), array("i", (0,))
+
+    def add(self, page: E.Page, menu: list[E.Selector], listed: list[E.Selector], cards: list[E.Selector], anchors: list[E.Selector]) -> None:
+        """Links by place, with their place among those of each kind, or -1; menus and listings
+        without a match take all anchors."""
+        found = [E.linked(page, s) for s in (menu, listed, cards)]
+        if not found[MENU] or not found[LISTED]:
+            every = E.linked(page, anchors)
+            found = [found[MENU] or every, found[LISTED] or every, found[CARD]]
+        ranks = []
+        for positions in found:
+            ranks.append(rank := array("i", (-1,)) * len(page.tags))
+            for i, pos in enumerate(positions):
+                rank[pos] = i
+        first = len(self.place)
+        for pos in page.index.get("[href", ()):
+            if any(rank[pos] >= 0 for rank in ranks):
+                href, text = E.link_of(page, pos)
+                self.place.append(pos)
+                self.href.append(href)
+                self.text.append(text)
+                for kind, rank in zip(self.kinds, ranks, strict=True):
+                    kind.append(rank[pos])
+        self.runs.extend(range(first + RUN, len(self.place), RUN))
+        if len(self.place) > first:
+            self.runs.append(len(self.place))
+        self.pages.append(len(self.runs) - 1)
+
+    def column(self) -> pa.Array:
+        ints = lambda a: pa.Array.from_buffers(pa.int32(), len(a), [None, pa.py_buffer(a)])
+        links = pa.StructArray.from_arrays([ints(self.place), pa.array(self.href, pa.string()), pa.array(self.text, pa.string()), *map(ints, self.kinds)],
+                                           names=["place", "href", "text", *KINDS])
+        return pa.ListArray.from_arrays(ints(self.pages), pa.ListArray.from_arrays(ints(self.runs), links))
+
+
+def _read(pages: DataFrame, ids: list[str]) -> DataFrame:
+    """`ids` and, as ``read``, what selectors find on the page of ``html``.  One page is
+    parsed at a time, and a batch ends after ``elements.MOST_CHARS`` of markup."""
+    default = {n: E.selector_texts(t) for n, t in SELECTOR_RULES.items()}
+    cards, anchors, crumbs, body = (E.selector_texts(t) for t in (CARD_SELECTORS, ["a"], [f"{c} a" for c in EX.BREADCRUMB_CONTAINERS], ["body"]))
+    ruled = "rules" in ids
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            html = batch["html"]
+            own = batch["rules"] if ruled else None
+            kept = batch.select(ids)
+            first, n = 0, len(html)
+            while first < n:
+                links, nexts, values, end, chars = _Links(), [], [], first, 0
+                while end < n and chars < E.MOST_CHARS:
+                    text = html[end].as_py()
+                    rules = own[end].as_py() or {} if ruled else {}
+                    chosen = lambda name: E.compiled(rules.get(name) or default[name])  # noqa: B023, E731
+                    page = E.scan(text)
+                    links.add(page, chosen("category_selectors"), chosen("product_selectors"), E.compiled(cards), E.compiled(anchors))
+                    nexts.append(E.first_link(page, chosen("pagination_selectors")))
+                    values.append(EX.page_values(text, page, [*[chosen(f"{f}_selectors") for f in EX.FIELD_SELECTORS], E.compiled(crumbs), E.compiled(body)]))
+                    chars += len(text or "")
+                    end += 1
+                    del page, text
+                read = pa.StructArray.from_arrays([pa.array(nexts, pa.string()), links.column(), pa.array(values, _VALUES)], names=["next_href", "runs", "values"])
+                del links, nexts, values
+                yield pa.RecordBatch.from_arrays([*kept.slice(first, end - first).columns, read], names=[*ids, "read"])
+                first = end
+
+    kinds = ", ".join(f"`{c}` {t}" for c, t in pages.select(*ids).dtypes)
+    return pages.select(*ids, "html").mapInArrow(run, f"{kinds}, read {READ}")
+
+
+def _first_entries(ordered: Column) -> Column:
+    """Of links sorted by URL and kind, the first entry of each URL: the one that counts."""
+    return F.filter(ordered, lambda x, i: (i == 0) | (F.get(ordered, i - 1)["url"] != x["url"]) | (F.get(ordered, i - 1)["product"] != x["product"]))
+
+
+def _scored(run: Column, base: Column, page: Column, include: Column, exclude: Column) -> Column:
+    """Links of the page's own host as ``(product, url, kind, neg, pos, text)``, sorted, each URL
+    once, where ``neg`` is the negative score of the kind; those below its limit are left out."""
+    links = resolve_links(run, base, keep=("place", "text", *KINDS))
     own = let(url_host(page), lambda host: F.filter(links, lambda x: (x["url"] != "") & (host != "") & (url_host(x["url"]) == host)))
+    scored = stage(own, product=lambda x: scoring.score_product_url(x["url"]))
 
-    def score(kind: Column, x: Column) -> Column:
-        return (F.when(kind == CARD, F.greatest(x["product"], F.lit(CONTEXTUAL_MIN_SCORE)))
-                .when(kind == LISTED, F.when(x["product"] >= scoring.PRODUCT_LIKE_MIN, x["product"]))
-                .when(x["product"] < scoring.PRODUCT_LIKE_MIN, scoring.score_category_link(
-                    x["url"], x["text"], include=include, exclude=exclude, product_score=x["product"])))
-
-    def found(known: Column) -> Column:
-        def at(place: Column) -> Column:
-            return let(F.get(known["links"], E.before(known["places"], known["powers"], place)), lambda x: F.when(x["place"] == place, x))
-
-        def points(places: Column, kind: Column) -> Column:
-            linked = F.transform(places, lambda p, i: F.struct(i.alias("pos"), at(p).alias("x")))
-            scores = F.transform(F.filter(linked, lambda z: z["x"].isNotNull()), lambda z: F.struct(
-                F.when(kind == MENU, 0).otherwise(1).alias("product"), z["x"]["url"].alias("url"), kind.alias("kind"),
-                (-score(kind, z["x"])).alias("neg"), z["pos"].alias("pos"), z["x"]["text"].alias("text")))
-            return F.filter(scores, lambda z: F.coalesce(z["neg"] <= -scoring.CATEGORY_MIN, F.lit(False)))
-
-        return F.array_sort(F.flatten(F.transform(kinds, points)))
-
-    def searchable(x: Column) -> Column:
-        places = F.transform(x, lambda z: z["place"])
-        return F.struct(x.alias("links"), places.alias("places"), E.powers(x).alias("powers"))
+    def entries(x: Column) -> Column:
+        scores = (F.when(x["product"] < scoring.PRODUCT_LIKE_MIN, scoring.score_category_link(
+                      x["url"], x["text"], include=include, exclude=exclude, product_score=x["product"])),
+                  F.when(x["product"] >= scoring.PRODUCT_LIKE_MIN, x["product"]), F.greatest(x["product"], F.lit(CONTEXTUAL_MIN_SCORE)))
+        return F.array(*[F.struct(F.lit(0 if kind == MENU else 1).alias("product"), x["url"].alias("url"), F.lit(kind).alias("kind"),
+                                  F.when(x[KINDS[kind]] >= 0, -score).alias("neg"), x[KINDS[kind]].alias("pos"), x["text"].alias("text"))
+                         for kind, score in enumerate(scores)])
 
-    return let(let(stage(own, product=lambda x: scoring.score_product_url(x["url"])), searchable), found)
+    counting = F.filter(F.flatten(F.transform(scored, entries)), lambda z: F.coalesce(z["neg"] <= -scoring.CATEGORY_MIN, F.lit(False)))
+    return let(F.array_sort(counting), _first_entries)
 
 
 def page_facts(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
@@ -122,31 +196,22 @@ def page_facts(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     Links count for their own host only.  `rules` may give selectors and patterns
     by site (``parsed_rules``)."""
     given, rule = _with_rules(pages.select("page_id", "site", "seq", "url", "html"), rules)
-    dom = F.col("dom")
     own = ["rules"] if rules is not None else []
-    ids = ["page_id", "site", "seq", "url", "html", "dom", *own]
-    groups = F.array(rule["category_selectors"], rule["product_selectors"], E.selectors(CARD_SELECTORS), E.selectors(["a"]))
-    # an element is read, resolved and scored once, whatever the kinds that it is of; no
-    # fence from here on, so that columns nobody asks for are not made
-    found = E.with_elements(given).select(*ids, base_parts("url").alias("base"), F.transform(groups, lambda g: E.link_places(dom, g)).alias("places"),
-                                          E.first_href(dom, rule["pagination_selectors"]).alias("next_href"))
-    kinds = found.select(*ids, "base", "next_href", _kinds("places").alias("kinds"))
-    read = kinds.withColumn("raw", F.transform(F.sort_array(F.array_distinct(F.flatten("kinds"))), lambda p: E.link_at(dom, p)))
-    resolved = read.select(*ids, "kinds", clean_url(normalise_url("url")).alias("page_url"), resolve_links(F.col("raw"), F.col("base"), keep=("place", "text")).alias("links"),
-                           F.when(F.col("next_href") != "", absolute_url("next_href", "base")).otherwise("").alias("next_url"))
-    scored = resolved.select(*ids, "page_url", "next_url",
-                             _scored(F.col("kinds"), F.col("links"), F.col("url"), rule["include_patterns"], rule["exclude_patterns"]).alias("links"))
-    # sorted by URL and kind: the first entry of a URL is the one that counts
-    arr = F.col("links")
-    first = F.filter(arr, lambda x, i: (i == 0) | (F.get(arr, i - 1)["url"] != x["url"]) | (F.get(arr, i - 1)["product"] != x["product"]))
-    best = scored.select(*ids, "page_url", "next_url", F.array_sort(F.transform(first, lambda x: F.struct(
-        x["product"].alias("product"), x["neg"].alias("neg"), x["kind"].alias("kind"), x["pos"].alias("pos"), x["url"].alias("url"), x["text"].alias("text")))).alias("links"))
+    ids = ["page_id", "site", "seq", "url", *own]
+    # no fence from here on, so that columns nobody asks for are not made
+    found = _read(given, ids).select(*ids, "read", base_parts("url").alias("base"), clean_url(normalise_url("url")).alias("page_url"))
+    scored = found.select(
+        *ids, "page_url", F.col("read.values").alias("values"),
+        F.when(F.col("read.next_href") != "", absolute_url("read.next_href", "base")).otherwise("").alias("next_url"),
+        F.flatten(F.transform("read.runs", lambda r: _scored(r, F.col("base"), F.col("url"), rule["include_patterns"], rule["exclude_patterns"]))).alias("links"))
+    ordered = scored.withColumn("links", F.when(F.size("links") > 1, F.array_sort("links")).otherwise(F.col("links")))
+    best = ordered.withColumn("links", F.array_sort(F.transform(_first_entries(F.col("links")), lambda x: F.struct(
+        x["product"].alias("product"), x["neg"].alias("neg"), x["kind"].alias("kind"), x["pos"].alias("pos"), x["url"].alias("url"), x["text"].alias("text")))))
     best = best.select(
-        *ids, "page_url", "next_url",
+        *ids, "page_url", "next_url", "values",
         F.transform(F.filter("links", lambda x: x["product"] == 0),
                     lambda x: F.struct(x["url"].alias("url"), x["text"].alias("text"), (-x["neg"]).cast("int").alias("score"))).alias("categories"),
         F.transform(F.filter("links", lambda x: x["product"] == 1),
                     lambda x: F.struct(x["url"].alias("url"), (-x["neg"]).cast("int").alias("score"), (x["kind"] == CARD).alias("by_card"))).alias("products"))
-    fields = {k: rule[f"{k}_selectors"] for k in EX.FIELD_SELECTORS}
-    return EX.extraction(best.withColumn("category", F.lit("")), dom="dom", fields=fields,
+    return EX.extraction(best.withColumn("category", F.lit("")), read="values",
                          keep=("site", "seq", "page_url", "next_url", "categories", "products", *own)).drop("category", *own)

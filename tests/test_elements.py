@@ -1,6 +1,8 @@
 """Elements, nested text and selectors of pages."""
 
+import random
 import time
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -119,3 +121,45 @@ def test_plain_hrefs_resolve_as_the_stages_do(spark):
         assert {hrefs[x.pos]: x.url for x in got.links if hrefs[x.pos] in want} == want
         plain = dict(zip(hrefs, got.plain))
         assert page == "" or (None not in [plain["/p/1" + e] for e in ends[:7]] and plain["/p/1?a=+1"] is plain["x/../y"] is None)
+
+
+def card_page(n):
+    return "<ul>" + "".join(f'<li class="product-item" data-product-id="{i}"><div class="box"><div class="pic"><img src="/img/{i}.jpg"></div><div class="info">'
+                            f'<a href="/p/{i}"><span>Item</span> {i}</a></div></div></li>' for i in range(n)) + "</ul>"
+
+
+def test_a_page_takes_memory_in_proportion_to_its_markup():
+    """Elements of a page that lists a whole shop are no objects of their own."""
+    html = card_page(20_000)
+    tracemalloc.start()
+    try:
+        page = E.scan(html)
+        links = E.linked(page, E.compiled(E.selector_texts(["[data-product-id] a[href]", ".none a"])))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(links) == 20_000 and E.link_of(page, links[-1]) == ("/p/19999", "Item 19999")
+    assert most < 3 * len(html)
+
+
+def test_selectors_find_the_same_where_a_page_is_parsed(spark, page):
+    """Of nested, unclosed and repeated elements, over any kind of step."""
+    rnd = random.Random(5)
+    bits = ["<div class='a b'>", "</div>", "<p id=x>", "<li class=b>", "<ul>", "</ul>", "<a href='/1'>one", "<a class='a' href=''>", "<a href='/2?x=1' rel=next>two  &amp;</a>", "</a>",
+            "<img src='i.png' class='b'>", "text  é ", "<span itemprop='name'>", "</span>", "<script>var x='<a>'</script>", "<a href='/3' aria-label=' label '></a>"]
+    htmls = [None, "", PAGE, *["".join(rnd.choices(bits, k=rnd.randrange(1, 60))) for _ in range(40)]]
+    texts = ["a", "*", "div a[href]", ".a .b", "li", "ul li a", "#x a@href", "[id] [href]", "a[rel='next']", "a[href*='?']", "[itemprop='name']", "img@src", ".b@class", "div div", ".none a", "div.a.b *"]
+    pages = E.with_elements(spark.createDataFrame(list(enumerate(htmls)), "page_id long, html string"))
+    dom, one = F.col("dom"), [E.selectors([t]) for t in texts]
+    rows = pages.select("page_id", *[F.struct(F.transform(E.select(dom, s[0]), lambda e: e["pos"]).alias("places"), E.first_values(dom, s).alias("texts"), E.first_href(dom, s).alias("href"),
+                                              F.transform(E.link_places(dom, s), lambda p: E.link_at(dom, p)).alias("links")).alias(f"s{i}") for i, s in enumerate(one)],
+                        E.first_values(dom, E.selectors(texts[8:])).alias("first"), E.link_places(dom, E.selectors(texts)).alias("every")).collect()
+    for row in rows:
+        parsed = E.scan(htmls[row.page_id])
+        for i, t in enumerate(texts):
+            own, want = E.compiled(E.selector_texts([t])), row[f"s{i}"]
+            assert list(E.places(parsed, own[0])) == want.places, (htmls[row.page_id], t)
+            assert [*E.texts(parsed, own)] == want.texts and E.first_link(parsed, own) == want.href
+            assert [(p, *E.link_of(parsed, p)) for p in E.linked(parsed, own)] == [tuple(x) for x in want.links]
+        assert [*E.texts(parsed, E.compiled(E.selector_texts(texts[8:])))] == row["first"]
+        assert list(E.linked(parsed, E.compiled(E.selector_texts(texts)))) == row.every
