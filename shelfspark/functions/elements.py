@@ -29,6 +29,7 @@ parsed, so that only what they find becomes a row.
 from __future__ import annotations
 
 import html as entities
+import io
 import json
 import re
 from array import array
@@ -116,7 +117,7 @@ def scan(html: str | None) -> Page:
     page = Page(html)
     tags, until, start, ends, index = page.tags, page.until, page.start, page.end, page.index
     names: dict[str, str] = {}
-    pieces: list[str] = []
+    written = io.StringIO()
     open_: list[int] = []
     length = at = 0
 
@@ -124,7 +125,7 @@ def scan(html: str | None) -> Page:
         nonlocal length
         if piece:
             plain = entities.unescape(piece) if "&" in piece else piece
-            pieces.append(plain)
+            written.write(plain)
             length += len(plain)
 
     def close(n: int) -> None:
@@ -169,7 +170,7 @@ def scan(html: str | None) -> Page:
             open_.append(pos)
     text(html[at:])
     close(0)
-    page.text = "".join(pieces)
+    page.text = written.getvalue()
     return page
 
 

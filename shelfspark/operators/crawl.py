@@ -3,7 +3,7 @@
 ``build_catalog`` takes a table of fetched pages through entry pages, menus,
 requested categories, narrower categories, listing pages and product pages to
 merged products, processed categories, warnings and a summary.  A level is a join
-of the keys found so far with the page facts (``storefront.page_facts``); html is
+of the keys found so far with the page facts (those of ``storefront.page_facts``); html is
 read once, before the first level.  Every level is written below a folder, and a
 run that is given the folder of an earlier one goes on from the levels that are
 complete there.
@@ -35,8 +35,8 @@ from shelfspark.operators import quality as QY
 from shelfspark.operators.common import fence
 from shelfspark.operators.discovery import FALLBACK_NAME, category_label
 from shelfspark.operators.ordering import positions, running, stored
-from shelfspark.operators.storefront import page_facts
-from shelfspark.session import scratch_path
+from shelfspark.operators.storefront import page_parts, whole_pages
+from shelfspark.session import LARGE_VALUES, scratch_path
 
 CATEGORY = ["site", "url"]
 GRAM = 3
@@ -55,7 +55,7 @@ class Levels:
     def keep(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         path = f"{self.root}/{name}"
         if not self._complete(path):
-            make().write.mode("overwrite").parquet(path)
+            make().write.mode("overwrite").options(**LARGE_VALUES).parquet(path)
         return self.spark.read.parquet(path)
 
 
@@ -249,8 +249,8 @@ class Catalog:
 
     @cached_property
     def facts(self) -> DataFrame:
-        all_facts = self._levels.keep("page_facts", lambda: page_facts(self._pages, self._rules))
-        return self._levels.keep("facts", lambda: known_pages(all_facts))
+        parts = self._levels.keep("page_parts", lambda: page_parts(self._pages, self._rules))
+        return self._levels.keep("facts", lambda: known_pages(whole_pages(parts)))
 
     @cached_property
     def top(self) -> DataFrame:

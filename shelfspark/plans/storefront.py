@@ -12,7 +12,7 @@ from shelfspark.operators.ordering import stored
 from shelfspark.operators.storefront import page_facts
 from shelfspark.oracle import storefront_sql as Q
 from shelfspark.plans.registry import _flat_products, _sink_root, register
-from shelfspark.session import dealt
+from shelfspark.session import LARGE_VALUES, dealt
 from shelfspark.sources import site_config as SC
 from shelfspark.sources.storefronts import category_requests, site_settings, storefront_pages
 
@@ -21,7 +21,7 @@ DETAILS_FROM = 100_000_000  # page ids of product pages
 
 def _pages(spark: SparkSession, sf: str) -> DataFrame:
     # dealt, as pages that list a whole shop are work for many and small when compressed
-    return stored(dealt(storefront_pages(spark, sf)), "storefront-pages")
+    return stored(dealt(storefront_pages(spark, sf)), "storefront-pages", **LARGE_VALUES)
 
 
 def _catalog(spark: SparkSession, sf: str, requests: bool = False) -> CR.Catalog:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions.text import fold_text
 from shelfspark.operators import crawl as C
+from shelfspark.operators import storefront as SF
 from shelfspark.operators.storefront import page_facts
 
 HOST = "https://shop.test"
@@ -162,3 +163,20 @@ def test_facts_make_the_columns_that_are_asked_for(spark):
     assert [(c.url, c.text, c.score) for c in row.categories] == [("https://s.test/c/b", "Bags sale", 8), ("https://s.test/c/a", "Line sale", 8)]
     assert [(p.url, p.by_card) for p in row.products] == [("https://s.test/p/9", False), ("https://s.test/p/2", False), ("https://s.test/q/1", True)]
     assert row.next_url == "https://s.test/c/x?page=2"
+
+
+def test_pages_in_parts_have_the_facts_of_whole_ones(spark, shops, tmp_path, monkeypatch):
+    """Links of one page stand in several rows until they are put in order; a page that comes
+    twice stays two pages."""
+    monkeypatch.setattr(SF, "RUN", 2)
+    monkeypatch.setattr(SF, "MOST_RUNS", 2)
+    cards = "".join(f'<li class="product-item"><a href="/{"pq"[i % 2]}/{i % 17}">Item {i}</a></li>' for i in range(40))
+    whole = [page_row(1, "s", "/", f'<title>All</title><nav><a href="/c/a">Line sale</a></nav><ul>{cards}</ul><a rel="next" href="?page=2">n</a>'), page_row(2, "s", "/c/a", cards * 2)]
+    pages = shops.unionByName(spark.createDataFrame([*whole, whole[0]], shops.schema)).coalesce(3)
+    SF.page_parts(pages).write.parquet(f"{tmp_path}/parts")
+    parts = spark.read.parquet(f"{tmp_path}/parts")
+    assert parts.where("page_id < 3 and site = 's.test'").agg(F.max("parts")).first()[0] > 5 and parts.agg(F.max(F.size("links"))).first()[0] <= 8
+    want = page_facts(pages)
+    got = SF.whole_pages(parts).select(*want.columns)
+    assert got.schema.simpleString() == want.schema.simpleString()
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
